@@ -282,7 +282,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
                             out[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], t) for f, t in zip(sets, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=sets.names)
 
-    rows = whole.join(placed, "doc_id").mapInArrow(resolve, sets).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
+    rows = whole.join(placed.hint("merge"), "doc_id").mapInArrow(resolve, sets).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
     found = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
