@@ -93,3 +93,12 @@ def test_size_bounds_lose_nothing():
         low, high = license_scan.bounds(size, 0.8)
         reach = [n for n in range(1, 200) if 2 * min(n, size) / (n + size) >= 0.8]
         assert (low, high) == (reach[0], reach[-1])
+
+
+def test_no_passage_can_do_without_the_anchors():
+    words = license_scan.anchors(license_scan.TEMPLATES, 0.8)
+    for _, text in license_scan.TEMPLATES:
+        b = license_scan.bigrams(text)
+        rest = {g for g in b if not set(g.split()) & set(words)}  # the most that a passage without them can share
+        assert max(license_scan.dice(set(sorted(rest)[:k]), b) for k in range(len(rest) + 1)) < 0.8
+    assert min(map(len, words)) >= 5
