@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.llm.quality_crf import score  # the same map over whole texts
 
 #: The most labelled rows that a model is fitted on (the bound of the sample), and the most words.
-SAMPLE, WORDS = 6000, 3000
+SAMPLE, WORDS = 5000, 2000
 #: Letters of the beginnings that count besides whole words.
 STEMS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -73,27 +73,37 @@ def fit(rows: list[tuple[str, int]], sparsity: float = 0.002, fairness: float =
 
     Without rows the score is 0.5 for all; without a counterfactual pair the third term is 0.
     """
-    docs = [(tokens_of(words_of(t)), int(y)) for t, y in rows if y is not None]
-    if not docs:
+    kept = [(t, int(y)) for t, y in rows if y is not None]
+    if not kept:
         return Toxicity({}, 0.0)
-    y = np.array([d[1] for d in docs], np.float32)
-    seen: dict[str, list[int]] = {}
-    for i, (words, _) in enumerate(docs):
-        for w in words:
-            seen.setdefault(w, []).append(i)
-    rate = y.mean()
-
-    def telling(w: str) -> float:  # how far the word's share of toxic texts is from chance
-        n = len(seen[w])
-        return abs(y[seen[w]].sum() - n * rate) / math.sqrt(n)
-
-    vocab = sorted((w for w, at in seen.items() if len(at) >= 3 and w not in _GROUP_OF), key=lambda w: (-telling(w), w))[:WORDS]
-    vocab += sorted(_GROUP_OF)
+    number: dict[str, int] = {}
+    docs, swaps = [], []
+    for t, _ in kept:  # as numbers, for a sample's sets of strings would not fit the driver
+        words = words_of(t)
+        swaps += [(next(iter(out)), next(iter(put))) for out, put in swapped(words)]
+        tokens = tokens_of(words)
+        docs.append(np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int32, len(tokens)))
+    y = np.array([d[1] for d in kept], np.float32)
+    owner, flat = np.repeat(np.arange(len(docs)), list(map(len, docs))), np.concatenate(docs)
+    rate = float(y.mean())
+    texts_with = np.bincount(flat, minlength=len(number))
+    toxic_with = np.bincount(flat, weights=y[owner], minlength=len(number))
+    telling = np.abs(toxic_with - texts_with * rate) / np.sqrt(np.maximum(texts_with, 1))  # how far from chance
+    telling[texts_with < 3] = -1
+    names = list(number)
+    ranked = np.argsort(-telling, kind="stable")[: 4 * WORDS]
+    ranked = sorted((int(k) for k in ranked if telling[k] >= 0 and names[k] not in _GROUP_OF), key=lambda k: (-telling[k], names[k]))[:WORDS]
+    vocab = [names[k] for k in ranked] + sorted(_GROUP_OF)
     index = {w: k for k, w in enumerate(vocab)}
-    x = np.zeros((len(docs), len(vocab)), np.float32)
+    place = np.full(len(number), -1)
     for w, k in index.items():
-        x[seen.get(w, []), k] = 1
-    pairs = [(index[next(iter(a))], index[next(iter(b))]) for words, _ in docs for a, b in swapped(words)]
+        if w in number:
+            place[number[w]] = k
+    x = np.zeros((len(docs), len(vocab)), np.float32)
+    at = place[flat]
+    x[owner[at >= 0], at[at >= 0]] = 1
+    del docs, owner, flat, number
+    pairs = [(index[a], index[b]) for a, b in swaps]
     out_, in_ = (np.array(c, int) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
     w, b = np.zeros(len(vocab), np.float32), float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     ahead, t = w, 1.0
@@ -101,9 +111,9 @@ def fit(rows: list[tuple[str, int]], sparsity: float = 0.002, fairness: float =
     for _ in range(12):  # the largest curvature, for the step
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v) + 1e-9
-    step = 1 / (0.25 * float(v @ (x.T @ (x @ v))) / len(docs) + 4 * fairness * (len(pairs) > 0) + 0.05)
+    step = 1 / (0.25 * float(v @ (x.T @ (x @ v))) / len(y) + 4 * fairness * (len(pairs) > 0) + 0.05)
     for _ in range(steps):
-        miss = (1 / (1 + np.exp(-(x @ ahead + b))) - y) / len(docs)
+        miss = (1 / (1 + np.exp(-(x @ ahead + b))) - y) / len(y)
         grad = x.T @ miss
         if len(pairs):
             d = 2 * fairness / len(pairs) * (ahead[out_] - ahead[in_])
@@ -118,7 +128,7 @@ def fit(rows: list[tuple[str, int]], sparsity: float = 0.002, fairness: float =
     on = np.flatnonzero(w)
     z, chosen = w[on].astype(np.float64), np.ascontiguousarray(x[:, on])
     for _ in range(5 * steps):
-        miss = (1 / (1 + np.exp(-(chosen @ z + b))) - y) / len(docs)
+        miss = (1 / (1 + np.exp(-(chosen @ z + b))) - y) / len(y)
         g = chosen.T @ miss + 1e-3 * z
         if len(pairs):
             d = np.zeros(len(vocab))
