@@ -18,7 +18,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,7 +102,7 @@ def children(paths: np.ndarray, tokens: np.ndarray, chance: float) -> tuple[np.n
 
 SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("copy", T.BinaryType()), T.StructField("n", T.IntegerType()),
-    T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.BinaryType()),
+    T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("text_hash", T.LongType()),
 ])
 PATHS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("path", T.LongType())])
 
@@ -112,7 +112,7 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def sign(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, a digest of the shingle set, its size, its min-hashes, and their low bytes to estimate with."""
+    """doc_id, a digest of the shingle set, its size, its min-hashes, their low bytes to estimate with, and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -122,10 +122,10 @@ def sign(df: DataFrame, id_col: str, text: str) -> DataFrame:
                 tokens = [min_hashes(s) if len(s) else np.zeros(0, np.uint32) for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     column(part, "_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array([t.astype(np.uint8).tobytes() for t in tokens], pa.binary()),
+                    pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array([t.astype(np.uint8).tobytes() for t in tokens], pa.binary()), column(part, "_hash"),
                 ], names=SIGNED.names)
 
-    return df.select(df[id_col].cast("long").alias("_id"), df[text].alias("_text")).mapInArrow(run, SIGNED)
+    return df.select(df[id_col].cast("long").alias("_id"), df[text].alias("_text"), F.xxhash64(df[text]).alias("_hash")).mapInArrow(run, SIGNED)
 
 
 def _tokens(col: pa.Array, kind=np.uint32) -> np.ndarray:
@@ -239,50 +239,59 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: Fraction
     return c * threshold.denominator >= union * threshold.numerator
 
 
+def _place(doc_id: Column, text_hash: Column) -> list[Column]:
+    """Where a text is found again: id (rows without one share 0) and hash, so that rows without an id don't meet in one key."""
+    return [F.coalesce(doc_id, F.lit(0).cast("long")).alias("_id"), text_hash.alias("_hash")]
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, copy_id, kept.
+    """One row per document: doc_id, class_id, n_links, copy_id, text_hash, kept.
 
     n_links counts the other documents whose sets of five-word shingles have a Jaccard similarity of at
     least the threshold; class_id is the smallest doc_id reachable by links, copy_id the smallest doc_id with
-    the same shingle set, kept whether the document is its class's smallest. Words are the runs between
+    the same shingle set, text_hash the text's xxhash64, kept whether the document is its class's smallest
+    (of several texts under that id, the one with the smallest text_hash). Words are the runs between
     white space, as they are. A text of one to four words is one shingle; null texts and texts with no word
-    have none and link with nothing. Texts are used whole. Repeated ids are rows of their own; an empty
+    have none and link with nothing. Texts are used whole. Rows without an id link as others do, but come
+    last in their class; one that has no id at all has a null class_id and keeps its smallest text_hash.
+    Repeated ids are rows of their own, alike in all columns if the texts are equal; an empty
     table gives an empty result; other columns are ignored. A link is verified on whole sets: none is
     below the threshold, and one at it is missed with a chance of at most 1 - recall.
     """
     signed = materialize(sign(df, id_col, text))
     some = signed.where("n > 0")
     reps = materialize(
-        some.groupBy("copy").agg(F.min(F.struct("doc_id", "n", "tokens", "sketch")).alias("r"), F.count("*").alias("weight"))
-        .select("copy", F.xxhash64("copy").alias("rep"), "weight", "r.doc_id", "r.n", "r.tokens", "r.sketch")
+        some.groupBy("copy").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash", "n", "tokens", "sketch")).alias("r"), F.count("*").alias("weight"))
+        .select("copy", F.xxhash64("copy").alias("rep"), "weight", "r.doc_id", "r.text_hash", "r.n", "r.tokens", "r.sketch")
     )
     cand = materialize(candidate_groups(reps, threshold, recall).select(F.col("node").alias("rep"), F.col("component").alias("grp")))
-    in_group = reps.select("rep", "copy", "doc_id", "n", "weight").join(cand, "rep")
+    in_group = reps.select("rep", "copy", *_place(F.col("doc_id"), F.col("text_hash")), "n", "weight").join(cand, "rep")
     per = in_group.groupBy("grp").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")
     )
-    placed = materialize(in_group.join(per, "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).select("rep", "copy", "doc_id", "weight", "grp", "nb", "b"))
-    whole = df.select(df[id_col].cast("long").alias("doc_id"), df[text].alias("_text"))
+    placed = materialize(in_group.join(per, "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).select("rep", "copy", "_id", "_hash", "weight", "grp", "nb", "b"))
+    whole = df.select(*_place(df[id_col].cast("long"), F.xxhash64(df[text])), df[text].alias("_text"))
     sets = T.StructType([
         T.StructField("grp", T.LongType()), T.StructField("bi", T.IntegerType()), T.StructField("bj", T.IntegerType()), T.StructField("b", T.IntegerType()),
         T.StructField("rep", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("set", T.BinaryType()),
     ])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingle, seen = Shingler(), set()  # a set goes on once, however often its row is repeated
         for batch in batches:
             for part, values in texts(batch, "_text", 64):
                 out = {n: [] for n in sets.names}
                 for copy, grp, nb, b, rep, weight, t in zip(*(column(part, c).to_pylist() for c in ("copy", "grp", "nb", "b", "rep", "weight")), values, strict=True):
-                    if digest(s := shingle(t)) != copy:
-                        continue  # another text under the same id
+                    if rep in seen or digest(s := shingle(t)) != copy:
+                        continue  # or another text under the same id
+                    seen.add(rep)
                     s = s.tobytes()
                     for o in range(nb):
                         for k, v in zip(sets.names, (grp, min(b, o), max(b, o), b, rep, weight, s), strict=True):
                             out[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], t) for f, t in zip(sets, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=sets.names)
 
-    rows = whole.join(placed.hint("merge"), "doc_id").mapInArrow(resolve, sets).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
+    rows = whole.join(placed.hint("merge"), ["_id", "_hash"]).mapInArrow(resolve, sets).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
     found = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +320,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     links = materialize(rows.mapInArrow(verify, found))
     comp = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("n").alias("links"))
-    joined = reps.select("copy", "rep", "weight", "doc_id").join(counted, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    joined = reps.select("copy", "rep", "weight", "doc_id", "text_hash").join(counted, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     joined = joined.withColumn("component", F.coalesce("component", "rep"))
-    smallest = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    info = joined.join(smallest, "component").select("copy", F.col("doc_id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "class_id")
-    out = some.select("doc_id", "copy").join(info, "copy").select("doc_id", "class_id", "n_links", "copy_id")
-    none = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"))
-    return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    smallest = joined.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")).alias("c"))
+    info = joined.join(smallest, "component").select(
+        "copy", F.col("doc_id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("c.doc_id").alias("class_id"), F.col("c.text_hash").alias("class_hash"),
+    )
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
+    out = some.select("doc_id", "copy", "text_hash").join(info, "copy").select("doc_id", "class_id", "n_links", "copy_id", "text_hash", kept.alias("kept"))
+    none = signed.where("n = 0").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), "text_hash", F.lit(True).alias("kept")
+    )
+    return out.unionByName(none)

@@ -97,6 +97,15 @@ def test_jaccard_links(spark, monkeypatch):
     assert got == [(1, 2, 1), (1, 2, 1), (2, 0, 2), (2, 2, 1)]
 
 
+def test_jaccard_of_rows_without_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (7, base + " tail"), (9, base), (None, "some other text"), (None, "some other text"), (None, None), (7, base + "  tail")]
+    got = [(r["doc_id"], r["n_links"], r["class_id"], r["kept"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    of = lambda i: sorted((r[1:] for r in got if r[0] == i), key=str)
+    assert of(9) == [(3, 7, False)] and of(7) == [(3, 7, False), (3, 7, True)]
+    assert of(None) == [(0, None, True), (1, None, True), (1, None, True), (3, 7, False)]
+
+
 def test_jaccard_on_the_documents(spark):
     df = spark.read.parquet(f"{ORACLE}/documents.parquet").where("length(text) < 6000")
     rows = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
