@@ -47,3 +47,11 @@ def test_nulls_pass(spark):
         assert f(spark, both, SMALL).count() >= 30
         assert f(spark, both.limit(0), SMALL).count() == 0
     assert secret_scan.KINDS[:3] == ["assign", "access", "hex"]
+
+
+def test_repeated_rows_and_rows_without_an_id_stay_once(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "other text here it is now"), (None, "words of no id at all"), (None, "words of no id at all"), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
