@@ -36,9 +36,18 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near duplicates."""
-    kept = materialize(jaccard_join.near_duplicates(docs).where("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document, the one with the smallest id, of each group of near duplicates.
+
+    Rows are told apart by id and text. Rows equal in both are one document and stay once.
+    """
+    judged = jaccard_join.near_duplicates(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept").agg(F.count("*").alias("_rows"))
+    other = materialize(judged.where("not kept or _rows > 1"))
+    same = docs["doc_id"].cast("long").eqNullSafe(other["_id"]) & (F.xxhash64(docs["text"]) == other["_hash"])
+    single = docs.join(other, same, "left_anti")
+    if other.where("kept").isEmpty():
+        return single.select(*docs.columns)
+    repeated = docs.join(other.where("kept"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
