@@ -88,6 +88,24 @@ def test_licenses(spark, docs):
         assert sorted((r[0], r[1], r[2] or "") for r in got) == sorted((i, _licenses(t)[0], _licenses(t)[1] or "") for i, t in text)
 
 
+LINES = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+
+
+def test_every_licence_line_of_the_documents_is_found(spark):
+    docs = spark.read.parquet(f"{ORACLE}/documents.parquet")
+    want = {r["doc_id"]: LINES[line] for r in docs.collect() for line in (r["text"] or "").split("\n") if "licen" in line.lower()}
+    assert set(want.values()) == set(LINES.values())
+    got = license_scan.scan_licenses(docs).where("best_license is not null").collect()
+    assert {r["doc_id"]: r["best_license"] for r in got} == want
+
+
+def test_variants_are_told_apart(spark):
+    short = [f"CC-{v}-4.0" for v in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")]
+    own = [(v, f"Licensed under {v[:3].replace('-', ' ')}{v[3:-4]} 4.0.") for v in short] + [(name, t) for name, t in license_scan.TEMPLATES if name in ("BSD-2-Clause", "BSD-3-Clause") or name in short]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(own)], "doc_id long, text string")
+    assert [r["best_license"] for r in license_scan.scan_licenses(docs).orderBy("doc_id").collect()] == [n for n, _ in own]
+
+
 def test_size_bounds_lose_nothing():
     for size in (3, 8, 40):
         low, high = license_scan.bounds(size, 0.8)
