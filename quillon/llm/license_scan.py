@@ -1,7 +1,7 @@
 """License notices in texts: word-bigram Dice coefficients against templates.
 
-A text's lines, runs of lines and the text as a whole are normalised and compared with each template. The
-numbers of bigrams alone bound the coefficient, so most templates are ruled out by size. Built-in functions only.
+All windows of a text's normalised words are compared with each template, wherever its lines break. A text
+without enough of a template's bigrams is ruled out as a whole. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ TEMPLATES = [
 
 #: The coefficient from which a passage counts as the notice.
 THRESHOLD = 0.8
-#: Besides single lines and the whole text, passages are runs of so many lines.
+#: Runs of so many lines, single lines and the whole text are windows that the tests compare with.
 RUNS = (2, 4, 8)
 
 
@@ -99,52 +99,92 @@ def _words(t: Column) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def _bigrams(w: Column) -> Column:
-    return F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))))).otherwise(
-        F.array().cast("array<string>")
-    )
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often a lambda in f refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _neighbours(b: Column) -> Column:
+    """For each bigram of a text: its position, the bigram, and where it stands next before (or -1) and after (or the end)."""
+    placed = lambda n: F.array_sort(F.transform(_upto(n), lambda i: F.struct(F.get(b, i).alias("g"), i.alias("at"))))
+
+    def one(o: Column, x: Column, n: Column) -> Column:
+        here, before, after = F.get(o, x), F.get(o, x - 1), F.get(o, x + 1)
+        return F.struct(here["at"].alias("at"), here["g"].alias("g"), F.when(before["g"] == here["g"], before["at"]).otherwise(-1).alias("prev"), F.when(after["g"] == here["g"], after["at"]).otherwise(n).alias("next"))
+
+    return _let(F.size(b), lambda n: _let(placed(n), lambda o: F.array_sort(F.transform(_upto(n), lambda x: one(o, x, n)))))
+
+
+def _windows(b: Column, near: Column, t: Column, threshold: float) -> Column:
+    """The best window of words from each start against the template t, where it reaches the threshold.
+
+    Some best window starts with a bigram of the template that it holds only once: else the window without
+    it is as good. So windows end before their first bigram's next place. Those of more distinct bigrams than
+    the template's upper bound can't reach the threshold, so 4 * high + 1 places suffice where these hold more.
+    """
+    marked = F.transform(near, lambda e: F.struct(e["at"].alias("at"), e["prev"].alias("prev"), e["next"].alias("next"), F.array_contains(t["g"], e["g"]).alias("hit")))
+
+    def best(a: Column, e: Column) -> Column:
+        reach, far = e["next"] - e["at"], 4 * t["high"] + 1
+        length = F.when(reach <= far, reach).when(F.size(F.array_distinct(F.slice(b, e["at"] + 1, far))) > t["high"], far).otherwise(reach)
+
+        def step(s: Column, x: Column) -> Column:
+            new = x["prev"] < e["at"]
+            n, same = s["n"] + F.when(new, 1).otherwise(0), s["same"] + F.when(new & x["hit"], 1).otherwise(0)
+            d = 2 * same / (n + t["size"])
+            better = d > s["d"]
+            pick = lambda c, name: F.when(better, c).otherwise(s[name]).alias(name)
+            return F.struct(n.alias("n"), same.alias("same"), pick(d, "d"), pick(3 * same - n - t["size"], "score"), pick(x["at"], "end"))
+
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("same"), F.lit(0.0).alias("d"), F.lit(0).alias("score"), F.lit(-1).alias("end"))
+        found = F.aggregate(F.slice(a, e["at"] + 1, length), zero, step)
+        return _let(found, lambda f: F.struct((-f["score"]).alias("score"), (-f["d"]).alias("d"), t["name"].alias("name"), e["at"].alias("start"), f["end"].alias("end")))
+
+    return _let(marked, lambda a: F.filter(F.transform(F.filter(a, lambda e: e["hit"]), lambda e: best(a, e)), lambda w: -w["d"] >= threshold))
+
+
+def _places(windows: Column) -> Column:
+    """The windows with the highest scores that share no word with a higher one."""
+    none = F.filter(windows, lambda w: F.lit(False))
+    clash = lambda w, p: (p["start"] <= w["end"] + 1) & (w["start"] <= p["end"] + 1)
+    return F.aggregate(F.array_sort(windows), none, lambda got, w: F.when(F.exists(got, lambda p: clash(w, p)), got).otherwise(F.concat(got, F.array(w))))
 
 
 def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, licenses (sorted, distinct), best_license, best_dice, n_passages.
 
-    Passages are each line, each run of 2, 4 and 8 lines (every start), and the whole text. best_dice is the
-    greatest coefficient of any passage with any template if it reaches the threshold, else null;
-    ties go to the first licence in the alphabet. n_passages counts passages that reach it. Null and empty
+    Passages are all windows of consecutive words of the text, of every length, across line breaks. licenses
+    are those that some passage reaches the threshold with. Passages with a word in common are one place, which
+    goes to the passage and template with the most bigrams in common less those only one has (a BSD-3 notice
+    holds a whole BSD-2 notice). n_passages counts places; best_license and best_dice are those of the place with
+    the greatest coefficient, else null; ties go to the first licence in the alphabet. Null and empty
     texts have none; long texts are scanned whole, repeated rows give repeated results, an empty table an
     empty one, and other columns are ignored.
     """
     grams = [(name, sorted(bigrams(t))) for name, t in templates]
-    sizes = [bounds(len(g), threshold) for _, g in grams]
-    low, high = min(a for a, _ in sizes), max(b for _, b in sizes)
-    known = sorted({g for _, gs in grams for g in gs})
+    known = F.array(*[F.lit(g) for g in sorted({g for _, gs in grams for g in gs})])
+    each = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(bounds(len(gs), threshold)[0]).alias("low"), F.lit(bounds(len(gs), threshold)[1]).alias("high"), F.lit(len(gs)).alias("size"), F.array(*map(F.lit, gs)).alias("g"))
+        for name, gs in grams
+    ])
     doc = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text], F.lit("")).alias("t"))
     # most texts have none of the words without which no passage can reach the threshold
     doc = doc.withColumn("t", F.when(F.regexp_like(F.lower("t"), F.lit("|".join(anchors(templates, threshold)))), F.col("t")).otherwise(""))
-    lines = F.transform(F.filter(F.split("t", "\n"), lambda x: x.rlike("[A-Za-z0-9]")), _words)
-    doc = doc.withColumn("lw", lines).drop("t")
-    lw = F.col("lw")
-    runs = [
-        F.when(F.size(lw) > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size(lw) - k, F.lit(0))), lambda i, k=k: F.flatten(F.slice(lw, i + 1, k)))).otherwise(F.array().cast("array<array<string>>"))
-        for k in RUNS
-    ]
-    fits = lambda w: (F.size(w) > low) & (F.size(w) <= 4 * high + 1)
-    # a passage of n words has at most n - 1 bigrams; how few it has is seen once they are made
-    passages = F.filter(F.concat(lw, *runs, F.array(F.flatten(lw))), fits)
-    doc = doc.withColumn("g", F.transform(passages, _bigrams)).drop("lw")
-    doc = doc.withColumn("g", F.filter("g", lambda g: F.size(g).between(low, high) & (2 * F.size(F.array_intersect(g, F.array(*map(F.lit, known)))) >= threshold * F.size(g))))
-
-    def against(g: Column) -> Column:
-        each = [
-            F.when(F.size(g).between(a, b), F.struct((-2 * F.size(F.array_intersect(g, F.array(*map(F.lit, gs)))) / (F.size(g) + len(gs))).alias("d"), F.lit(name).alias("name")))
-            for (name, gs), (a, b) in zip(grams, sizes, strict=True)
-        ]
-        return F.filter(F.array_compact(F.array(*each)), lambda m: -m["d"] >= threshold)
-
-    doc = doc.withColumn("m", F.when(F.size("g") > 0, F.filter(F.transform("g", against), lambda m: F.size(m) > 0)).otherwise(F.array().cast("array<array<struct<d:double,name:string>>>")))
-    flat = F.flatten("m")
-    best = F.array_min(flat)
+    pairs = lambda w: F.transform(_upto(F.size(w) - 1), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))
+    doc = doc.withColumn("b", _let(_words(F.col("t")), pairs)).drop("t")
+    # a text that lacks too many of a template's bigrams has no passage that reaches the threshold
+    enough = lambda d: F.filter(each, lambda t: (F.size(d) >= t["low"]) & (F.size(F.array_intersect(d, t["g"])) >= t["low"]))
+    doc = doc.withColumn("c", _let(F.array_intersect("b", known), enough))
+    b = F.col("b")
+    search = _let(_neighbours(b), lambda near: F.flatten(F.transform("c", lambda t: _windows(b, near, t, threshold))))
+    doc = doc.withColumn("w", F.when(F.size("c") > 0, search).otherwise(F.array().cast("array<struct<score:int,d:double,name:string,start:int,end:int>>"))).drop("b", "c")
+    doc = doc.withColumn("p", _places(F.col("w")))
+    best = F.array_min(F.transform("p", lambda p: F.struct(p["d"].alias("d"), p["name"].alias("name"))))
     return doc.select(
-        "doc_id", F.array_sort(F.array_distinct(F.transform(flat, lambda m: m["name"]))).alias("licenses"),
-        best["name"].alias("best_license"), (-best["d"]).alias("best_dice"), F.size("m").cast("long").alias("n_passages"),
+        "doc_id", F.array_sort(F.array_distinct(F.transform("w", lambda w: w["name"]))).alias("licenses"),
+        best["name"].alias("best_license"), (-best["d"]).alias("best_dice"), F.size("p").cast("long").alias("n_passages"),
     )

@@ -1,4 +1,5 @@
 import math
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,34 @@ def test_variants_are_told_apart(spark):
     assert [r["best_license"] for r in license_scan.scan_licenses(docs).orderBy("doc_id").collect()] == [n for n, _ in own]
 
 
+def _any_window(text):
+    w = license_scan.normal_words(text or "")
+    hits = set()
+    for name, t in license_scan.TEMPLATES:
+        b = license_scan.bigrams(t)
+        for i in range(len(w)):
+            seen = set()
+            for x, y in zip(w[i:], w[i + 1 :]):  # noqa: B905
+                seen.add(f"{x} {y}")
+                if license_scan.dice(seen, b) >= license_scan.THRESHOLD:
+                    hits.add(name)
+    return sorted(hits)
+
+
+def test_notices_are_found_wherever_lines_break(spark):
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 500)
+    bsd = {n: t for n, t in license_scan.TEMPLATES if n.startswith("BSD") and len(t) > 300}
+    other = "\n".join(f"value{k} = compute{k}(input{k}, other{k})" for k in range(30))
+    texts = [f"{other}\n" + "\n".join(textwrap.wrap(mit, n)) + f"\n{other}" for n in (80, 76, 72, 70, 60, 30)]
+    texts += [other.replace("\n", " ") + " Released under the MIT License. See the file for more of what applies " + other.replace("\n", " "), f"{mit} {mit}\n{mit}"]
+    texts += [bsd["BSD-3-Clause"].replace("the copyright holder nor", "Acme Widgets nor") + " THIS SOFTWARE IS PROVIDED BY", bsd["BSD-2-Clause"] + " THIS SOFTWARE IS PROVIDED BY", f"{mit[:500]} {'again and again ' * 400} {mit[500:]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan.scan_licenses(docs).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in rows] == [_any_window(t) for t in texts]
+    assert [r["best_license"] for r in rows] == ["MIT"] * 8 + ["BSD-3-Clause", "BSD-2-Clause", "MIT"]
+    assert [r["n_passages"] for r in rows] == [1] * 7 + [3, 1, 1, 1]
+
+
 def test_size_bounds_lose_nothing():
     for size in (3, 8, 40):
         low, high = license_scan.bounds(size, 0.8)
