@@ -4,7 +4,8 @@ Each signal has a grid of cutoffs, fixed beforehand. On labelled good documents,
 are a binomial count; the exact tail P(Bin(n, risk) <= k) tests "it rejects more than `risk` of the good".
 In each stratum, cutoffs are tested from the most lenient on and the first that fails ends the sequence
 (fixed-sequence testing needs no correction within a grid); strata and signals share the error level by
-Bonferroni, and signals share the risk, so that all rules together keep within it.
+Bonferroni, and signals share the risk, so that all rules together keep within it. Strata with too few good
+documents share one pool, whose guarantee is on the good documents of the pool as a whole.
 """
 
 from __future__ import annotations
@@ -104,22 +105,46 @@ def certify(n: int, rejected: list[int], risk: float, level: float) -> int:
     return len(rejected)
 
 
+def grouping(sizes: dict[str, int], risk: float, error: float) -> tuple[list[str], list[str], list[str], float]:
+    """Strata certified alone, strata that use the pool, strata the pool is measured on, and the level of a test.
+
+    Only the numbers of good documents decide. A stratum stands alone if some cutoff could be certified on it.
+    Where the others are too few even together, the smallest of those that stand alone are measured with them.
+    """
+    order = sorted(sizes, key=lambda z: (-sizes[z], z))
+    enough = lambda n, level: certify(n, [0], risk / len(GRIDS), level) == 1
+    for own in range(len(order), -1, -1):
+        level = error / (max(1, own + (own < len(order))) * len(GRIDS))
+        if all(enough(sizes[z], level) for z in order[:own]):
+            break
+    measured = order[own:]
+    for z in reversed(order[:own]):
+        if not measured or enough(sum(sizes[y] for y in measured), level):
+            break
+        measured = [z, *measured]
+    return order[:own], order[own:], measured, level
+
+
 def cutoffs(measured: DataFrame, good: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, float]]:
     """Certified cutoff of each signal in each stratum; a signal without one is left out.
 
     good: doc_ids labelled good. All of them count, equal texts once, since copies are no independent trials;
-    those that fail the base rules don't. One row of counts for each stratum reaches the driver.
+    those that fail the base rules don't. One row of counts for each stratum reaches the driver. A stratum
+    takes the pool's cutoff no further than its own good documents bear it out, so that a rare language
+    unlike the others isn't rejected for it.
     """
-    holdout = measured.where(~base_failed()).join(good.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["stratum", "text_key"])
+    labelled = measured.where(~base_failed()).join(good.select("doc_id").distinct(), "doc_id", "left_semi")
     hits = [F.sum((F.col(s) > c).cast("long")).alias(f"{s}_{i}") for s, grid in GRIDS.items() for i, c in enumerate(grid)]
-    rows = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *hits).collect()
-    level = error / max(1, len(rows) * len(GRIDS))
-    out: dict[str, dict[str, float]] = {}
-    for r in sorted(rows, key=lambda r: r["stratum"]):
-        for s, grid in GRIDS.items():
-            if m := certify(r["n"], [r[f"{s}_{i}"] for i in range(len(grid))], risk / len(GRIDS), level):
-                out.setdefault(r["stratum"], {})[s] = grid[m - 1]
-    return out
+    rows = {r["stratum"]: r for r in labelled.dropDuplicates(["stratum", "text_key"]).groupBy("stratum").agg(F.count("*").alias("n"), *hits).collect()}
+    alone, pooled, of, level = grouping({z: r["n"] for z, r in rows.items()}, risk, error)
+    share = risk / len(GRIDS)
+    counts = lambda r, s: [r[f"{s}_{i}"] or 0 for i in range(len(GRIDS[s]))]
+    sure = {z: {s: certify(rows[z]["n"], counts(rows[z], s), share, level) for s in GRIDS} for z in alone}
+    if pooled:
+        pool = rows[of[0]] if len(of) == 1 else labelled.where(F.col("stratum").isin(of)).dropDuplicates(["text_key"]).agg(F.count("*").alias("n"), *hits).first()
+        together = {s: certify(pool["n"], counts(pool, s), share, level) for s in GRIDS}
+        sure |= {z: {s: min(together[s], certify(rows[z]["n"], counts(rows[z], s), share, 1.0)) for s in GRIDS} for z in pooled}
+    return {z: found for z in sorted(sure) if (found := {s: GRIDS[s][m - 1] for s, m in sure[z].items() if m})}
 
 
 def apply_cutoffs(measured: DataFrame, found: dict[str, dict[str, float]]) -> DataFrame:
@@ -136,8 +161,8 @@ def quality_rules(df: DataFrame, labels: DataFrame, stratum: str | None = "lang"
     """Counts, signals and verdict of every document.
 
     labels: doc_id, quality (1: good; other values and nulls are not used). Null strata are one stratum,
-    "und"; strata without enough labelled documents to certify anything have the base rules alone. Null and
-    empty texts fail the base rules. Repeated rows give repeated results; empty tables an empty one.
+    "und"; strata without a good document, and all where even the pool has too few to certify anything, have
+    the base rules alone. Null and empty texts fail the base rules. Repeated rows give repeated results; empty tables an empty one.
     """
     measured = materialize(features(df, stratum=stratum))
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))

@@ -52,6 +52,25 @@ def test_rules_reject_bad_and_keep_good(spark):
     assert all(r["kept"] for r in out if r["doc_id"] < 3000) and not any(r["kept"] for r in out if r["doc_id"] >= 3000)
 
 
+def test_small_strata_share_a_pool(spark):
+    langs = ["en"] * 2600 + ["de"] * 700 + ["fr"] * 600 + ["zz"] * 3
+    ends = {"zz": "***"}  # a rare language in which the signal is ordinary
+    good = [(i, " ".join(f"word{i * 31 + k * k}{ends.get(lang, '')}" for k in range(40)), lang) for i, lang in enumerate(langs)]
+    bad = [(i, " ".join(f"wo{i * 31 + k * k}***" for k in range(40)), "en de fr".split()[i % 3]) for i in range(9000, 9060)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(langs))], "doc_id long, quality int")
+    out = quality_rules.quality_rules(docs, labels, risk=0.02).collect()
+    assert all(r["kept"] for r in out if r["doc_id"] < 9000) and not any(r["kept"] for r in out if r["doc_id"] >= 9000)
+
+
+def test_grouping():
+    group = lambda **sizes: quality_rules.grouping(sizes, 0.02, 0.05)[:3]
+    assert group(en=5000, de=4000) == (["en", "de"], [], [])
+    assert group(en=1923, de=476, fr=473, es=301) == (["en"], ["de", "fr", "es"], ["en", "de", "fr", "es"])
+    assert group(en=9000, de=1000, fr=900) == (["en"], ["de", "fr"], ["de", "fr"])
+    assert group(en=10) == ([], ["en"], ["en"]) and group() == ([], [], [])
+
+
 def test_base_secrets(spark, docs):
     model = secret_scan.learn(docs)
     for frame in (docs, spark.read.parquet(f"{ORACLE}/documents.parquet")):
