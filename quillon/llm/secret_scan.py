@@ -26,6 +26,9 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio per character from which a token is taken for random.
 CUTOFF = 0.7
+#: The same for tokens without a digit, as names in capitals are unlike the training words too; and their least
+#: number of different characters, as the models take a ruled line for random.
+LETTERS_CUTOFF, LETTERS_VARIETY = 2.0, 6
 #: The most labelled rows of each class that the models are trained on (the bound of the sample).
 SAMPLE = 5000
 
@@ -117,9 +120,10 @@ def ratio(token: Column, model: Column) -> Column:
 def find_secrets(df: DataFrame, model: list[float], id_col: str = "doc_id", text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """All columns of df plus base_spans and spans: array<struct<start, kind, end, found>>, by start, then kind.
 
-    Base spans are kept whatever the models say; the models add tokens that overlap none of them. Null texts
-    count as empty and have no spans; very long texts are scanned whole; repeated rows give repeated results;
-    an empty table an empty one. Columns named base_spans or spans are replaced.
+    Base spans are kept whatever the models say; the models add tokens that no base span holds whole, so that
+    the rest of a longer secret is covered too. Tokens without a digit need a higher ratio. Null texts count as
+    empty and have no spans; very long texts are scanned whole; repeated rows give repeated results; an empty
+    table an empty one. Columns named base_spans or spans are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.drop("base_spans", "spans").withColumn(
@@ -127,9 +131,12 @@ def find_secrets(df: DataFrame, model: list[float], id_col: str = "doc_id", text
     )
     base = F.col("base_spans")
     llr = F.array(*(F.lit(v) for v in model))
+    digit = lambda s: s["found"].rlike("[0-9]")
+    varied = lambda s: F.size(F.array_distinct(F.array_remove(F.split(s["found"], ""), ""))) >= LETTERS_VARIETY
     more = F.filter(
         spans_of(t, TOKEN, 3),
-        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & s["found"].rlike("[0-9]") & (ratio(s["found"], llr) > cutoff),
+        lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])) & (digit(s) | varied(s))
+        & (ratio(s["found"], llr) > F.when(digit(s), F.lit(cutoff)).otherwise(F.lit(max(cutoff, LETTERS_CUTOFF)))),
     )
     return out.withColumn("spans", F.array_sort(F.concat("base_spans", more)))
 
