@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,6 +36,12 @@ def usable(x: np.ndarray) -> np.ndarray:
     return np.isfinite(norm) & (norm > 0)
 
 
+@functools.lru_cache(maxsize=4)
+def planes(seed: int, width: int, columns: int) -> np.ndarray:
+    """The hyperplanes for vectors of a width, drawn anew on each worker."""
+    return np.random.default_rng(seed).standard_normal((width, columns))
+
+
 def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision, and which rows of the column they are."""
     col = col.cast(pa.list_(pa.float64()))
@@ -53,61 +60,58 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Links are the pairs found with cosine >= threshold in double precision; never one below it. Vectors
-    that are null, empty, zero, hold null or non-finite components, or have another width than most link
-    with nothing. Equal vectors are compared once and count as many links as there are. Repeated ids
+    that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
+    widths are hashed and compared each width by itself. Equal vectors are compared once and count as many links as there are. Repeated ids
     count as rows of their own for links and share a component. An empty table gives an empty result.
     Other columns are ignored. Each table's buckets are compared in blocks of bounded size; a pair counts in
     the first table that has it in one bucket, so counts need no list of pairs.
     """
-    spark = df.sparkSession
     base = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].cast("array<double>").alias("v"))
-    widths = base.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     ids = base.select("vec_id")
-    if widths is None:
+    if base.where("v is not null and size(v) > 0").isEmpty():
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = int(widths["w"])
     good = base.where(
-        (F.size("v") == width) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     members = good.select("vec_id", F.sha2(F.to_json("v").cast("binary"), 256).alias("copy"), "v")
     reps = materialize(members.groupBy("copy").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.any_value("v").alias("v")))
     tables, bits = tables_and_bits(reps.count(), threshold)
-    planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
-    shared = spark.sparkContext.broadcast(planes)  # fixed by width and the logarithm of the row count
 
     keyed = T.StructType([
-        T.StructField("rep", T.LongType()), T.StructField("tab", T.IntegerType()), T.StructField("key", T.LongType()),
+        T.StructField("rep", T.LongType()), T.StructField("tab", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("key", T.LongType()),
     ])
 
     def keys(x: np.ndarray) -> np.ndarray:
-        on = (x @ shared.value > 0).reshape(len(x), tables, bits)
+        on = (x @ planes(seed, x.shape[1], tables * bits) > 0).reshape(len(x), tables, bits)
         return on @ (1 << np.arange(bits, dtype=np.int64))
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, at = _matrix(column(batch, "v"), width)
-            rep = column(batch, "rep").to_numpy()[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(rep, tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rep))), pa.array(keys(x).reshape(-1))], names=keyed.names
-            )
+            for width in np.unique(np.diff(column(batch, "v").offsets.to_numpy())):
+                x, at = _matrix(column(batch, "v"), int(width))
+                rep = column(batch, "rep").to_numpy()[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(rep, tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rep))), pa.array(np.full(len(rep) * tables, width, np.int32)), pa.array(keys(x).reshape(-1))],
+                    names=keyed.names,
+                )
 
     hashed = materialize(reps.select("rep", "v").mapInArrow(hash_rows, keyed))
-    full = hashed.groupBy("tab", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    full = hashed.groupBy("tab", "width", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     placed = (
-        hashed.join(full, ["tab", "key"])
+        hashed.join(full, ["tab", "width", "key"])
         .withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("rep", "tab", "key", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b")
+        .select("rep", "tab", "width", "key", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b")
         .join(reps.select("rep", "weight", "v"), "rep")
-        .repartition("tab", "key", "bi", "bj").sortWithinPartitions("tab", "key", "bi", "bj")
+        .repartition("tab", "width", "key", "bi", "bj").sortWithinPartitions("tab", "width", "key", "bi", "bj")
     )
     found = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["tab", "key", "bi", "bj"]):
+        for g in groups(batches, ["tab", "width", "key", "bi", "bj"]):
             rep, weight, b = (g.column(c).to_numpy() for c in ("rep", "weight", "b"))
+            tab, width, bi, bj = (g.column(c)[0].as_py() for c in ("tab", "width", "bi", "bj"))
             x, _ = _matrix(g.column("v").combine_chunks(), width)
-            tab, bi, bj = (g.column(c)[0].as_py() for c in ("tab", "bi", "bj"))
             near = x @ x.T >= threshold
             np.fill_diagonal(near, False)
             if bi != bj:  # pairs within a block belong to the group of that block alone
@@ -137,6 +141,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     )
     linked = members.select("vec_id", "copy").join(info, "copy").select("vec_id", "n_links", "component_id")
     bad = base.where(
-        F.col("v").isNull() | (F.size("v") != width) | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("v", lambda x: F.coalesce(x, F.lit(0.0)) == 0)
+        F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("v", lambda x: F.coalesce(x, F.lit(0.0)) == 0)
     ).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(bad).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -53,6 +53,20 @@ def test_embedding_links(spark, monkeypatch):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_within_each_width(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for w, n in ((8, 30), (5, 12), (3, 4)):
+        b = rng.standard_normal((n, w))
+        rows += [(len(rows) + k, v.tolist()) for k, v in enumerate(np.concatenate([b, b, b + rng.standard_normal((n, w)) * 0.1]))]
+    by_width = [[(i, v) for i, v in rows if len(v) == w] for w in (8, 5, 3)]
+    links = [x for part in by_width for x in brute.vector_links(part)]
+    assert all(any(a == i for i, _ in part for a, _ in links) for part in by_width)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == _counts(rows, links, [i for i, _ in rows])
+
+
 def test_embedding_recall(spark):
     df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(3000)
     rows = [(r[0], r[1]) for r in df.select("vec_id", "embedding").collect()]
