@@ -198,10 +198,11 @@ def meet(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join every two rows whose estimate is at least `least`, directly or through others.
 
     Rows that fit the same row are joined by it already, so only rows that fitted none become the next to be
-    compared with all: one pass for a bucket of like sets, a pass for each row at worst.
+    compared with all: one pass for a bucket of like sets, a pass for each row at worst. Rows that weren't
+    compared with all are then compared with those of groups that nothing has joined to theirs.
     """
     n = len(sketch)
-    alone = np.ones(n, bool)
+    alone, met = np.ones(n, bool), np.zeros(n, bool)
     a, b = [], []
     for i in range(n):
         if not alone[i]:
@@ -211,6 +212,19 @@ def meet(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         fit = fit[fit != i]
         a.append(np.full(len(fit), i))
         b.append(fit)
+        met[i] = True
+    rest = np.flatnonzero(~met)
+    if len(rest) > 1:
+        root = np.asarray(local_roots(n, np.concatenate(a), np.concatenate(b)))[rest]
+        for k, i in enumerate(rest):
+            other = np.flatnonzero(root != root[k])
+            if not len(other):
+                break
+            fit = other[(sketch[rest[other]] == sketch[i]).mean(1) >= least]
+            if len(fit):
+                a.append(np.full(len(fit), i))
+                b.append(rest[fit])
+                root[np.isin(root, root[fit])] = root[k]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 

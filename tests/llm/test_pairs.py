@@ -67,6 +67,23 @@ def test_embedding_links_within_each_width(spark):
     assert got == _counts(rows, links, [i for i, _ in rows])
 
 
+def test_families_bridged_by_a_single_pair_meet():
+    row = lambda *k: [int(i in k) for i in range(10)]
+    for sketch in ([row(), row(0, 1, 2, 3), row(0), row(0, 1)], [row(), row(0, 1, 2, 3, 4), row(0, 1), row(2, 3, 4, 5, 6), row(0, 1, 2)]):
+        x = np.array(sketch, np.uint8)
+        for least in (0.9, 0.8, 0.7):
+            fits = [(i, j) for i in range(len(x)) for j in range(i) if (x[i] == x[j]).mean() >= least]
+            a, b = jaccard_join.meet(x, least)
+            assert brute.components(range(len(x)), zip(a.tolist(), b.tolist(), strict=True)) == brute.components(range(len(x)), fits)
+    rng = np.random.default_rng(4)
+    left = rng.integers(0, 256, 128)
+    right = np.where(np.arange(128) < 64, rng.integers(0, 256, 128), left)
+    mix = lambda v, w, k: np.where(np.arange(128) < k, w, v)
+    x = np.array([left, right, *[mix(left, right, 25)] * 300, *[np.where(np.arange(128) >= 50, right, mix(left, right, 25))] * 300], np.uint8)
+    a, b = jaccard_join.meet(x, 0.8)
+    assert len(set(brute.components(range(len(x)), zip(a.tolist(), b.tolist(), strict=True)).values())) == 1
+
+
 def test_embedding_recall(spark):
     df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(3000)
     rows = [(r[0], r[1]) for r in df.select("vec_id", "embedding").collect()]
