@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,16 @@ WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir, or the one set as the context's checkpoint folder.
+
+    Where neither is set, local mode gets one in the warehouse's place; a cluster gets an error, for executors
+    don't share the driver's disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quillon-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -27,21 +34,38 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
-    The files survive lost executors, and the reread table has column pruning and statistics.
+    The files survive lost executors, and the reread table has column pruning and statistics. A step that
+    is done with its own tables discards them; those that a result still reads go when the session ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillon/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(fs_path)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def lean():
+    """Gives memory back to the system at the end of a Python task, as workers are used again and again."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
 
 
 def fold(id_col: str, k: int):
@@ -73,24 +97,24 @@ def texts(batch: pa.RecordBatch, name: str = "text", step: int = 256) -> Iterato
         yield part, column(part, name).to_pylist()
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys in rows sorted by the keys; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def gathered(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys, in rows sorted by the keys, with where each run starts and the end.
+
+    A run may span batches; runs are bounded by their callers, so what is held over is too.
+    """
+    held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [column(batch, k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows - 1, bool)
-        for c in cols:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        change = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            c = t.column(k).to_numpy()
             change |= c[1:] != c[:-1]
-        starts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            key = tuple(c[a] for c in cols)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+        starts = np.r_[0, np.flatnonzero(change) + 1]
+        if len(starts) > 1:
+            yield t.slice(0, int(starts[-1])), starts
+        held = t.slice(int(starts[-1]))
+    if held is not None:
+        yield held, np.array([0, held.num_rows])

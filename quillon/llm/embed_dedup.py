@@ -1,4 +1,8 @@
-"""Near-duplicate vectors: random-hyperplane sign hashing in several tables, exact cosines, components."""
+"""Near-duplicate vectors: random-hyperplane sign hashing in several tables, exact cosines, components.
+
+Vectors of one bucket are compared by sketches of more signs; those that fit are verified by their exact
+cosine, block by block (see links).
+"""
 
 from __future__ import annotations
 
@@ -12,15 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import column, groups, materialize
-from quillon.llm.components import connected_components, local_roots
+from quillon.llm import links
+from quillon.llm.common import column, discard, lean, materialize
+from quillon.llm.components import connected_components
 
 #: Vectors that share a bucket by chance, on average; sets the bits of a table.
-BUCKET = 256
+BUCKET = 512
 #: Chance that a pair at exactly the threshold shares a bucket in some table; closer pairs are surer.
 RECALL = 0.995
-#: Rows of a block; a larger bucket is compared block by block.
-BLOCK = 1024
+#: Signs of a sketch, and the standard deviations above the mean that those of a pair at the threshold may differ in.
+SIGNS, DEVIATIONS = 256, 4.0
 
 
 def tables_and_bits(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
@@ -30,10 +35,10 @@ def tables_and_bits(n: int, threshold: float, recall: float = RECALL) -> tuple[i
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together))), bits
 
 
-def usable(x: np.ndarray) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        norm = np.sqrt((x * x).sum(1))
-    return np.isfinite(norm) & (norm > 0)
+def most_signs(threshold: float) -> int:
+    """Signs of the sketches that a pair at the threshold may differ in."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(SIGNS * p + DEVIATIONS * math.sqrt(SIGNS * p * (1 - p)))
 
 
 @functools.lru_cache(maxsize=4)
@@ -42,18 +47,28 @@ def planes(seed: int, width: int, columns: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((width, columns))
 
 
-def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows of the column they are."""
-    col = col.cast(pa.list_(pa.float64()))
-    sizes = np.diff(col.offsets.to_numpy())
-    valid = ~col.is_null().to_numpy(zero_copy_only=False) & (sizes == width)
-    at = np.flatnonzero(valid)
-    flat = col.values.to_numpy(zero_copy_only=False)  # null components come as NaN
-    x = flat[col.offsets.to_numpy()[at][:, None] + np.arange(width)] if len(at) else np.zeros((0, width))
-    scale = np.abs(x).max(1, keepdims=True, initial=0.0)
-    ok = np.isfinite(scale[:, 0]) & (scale[:, 0] > 0)
-    x, at = x[ok] / scale[ok], at[ok]
-    return x / np.sqrt((x * x).sum(1, keepdims=True)), at
+def unit_rows(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in double precision, and which rows of the column they are: those of the width."""
+    at, where = col.offsets.to_numpy(), np.flatnonzero(np.diff(col.offsets.to_numpy()) == width)
+    x = col.values.to_numpy(zero_copy_only=False).astype(np.float64)[at[where][:, None] + np.arange(width)]
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True)), where
+
+
+def widths(col: pa.Array) -> list[int]:
+    return np.unique(np.diff(col.offsets.to_numpy())).tolist()
+
+
+def similar(left: pa.Array, right: pa.Array | None, threshold: float) -> np.ndarray:
+    """Which pairs of vectors have a cosine of at least the threshold; right None: left with itself. Other widths never do."""
+    other = left if right is None else right
+    out = np.zeros((len(left), len(other)), bool)
+    for w in widths(left):
+        x, i = unit_rows(left, w)
+        y, j = (x, i) if right is None else unit_rows(right, w)
+        if len(i) and len(j):
+            out[np.ix_(i, j)] = x @ y.T >= threshold
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, seed: int = 7) -> DataFrame:
@@ -61,86 +76,52 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Links are the pairs found with cosine >= threshold in double precision; never one below it. Vectors
     that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
-    widths are hashed and compared each width by itself. Equal vectors are compared once and count as many links as there are. Repeated ids
-    count as rows of their own for links and share a component. An empty table gives an empty result.
-    Other columns are ignored. Each table's buckets are compared in blocks of bounded size; a pair counts in
-    the first table that has it in one bucket, so counts need no list of pairs.
+    widths are hashed and compared each width by itself. Equal vectors are compared once and count as many
+    links as there are. Rows that share an id, or have none, are rows of their own with links of their own;
+    component_id is the smallest id reachable, null if no row there has one, and kept whether a row has
+    the component's id (all rows of a component without any id are kept). Buckets are compared in parts of
+    bounded size whatever they hold. An empty table gives an empty result; other columns are ignored.
     """
-    base = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].cast("array<double>").alias("v"))
-    ids = base.select("vec_id")
-    if base.where("v is not null and size(v) > 0").isEmpty():
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = base.where(
-        (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    floats = isinstance(df.schema[vec_col].dataType.elementType, T.FloatType)
+    base = df.select(df[id_col].cast("long").alias("vec_id"), (df[vec_col] if floats else df[vec_col].cast("array<double>")).alias("v"))
+    v = F.col("v")
+    sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    members = base.where(sound).select("vec_id", F.xxhash64(v).alias("c1"), F.xxhash64(F.lit(1), v).alias("c2"), "v")
+    reps = materialize(
+        members.groupBy("c1", "c2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.any_value("v").alias("v"))
+        .select(F.xxhash64("c1", "c2").alias("rep"), "c1", "c2", "first_id", "weight", "v")
     )
-    members = good.select("vec_id", F.sha2(F.to_json("v").cast("binary"), 256).alias("copy"), "v")
-    reps = materialize(members.groupBy("copy").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.any_value("v").alias("v")))
     tables, bits = tables_and_bits(reps.count(), threshold)
-
-    keyed = T.StructType([
-        T.StructField("rep", T.LongType()), T.StructField("tab", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("key", T.LongType()),
-    ])
-
-    def keys(x: np.ndarray) -> np.ndarray:
-        on = (x @ planes(seed, x.shape[1], tables * bits) > 0).reshape(len(x), tables, bits)
-        return on @ (1 << np.arange(bits, dtype=np.int64))
+    keyed = T.StructType([T.StructField("rep", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for width in np.unique(np.diff(column(batch, "v").offsets.to_numpy())):
-                x, at = _matrix(column(batch, "v"), int(width))
-                rep = column(batch, "rep").to_numpy()[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(rep, tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rep))), pa.array(np.full(len(rep) * tables, width, np.int32)), pa.array(keys(x).reshape(-1))],
-                    names=keyed.names,
-                )
+        with lean():
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(at, 2048)
+                    col = column(batch, "v")
+                    for width in widths(col):
+                        x, where = unit_rows(col, width)
+                        on = x @ planes(seed, width, tables * bits + SIGNS) > 0
+                        keys = on[:, : tables * bits].reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                        sketch = np.packbits(on[:, tables * bits :], axis=1)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(((keys * 4096 + np.arange(tables)) * 65536 + width % 65536).reshape(-1)))
+                        yield pa.RecordBatch.from_arrays([pa.array(column(batch, "rep").to_numpy()[where]), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=keyed.names)
 
     hashed = materialize(reps.select("rep", "v").mapInArrow(hash_rows, keyed))
-    full = hashed.groupBy("tab", "width", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    placed = (
-        hashed.join(full, ["tab", "width", "key"])
-        .withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("rep", "tab", "width", "key", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b")
-        .join(reps.select("rep", "weight", "v"), "rep")
-        .repartition("tab", "width", "key", "bi", "bj").sortWithinPartitions("tab", "width", "key", "bi", "bj")
-    )
-    found = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["tab", "width", "key", "bi", "bj"]):
-            rep, weight, b = (g.column(c).to_numpy() for c in ("rep", "weight", "b"))
-            tab, width, bi, bj = (g.column(c)[0].as_py() for c in ("tab", "width", "bi", "bj"))
-            x, _ = _matrix(g.column("v").combine_chunks(), width)
-            near = x @ x.T >= threshold
-            np.fill_diagonal(near, False)
-            if bi != bj:  # pairs within a block belong to the group of that block alone
-                near &= b[:, None] != b[None, :]
-            if tab:
-                i, j = np.nonzero(near)
-                if len(i):
-                    k = keys(x)[:, :tab]
-                    seen = np.concatenate([(k[i[s : s + 65536]] == k[j[s : s + 65536]]).any(1) for s in range(0, len(i), 65536)])
-                    near[i[seen], j[seen]] = False
-            i, j = np.nonzero(near)
-            if len(i):
-                order = np.argsort(rep)
-                rank = np.empty(len(rep), np.int64)
-                rank[order] = np.arange(len(rep))
-                root = rep[order][local_roots(len(rep), rank[i], rank[j])][rank]
-                n = near @ weight
-                at = np.flatnonzero(near.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(n[at].astype(np.int64)), pa.array(root[at])], names=found.names)
-
-    links = materialize(placed.mapInArrow(compare, found))
-    comp = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("rep").agg(F.sum("n").alias("n"))
-    info = (
-        reps.select("copy", "rep", "weight").join(counted, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("copy", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    linked = members.select("vec_id", "copy").join(info, "copy").select("vec_id", "n_links", "component_id")
-    bad = base.where(
-        F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("v", lambda x: F.coalesce(x, F.lit(0.0)) == 0)
-    ).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(bad).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    large = materialize(hashed.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > links.BUCKET_ROWS))
+    placed = links.blocks_of(hashed.select("rep", "sketch", F.get("keys", F.lit(0)).alias("home"), F.lit(1).alias("size"), "keys"), keep=["keys"])
+    rows = placed.select("rep", "sketch", "block", F.explode("keys").alias("bucket"))
+    rows = rows.withColumn("m", F.lit(1).cast("long")) if large.isEmpty() else rows.join(large, "bucket", "left").withColumn("m", F.coalesce("m", F.lit(1).cast("long")))
+    pairs = materialize(links.noted(rows, most_signs(threshold)))
+    linked = links.counted(pairs, reps.select("rep", "weight", F.col("v").alias("payload")), lambda x, y: similar(x, y, threshold))
+    discard(hashed, large, pairs)
+    comp = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    counted = linked.groupBy("rep").agg(F.sum("n").alias("n"))
+    joined = reps.select("c1", "c2", "rep", "weight", "first_id").join(counted, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    joined = joined.withColumn("component", F.coalesce("component", "rep"))
+    smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    info = joined.join(smallest, "component").select("c1", "c2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    linked_rows = members.select("vec_id", "c1", "c2").join(info, ["c1", "c2"]).select("vec_id", "n_links", "component_id")
+    alone = base.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked_rows.unionByName(alone).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -3,8 +3,8 @@
 Sets of five-word shingles are represented by min-hash tokens. Every run sends each set down a few paths,
 by choosing tokens with a hash of the path so far; sets that share a chosen token go the same way. Buckets
 that are small end the recursion and are compared; larger ones split on another token. Runs repeat until a
-pair at the threshold meets with the target probability. What meets with a fitting estimate forms candidate
-groups, in which every pair is verified on whole shingle sets, block by block.
+pair at the threshold meets with the target probability. All pairs of a bucket are compared by sketches of
+bits; those that fit are verified on whole shingle sets, block by block (see links).
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import WORD_BREAKS, column, groups, materialize, texts
-from quillon.llm.components import connected_components, local_roots
+from quillon.llm import links
+from quillon.llm.common import WORD_BREAKS, column, discard, lean, materialize, texts
+from quillon.llm.components import connected_components
 
 #: Words of a shingle, min-hash tokens of a set, and the similarity of a link.
 WORDS, TOKENS, THRESHOLD = 5, 128, Fraction(4, 5)
@@ -31,8 +32,8 @@ WORDS, TOKENS, THRESHOLD = 5, 128, Fraction(4, 5)
 DEPTH, SMALL, RECALL = 3, 64, 0.995
 #: Sets meet as candidates if this many standard deviations of the estimate allow for the threshold.
 DEVIATIONS = 4.0
-#: A block of a candidate group: rows, and shingles.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Shingles of a block, on average.
+BLOCK_SHINGLES = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BREAK = re.compile(WORD_BREAKS)
 
@@ -55,7 +56,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         memo = self.memo
-        if len(memo) > 500_000:
+        if len(memo) > 100_000:
             memo.clear()
         h = np.array([memo.get(w) or memo.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], np.uint64)
         k = min(self.words, len(h))
@@ -101,8 +102,8 @@ def children(paths: np.ndarray, tokens: np.ndarray, chance: float) -> tuple[np.n
 
 
 SIGNED = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("copy", T.BinaryType()), T.StructField("n", T.IntegerType()),
-    T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("text_hash", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("copy", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.BinaryType()),
+    T.StructField("sketch", T.BinaryType()), T.StructField("home", T.LongType()), T.StructField("text_hash", T.LongType()),
 ])
 PATHS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("path", T.LongType())])
 
@@ -111,19 +112,33 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def bits(tokens: np.ndarray) -> np.ndarray:
+    """256 bits a row: the two lowest of each min-hash. Bits of equal tokens agree, others by chance."""
+    return np.packbits(np.concatenate([tokens & 1, tokens >> 1 & 1], axis=1).astype(bool), axis=1)
+
+
+def most_bits(threshold: Fraction) -> int:
+    """Bits that two sketches at the threshold differ in, DEVIATIONS above the mean: half of 2 bits for each token that differs."""
+    j = float(threshold)
+    return math.ceil(TOKENS * (1 - j) + DEVIATIONS * math.sqrt(TOKENS * j * (1 - j) + TOKENS * (1 - j) / 2))
+
+
 def sign(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, a digest of the shingle set, its size, its min-hashes, their low bytes to estimate with, and a hash of the text."""
+    """doc_id, a digest of the shingle set, its size, its min-hashes, their sketch, the first as its home, and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in batches:
-            for part, values in texts(batch, "_text"):
-                sets = [shingle(t) for t in values]
-                tokens = [min_hashes(s) if len(s) else np.zeros(0, np.uint32) for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    column(part, "_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array([t.astype(np.uint8).tobytes() for t in tokens], pa.binary()), column(part, "_hash"),
-                ], names=SIGNED.names)
+        with lean():
+            shingle = Shingler()
+            for batch in batches:
+                for part, values in texts(batch, "_text"):
+                    sets = [shingle(t) for t in values]
+                    tokens = np.stack([min_hashes(s) for s in sets])
+                    some = [len(s) > 0 for s in sets]
+                    packed = lambda rows: pa.array([r.tobytes() if x else b"" for r, x in zip(rows, some, strict=True)], pa.binary())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([
+                        column(part, "_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                        packed(tokens), packed(bits(tokens)), pa.array(mix(tokens[:, 0].astype(np.uint64)).view(np.int64)), column(part, "_hash"),
+                    ], names=SIGNED.names)
 
     return df.select(df[id_col].cast("long").alias("_id"), df[text].alias("_text"), F.xxhash64(df[text]).alias("_hash")).mapInArrow(run, SIGNED)
 
@@ -136,121 +151,84 @@ def _split(rows: DataFrame, starts: list[int] | None, chance: float) -> DataFram
     """One step down: rows (rep, tokens[, path]) to (rep, path); from the roots of all runs if starts is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                rep, tokens = column(batch, "rep").to_numpy(), _tokens(column(batch, "tokens")).astype(np.uint64)
-                for root in starts if starts is not None else [None]:
-                    old = np.full(len(rep), root, np.uint64) if root is not None else column(batch, "path").to_numpy().view(np.uint64)
-                    row, new = children(old, tokens, chance)
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(new.view(np.int64))], names=PATHS.names)
+        with lean():
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    rep, tokens = column(batch, "rep").to_numpy(), _tokens(column(batch, "tokens")).astype(np.uint64)
+                    for root in starts if starts is not None else [None]:
+                        old = np.full(len(rep), root, np.uint64) if root is not None else column(batch, "path").to_numpy().view(np.uint64)
+                        row, new = children(old, tokens, chance)
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(new.view(np.int64))], names=PATHS.names)
 
     return rows.mapInArrow(run, PATHS)
 
 
-def candidate_groups(reps: DataFrame, threshold: Fraction, recall: float) -> DataFrame:
-    """(node, component) of the sets that met a fitting partner; sets alone are left out."""
+def buckets(reps: DataFrame, threshold: Fraction, recall: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(rep, bucket, m) of the paths that end with several sets, and the tables they are read from.
+
+    A bucket of more than SMALL sets splits on another token, up to DEPTH times.
+    """
     chance = 1 / (float(threshold) * TOKENS)
-    least = float(threshold) - DEVIATIONS * math.sqrt(float(threshold * (1 - threshold)) / TOKENS)
     now = materialize(_split(reps.select("rep", "tokens"), list(range(1, runs_for(recall) + 1)), chance))
-    leaves = []
+    used, leaves = [now], []
     for depth in range(1, DEPTH + 1):
         full = now.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
         if depth == DEPTH:
             leaves.append(now.join(full, "path"))
             break
         full = materialize(full)
+        used.append(full)
         leaves.append(now.join(full.where(F.col("m") <= SMALL), "path"))
         heavy = full.where(F.col("m") > SMALL)
         if heavy.isEmpty():
             break
         now = materialize(_split(now.join(heavy, "path").join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "path"), None, chance))
+        used.append(now)
     rows = leaves[0]
     for x in leaves[1:]:
         rows = rows.unionByName(x)
-    nb = F.ceil(F.col("m") / (4 * BLOCK_ROWS)).cast("int")
-    rows = (
-        rows.withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("rep", "path"), F.col("nb")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("rep", "path", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
-        .join(reps.select("rep", "sketch"), "rep")
-        .repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
-    )
-    edges = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["path", "bi", "bj"]):
-            rep = g.column("rep").to_numpy()
-            sketch = _tokens(g.column("sketch").combine_chunks(), np.uint8)
-            a, b = meet(sketch, least)
-            if len(a):
-                order = np.argsort(rep)
-                rank = np.empty(len(rep), np.int64)
-                rank[order] = np.arange(len(rep))
-                root = rep[order][local_roots(len(rep), rank[a], rank[b])][rank]
-                at = np.flatnonzero(root != rep)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(root[at])], names=edges.names)
-
-    return connected_components(rows.mapInArrow(compare, edges))
-
-
-def meet(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join every two rows whose estimate is at least `least`, directly or through others.
-
-    Rows that fit the same row are joined by it already, so only rows that fitted none become the next to be
-    compared with all: one pass for a bucket of like sets, a pass for each row at worst. Rows that weren't
-    compared with all are then compared with those of groups that nothing has joined to theirs.
-    """
-    n = len(sketch)
-    alone, met = np.ones(n, bool), np.zeros(n, bool)
-    a, b = [], []
-    for i in range(n):
-        if not alone[i]:
-            continue
-        fit = np.flatnonzero((sketch == sketch[i]).mean(1) >= least)
-        alone[fit] = False
-        fit = fit[fit != i]
-        a.append(np.full(len(fit), i))
-        b.append(fit)
-        met[i] = True
-    rest = np.flatnonzero(~met)
-    if len(rest) > 1:
-        root = np.asarray(local_roots(n, np.concatenate(a), np.concatenate(b)))[rest]
-        for k, i in enumerate(rest):
-            other = np.flatnonzero(root != root[k])
-            if not len(other):
-                break
-            fit = other[(sketch[rest[other]] == sketch[i]).mean(1) >= least]
-            if len(fit):
-                a.append(np.full(len(fit), i))
-                b.append(rest[fit])
-                root[np.isin(root, root[fit])] = root[k]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
-
-
-def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: Fraction) -> np.ndarray:
-    """Which pairs of shingle sets have a Jaccard similarity of at least the threshold, exactly."""
-    values = np.concatenate([*left, *right])
-    owner = np.repeat(np.arange(len(left) + len(right)), [*map(len, left), *map(len, right)])
+    return rows.select("rep", F.col("path").alias("bucket"), "m"), used
+
+
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of the sets one after the other, and the sets' sizes."""
+    sets = sets.cast(pa.large_binary())
+    at = np.frombuffer(sets.buffers()[1], np.int64)[sets.offset : sets.offset + len(sets) + 1]
+    return np.frombuffer(sets.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint64), np.diff(at) // 8
+
+
+def similar(left: pa.Array, right: pa.Array | None, threshold: Fraction) -> np.ndarray:
+    """Which pairs of shingle sets have a Jaccard similarity of at least the threshold, exactly; right None: left with itself."""
+    values, sizes = _flat(left)
+    n = len(sizes)
+    if right is not None:
+        more, more_sizes = _flat(right)
+        values, sizes = np.concatenate([values, more]), np.concatenate([sizes, more_sizes])
+    rows, columns = slice(0, n), slice(n, None) if right is not None else slice(0, n)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
+    del order
     new = np.r_[True, values[1:] != values[:-1]]
-    ids = np.cumsum(new) - 1
-    sizes = np.diff(np.r_[np.flatnonzero(new), len(values)])
-    on_left = np.bincount(ids[owner < len(left)], minlength=len(sizes))
-    useful = (on_left > 0) & (on_left < sizes)
-    dense = np.cumsum(useful) - 1
-    keep = useful[ids]
-    ids, owner = dense[ids[keep]], owner[keep]
-    common = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(useful.sum()), 4096):
-        a, b = np.searchsorted(ids, [at, at + 4096])
-        part = np.zeros((len(left) + len(right), 4096), np.float32)
+    start = np.flatnonzero(new)
+    times = np.diff(np.r_[start, len(values)])
+    # shingles of one set alone can't be common
+    own = np.add.reduceat(owner < n, start) if len(start) else times
+    useful = times > 1 if right is None else (own > 0) & (own < times)
+    keep = np.repeat(useful, times)
+    owner, ids = owner[keep], np.repeat(np.arange(int(useful.sum()), dtype=np.int32), times[useful])
+    common = np.zeros((n, len(sizes[columns])), np.int32)
+    for at in range(0, int(useful.sum()), 1024):
+        a, b = np.searchsorted(ids, [at, at + 1024])
+        part = np.zeros((len(sizes), 1024), np.float32)
         part[owner[a:b], ids[a:b] - at] = 1
-        common += part[: len(left)] @ part[len(left) :].T
-    c = common.astype(np.int64)
-    union = np.array(list(map(len, left)))[:, None] + np.array(list(map(len, right)))[None, :] - c
-    return c * threshold.denominator >= union * threshold.numerator
+        common += (part[rows] @ part[columns].T).astype(np.int32)
+    out = np.empty(common.shape, bool)
+    for at in range(0, n, 128):
+        c = common[at : at + 128].astype(np.int64)
+        out[at : at + 128] = c * threshold.denominator >= (sizes[at : at + 128][: len(c), None] + sizes[None, columns] - c) * threshold.numerator
+    return out
 
 
 def _place(doc_id: Column, text_hash: Column) -> list[Column]:
@@ -275,65 +253,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     signed = materialize(sign(df, id_col, text))
     some = signed.where("n > 0")
     reps = materialize(
-        some.groupBy("copy").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash", "n", "tokens", "sketch")).alias("r"), F.count("*").alias("weight"))
-        .select("copy", F.xxhash64("copy").alias("rep"), "weight", "r.doc_id", "r.text_hash", "r.n", "r.tokens", "r.sketch")
-    )
-    cand = materialize(candidate_groups(reps, threshold, recall).select(F.col("node").alias("rep"), F.col("component").alias("grp")))
-    in_group = reps.select("rep", "copy", *_place(F.col("doc_id"), F.col("text_hash")), "n", "weight").join(cand, "rep")
-    per = in_group.groupBy("grp").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")
+        some.groupBy("copy").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash", "n", "tokens", "sketch", "home")).alias("r"), F.count("*").alias("weight"))
+        .select("copy", F.xxhash64("copy").alias("rep"), "weight", "r.doc_id", "r.text_hash", "r.n", "r.tokens", "r.sketch", "r.home")
     )
-    placed = materialize(in_group.join(per, "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).select("rep", "copy", "_id", "_hash", "weight", "grp", "nb", "b"))
-    whole = df.select(*_place(df[id_col].cast("long"), F.xxhash64(df[text])), df[text].alias("_text"))
-    sets = T.StructType([
-        T.StructField("grp", T.LongType()), T.StructField("bi", T.IntegerType()), T.StructField("bj", T.IntegerType()), T.StructField("b", T.IntegerType()),
-        T.StructField("rep", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("set", T.BinaryType()),
-    ])
+    rows, used = buckets(reps, threshold, recall)
+    placed = links.blocks_of(reps.select("rep", "sketch", "home", F.col("n").alias("size")), BLOCK_SHINGLES)
+    pairs = materialize(links.noted(rows.join(placed, "rep"), most_bits(threshold)))
+    discard(*used)
+    key = lambda i, h: F.xxhash64(*_place(i, h)).alias("key")
+    table = df.sparkSession.sparkContext.broadcast(links.wanted(pairs.select("rep").distinct().join(reps, "rep").select(key(F.col("doc_id"), F.col("text_hash")))))
+    sets = T.StructType([T.StructField("copy", T.BinaryType()), T.StructField("payload", T.BinaryType())])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingler(), set()  # a set goes on once, however often its row is repeated
-        for batch in batches:
-            for part, values in texts(batch, "_text", 64):
-                out = {n: [] for n in sets.names}
-                for copy, grp, nb, b, rep, weight, t in zip(*(column(part, c).to_pylist() for c in ("copy", "grp", "nb", "b", "rep", "weight")), values, strict=True):
-                    if rep in seen or digest(s := shingle(t)) != copy:
-                        continue  # or another text under the same id
-                    seen.add(rep)
-                    s = s.tobytes()
-                    for o in range(nb):
-                        for k, v in zip(sets.names, (grp, min(b, o), max(b, o), b, rep, weight, s), strict=True):
-                            out[k].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], t) for f, t in zip(sets, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=sets.names)
-
-    rows = whole.join(placed.hint("merge"), ["_id", "_hash"]).mapInArrow(resolve, sets).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
-    found = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["grp", "bi", "bj"]):
-            _, once = np.unique(g.column("rep").to_numpy(), return_index=True)  # repeated rows count in the weight
-            rep, weight, b = (g.column(c).to_numpy()[once] for c in ("rep", "weight", "b"))
-            own = [np.frombuffer(s, np.uint64) for s in g.column("set").take(pa.array(once)).to_pylist()]
-            if g.column("bi")[0].as_py() == g.column("bj")[0].as_py():
-                left = right = np.arange(len(rep))
-                near = similar(own, own, threshold)
-                np.fill_diagonal(near, False)
-            else:
-                left, right = np.flatnonzero(b == b.min()), np.flatnonzero(b != b.min())
-                near = similar([own[i] for i in left], [own[i] for i in right], threshold)
-            if not near.any():
-                continue
-            n = np.zeros(len(rep), np.int64)
-            n[left] += near @ weight[right]
-            if left is not right:
-                n[right] += near.T @ weight[left]
-            i, j = np.nonzero(near)
-            root = rep[local_roots(len(rep), left[i], right[j])]
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(n[at]), pa.array(root[at])], names=found.names)
-
-    links = materialize(rows.mapInArrow(verify, found))
-    comp = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("rep").agg(F.sum("n").alias("links"))
+        with lean():
+            shingle = Shingler()
+            for batch in batches:
+                batch = batch.filter(pa.array(links.is_wanted(table.value, column(batch, "key").to_numpy())))
+                for _, values in texts(batch, "_text", 64):
+                    made = [shingle(t) for t in values]
+                    yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=sets.names)
+
+    # a text that isn't wanted but passes the table's bits finds no partner in the join
+    whole = df.select(key(df[id_col].cast("long"), F.xxhash64(df[text])), df[text].alias("_text")).mapInArrow(resolve, sets)
+    payload = whole.select(F.xxhash64("copy").alias("rep"), "payload").dropDuplicates(["rep"]).join(reps.select("rep", "weight"), "rep")
+    linked = links.counted(pairs, payload, lambda x, y: similar(x, y, threshold))
+    discard(pairs)
+    comp = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    counted = linked.groupBy("rep").agg(F.sum("n").alias("links"))
     joined = reps.select("copy", "rep", "weight", "doc_id", "text_hash").join(counted, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     joined = joined.withColumn("component", F.coalesce("component", "rep"))
     smallest = joined.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")).alias("c"))

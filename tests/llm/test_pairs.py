@@ -3,16 +3,16 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.llm import embed_dedup, jaccard_join
+from quillon.llm import embed_dedup, jaccard_join, links
 from quillon.llm.components import connected_components
 from tests.conftest import ORACLE
 from tests.llm import brute
 
 
-def _counts(rows, links, nodes):
-    comp = brute.components(nodes, links)
+def _counts(rows, pairs, nodes):
+    comp = brute.components(nodes, pairs)
     n = {i: 0 for i in nodes}
-    for a, b in links:
+    for a, b in pairs:
         n[a] += 1
         n[b] += 1
     return {i: (n[i], comp[i]) for i in nodes}
@@ -42,17 +42,28 @@ def _vectors():
 def test_embedding_links(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BUCKET", 8)
     monkeypatch.setattr(embed_dedup, "RECALL", 0.9999)
+    monkeypatch.setattr(embed_dedup, "DEVIATIONS", 6.0)
     rows = _vectors()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash")).withColumn("rep", F.lit(1))
     small = [(i, (np.array(v) / max(map(abs, v))).tolist() if v and None not in v and any(v) else v) for i, v in rows if i != 304]
     want = _counts(rows, brute.vector_links(small), [i for i, _ in rows])
-    for block in (1024, 7):
-        monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    for block, bucket, few in ((1024, 4096, 32), (7, 10, 3)):
+        monkeypatch.setattr(links, "BLOCK_ROWS", block)
+        monkeypatch.setattr(links, "BUCKET_ROWS", bucket)
+        monkeypatch.setattr(links, "FEW", few)
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
         assert got == want
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_or_have_none(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (None, [1.0, 0.0, 0.0]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0]), (None, None), (1, [0.0, 1.0, 0.0])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    key = lambda r: str(tuple(r))
+    want = [(1, 2, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]
+    assert sorted(map(key, got)) == sorted(map(str, want))
+
+
 def test_embedding_links_within_each_width(spark):
     rng = np.random.default_rng(9)
     rows = []
@@ -60,42 +71,86 @@ def test_embedding_links_within_each_width(spark):
         b = rng.standard_normal((n, w))
         rows += [(len(rows) + k, v.tolist()) for k, v in enumerate(np.concatenate([b, b, b + rng.standard_normal((n, w)) * 0.1]))]
     by_width = [[(i, v) for i, v in rows if len(v) == w] for w in (8, 5, 3)]
-    links = [x for part in by_width for x in brute.vector_links(part)]
-    assert all(any(a == i for i, _ in part for a, _ in links) for part in by_width)
+    pairs = [x for part in by_width for x in brute.vector_links(part)]
+    assert all(any(a == i for i, _ in part for a, _ in pairs) for part in by_width)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
-    assert got == _counts(rows, links, [i for i, _ in rows])
-
-
-def test_families_bridged_by_a_single_pair_meet():
-    row = lambda *k: [int(i in k) for i in range(10)]
-    for sketch in ([row(), row(0, 1, 2, 3), row(0), row(0, 1)], [row(), row(0, 1, 2, 3, 4), row(0, 1), row(2, 3, 4, 5, 6), row(0, 1, 2)]):
-        x = np.array(sketch, np.uint8)
-        for least in (0.9, 0.8, 0.7):
-            fits = [(i, j) for i in range(len(x)) for j in range(i) if (x[i] == x[j]).mean() >= least]
-            a, b = jaccard_join.meet(x, least)
-            assert brute.components(range(len(x)), zip(a.tolist(), b.tolist(), strict=True)) == brute.components(range(len(x)), fits)
-    rng = np.random.default_rng(4)
-    left = rng.integers(0, 256, 128)
-    right = np.where(np.arange(128) < 64, rng.integers(0, 256, 128), left)
-    mix = lambda v, w, k: np.where(np.arange(128) < k, w, v)
-    x = np.array([left, right, *[mix(left, right, 25)] * 300, *[np.where(np.arange(128) >= 50, right, mix(left, right, 25))] * 300], np.uint8)
-    a, b = jaccard_join.meet(x, 0.8)
-    assert len(set(brute.components(range(len(x)), zip(a.tolist(), b.tolist(), strict=True)).values())) == 1
-
-
-def test_embedding_recall(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(3000)
-    rows = [(r[0], r[1]) for r in df.select("vec_id", "embedding").collect()]
-    x = np.array([v for _, v in rows], float)
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    near = x @ x.T >= 0.9
+    assert got == _counts(rows, pairs, [i for i, _ in rows])
+
+
+def test_components_of_link_matrices():
+    rng = np.random.default_rng(8)
+    for n, m, p in ((30, 30, 0.03), (40, 25, 0.04), (12, 12, 0.0), (9, 9, 1.0)):
+        near = rng.random((n, m)) < p
+        square = np.triu(near[:, :n], 1) if n == m else None
+        if square is not None:
+            square |= square.T
+            own = np.arange(100, 100 + n)
+            got, _ = links.roots(square, own, own)
+            want = brute.components(range(n), list(zip(*np.nonzero(square), strict=True)))
+            assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
+        left, right = links.roots(near, np.arange(n), np.arange(n, n + m))
+        got, want = [*left, *right], brute.components(range(n + m), [(i, n + j) for i, j in zip(*np.nonzero(near), strict=True)])
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(n + m) for j in range(n + m))
+
+
+def test_bits_of_wanted_keys(spark):
+    rng = np.random.default_rng(6)
+    keys = [0, -1, 2**63 - 1, -(2**63), *rng.integers(-(2**63), 2**63, 500).tolist()]
+    table = links.wanted(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert links.is_wanted(table, np.array(keys)).all()
+    assert links.is_wanted(table, rng.integers(-(2**63), 2**63, 2000)).sum() < 5
+    assert not links.is_wanted(links.wanted(spark.createDataFrame([], "key long")), np.array(keys)).any()
+
+
+def test_embedding_recall_with_default_parameters(spark):
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((400, 64))
+    base /= np.sqrt((base * base).sum(1, keepdims=True))
+    noise = rng.standard_normal((400, 4, 64))
+    cosine = rng.uniform(0.9, 0.93, (400, 4, 1))  # pairs just above the threshold, where the recall is least
+    noise -= (noise * base[:, None]).sum(2, keepdims=True) * base[:, None]
+    noise /= np.sqrt((noise * noise).sum(2, keepdims=True))
+    x = np.concatenate([base, (cosine * base[:, None] + np.sqrt(1 - cosine**2) * noise).reshape(-1, 64), rng.standard_normal((4000, 64))])
+    near = (x / np.sqrt((x * x).sum(1, keepdims=True))) @ (x / np.sqrt((x * x).sum(1, keepdims=True))).T >= 0.9
     np.fill_diagonal(near, False)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sum(r["n_links"] for r in embed_dedup.near_duplicates(df).collect())
+    assert near.sum() >= 3000
+    got = sum(r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect())
     assert 0.99 * near.sum() <= got <= near.sum()
 
 
+def test_embedding_links_of_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array([r[0] for r in df.select("embedding").collect()], float)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    assert sum(r["n_links"] for r in embed_dedup.near_duplicates(df).collect()) == (x @ x.T >= 0.9).sum() - len(x)
+
+
+def test_links_between_families_are_not_lost(spark):
+    """Families around two texts that are linked with each other alone: 12 looser copies around each, below the threshold."""
+    rng = np.random.default_rng(3)
+    rows = []
+    word = lambda n: [f"v{k}" for k in rng.integers(0, 10**7, n)]
+    for _ in range(25):
+        j = word(200)
+        k = list(j)
+        k[100:116] = word(16)  # Jaccard of j and k: 176 / 216
+        for centre, cut in ((j, slice(0, 30)), (k, slice(160, 190))):
+            rows.append(" ".join(centre))
+            for _ in range(12):
+                loose = list(centre)
+                loose[cut] = word(30)
+                rows.append(" ".join(loose))
+    rows = list(enumerate(rows))
+    want = _family_links(rows)
+    got = sum(r["n_links"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(want) >= 20 and got >= 2 * 0.99 * len(want) - 1 and got <= 2 * len(want)
+
+
+def _family_links(rows):
+    return [p for at in range(0, len(rows), 26) for p in brute.jaccard_links(rows[at : at + 26])]
+
+
 def _texts():
     rng = random.Random(11)
     vocab = [f"w{i}" for i in range(400)]
@@ -117,8 +172,10 @@ def test_jaccard_links(spark, monkeypatch):
     rows = _texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit("clash")).withColumn("n", F.lit(1))
     want = _counts(rows, brute.jaccard_links(rows), [i for i, _ in rows])
-    for block, small in ((2048, 64), (5, 2)):
-        monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    for block, bucket, small, few in ((1024, 4096, 64, 32), (5, 6, 2, 2)):
+        monkeypatch.setattr(links, "BLOCK_ROWS", block)
+        monkeypatch.setattr(links, "BUCKET_ROWS", bucket)
+        monkeypatch.setattr(links, "FEW", few)
         monkeypatch.setattr(jaccard_join, "SMALL", small)
         got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard_join.near_duplicates(df, recall=0.99999).collect()}
         assert got == want
@@ -145,17 +202,21 @@ def test_jaccard_on_the_documents(spark):
     assert got == want
 
 
-def test_recall_of_the_paths():
+def test_recall_of_the_paths_and_sketches():
     rng = np.random.default_rng(2)
-    met = 0
-    for _ in range(60):  # pairs at the threshold, in the deepest recursion
+    met, trials = 0, 300
+    runs, most = jaccard_join.runs_for(0.995), jaccard_join.most_bits(jaccard_join.THRESHOLD)
+    for _ in range(trials):  # pairs at the threshold, in the deepest recursion
         common = rng.integers(0, 2**63, 800, dtype=np.uint64)
-        a, b = (jaccard_join.min_hashes(np.r_[common, rng.integers(0, 2**63, 100, dtype=np.uint64)]).astype(np.uint64) for _ in range(2))
-        for run in range(1, jaccard_join.runs_for(0.995) + 1):
-            pa_, pb = ({run}, {run})
+        a, b = (jaccard_join.min_hashes(np.r_[common, rng.integers(0, 2**63, 100, dtype=np.uint64)]) for _ in range(2))
+        x, y = jaccard_join.bits(np.stack([a, b]))
+        if np.unpackbits(x ^ y).sum() > most:
+            continue
+        ends = []
+        for t in (a, b):
+            paths = np.arange(1, runs + 1, dtype=np.uint64)
             for _ in range(jaccard_join.DEPTH):
-                pa_, pb = ({int(c) for p in s for c in jaccard_join.children(np.array([p], np.uint64), t[None], 1 / (0.8 * jaccard_join.TOKENS))[1]} for s, t in ((pa_, a), (pb, b)))
-            if pa_ & pb:
-                met += 1
-                break
-    assert met >= 56
+                paths = jaccard_join.children(paths, np.broadcast_to(t.astype(np.uint64), (len(paths), len(t))), 1 / (0.8 * jaccard_join.TOKENS))[1]
+            ends.append(set(paths.tolist()))
+        met += bool(ends[0] & ends[1])
+    assert met >= 0.985 * trials
