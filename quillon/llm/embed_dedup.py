@@ -25,7 +25,7 @@ BUCKET = 512
 #: Chance that a pair at exactly the threshold shares a bucket in some table; closer pairs are surer.
 RECALL = 0.995
 #: Signs of a sketch, and the standard deviations above the mean that those of a pair at the threshold may differ in.
-SIGNS, DEVIATIONS = 256, 4.0
+SIGNS, DEVIATIONS = 256, 5.0
 
 
 def tables_and_bits(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:

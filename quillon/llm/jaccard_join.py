@@ -31,7 +31,7 @@ WORDS, TOKENS, THRESHOLD = 5, 128, Fraction(4, 5)
 #: The deepest split, the bucket size that is compared without another, and the recall the runs are for.
 DEPTH, SMALL, RECALL = 3, 64, 0.995
 #: Sets meet as candidates if this many standard deviations of the estimate allow for the threshold.
-DEVIATIONS = 4.0
+DEVIATIONS = 5.0
 #: Shingles of a block, on average.
 BLOCK_SHINGLES = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -103,7 +103,7 @@ def children(paths: np.ndarray, tokens: np.ndarray, chance: float) -> tuple[np.n
 
 SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("copy", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.BinaryType()),
-    T.StructField("sketch", T.BinaryType()), T.StructField("home", T.LongType()), T.StructField("text_hash", T.LongType()),
+    T.StructField("sketch", T.BinaryType()), T.StructField("text_hash", T.LongType()),
 ])
 PATHS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("path", T.LongType())])
 
@@ -124,7 +124,7 @@ def most_bits(threshold: Fraction) -> int:
 
 
 def sign(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, a digest of the shingle set, its size, its min-hashes, their sketch, the first as its home, and a hash of the text."""
+    """doc_id, a digest of the shingle set, its size, its min-hashes, their sketch, and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
@@ -137,7 +137,7 @@ def sign(df: DataFrame, id_col: str, text: str) -> DataFrame:
                     packed = lambda rows: pa.array([r.tobytes() if x else b"" for r, x in zip(rows, some, strict=True)], pa.binary())  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([
                         column(part, "_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                        packed(tokens), packed(bits(tokens)), pa.array(mix(tokens[:, 0].astype(np.uint64)).view(np.int64)), column(part, "_hash"),
+                        packed(tokens), packed(bits(tokens)), column(part, "_hash"),
                     ], names=SIGNED.names)
 
     return df.select(df[id_col].cast("long").alias("_id"), df[text].alias("_text"), F.xxhash64(df[text]).alias("_hash")).mapInArrow(run, SIGNED)
@@ -253,13 +253,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     signed = materialize(sign(df, id_col, text))
     some = signed.where("n > 0")
     reps = materialize(
-        some.groupBy("copy").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash", "n", "tokens", "sketch", "home")).alias("r"), F.count("*").alias("weight"))
-        .select("copy", F.xxhash64("copy").alias("rep"), "weight", "r.doc_id", "r.text_hash", "r.n", "r.tokens", "r.sketch", "r.home")
+        some.groupBy("copy").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash", "n", "tokens", "sketch")).alias("r"), F.count("*").alias("weight"))
+        .select("copy", F.xxhash64("copy").alias("rep"), "weight", "r.doc_id", "r.text_hash", "r.n", "r.tokens", "r.sketch")
     )
     rows, used = buckets(reps, threshold, recall)
-    placed = links.blocks_of(reps.select("rep", "sketch", "home", F.col("n").alias("size")), BLOCK_SHINGLES)
+    # a family's sets mostly share its largest bucket
+    home = rows.groupBy("rep").agg(F.max(F.struct("m", "bucket")).alias("h")).select("rep", F.col("h.bucket").alias("home"))
+    standing = materialize(reps.select("rep", "sketch", F.col("n").alias("size")).join(home, "rep"))
+    placed = links.blocks_of(standing, BLOCK_SHINGLES)
     pairs = materialize(links.noted(rows.join(placed, "rep"), most_bits(threshold)))
-    discard(*used)
+    discard(*used, standing)
     key = lambda i, h: F.xxhash64(*_place(i, h)).alias("key")
     table = df.sparkSession.sparkContext.broadcast(links.wanted(pairs.select("rep").distinct().join(reps, "rep").select(key(F.col("doc_id"), F.col("text_hash")))))
     sets = T.StructType([T.StructField("copy", T.BinaryType()), T.StructField("payload", T.BinaryType())])

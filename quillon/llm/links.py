@@ -26,7 +26,7 @@ FEW = 32
 #: Bits of the table of rows whose payload is wanted; it is at most 4 MB, whatever the data.
 FILTER_BITS = 1 << 25
 
-NOTED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("own", T.LongType())])
+NOTED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("own", T.LongType()), T.StructField("others", T.ArrayType(T.LongType()))])
 FOUND = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
 
 
@@ -35,9 +35,14 @@ def blocks_of(info: DataFrame, block_size: int | None = None, keep: tuple | list
     parts = F.ceil(F.count("*") / BLOCK_ROWS)
     if block_size:
         parts = F.greatest(parts, F.ceil(F.sum("size") / block_size))
-    large = info.groupBy("home").agg(parts.cast("int").alias("nb")).where("nb > 1")
+    large = materialize(info.groupBy("home").agg(parts.cast("int").alias("nb")).where("nb > 1"))
     part = F.when(F.col("nb").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("nb"))).otherwise(0)
-    return info.join(large, "home", "left").select("rep", "sketch", F.xxhash64("home", part).alias("block"), *keep)
+    return info.join(small(large), "home", "left").select("rep", "sketch", F.xxhash64("home", part).alias("block"), *keep)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if its rows, counted, are few; as it is if not."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def noted(rows: DataFrame, most: int) -> DataFrame:
@@ -60,26 +65,27 @@ def noted(rows: DataFrame, most: int) -> DataFrame:
                 sketch = words_of(t.column("sketch"))
                 sizes = np.diff(starts)
                 few = (sizes <= FEW) & (bi[starts[:-1]] == bj[starts[:-1]])
-                yield from notes(_few(rep, block, sketch, np.repeat(few, sizes), np.repeat(np.arange(len(sizes)), sizes), most))
+                yield from notes(*_few(rep, block, sketch, np.repeat(few, sizes), np.repeat(np.arange(len(sizes)), sizes), most))
                 for a, b in zip(starts[:-1][~few].tolist(), starts[1:][~few].tolist(), strict=True):
                     first = np.flatnonzero(part[a:b] == bi[a]) + a
                     second = first if bi[a] == bj[a] else np.flatnonzero(part[a:b] != bi[a]) + a
-                    yield from notes(_many(rep, block, sketch, first, second, most))
+                    yield from notes(*_many(rep, block, sketch, first, second, most))
                     if first is not second:
-                        yield from notes(_many(rep, block, sketch, second, first, most))
+                        yield from notes(*_many(rep, block, sketch, second, first, most))
 
-    return dealt.mapInArrow(compare, NOTED).distinct()
+    lists = dealt.mapInArrow(compare, NOTED).groupBy("rep", "own").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    return lists.select("rep", "own", F.explode("others").alias("other")).select("rep", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
 
 
 def words_of(sketches: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(len(sketches), -1)
 
 
-def notes(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    rep, own, other = found
+def notes(rep: np.ndarray, own: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each row of a bucket that has partners, with their blocks; they are few next to the partners."""
     if len(rep):
-        t = pa.table({"rep": rep, "lo": np.minimum(own, other), "hi": np.maximum(own, other), "own": own}).group_by(NOTED.names, use_threads=False).aggregate([])
-        yield from t.select(NOTED.names).to_batches()
+        t = pa.table({"rep": rep, "own": own, "others": other}).group_by(["rep", "own"], use_threads=False).aggregate([("others", "distinct")])
+        yield from t.rename_columns({"others_distinct": "others"}).select(NOTED.names).to_batches()
 
 
 def _few(rep, block, sketch, on, group, most):
