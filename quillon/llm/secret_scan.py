@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 # The base kinds in their order, with their patterns.
 KEY = r"(?i:password|passwd|secret|token|api_?key)"
+KEYWORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 ASSIGN = KEY + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 or more in all; a shorter run has no match inside it either
 HEX = r"[0-9a-f]{16,}"
@@ -33,26 +35,38 @@ LETTERS_CUTOFF, LETTERS_VARIETY = 2.0, 6
 SAMPLE = 5000
 
 
-def spans_of(t: Column, pattern: str, kind: int) -> Column:
+#: Matches that are placed together; a text's places are summed within such groups, then over them.
+TOGETHER = 256
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often a lambda in f refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def spans_of(t: Column, pattern: str, kind: int, possible: Column | None = None) -> Column:
     """array<struct<start, kind, end, found>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
     The text between matches and the matches themselves alternate, so their lengths add up to the places.
+    possible: a quicker condition without which there is no match.
     """
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(t, pattern, -1), F.length)
-    lengths = F.transform(found, F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>").alias("out"))
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1), zero,
-        lambda acc, i: F.struct(
-            (acc["at"] + F.get(gaps, i) + F.get(lengths, i)).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                (acc["at"] + F.get(gaps, i)).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.get(gaps, i) + F.get(lengths, i)).alias("end"), F.get(found, i).alias("found"),
-            )).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.regexp_like(t, F.lit(pattern)), walked).otherwise(zero["out"])
+    parts = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.transform(F.split(t, pattern, -1), F.length).alias("gaps"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
+
+    def step(v: Column, acc: Column, i: Column) -> Column:
+        start = acc["at"] + F.get(v["gaps"], i)
+        end = start + F.length(F.get(v["found"], i))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(v["found"], i).alias("found"))).alias("out"))
+
+    def group(v: Column, acc: Column, g: Column) -> Column:
+        last = F.least((g + 1) * TOGETHER, F.size(v["found"])) - 1
+        own = F.aggregate(F.sequence(g * TOGETHER, last), F.struct(acc["at"].alias("at"), none.alias("out")), lambda a, i: step(v, a, i))
+        return let(own, lambda o: F.struct(o["at"].alias("at"), F.array_append(acc["out"], o["out"]).alias("out")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,end:int,found:string>>>").alias("out"))
+    walked = let(parts, lambda v: F.flatten(F.aggregate(F.sequence(F.lit(0), ((F.size(v["found"]) - 1) / TOGETHER).cast("int")), zero, lambda acc, g: group(v, acc, g))["out"]))
+    some = F.regexp_like(t, F.lit(pattern))
+    return F.when(some if possible is None else possible & some, walked).otherwise(none)
 
 
 def long_enough(spans: Column) -> Column:
@@ -66,10 +80,10 @@ def _code(c: Column) -> Column:
 
 
 def transitions(tokens: DataFrame) -> dict[tuple[int, int], int]:
-    """Counts of neighbouring character codes in the column `token`: at most len(ALPHABET)**2 rows."""
-    chars = tokens.select(F.split("token", "").alias("c")).select(F.filter("c", lambda x: x != "").alias("c"))
-    pairs = chars.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get(F.col("c"), i).alias("a"), F.get(F.col("c"), i + 1).alias("b")))).alias("p"))
-    rows = pairs.select(_code(F.col("p.a")).alias("a"), _code(F.col("p.b")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).collect()
+    """Counts of neighbouring character codes in the column `token`: at most len(ALPHABET)**2 rows. Equal tokens are cut up once."""
+    chars = tokens.groupBy("token").agg(F.count("*").alias("times")).select("times", F.array_remove(F.split("token", ""), "").alias("c"))
+    pairs = chars.where("size(c) > 1").select("times", F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))).alias("p"))
+    rows = pairs.groupBy("p.a", "p.b").agg(F.sum("times").alias("n")).groupBy(_code(F.col("a")).alias("a"), _code(F.col("b")).alias("b")).agg(F.sum("n").alias("n")).collect()
     return {(r["a"], r["b"]): r["n"] for r in rows}
 
 
@@ -109,36 +123,42 @@ def learn(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str
 
 
 def ratio(token: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio per pair of neighbouring characters."""
+    """Mean log-likelihood ratio per pair of neighbouring characters, in one pass over them."""
     k = len(ALPHABET)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-        lambda acc, i: acc + F.get(model, (_code(F.substring(token, i, F.lit(1))) * k + _code(F.substring(token, i + 1, F.lit(1)))).cast("int")),
-    ) / (F.length(token) - 1)
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    step = lambda acc, x: let(_code(x), lambda c: F.struct(
+        c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.get(model, acc["last"] * k + c))).alias("sum"),
+    ))
+    return F.aggregate(F.array_remove(F.split(token, ""), ""), zero, step)["sum"] / (F.length(token) - 1)
 
 
-def find_secrets(df: DataFrame, model: list[float], id_col: str = "doc_id", text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+def find_secrets(df: DataFrame, model: list[float], id_col: str = "doc_id", text: str = "text", cutoff: float = CUTOFF, base_spans: str = "base_spans", spans: str = "spans") -> DataFrame:
     """All columns of df plus base_spans and spans: array<struct<start, kind, end, found>>, by start, then kind.
 
     Base spans are kept whatever the models say; the models add tokens that no base span holds whole, so that
     the rest of a longer secret is covered too. Tokens without a digit need a higher ratio. Null texts count as
     empty and have no spans; very long texts are scanned whole; repeated rows give repeated results; an empty
-    table an empty one. Columns named base_spans or spans are replaced.
+    table an empty one. Columns of df under the two
+    result names, and those with _run or _key after the second, are replaced; other names may be given.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    out = df.drop("base_spans", "spans").withColumn(
-        "base_spans", F.array_sort(F.concat(long_enough(spans_of(t, ASSIGN, 0)), spans_of(t, ACCESS, 1), spans_of(t, HEX, 2)))
+    keyed = let(F.lower(t), lambda low: F.exists(F.array(*(F.lit(w) for w in KEYWORDS)), lambda w: F.contains(low, w)))
+    run, key = f"{spans}_run", f"{spans}_key"
+    long_run = F.col(run)  # every match of the two fixed patterns lies in such a run
+    out = df.drop(base_spans, spans, run, key).withColumn(run, F.regexp_like(t, F.lit(TOKEN))).withColumn(key, keyed)
+    out = out.withColumn(
+        base_spans, F.array_sort(F.concat(long_enough(spans_of(t, ASSIGN, 0, F.col(key))), spans_of(t, ACCESS, 1, long_run & F.contains(t, F.lit("AKIA"))), spans_of(t, HEX, 2, long_run)))
     )
-    base = F.col("base_spans")
-    llr = F.array(*(F.lit(v) for v in model))
+    base = F.col(base_spans)
+    llr = F.lit(np.array(model))
     digit = lambda s: s["found"].rlike("[0-9]")
     varied = lambda s: F.size(F.array_distinct(F.array_remove(F.split(s["found"], ""), ""))) >= LETTERS_VARIETY
     more = F.filter(
-        spans_of(t, TOKEN, 3),
+        spans_of(t, TOKEN, 3, long_run),
         lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])) & (digit(s) | varied(s))
         & (ratio(s["found"], llr) > F.when(digit(s), F.lit(cutoff)).otherwise(F.lit(max(cutoff, LETTERS_CUTOFF)))),
     )
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", more)))
+    return out.withColumn(spans, F.array_sort(F.concat(base_spans, more))).drop(run, key)
 
 
 def joined(spans: Column) -> Column:

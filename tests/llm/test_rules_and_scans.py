@@ -1,5 +1,8 @@
 import math
+import random
+import re
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +103,45 @@ def test_tokens_without_digits_and_around_base_spans(spark):
     assert base == [secret_joined(t) for t in texts]
 
 
+def test_many_matches_and_long_tokens_take_linear_time(spark):
+    model = secret_scan.learn(spark.read.parquet(f"{ORACLE}/documents.parquet"))
+    many = " ".join(f"token={k:014x} 0123456789abcdef{k:x}" for k in range(1500))
+    one = "kJ8dQz2XvB7nRt5Yw9Lm4Pf1" * 2700
+    docs = spark.createDataFrame([(1, many), (2, f"see {one} there"), (3, None)], "doc_id long, text string")
+    began = time.monotonic()
+    out = secret_scan.find_secrets(docs, model).orderBy("doc_id").select(secret_scan.joined(F.col("base_spans")), secret_scan.joined(F.col("spans"))).collect()
+    assert time.monotonic() - began < 20
+    assert out[0][0] == secret_joined(many) and out[1] == ("", f"random:4:{4 + len(one)}") and out[2] == ("", "")
+    assert secret_scan.find_secrets(docs.limit(0), model).count() == 0
+
+
+def _mean_ratio(token, model):
+    code = [secret_scan.ALPHABET.index(c) for c in token]
+    return sum(model[a * len(secret_scan.ALPHABET) + b] for a, b in zip(code, code[1:])) / (len(code) - 1)  # noqa: B905
+
+
+def test_model_spans_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{ORACLE}/documents.parquet")
+    model = secret_scan.learn(docs)
+    rng = random.Random(5)
+    made = [("".join(rng.choices(secret_scan.ALPHABET[: rng.choice([16, 26, 52, 62, 67])], k=rng.randrange(14, 60))),) for _ in range(600)]
+    frame = docs.select("text").unionByName(spark.createDataFrame(made, "text string")).withColumn("doc_id", F.monotonically_increasing_id())
+    got = secret_scan.find_secrets(frame, model).select("text", secret_scan.joined(F.col("spans"))).collect()
+    found = 0
+    for text, spans in got:
+        base = brute.base_secrets(text)
+        want = list(base)
+        for m in re.finditer(secret_scan.TOKEN, text or ""):
+            inside = any(a <= m.start() and m.end() <= b for a, _, b in base)
+            digit = any(c in "0123456789" for c in m[0])
+            cut = secret_scan.CUTOFF if digit else secret_scan.LETTERS_CUTOFF
+            if not inside and (digit or len(set(m[0])) >= secret_scan.LETTERS_VARIETY) and _mean_ratio(m[0], model) > cut:
+                want.append((m.start(), 3, m.end()))
+        found += len(want) - len(base)
+        assert spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want))
+    assert found > 300
+
+
 def secret_joined(text):
     return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in brute.base_secrets(text))
 
