@@ -1,16 +1,18 @@
 """Quality rules whose cutoffs carry a guarantee on good documents that they reject.
 
-Each signal has a grid of cutoffs, fixed beforehand. On labelled good documents, a cutoff's false rejections
-are a binomial count; the exact tail P(Bin(n, risk) <= k) tests "it rejects more than `risk` of the good".
-In each stratum, cutoffs are tested from the most lenient on and the first that fails ends the sequence
-(fixed-sequence testing needs no correction within a grid); strata and signals share the error level by
-Bonferroni, and signals share the risk, so that all rules together keep within it. Strata with too few good
-documents share one pool, whose guarantee is on the good documents of the pool as a whole.
+Six signals get a cutoff each; a fixed sequence of such sets of cutoffs goes from lenient to strict. On labelled
+good documents, the false rejections by all signals of a set together are a binomial count; the exact tail
+P(Bin(n, risk) <= k) tests "the set rejects more than `risk` of the good". In each stratum the sets are tested
+in order, and the first that fails ends the sequence (fixed-sequence testing needs no correction within it);
+strata share the error level by Bonferroni. What is guaranteed, with a chance of 1 - error for all strata at
+once: of a stratum's good documents that pass the base rules, equal texts counted once, the signals reject no
+more than `risk`. Strata with too few good documents use a set that is certified on the good documents of all.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +23,16 @@ from quillon.llm.common import WORD_BREAKS, materialize
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: The share of good documents that all rules together may reject, and the chance that the guarantee fails.
 RISK, ERROR = 0.02, 0.05
-#: Signals (a high value is bad) and their cutoffs, most lenient first.
-GRIDS = {
-    "symbols": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02],
-    "dup_lines": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2],
-    "repeats": [0.28, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05],
-    "doubled": [0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08],
-    "capitals": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2],
-    "long_words": [20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0, 9.0],
+#: Signals (a high value is bad) and their cutoffs in each set of the sequence, most lenient first.
+SEQUENCE = {
+    "symbols": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05],
+    "dup_lines": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2],
+    "repeats": [0.29, 0.28, 0.26, 0.24, 0.22, 0.2, 0.17, 0.14, 0.11, 0.08],
+    "doubled": [0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08],
+    "capitals": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2],
+    "long_words": [20.0, 18.0, 16.0, 15.0, 14.0, 13.0, 12.0, 11.5, 11.0, 10.0],
 }
+SETS = len(SEQUENCE["symbols"])
 
 
 def features(df: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str | None = "lang") -> DataFrame:
@@ -98,72 +101,99 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def certify(n: int, rejected: list[int], risk: float, level: float) -> int:
-    """How many cutoffs, most lenient first, are certified to reject at most `risk` of the good."""
+    """How many sets of the sequence, most lenient first, are certified to reject at most `risk` of the good."""
     for i, k in enumerate(rejected):
         if k > risk * n or binomial_tail(k, n, risk) > level:
             return i
     return len(rejected)
 
 
-def grouping(sizes: dict[str, int], risk: float, error: float) -> tuple[list[str], list[str], list[str], float]:
-    """Strata certified alone, strata that use the pool, strata the pool is measured on, and the level of a test.
-
-    Only the numbers of good documents decide. A stratum stands alone if some cutoff could be certified on it.
-    Where the others are too few even together, the smallest of those that stand alone are measured with them.
-    """
-    order = sorted(sizes, key=lambda z: (-sizes[z], z))
-    enough = lambda n, level: certify(n, [0], risk / len(GRIDS), level) == 1
-    for own in range(len(order), -1, -1):
-        level = error / (max(1, own + (own < len(order))) * len(GRIDS))
-        if all(enough(sizes[z], level) for z in order[:own]):
-            break
-    measured = order[own:]
-    for z in reversed(order[:own]):
-        if not measured or enough(sum(sizes[y] for y in measured), level):
-            break
-        measured = [z, *measured]
-    return order[:own], order[own:], measured, level
-
-
-def cutoffs(measured: DataFrame, good: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, float]]:
-    """Certified cutoff of each signal in each stratum; a signal without one is left out.
+def cutoffs(measured: DataFrame, good: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, int]:
+    """How many sets are certified in each stratum that has a good document.
 
     good: doc_ids labelled good. All of them count, equal texts once, since copies are no independent trials;
-    those that fail the base rules don't. One row of counts for each stratum reaches the driver. A stratum
-    takes the pool's cutoff no further than its own good documents bear it out, so that a rare language
+    those that fail the base rules don't. One row of counts for each stratum reaches the driver. A stratum is
+    tested alone if a set without a false rejection could be certified on it. The others take what is certified
+    on all good documents, and no further than their own good documents bear it out, so that a rare language
     unlike the others isn't rejected for it.
     """
     labelled = measured.where(~base_failed()).join(good.select("doc_id").distinct(), "doc_id", "left_semi")
-    hits = [F.sum((F.col(s) > c).cast("long")).alias(f"{s}_{i}") for s, grid in GRIDS.items() for i, c in enumerate(grid)]
+    beyond = lambda i: reduce(lambda a, b: a | b, [F.col(s) > c[i] for s, c in SEQUENCE.items()])
+    hits = [F.sum(beyond(i).cast("long")).alias(f"k{i}") for i in range(SETS)]
     rows = {r["stratum"]: r for r in labelled.dropDuplicates(["stratum", "text_key"]).groupBy("stratum").agg(F.count("*").alias("n"), *hits).collect()}
-    alone, pooled, of, level = grouping({z: r["n"] for z, r in rows.items()}, risk, error)
-    share = risk / len(GRIDS)
-    counts = lambda r, s: [r[f"{s}_{i}"] or 0 for i in range(len(GRIDS[s]))]
-    sure = {z: {s: certify(rows[z]["n"], counts(rows[z], s), share, level) for s in GRIDS} for z in alone}
-    if pooled:
-        pool = rows[of[0]] if len(of) == 1 else labelled.where(F.col("stratum").isin(of)).dropDuplicates(["text_key"]).agg(F.count("*").alias("n"), *hits).first()
-        together = {s: certify(pool["n"], counts(pool, s), share, level) for s in GRIDS}
-        sure |= {z: {s: min(together[s], certify(rows[z]["n"], counts(rows[z], s), share, 1.0)) for s in GRIDS} for z in pooled}
-    return {z: found for z in sorted(sure) if (found := {s: GRIDS[s][m - 1] for s, m in sure[z].items() if m})}
-
-
-def apply_cutoffs(measured: DataFrame, found: dict[str, dict[str, float]]) -> DataFrame:
+    level = error / (len(rows) + 1)  # every stratum, and all together
+    counts = lambda r: [r[f"k{i}"] or 0 for i in range(SETS)]
+    alone = {z for z, r in rows.items() if certify(r["n"], [0], risk, level)}
+    sure = {z: certify(rows[z]["n"], counts(rows[z]), risk, level) for z in alone}
+    if len(alone) < len(rows):
+        pool = labelled.dropDuplicates(["text_key"]).agg(F.count("*").alias("n"), *hits).first()
+        together = certify(pool["n"], counts(pool), risk, level)
+        sure |= {z: min(together, certify(r["n"], counts(r), risk, 1.0)) for z, r in rows.items() if z not in alone}
+    return sure
+
+
+def apply_cutoffs(measured: DataFrame, found: dict[str, int]) -> DataFrame:
     """Adds base_failed, rules_failed (signals beyond their cutoff) and kept."""
-    failed = [
-        F.when(F.coalesce(*(F.when(F.col("stratum") == z, F.col(s) > c[s]) for z, c in found.items() if s in c), F.lit(False)), F.lit(s))
-        for s in GRIDS if any(s in c for c in found.values())
-    ]
-    out = measured.withColumn("base_failed", base_failed()).withColumn("rules_failed", F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>"))
+    sets = F.coalesce(*(F.when(F.col("stratum") == z, m) for z, m in sorted(found.items())), F.lit(0))
+    failed = [F.when((sets > 0) & (F.col(s) > F.get(F.array(*map(F.lit, c)), sets - 1)), F.lit(s)) for s, c in SEQUENCE.items()]
+    out = measured.withColumn("base_failed", base_failed()).withColumn("rules_failed", F.array_compact(F.array(*failed)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rules_failed") == 0))
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Counts, signals and verdict of every document.
 
-    labels: doc_id, quality (1: good; other values and nulls are not used). Null strata are one stratum,
-    "und"; strata without a good document, and all where even the pool has too few to certify anything, have
-    the base rules alone. Null and empty texts fail the base rules. Repeated rows give repeated results; empty tables an empty one.
+    labels: doc_id, quality (1: good; other values and nulls are not used; a document with both labels counts
+    as good). Null strata are one stratum, "und"; strata without a good document, and all where even together
+    they have too few to certify anything, have the base rules alone. Null and empty texts fail the base rules;
+    very long ones are measured whole. Repeated rows give repeated results; empty tables an empty one; columns
+    of df other than id, text and stratum are ignored.
     """
     measured = materialize(features(df, stratum=stratum))
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
     return apply_cutoffs(measured, cutoffs(measured, good, risk, error)).drop("text_key")
+
+
+def oracle() -> str:
+    """The query op1_quality_rules for DuckDB, over documents and labels."""
+    names = list(SEQUENCE)
+    steps = ", ".join(f"({i}, {', '.join(str(SEQUENCE[s][i]) for s in names)})" for i in range(SETS))
+    beyond = " or ".join(f"f.{s} > q.{s}" for s in names)
+    tail = "(select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({r}) + (n - i) * ln(1 - {r}))) from (select unnest(range(k + 1)) i))".format(r=RISK)
+    return rf"""
+with d as (select doc_id, coalesce(lang, 'und') stratum, coalesce(text, '') t from documents),
+s as (select *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) l from d),
+texts as (select distinct t, w from s where len(w) >= {WINDOW}),
+windows as (select t, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i : i + {WINDOW - 1}], ' '))) win, unnest(range(len(w) - {WINDOW - 1})) i from texts),
+twice as (select t, i, i - lag(i) over (partition by t order by i) gap from (select t, i, count(*) over (partition by t, win) c from windows) where c > 1),
+repeats as (select t, sum(coalesce(least(gap, {WINDOW}), {WINDOW})) n from twice group by t),
+c as (
+  select doc_id, stratum, s.t, len(w) n_words, length(array_to_string(w, '')) word_chars, length(regexp_replace(s.t, '[^#*$%&|<>]', '', 'g')) n_symbols,
+         len(l) - len(list_distinct(l)) n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, len(l) lines,
+         length(regexp_replace(s.t, '\P{{Lu}}', '', 'g')) upper, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) twice_over
+  from s left join repeats r on s.t = r.t),
+f as (
+  select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words base_failed,
+         coalesce(n_symbols / nullif(word_chars, 0), 0) symbols, coalesce(n_dup_lines / nullif(lines, 0), 0) dup_lines, coalesce(n_repeat_words / nullif(n_words, 0), 0) repeats,
+         coalesce(twice_over / nullif(n_words, 0), 0) doubled, coalesce(upper / nullif(word_chars, 0), 0) capitals, coalesce(word_chars / nullif(n_words, 0), 0) long_words
+  from c),
+q(step, {', '.join(names)}) as (values {steps}),
+good as (select f.* from f where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
+one as (select distinct on (stratum, t) * from good),
+every as (select distinct on (t) * from good),
+counts as (
+  select f.stratum, step, count(*) n, count_if({beyond})::bigint k from one f, q group by all
+  union all select null, step, count(*), count_if({beyond})::bigint from every f, q group by all),
+level as (select {ERROR} / (count(distinct stratum) + 1) a from good),
+tests as (
+  select stratum, step, n, k > {RISK} * n wide, {tail} > a weak, pow(1 - {RISK}, n) <= a alone from counts, level),
+sure as (
+  select stratum, bool_or(alone) alone, coalesce(min(step) filter (wide or weak), {SETS}) certified, coalesce(min(step) filter (wide), {SETS}) borne from tests group by stratum),
+found as (
+  select z.stratum, case when z.alone then z.certified else least(p.certified, z.borne) end sets from sure z, sure p where z.stratum is not null and p.stratum is null),
+judged as (
+  select f.*, array_to_string([x for x in [{', '.join(f"case when f.{s} > q.{s} then '{s}' end" for s in names)}] if x is not null], ',') rules_failed
+  from f left join found on f.stratum = found.stratum left join q on q.step = found.sets - 1)
+select doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(rules_failed, '') rules_failed,
+       not base_failed and coalesce(rules_failed, '') = '' kept
+from judged"""

@@ -43,6 +43,8 @@ def test_certified_cutoffs_are_the_strictest_that_hold():
     for k, n, p in [(0, 10, 0.3), (3, 50, 0.1), (50, 50, 0.2), (20, 400, 0.02)]:
         assert tail(k, n, p) == pytest.approx(exact(k, n, p))
     assert quality_rules.certify(5000, [0, 1, 2, 40, 0], 0.004, 0.01) == 3  # the first failure ends the sequence
+    assert {len(c) for c in quality_rules.SEQUENCE.values()} == {quality_rules.SETS}
+    assert all(c == sorted(c, reverse=True) for c in quality_rules.SEQUENCE.values())
     assert quality_rules.certify(100, [0], 0.004, 0.01) == 0
 
 
@@ -66,12 +68,20 @@ def test_small_strata_share_a_pool(spark):
     assert all(r["kept"] for r in out if r["doc_id"] < 9000) and not any(r["kept"] for r in out if r["doc_id"] >= 9000)
 
 
-def test_grouping():
-    group = lambda **sizes: quality_rules.grouping(sizes, 0.02, 0.05)[:3]
-    assert group(en=5000, de=4000) == (["en", "de"], [], [])
-    assert group(en=1923, de=476, fr=473, es=301) == (["en"], ["de", "fr", "es"], ["en", "de", "fr", "es"])
-    assert group(en=9000, de=1000, fr=900) == (["en"], ["de", "fr"], ["de", "fr"])
-    assert group(en=10) == ([], ["en"], ["en"]) and group() == ([], [], [])
+def test_cutoffs_of_each_stratum(spark):
+    words = lambda i: " ".join(f"word{i * 31 + k * k}" for k in range(40))
+    sizes = {"en": 300, "de": 250, "fr": 40}
+    rows = [(k, f"{words(k)} {z}", z) for k, z in enumerate(z for z, n in sizes.items() for _ in range(n))]
+    noisy = lambda t: t.replace("word", "w#")
+    rows = [(k, noisy(t) if z == "de" and k % 10 == 0 else t, z) for k, t, z in rows]  # a tenth of the good German texts have signs
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = docs.select("doc_id").unionByName(docs.select("doc_id"))
+    found = quality_rules.cutoffs(quality_rules.features(docs), good)
+    assert found["en"] == quality_rules.SETS and found["de"] < found["en"]
+    assert found["fr"] <= quality_rules.SETS and quality_rules.certify(40, [0], 0.02, 0.05 / 4) == 0
+    few = quality_rules.cutoffs(quality_rules.features(docs.where("lang = 'fr'")), good)
+    assert few == {"fr": 0}
+    assert quality_rules.cutoffs(quality_rules.features(docs), good.limit(0)) == {}
 
 
 def test_base_secrets(spark, docs):
