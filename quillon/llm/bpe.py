@@ -11,7 +11,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm.common import column, texts
+from quillon.llm.common import column, lean, texts
 
 _PRIME = (1 << 61) - 1
 #: Entries of a worker's table of pre-tokens already resolved; the half used longest ago goes when it is full; results don't depend on it.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 200_000
 #: Code points below U+0250 by the pattern's classes, so that the faster stdlib engine can split most texts.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _ANY_S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -116,11 +116,18 @@ class ByteBpe:
         self.ranks = ranks
         self.hash = table or PerfectHash(sorted(ranks))
         self.slot_id = [ranks[k] for k in self.hash.slot_key]
-        self.byte_of = {i: t for t, i in ranks.items()}
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.wide = max(ranks.values()) + 1
-        #: The rank of what two adjacent parts join to, by their ids.
-        self.pairs = {
+
+    @cached_property
+    def byte_of(self) -> dict[int, bytes]:
+        return {i: t for t, i in self.ranks.items()}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank of what two adjacent parts join to, by their ids."""
+        ranks = self.ranks
+        return {
             ranks[t[:k]] * self.wide + ranks[t[k:]]: i
             for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         }
@@ -201,7 +208,7 @@ def packed_vocabulary(vocab_path: str) -> bytes:
     return pack_ranks(read_ranks(vocab_path))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def load_packed(data: bytes) -> ByteBpe:
     """The codec for packed ranks; built once in each Python worker."""
     n, buckets = np.frombuffer(data[:16], "<i8").tolist()
@@ -228,14 +235,15 @@ def encode(df: DataFrame, vocab_path: str, keep: list[str], text: str = "text",
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_packed(shared.value).encoder()
-        for batch in batches:
-            for part, values in texts(batch, "_text"):
-                out = [enc(t) if t else b"" for t in values]
-                yield pa.RecordBatch.from_arrays(
-                    [*(column(part, f"_k{i}") for i in range(len(keep))), pa.array(out, pa.binary()), pa.array([len(o) // 4 for o in out], pa.int64())],
-                    names=[*keep, ids, count],
-                )
+        with lean():
+            enc = load_packed(shared.value).encoder()
+            for batch in batches:
+                for part, values in texts(batch, "_text"):
+                    out = [enc(t) if t else b"" for t in values]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(column(part, f"_k{i}") for i in range(len(keep))), pa.array(out, pa.binary()), pa.array([len(o) // 4 for o in out], pa.int64())],
+                        names=[*keep, ids, count],
+                    )
 
     return df.select(*(df[c].alias(f"_k{i}") for i, c in enumerate(keep)), df[text].alias("_text")).mapInArrow(run, schema)
 
@@ -246,11 +254,12 @@ def decode(df: DataFrame, vocab_path: str, keep: list[str], ids: str = "ids", ou
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load_packed(shared.value)
-        for batch in batches:
-            for part, values in texts(batch, "_ids"):
-                yield pa.RecordBatch.from_arrays(
-                    [*(column(part, f"_k{i}") for i in range(len(keep))), pa.array([codec.decode(v or b"") for v in values], pa.binary())], names=[*keep, out]
-                )
+        with lean():
+            codec = load_packed(shared.value)
+            for batch in batches:
+                for part, values in texts(batch, "_ids"):
+                    yield pa.RecordBatch.from_arrays(
+                        [*(column(part, f"_k{i}") for i in range(len(keep))), pa.array([codec.decode(v or b"") for v in values], pa.binary())], names=[*keep, out]
+                    )
 
     return df.select(*(df[c].alias(f"_k{i}") for i, c in enumerate(keep)), df[ids].alias("_ids")).mapInArrow(run, schema)

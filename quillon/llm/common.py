@@ -73,17 +73,37 @@ def fold(id_col: str, k: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % k
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with signs before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded_sample(df: DataFrame, id_col: str, columns: list[str], rows: int) -> list:
-    """At most `rows` whole rows to fit a model on, chosen by a hash of the id; ties by id.
+    """At most `rows` rows to fit a model on, chosen by a hash of the id; ties by id, and an id's rows by their values.
+
+    Only ids are ranked; the other columns are fetched for the chosen ids alone, one row for each.
+    """
+    own = df.select(df[id_col].alias("_id"), *(df[c].alias(f"_c{i}") for i, c in enumerate(columns)))
+    chosen = own.select("_id", F.xxhash64("_id").alias("_h")).orderBy("_h", "_id").limit(rows).select(F.col("_id").alias("_i")).distinct()
+    got = own.join(F.broadcast(chosen), F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    one = got.groupBy("_id").agg(F.min(F.struct(*(f"_c{i}" for i in range(len(columns))))).alias("r")).select("r.*").collect()
+    return sorted((tuple(r) for r in one), key=repr)
+
+
+def labelled_sample(df: DataFrame, labels: DataFrame, label: str, where, rows: int, id_col: str, text: str) -> list[tuple[str | None, int]]:
+    """(text, label) of at most `rows` documents with a label of 0 or 1, chosen by a hash of the id.
 
-    Only ids are ranked; the other columns are fetched for the chosen rows alone.
+    Ids with both labels have none. where: a condition on doc_id. Of several texts under an id the smallest is taken.
     """
-    chosen = (
-        df.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_h"))
-        .orderBy("_h", "_id").limit(rows).select("_id").distinct()
-    )
-    got = df.join(F.broadcast(chosen), df[id_col].eqNullSafe(F.col("_id")), "left_semi").select(*columns)
-    return got.limit(rows * 2).collect()
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
+    known = (known if where is None else known.where(where)).groupBy("doc_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z")
+    chosen = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(rows).select(F.col("doc_id").alias("_i"), "_y")
+    own = df.select(df[id_col].alias("_id"), df[text].alias("_t"))
+    got = own.join(F.broadcast(chosen), F.col("_id") == F.col("_i")).groupBy("_id").agg(F.min("_t").alias("_t"), F.min("_y").alias("_y")).collect()
+    return [(r["_t"], r["_y"]) for r in sorted(got, key=lambda r: r["_id"])]
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import bounded_sample, column, texts
+from quillon.llm.common import bounded_sample, column, lean, texts
 
 # Language families by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -157,23 +157,25 @@ def learn(df: DataFrame, where=None, sample: int = SAMPLE, id_col: str = "doc_id
     return fit([(r[0], r[1]) for r in rows])
 
 
-def identify(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: Model, keep: list[str], text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """The `keep` columns plus lang_pred and score (0 to 1), from the whole text alone.
 
     `und` with score 0 for null or empty texts and those without a letter. Ties go to the later code. Rows
-    may repeat; an empty table gives an empty result.
+    may repeat; very long texts are read whole; an empty table gives an empty result. Columns that are not in
+    `keep` are ignored, whatever their names; the two new names must not be among `keep`.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats for each family and pair
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = shared.value.predict
-        for batch in batches:
-            for part, values in texts(batch, "_text"):
-                out = [predict(t) for t in values]
-                yield pa.RecordBatch.from_arrays(
-                    [*(column(part, f"_k{i}") for i in range(len(keep))), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
-                    names=schema.names,
-                )
+        with lean():
+            predict = shared.value.predict
+            for batch in batches:
+                for part, values in texts(batch, "_text"):
+                    out = [predict(t) for t in values]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(column(part, f"_k{i}") for i in range(len(keep))), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
+                        names=schema.names,
+                    )
 
     return df.select(*(df[c].alias(f"_k{i}") for i, c in enumerate(keep)), df[text].alias("_text")).mapInArrow(run, schema)

@@ -15,10 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import bounded_sample, column, texts
+from quillon.llm.common import column, labelled_sample, lean, texts
 
 #: The most labelled rows that a model is fitted on (the bound of the sample).
 SAMPLE = 3000
@@ -145,28 +144,27 @@ def fit(rows: list[tuple[str, int]], steps: int = 150, penalty: float = 2e-3, ra
 
 
 def learn(df: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Crf:
-    """Fit on at most `sample` documents that have a label of 0 or 1."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_l"), F.col(label).alias("_y")).dropDuplicates(["_l"])
-    rows = known if where is None else known.withColumnRenamed("_l", "doc_id").where(where).withColumnRenamed("doc_id", "_l")
-    chosen = F.broadcast(rows.select("_l", "_y", F.xxhash64("_l").alias("_h")).orderBy("_h", "_l").limit(sample).select("_l", "_y"))
-    got = df.select(df[id_col].alias("_l"), df[text].alias("_t")).join(chosen, "_l").select("_t", "_y").limit(2 * sample).collect()
-    return fit([(r[0], r[1]) for r in got])
+    """Fit on at most `sample` documents that have a label of 0 or 1 (see labelled_sample)."""
+    return fit(labelled_sample(df, labels, label, where, sample, id_col, text))
 
 
 def score(df: DataFrame, model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
     """The `keep` columns plus the model's score (0 to 1) of every whole text; null texts count as empty.
 
-    Empty texts get the score of one empty line. Rows may repeat; an empty table gives an empty result.
+    Empty texts get the score of one empty line; very long texts are scored whole, line by line. Rows may
+    repeat and get equal scores; an empty table gives an empty result. Columns that are not in `keep` are
+    ignored, whatever their names; `out` must not be one of `keep`.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is that of the features
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate = shared.value.score
-        for batch in batches:
-            for part, values in texts(batch, "_text"):
-                yield pa.RecordBatch.from_arrays(
-                    [*(column(part, f"_k{i}") for i in range(len(keep))), pa.array([rate(t) for t in values], pa.float64())], names=schema.names
-                )
+        with lean():
+            rate = shared.value.score
+            for batch in batches:
+                for part, values in texts(batch, "_text"):
+                    yield pa.RecordBatch.from_arrays(
+                        [*(column(part, f"_k{i}") for i in range(len(keep))), pa.array([rate(t) for t in values], pa.float64())], names=schema.names
+                    )
 
     return df.select(*(df[c].alias(f"_k{i}") for i, c in enumerate(keep)), df[text].alias("_text")).mapInArrow(run, schema)

@@ -1,7 +1,8 @@
 """Toxicity: a sparse classifier of words and their beginnings whose score must not move when identity terms are swapped.
 
 Logistic loss over labelled texts, an L1 penalty that leaves few words, and a counterfactual penalty: for
-labelled texts with an identity term, swapped for another of its group, the squared change of the score.
+sentences of labelled texts with an identity term, swapped for another of its group, the squared change of
+the score's log-odds.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from quillon.llm.common import labelled_sample
 from quillon.llm.quality_crf import score  # the same map over whole texts
 
 #: The most labelled rows that a model is fitted on (the bound of the sample), and the most words.
@@ -22,7 +23,9 @@ SAMPLE, WORDS = 5000, 2000
 STEMS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
-# Identity terms; those of one line may be swapped for each other.
+_SENTENCE = re.compile(r"[.!?\n]+")
+
+# Identity terms of English, German, French and Spanish; those of one line may be swapped for each other.
 IDENTITIES = [
     "women men girls boys",
     "woman man girl boy",
@@ -33,9 +36,36 @@ IDENTITIES = [
     "immigrants refugees foreigners migrants",
     "disabled deaf blind autistic",
     "old young elderly",
+    "frauen männer mädchen jungen",
+    "frau mann",
+    "muslime christen juden hindus buddhisten atheisten",
+    "muslimisch christlich jüdisch hinduistisch buddhistisch atheistisch",
+    "schwarze weiße asiaten afrikaner europäer araber",
+    "schwule lesben heterosexuelle bisexuelle transgeschlechtliche",
+    "einwanderer flüchtlinge ausländer migranten",
+    "behinderte gehörlose blinde autisten",
+    "femmes hommes filles garçons",
+    "femme homme fille garçon",
+    "musulmans chrétiens juifs hindous bouddhistes athées",
+    "musulman chrétien juif hindou bouddhiste athée",
+    "noirs blancs asiatiques africains européens arabes",
+    "gays hétérosexuels lesbiennes bisexuels transgenres",
+    "immigrés réfugiés étrangers migrants",
+    "handicapés sourds aveugles autistes",
+    "mujeres hombres niñas niños",
+    "mujer hombre niña niño",
+    "musulmanes cristianos judíos hindúes budistas ateos",
+    "musulmán cristiano judío hindú budista ateo",
+    "negros blancos asiáticos africanos europeos árabes",
+    "gais heterosexuales lesbianas bisexuales transexuales",
+    "inmigrantes refugiados extranjeros migrantes",
+    "discapacitados sordos ciegos autistas",
 ]
 _GROUPS = [line.split() for line in IDENTITIES]
-_GROUP_OF = {w: g for g in _GROUPS for w in g}
+_GROUP_OF: dict[str, list[str]] = {}
+for _g in _GROUPS:
+    for _w in _g:
+        _GROUP_OF[_w] = [*_GROUP_OF.get(_w, []), *(o for o in _g if o not in _GROUP_OF.get(_w, []))]  # a word of two languages has the terms of both
 
 __all__ = ["Toxicity", "fit", "learn", "score", "swapped", "tokens_of", "words_of"]
 
@@ -80,7 +110,9 @@ def fit(rows: list[tuple[str, int]], sparsity: float = 0.002, fairness: float =
     docs, swaps = [], []
     for t, _ in kept:  # as numbers, for a sample's sets of strings would not fit the driver
         words = words_of(t)
-        swaps += [(next(iter(out)), next(iter(put))) for out, put in swapped(words)]
+        if words & _GROUP_OF.keys():
+            for sentence in _SENTENCE.split(t):
+                swaps += [(next(iter(out)), next(iter(put))) for out, put in swapped(words_of(sentence))]
         tokens = tokens_of(words)
         docs.append(np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int32, len(tokens)))
     y = np.array([d[1] for d in kept], np.float32)
@@ -143,9 +175,5 @@ def fit(rows: list[tuple[str, int]], sparsity: float = 0.002, fairness: float =
 
 
 def learn(df: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Toxicity:
-    """Fit on at most `sample` documents that have a label of 0 or 1, chosen by a hash of the id."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id"), F.col(label).alias("_y")).dropDuplicates(["doc_id"])
-    known = known if where is None else known.where(where)
-    chosen = F.broadcast(known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample).select(F.col("doc_id").alias("_l"), "_y"))
-    got = df.select(df[id_col].alias("_l"), df[text].alias("_t")).join(chosen, "_l").select("_t", "_y").limit(2 * sample).collect()
-    return fit([(r[0], r[1]) for r in got])
+    """Fit on at most `sample` documents that have a label of 0 or 1 (see labelled_sample)."""
+    return fit(labelled_sample(df, labels, label, where, sample, id_col, text))

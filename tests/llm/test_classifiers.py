@@ -1,11 +1,13 @@
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import langid, quality_crf, queries, toxicity
+from quillon.llm.common import bounded_sample, labelled_sample
 from tests.conftest import ORACLE
 
 
@@ -86,3 +88,81 @@ def test_counterfactual_penalty_removes_identity_bias():
     assert gap(fair) < 0.3 * gap(plain) + 1e-9 and gap(fair) < 0.05
     assert fair.score("alpha vile") > 0.5 > fair.score("alpha muslims beta")
     assert 0 < toxicity.fit([]).score(None) < 1 and toxicity.swapped({"gay"})
+
+
+def test_sampled_labels_are_defined(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None), (4, "d"), (None, "e")], "doc_id long, text string").withColumn("_y", F.lit(9)).withColumn("_id", F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (3, 0), (4, None), (None, 1), (9, 1)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", None, 10, "doc_id", "text") == [("a", 1), (None, 0)]
+    assert labelled_sample(docs, labels, "toxic", F.col("doc_id") > 1, 10, "doc_id", "text") == [(None, 0)]
+    assert len(labelled_sample(docs, labels, "toxic", None, 1, "doc_id", "text")) == 1
+    assert bounded_sample(docs, "doc_id", ["text"], 10) == [("a",), ("c",), ("d",), ("e",), (None,)]
+    assert toxicity.learn(docs, labels.limit(0)).score("word") == 0.5
+
+
+def test_toxicity_edges(spark):
+    model = toxicity.fit([("alpha vile beta", 1), ("alpha good beta", 0)] * 20)
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "vile"), (3, "vile"), (4, "good words " * 50_000), (None, "alpha")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model, ["doc_id"]).collect()}
+    assert len(got) == 5 and got[1] == got[2] < got[3] and got[4] < 0.5 and all(0 <= v <= 1 for v in got.values())
+    assert toxicity.score(df.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_scores_against_plain_versions(spark):
+    docs = spark.read.parquet(f"{ORACLE}/documents.parquet")
+    labels = spark.read.parquet(f"{ORACLE}/labels.parquet")
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    toxic = toxicity.learn(docs, labels)
+    for r in toxicity.score(docs, toxic, ["doc_id"]).collect():
+        words = {w for w in re.findall(r"[^\W\d_]+", texts[r["doc_id"]].lower())}
+        named = {w for group in toxicity.IDENTITIES for w in group.split()}
+        parts = words | {f"^{w[:n]}" for w in words - named for n in (4, 5) if len(w) > n}
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-toxic.bias - sum(toxic.weights.get(p, 0) for p in parts))))
+    model = langid.learn(docs)
+    for r in langid.identify(docs.limit(60), model, ["doc_id"]).collect():
+        x = np.append(_plain_vector(texts[r["doc_id"]]), 1)
+        families = list(model.families)
+        best = families[int(np.argmax(model.family_weights @ x))]
+        langs = model.families[best]
+        votes = dict.fromkeys(langs, 0)
+        for (a, b), w in model.pair_weights.items():
+            if a in langs and b in langs:
+                votes[a if w @ x > 0 else b] += 1
+        assert r["lang_pred"] == max(langs, key=lambda k: votes[k])
+
+
+def _plain_vector(text):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    c = [ord(x) for x in " " + " ".join(letters.split()) + " "]
+    m, counts = 2**32, np.zeros(langid.DIMENSIONS)
+
+    def put(h):
+        counts[((h ^ h >> 15) * 2246822519 % m) >> (32 - 13)] += 1
+
+    pair = lambda a, b: (a * 2654435761 + (b * 2246822519 % m >> 3) * 3266489917) % m
+    for a in c:
+        put((a * 2654435761 + 1) % m)
+    for a, b in zip(c, c[1:]):  # noqa: B905
+        put(pair(a, b))
+    for a, b, d in zip(c, c[1:], c[2:]):  # noqa: B905
+        put((pair(a, b) * 668265263 + (d * 2654435761 % m >> 5) + 374761393) % m)
+    x = np.sqrt(counts)
+    return x / np.sqrt((x * x).sum())
+
+
+# Neutral sentences in the corpus's languages, with a place for a group.
+NEUTRAL = {"en": "The {} of the town met at the library.", "de": "Die {} der Stadt trafen sich in der Bibliothek.", "fr": "Les {} de la ville se sont rencontrés à la bibliothèque.", "es": "Los {} de la ciudad se reunieron en la biblioteca."}
+
+
+def test_neutral_mentions_of_groups_are_not_toxic(spark):
+    docs, labels = spark.read.parquet(f"{ORACLE}/documents.parquet"), spark.read.parquet(f"{ORACLE}/labels.parquet")
+    model = toxicity.learn(docs, labels, where=queries.fold("doc_id", 4) != 2)
+    held = docs.join(labels.where("toxic = 0"), "doc_id").where(queries.fold("doc_id", 4) == 2).select("text", "lang").collect()
+    flagged, moved, n = 0, 0.0, 0
+    for r in held:
+        for group in toxicity.IDENTITIES:
+            scores = [model.score(f"{r['text']}\n{NEUTRAL[r['lang']].format(w)}") for w in group.split()]
+            flagged += sum(s >= 0.3 for s in scores)
+            moved = max(moved, max(scores) - min(scores))
+            n += len(scores)
+    assert n > 1000 and flagged / n < 0.01 and moved < 0.05

@@ -2,7 +2,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, quality_crf, secret_scan
+from quillon.llm import langid, quality_crf
 from tests.conftest import ORACLE, SMALL
 from tests.llm import brute
 from tests.llm.test_tokens import check_packing
@@ -38,15 +38,29 @@ def test_run_keeps_clean_documents(spark):
     assert np.mean([i in kept for i, q in labels.items() if q == 0]) < 0.3
 
 
-def test_nulls_pass(spark):
+def test_odd_rows_pass_every_stage(spark):
+    """Null, empty and very long texts, null ids, repeated rows, empty tables, and columns with the operators' own names."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
-    odd = docs.limit(2).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10_000)
-    both = docs.unionByName(odd)
-    assert corpus_pipeline.identify_language(spark, both, SMALL).where("doc_id >= 10000").count() == 0
-    for _, f in corpus_pipeline.STAGES[1:]:
-        assert f(spark, both, SMALL).count() >= 30
-        assert f(spark, both.limit(0), SMALL).count() == 0
-    assert secret_scan.KINDS[:3] == ["assign", "access", "hex"]
+    texts = [None, "", " \n", "one", "no secrets here, only words that go on and on. " * 20_000, "x" * 60_000, None]
+    odd = spark.createDataFrame([(None if i == 6 else 10_000 + i, t, "en", "made", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns))
+    both = docs.unionByName(odd).unionByName(odd.where("doc_id = 10003"))
+    names = ["score", "lang_pred", "_quality", "quality_score", "spans", "base_spans", "all_secrets", "all_secrets_run", "kept", "copy", "rep", "group_id", "_id", "_h", "_text", "_k0", "_y", "label", "sequence_id"]
+    for c in names:
+        both = both.withColumn(c, F.lit(f"own {c}"))
+    left = {}
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, both, SMALL)
+        rows = out.collect()
+        left[name] = [r["doc_id"] for r in rows]
+        assert len(rows) >= 30 and f(spark, both.limit(0), SMALL).count() == 0
+        if name != "best_fit_packing":
+            assert out.columns == both.columns
+            assert all(r[c] == f"own {c}" for r in rows for c in names)
+    assert not {10_000, 10_001, 10_002} & set(left["language_id"]) and {10_003, 10_004} <= set(left["language_id"])
+    assert left["ngram_jaccard_join"].count(10_003) == 1 and left["secret_scans"].count(10_003) == 2
+    assert {10_000, 10_001, 10_002, 10_004, 10_005} <= set(left["ngram_jaccard_join"])
+    assert left["best_fit_packing"].count(10_000) == 1 and left["best_fit_packing"].count(10_004) > 100
 
 
 def test_repeated_rows_and_rows_without_an_id_stay_once(spark):
