@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from quillon import schemas
-from quillon.operators import items, linking, prompts, report, scoring
-from quillon.sources import scene_graphs, sinks, tables
+from quillon.operators import items, linking, models, prompts, report, scoring
+from quillon.sources import scene_graphs, scratch, sinks, tables
 
 
 def _one(df) -> dict:
@@ -23,6 +24,13 @@ def _positive(v: str) -> int:
     return n
 
 
+def _not_negative(v: str) -> float:
+    f = float(v)
+    if not f >= 0:
+        raise argparse.ArgumentTypeError("must not be negative")
+    return f
+
+
 def _fraction(v: str) -> float:
     f = float(v)
     if not 0 < f < 1:
@@ -40,7 +48,7 @@ def parse_chest_imagenome(spark, a):
 
 def link_mimic_images(spark, a):
     index = linking.image_index(tables.read_parquet(spark, a.objects, schemas.OBJECTS), tables.read_parquet(spark, a.attributes, schemas.ASSERTIONS))
-    sinks.write_parquet(index, a.output, schemas.IMAGE_INDEX)
+    sinks.write_parquet(items.in_order(index, schemas.IMAGE_KEY), a.output, schemas.IMAGE_INDEX)
     sinks.write_json(a.summary, out := _one(linking.image_index_summary(index)))
     return out
 
@@ -52,8 +60,9 @@ def _build(spark, a, level):
     args = (assertions, index) if level == "g1" else (assertions, objects, index)
     h1 = (items.build_g1_h1 if level == "g1" else items.build_g2_h1)(*args)
     h2, balance = (items.build_g1_h2 if level == "g1" else items.build_g2_h2)(*args, a.unsupported, not a.no_balance_h2, a.h2_unsupported_fraction, a.h2_sampling_seed)
-    sinks.write_jsonl(h1, a.h1_output)
-    sinks.write_jsonl(h2, a.h2_output)
+    keys = [*schemas.IMAGE_KEY, "target_anatomy", "target_finding"]
+    sinks.write_jsonl(items.in_order(h1, keys), a.h1_output)
+    sinks.write_jsonl(items.in_order(h2, ["answer_label", *keys]), a.h2_output)  # supported claims come first
     groups = items.g1_groups(assertions) if level == "g1" else items.g2_groups(assertions)
     out = _one(items.builder_summary(groups, objects)) | {"h2_balance": balance}
     sinks.update_summary(a.summary, level, out)
@@ -72,18 +81,57 @@ def batch_infer(spark, a):
         print("mode oracle needs --eval-metadata", file=sys.stderr)
         raise SystemExit(2)
     meta = tables.read_jsonl(spark, a.eval_metadata, schemas.EVAL_METADATA) if a.eval_metadata else None
-    sinks.write_jsonl(out := prompts.mock_responses(tables.read_jsonl(spark, a.input, schemas.MODEL_INPUTS).drop("_ord"), meta, a.mode, a.model_name), a.output)
+    sinks.write_jsonl(out := prompts.mock_responses(tables.read_jsonl(spark, a.input, schemas.MODEL_INPUTS), meta, a.mode, a.model_name), a.output)
     return {"rows": out.count()}
 
 
 def medgemma_runner(spark, a):
     inputs = tables.read_jsonl(spark, a.input, schemas.MODEL_INPUTS, a.limit)
     meta = tables.read_jsonl(spark, a.eval_metadata, schemas.EVAL_METADATA)
-    if not a.dry_run:
-        raise SystemExit("a model is run with quillon.operators.prompts.run_model and a loader; this command has --dry-run only")
-    rows = prompts.dry_run(inputs.drop("_ord"), meta, tables.list_images(spark, a.data_root) if a.data_root else None, a.data_root)
-    sinks.write_jsonl(rows, a.output)
-    return _one(prompts.dry_run_summary(rows))
+    if a.dry_run:
+        rows = prompts.dry_run(inputs.drop("_ord"), meta, tables.list_images(spark, a.data_root) if a.data_root else None, a.data_root)
+        sinks.write_jsonl(rows, a.output)
+        return _one(prompts.dry_run_summary(rows))
+    try:
+        load = models.loader(a.loader, a.model_path, a.device, a.dtype)
+        out = prompts.run_model(inputs, meta, load, a.model_name, a.model_path, a.data_root, a.device, a.batch_size, a.max_new_tokens, a.temperature, a.dtype)
+    except (RuntimeError, ValueError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        raise SystemExit(1) from e
+    out = scratch.materialize(out)  # each answer is made once
+    sinks.write_jsonl(out, a.output)
+    return _one(prompts.run_counts(out)) | {"outputs": out.count()}
+
+
+def link_and_download(spark, a):
+    """Links of the splits' items, the manifest, the counts, and the items whose image is there."""
+    splits = {Path(p).name: tables.read_jsonl(spark, p, schemas.ITEMS) for p in a.inputs}
+    links = linking.classify_links(linking.needed_images(list(splits.values())), tables.read_metadata(spark, a.metadata, a.split), f"{a.files_root.rstrip('/')}/", f"{a.base_url.rstrip('/')}/" if a.base_url else "")
+    manifest = scratch.materialize(linking.download_manifest(links, a.dry_run, _fetch, a.limit, a.link_only_existing, a.overwrite, a.timeout, a.username_env, a.password_env))
+    sinks.write_csv(manifest, f"{a.output_dir}/manifest")
+    sinks.write_url_list(links, f"{a.output_dir}/urls")
+    out = _one(linking.link_summary(links)) | _one(linking.download_summary(manifest))
+    for name, split in splits.items():
+        linked, counts = linking.link_items(split.drop("_ord"), linking.available_links(manifest))
+        sinks.write_jsonl(items.in_order(linked, ["item_id"]), f"{a.output_dir}/linked/{name}")
+        out[name] = _one(counts)
+    sinks.write_json(f"{a.output_dir}/summary.json", out)
+    return out
+
+
+def _fetch(url, path, timeout_seconds, credentials):
+    import base64
+    import shutil
+    import urllib.request
+
+    request = urllib.request.Request(url)
+    if credentials:
+        request.add_header("Authorization", "Basic " + base64.b64encode(":".join(c or "" for c in credentials).encode()).decode())
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    part = Path(f"{path}.part")
+    with urllib.request.urlopen(request, timeout=timeout_seconds) as source, part.open("wb") as target:
+        shutil.copyfileobj(source, target)
+    part.replace(path)
 
 
 def parse_answer(spark, a):
@@ -146,6 +194,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data-root")
     p.add_argument("--limit", type=_positive)
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--model-path", default="")
+    p.add_argument("--model-name", default="medgemma")
+    p.add_argument("--loader", help="module:function that gives a loader; default: a local model")
+    p.add_argument("--device", choices=["cuda", "cpu", "auto"], default="cuda")
+    p.add_argument("--dtype", choices=list(models.DTYPES), default="bfloat16")
+    p.add_argument("--batch-size", type=_positive, default=1)
+    p.add_argument("--max-new-tokens", type=_positive, default=16)
+    p.add_argument("--temperature", type=_not_negative, default=0.0)
+    p = command(link_and_download, "--metadata", "--files-root", "--output-dir")
+    p.add_argument("--inputs", nargs="+", required=True)
+    for o in ("--split", "--base-url", "--username-env", "--password-env"):
+        p.add_argument(o)
+    p.add_argument("--limit", type=_positive)
+    p.add_argument("--timeout", type=float, default=60.0)
+    for o in ("--dry-run", "--link-only-existing", "--overwrite"):
+        p.add_argument(o, action="store_true")
     command(parse_answer, "--input", "--output")
     command(score_closed_qa, "--input", "--output", "--summary")
     p = command(metrics, "--output")

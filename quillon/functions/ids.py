@@ -28,15 +28,19 @@ def json_text(c: Column, any_text: bool = True) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
-def stable_id(prefix: str, components: dict[str, Column | int | None], any_text: bool = True) -> Column:
+def digest_id(prefix: str, json_values: dict[str, Column | str]) -> Column:
+    """The id of components whose values are JSON text already; usable inside lambdas."""
     parts: list[Column] = []
-    for k, name in enumerate(sorted(components)):
-        v = components[name]
-        parts.append(F.lit(("{" if k == 0 else ", ") + json.dumps(name) + ": "))
-        parts.append(F.lit(json.dumps(v)) if v is None or isinstance(v, int) else json_text(v, any_text))
+    for k, name in enumerate(sorted(json_values)):
+        v = json_values[name]
+        parts += [F.lit(("{" if k == 0 else ", ") + json.dumps(name) + ": "), F.lit(v) if isinstance(v, str) else v]
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha1(F.concat(*parts, F.lit("}")).cast("binary")), 1, 16))
 
 
+def stable_id(prefix: str, components: dict[str, Column | int | None], any_text: bool = True) -> Column:
+    return digest_id(prefix, {k: json.dumps(v) if v is None or isinstance(v, int) else json_text(v, any_text) for k, v in components.items()})
+
+
 def stable_id_sql(prefix: str, components: dict[str, str | int | None]) -> str:
     """The same as SQL text for printable ASCII values; strings are SQL expressions."""
     parts = []

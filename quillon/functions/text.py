@@ -80,5 +80,10 @@ def run_label(run: Column, group: Column) -> Column:
     return F.concat(run, F.lit(":"), group)
 
 
+def string_or_null(c: Column, kind: str) -> Column:
+    """A value as text, null for null; booleans as True and False (SCL20)."""
+    return F.initcap(c.cast("string")) if kind == "boolean" else c.cast("string")
+
+
 def first_non_null(*values: Column) -> Column:
     return F.coalesce(*values)

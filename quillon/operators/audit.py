@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import truthy
-from quillon.operators.items import evidence_groups, g2_evidence, g2_groups
+from quillon.operators.items import attach_boxes, evidence_groups, g1_evidence, g2_evidence, g2_groups
 from quillon.schemas import FINDING, IMAGE_KEY
 
 
@@ -27,6 +27,60 @@ def audit_counts(assertions: DataFrame, objects: DataFrame) -> DataFrame:
     return a.crossJoin(o)  # one row each
 
 
+CUES = ["severity_cues", "temporal_cues", "texture_cues", "comparison_cues"]
+
+
+def evidence_audit(assertions: DataFrame, objects: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row: files, records, boxes, assertion states, records without anatomy, cues, phrase coverage (EXT8)."""
+    cue = lambda c: F.count_if(F.size(c) > 0 if c in assertions.columns else F.lit(False)).alias(f"with_{c}")
+    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    finding = F.col("category") == FINDING
+    a = assertions.agg(
+        n(finding & (F.col("polarity") == "yes"), "yes"), n(finding & (F.col("polarity") == "no"), "no"), n(finding & ~F.col("polarity").isin("yes", "no"), "uncertain"),
+        n(~F.col("anatomy_bound"), "without_anatomy"), *map(cue, CUES), n(truthy(F.col("label_name")) & truthy(F.col("phrase")), "labels_with_phrase"), n(truthy(F.col("label_name")), "labels"),
+    )
+    conflicts = evidence_groups(g1_evidence(assertions), [*IMAGE_KEY, "label_name"]).agg(F.count_if("conflict").alias("conflict_groups"))
+    box = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in ("x1", "y1", "x2", "y2")])
+    o = objects.agg(F.count("*").alias("objects"), F.count_if(box).alias("boxes"))
+    out = a.crossJoin(conflicts).crossJoin(o)  # one row each
+    return out if files is None else out.crossJoin(files.agg(F.count("*").alias("files")))
+
+
+def label_distribution(assertions: DataFrame) -> DataFrame:
+    """Assertions of each category and polarity; `attribute` is a category of the source like others."""
+    return assertions.groupBy("category", "polarity").agg(F.count("*").alias("n"))
+
+
+def radgraph_counts(entities: DataFrame, reports: DataFrame, linked_studies: DataFrame, evidence_studies: DataFrame, study: str = "report_id") -> DataFrame:
+    """One row: studies, and how many of them other sources have too (EXT9)."""
+    own = reports.select(F.col(study).alias("study_id")).where("study_id is not null").distinct()
+    there = lambda other, name: own.join(other.select("study_id").distinct(), "study_id", "left_semi").agg(F.count("*").alias(name))
+    out = own.agg(F.count("*").alias("studies")).crossJoin(there(linked_studies, "in_images")).crossJoin(there(evidence_studies, "in_evidence"))
+    return out.crossJoin(entities.agg(F.count("*").alias("entities"), *(F.count_if(F.col("label") == x).alias(x) for x in RADGRAPH_LABELS)))
+
+
+def top_entities(entities: DataFrame, anatomy: bool, k: int = 20) -> DataFrame:
+    """The most frequent observations, or anatomies; ties by text."""
+    of = F.col("label").startswith("ANAT")
+    return entities.where(of if anatomy else F.col("label").startswith("OBS")).groupBy("tokens").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tokens").limit(k)
+
+
+def candidate_counts(assertions: DataFrame, objects: DataFrame) -> DataFrame:
+    """One row: candidates of each kind of item, and those left out with the reason (EXT12)."""
+    g1 = evidence_groups(g1_evidence(assertions), [*IMAGE_KEY, "label_name"]).agg(F.count_if(~F.col("conflict")).alias("g1_valid"), F.count_if("conflict").alias("g1_conflicting"))
+    g2 = attach_boxes(g2_groups(assertions), objects).agg(
+        F.count_if(F.expr("not conflict and bbox is not null")).alias("g2_valid"), F.count_if("conflict").alias("g2_conflicting"), F.count_if(F.expr("not conflict and bbox is null")).alias("g2_without_box"),
+    )
+    finding = F.col("category") == FINDING
+    raw = assertions.agg(
+        F.count_if(finding & ~truthy(F.col("label_name"))).alias("without_label"), F.count_if(finding & ~F.coalesce(F.col("polarity").isin("yes", "no"), F.lit(False))).alias("uncertain"),
+        F.count_if(finding & (F.col("polarity") == "yes") & (F.size("severity_cues") > 0)).alias("with_modifier"),
+    )
+    g3a = contrast_pairs(assertions).agg(F.count("*").alias("g3a_pairs"))
+    g3b = modifier_items(assertions).agg(F.count("*").alias("g3b_supported"))
+    return reduce(DataFrame.crossJoin, [g1, g2, raw, g3a, g3b])  # one row each
+
+
 def one_to_many(df: DataFrame, key: str, member: str) -> DataFrame:
     """Keys with more than one member."""
     return df.groupBy(key).agg(F.count_distinct(member).alias("members")).where("members > 1")
@@ -61,6 +115,7 @@ def centre_in_box(p: str = "", q: str = "_") -> Column:
 def overlapping_boxes(objects: DataFrame) -> DataFrame:
     """Pairs of an image's boxes, by name, with their overlap. An image has a few dozen boxes at most."""
     box = ["x1", "y1", "x2", "y2"]
+    objects = objects.where("image_id is not null and bbox_name is not null")  # else rows without an image would all meet
     other = objects.select(*(F.col(k).alias(f"_{k}") for k in [*IMAGE_KEY, "bbox_name", *box]))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in IMAGE_KEY]) & (F.col("bbox_name") < F.col("_bbox_name"))
     return objects.join(other, on).select("image_id", F.col("bbox_name").alias("bbox_a"), F.col("_bbox_name").alias("bbox_b"), box_iou().alias("iou"), centre_in_box().alias("centre_inside"))
@@ -100,6 +155,7 @@ def synthesis_proxy(assertions: DataFrame) -> DataFrame:
 # Observation classes and the answers that they stand for.
 RADGRAPH_ANSWER = {"OBS-DP": "Yes", "OBS-DA": "No", "OBS-U": "Uncertain"}
 RADGRAPH_RELATIONS = ["located_at", "modify", "suggestive_of"]
+RADGRAPH_LABELS = ["ANAT-DP", "OBS-DP", "OBS-U", "OBS-DA"]
 
 
 def normalize_radgraph(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,10 +179,27 @@ def radgraph_audit(entities: DataFrame, relations: DataFrame) -> DataFrame:
 def schema_violations(items: DataFrame) -> DataFrame:
     """(item_id, rule) for every broken rule of an item table."""
     g2 = F.col("granularity") == "G2"
+    sources = F.coalesce(F.col("source_assertions"), F.array().cast(items.schema["source_assertions"].dataType))
+    constructed = F.exists(sources, lambda a: truthy(a["source"]))
+    polar = lambda v: F.exists(sources, lambda a: a["polarity"].eqNullSafe(v))
     rules = {
+        "missing_as_negative": (F.col("answer_label") == "No") & ~polar("no"), "constructed_as_negative": constructed & F.col("answer_label").isin("Yes", "No"),
+        "state_as_answer": F.col("answer_label").isin("Unknown", "Conflict"), "conflicting_sources": polar("yes") & polar("no") & ~F.coalesce(F.col("exclusion_flag").isNotNull(), F.lit(False)),
+        "unbound_source_of_g2": g2 & ~constructed & F.exists(sources, lambda a: ~truthy(a["bbox_name"])), "source_is_no_finding": ~constructed & F.exists(sources, lambda a: ~a["category"].eqNullSafe(FINDING)),
+        "box_of_other_anatomy": g2 & ~F.coalesce(F.col("bbox.bbox_name") == F.col("target_anatomy"), F.col("bbox").isNull()),
+        "contrast_without_distractor": (F.col("granularity") == "G3a") & ~F.coalesce(F.size("evidence_sources") > 1, F.lit(False)),
+        "negated_modifier": (F.col("granularity") == "G3b") & polar("no"), "valid_for_training": F.col("valid_for_training"),
+    } | {
         "missing_item_id": ~truthy(F.col("item_id")), "bad_answer": ~F.coalesce(F.col("answer_label").isin("Yes", "No", "Uncertain", "Supported", "Unsupported"), F.lit(False)),
         "no_source_assertions": F.coalesce(F.size("source_assertions"), F.lit(0)) < 1, "no_evidence_sources": F.coalesce(F.size("evidence_sources"), F.lit(0)) < 1,
         "g2_without_anatomy": g2 & ~truthy(F.col("target_anatomy")), "g2_without_box": g2 & F.col("bbox").isNull(), "g1_with_anatomy": (F.col("granularity") == "G1") & F.col("target_anatomy").isNotNull(),
         "h1_not_clean": (F.col("hallucination_probe") == "H1") & ~F.col("valid_for_clean_qa"), "no_question": ~truthy(F.col("question")), "silver_only": F.col("source_quality") != "silver",
     }
     return items.select("item_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())))).alias("rule"))
+
+
+def scored_violations(scored: DataFrame) -> DataFrame:
+    """(item_id, rule) for scored rows that lost a field they have to keep."""
+    kept = ["item_id", "granularity", "question_type", "answer_label", "score"]
+    lost = {f"lost_{c}": ~truthy(F.col(c)) for c in kept} | {"lost_parsed_answer": F.col("parsed_answer").isNull() & (F.col("score") != "invalid_response")}
+    return scored.select("item_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in lost.items())))).alias("rule"))

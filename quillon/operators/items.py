@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.ids import stable_id
+from quillon.functions.ids import digest_id, json_text, stable_id
 from quillon.functions.text import finding_claim, finding_question, support_question, truthy
 from quillon.operators.sampling import balance
 from quillon.schemas import BBOX, BOX, DATASET, FINDING, IMAGE_KEY, ITEMS, SILVER, SOURCE_ASSERTION, conform
+from quillon.sources.scratch import materialize
 
 PROBE_SOURCE = "constructed_missing_evidence_probe"
 _TRACE = ["assertion_id", "raw_label", "category", "polarity", "label_name", "bbox_name", "phrase_id", "phrase_index", "source_quality"]
@@ -57,6 +58,11 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys])
 
 
+def in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in the order of the keys as text, nulls as empty (SRT1-SRT3): a range shuffle, for ordered output."""
+    return df.orderBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys if k in df.columns))
+
+
 def _order(df: DataFrame) -> Column:
     return F.col("_ord") if "_ord" in df.columns else F.struct(*sorted(c for c, t in df.dtypes if not t.startswith(("map", "variant"))))
 
@@ -118,17 +124,25 @@ def build_g2_h1(assertions: DataFrame, objects: DataFrame, image_index: DataFram
     return _item(g, "G2", "H1", finding_question(F.col("label_name"), F.col("bbox_name")), F.when(F.col("any_yes"), "Yes").otherwise("No"), None, F.col("source_assertions"), ["E1_bbox", "E2_anatomy_finding_pair"], any_text)
 
 
+#: Findings up to which the vocabulary is sent to every task; a larger one is joined as Spark sees fit.
+BROADCAST_FINDINGS = 100_000
+
+
 def _missing(mentions: DataFrame, vocab: DataFrame, scope: list[str], k: int, any_text: bool) -> DataFrame:
-    """The first k findings by hash that `mentioned` lacks. The vocabulary is one array, small next to the images."""
-    words = vocab.agg(F.array_sort(F.collect_set("label_name")).alias("vocab"))
-    ranked = lambda f: F.struct(stable_id("rank", {**{c if c != "image_id" else "image": F.col(c) for c in scope}, "finding": f}, any_text).alias("r"), f.alias("f"))
-    lacking = mentions.crossJoin(F.broadcast(words)).withColumn("lack", F.array_except("vocab", "mentioned"))
-    if any_text:  # Python functions don't run inside lambdas
-        w = lacking.withColumn("_row", F.monotonically_increasing_id()).select("*", F.explode("lack").alias("label_name")).withColumn("_r", ranked(F.col("label_name"))["r"])
-        first = w.groupBy("_row").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col("label_name").alias("f")))), 1, k).alias("top"), *(F.first(c).alias(c) for c in mentions.columns if c != "mentioned"))
-        return first.select(*(c for c in mentions.columns if c != "mentioned"), F.explode("top.f").alias("label_name"))
-    top = F.slice(F.array_sort(F.transform("lack", ranked)), 1, k)
-    return lacking.select(*(c for c in mentions.columns if c != "mentioned"), F.explode(F.transform(top, lambda s: s["f"])).alias("label_name"))
+    """The first k findings by hash that `mentioned` lacks, ranked inside the row.
+
+    The vocabulary is one row: an array of findings with their JSON text, which is made once for each finding.
+    """
+    known = materialize(vocab.select(F.col("label_name").alias("f"), json_text(F.col("label_name"), any_text).alias("j")))
+    words = known.agg(F.array_sort(F.collect_set(F.struct("f", "j"))).alias("vocab"))
+    words = F.broadcast(words) if known.count() <= BROADCAST_FINDINGS else words
+    rest = [c for c in mentions.columns if c != "mentioned"]
+    scoped = mentions.select("*", *(json_text(F.col(c), any_text).alias(f"_j_{c}") for c in scope))
+    of = {c if c != "image_id" else "image": F.col(f"_j_{c}") for c in scope}
+    lack = F.filter("vocab", lambda w: ~F.array_contains("mentioned", w["f"]))
+    ranked = F.transform(lack, lambda w: F.struct(digest_id("rank", of | {"finding": w["j"]}).alias("r"), w["f"].alias("f")))
+    top = F.slice(F.array_sort(ranked), 1, k)
+    return scoped.crossJoin(words).select(*rest, F.explode(F.transform(top, lambda s: s["f"])).alias("label_name"))
 
 
 def g1_missing(assertions: DataFrame, k: int = 1, any_text: bool = True) -> DataFrame:

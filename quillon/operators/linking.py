@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from quillon.functions.text import relative_image_path, truthy
 from quillon.schemas import IMAGE_INDEX, IMAGE_KEY, LINKS, conform
 
 #: Download statuses whose file is not there to be linked.
-UNAVAILABLE = ["failed", "dry_run"]
+UNAVAILABLE = ["failed", "dry_run", "missing_local"]
 
 
 def image_index(objects: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -49,28 +50,51 @@ def link_summary(links: DataFrame) -> DataFrame:
     return links.agg(F.count("*").alias("unique_requested_images"), n("matched").alias("matched_metadata_rows"), n("id_mismatch").alias("id_mismatches"), n("missing_metadata").alias("missing_metadata"))
 
 
-def download_manifest(links: DataFrame, dry_run: bool = True, fetch=None, limit: int | None = None) -> DataFrame:
-    """download_status of every matched link: dry_run, or what fetch(url, path) returns ("downloaded", "exists"); "failed" if it raises.
+def download_manifest(
+    links: DataFrame, dry_run: bool = True, fetch=None, limit: int | None = None, link_only_existing: bool = False, overwrite: bool = False, timeout_seconds: float = 60.0,
+    username_env: str | None = None, password_env: str | None = None, exists=os.path.exists,
+) -> DataFrame:
+    """download_status of every matched link.
 
-    Downloads run on the executors, one partition's links after another; nothing is written in a dry run.
+    existing: the file is there and is not to be overwritten. missing_local: it is not, and only existing files
+    are to be linked. Else dry_run, or downloaded as fetch(url, path, timeout_seconds=, credentials=) did it, or
+    failed if that raised. Downloads run on the executors, one partition's links after another; nothing is
+    fetched in a dry run. Credentials are read on the executors from the named environment variables.
     """
     rows = links.where("link_status = 'matched'")
     rows = rows if limit is None else rows.orderBy(*IMAGE_KEY).limit(limit)
-    if dry_run or fetch is None:
-        return conform(rows.withColumn("download_status", F.lit("dry_run")), LINKS)
+    if fetch is None and not dry_run and not link_only_existing:
+        raise ValueError("a download needs a function fetch")
+
+    def status(url: str, path: str) -> str:
+        if not overwrite and exists(path):
+            return "existing"
+        if link_only_existing:
+            return "missing_local"
+        if dry_run:
+            return "dry_run"
+        user, word = (os.environ.get(v) if v else None for v in (username_env, password_env))
+        try:
+            fetch(url, path, timeout_seconds=timeout_seconds, credentials=(user, word) if user else None)
+        except Exception:
+            return "failed"
+        return "downloaded"
 
     def run(frames):
         for f in frames:
-            def one(url, path):
-                try:
-                    return fetch(url, path)
-                except Exception:
-                    return "failed"
-            yield f.assign(download_status=[one(u, p) for u, p in zip(f["source_url"], f["image_path"], strict=True)])
+            yield f.assign(download_status=[status(u, p) for u, p in zip(f["source_url"], f["image_path"], strict=True)])
 
     return conform(rows, LINKS).mapInPandas(run, LINKS)
 
 
+def download_summary(manifest: DataFrame) -> DataFrame:
+    n = lambda s: F.count_if(F.col("download_status") == s)
+    return manifest.agg(
+        F.count("*").alias("manifest_rows"), n("downloaded").alias("downloaded_files"), n("existing").alias("existing_files"), n("missing_local").alias("missing_local_files"),
+        n("dry_run").alias("dry_run_files"), n("failed").alias("failed_files"),
+    )
+
+
 def available_links(manifest: DataFrame) -> DataFrame:
     return manifest.where(truthy(F.col("download_status")) & ~F.col("download_status").isin(*UNAVAILABLE))
 

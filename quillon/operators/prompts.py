@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import render_prompt, resolve_path, template_id, truthy
 from quillon.operators.items import last_by_key
 from quillon.schemas import ANSWERS, EVAL_METADATA, MODEL_INPUTS, RESPONSES, conform
+from quillon.sources.scratch import materialize
 
 MODES = ["oracle", "always_yes", "always_no", "always_supported", "always_unsupported", "alternating", "invalid"]
 INVALID_TEXT = "This response intentionally does not follow the requested format."
@@ -63,22 +64,23 @@ def mock_answer(mode: str, label: Column, probe: Column, index: Column) -> Colum
 
 
 def with_row_index(df: DataFrame, order: str) -> DataFrame:
-    """row_index from 0 in the given order, ties in any order.
+    """row_index from 0 in the given order (any type that sorts), nulls first, ties in any order.
 
-    Rows go to ranges between boundaries that a few hashed values set; each range is numbered apart and
-    shifted by the sizes of those before it, so no task holds all rows.
+    Rows are dealt to ranges and kept in a table of their own; each range is numbered apart and shifted by the
+    sizes of those before it, so no task holds all rows. Ties and nulls are dealt further by the whole row.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order), order).limit(ranges - 1).collect())
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    ranged = df.withColumn("_p", F.coalesce(place, F.lit(-1)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    tie = F.xxhash64(*(c for c, t in df.dtypes if not t.startswith(("map", "variant"))))
+    dealt = materialize(df.withColumn("_tie", tie).repartitionByRange(ranges, F.col(order).asc_nulls_first(), F.col("_tie")).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a range
-    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    return local.join(F.broadcast(before), "_p").withColumn("row_index", F.col("_k") - 1 + F.col("_before")).drop("_p", "_k", "_before")
+    local = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(F.col(order).asc_nulls_first(), "_tie")))
+    return local.join(F.broadcast(before), "_p").withColumn("row_index", F.col("_k") - 1 + F.col("_before")).drop("_p", "_k", "_tie", "_before")
 
 
-def mock_responses(prompts: DataFrame, metadata: DataFrame | None, mode: str = "oracle", model_name: str = "mock", order: str = "item_id") -> DataFrame:
+def mock_responses(prompts: DataFrame, metadata: DataFrame | None, mode: str = "oracle", model_name: str = "mock", order: str | None = None) -> DataFrame:
+    """Answers without a model. Alternating ones follow the order of the records: `order`, else _ord if there is one, else item_id."""
+    order = order or ("_ord" if "_ord" in prompts.columns else "item_id")
     if mode == "oracle" and metadata is None:
         raise ValueError("mode oracle needs eval metadata")
     rows = with_metadata(prompts, metadata) if metadata is not None else prompts.select("*", *(F.lit(None).cast("string").alias(c) for c in META))
@@ -117,10 +119,14 @@ class Runner(Protocol):
 
 
 def run_model(prompts: DataFrame, metadata: DataFrame, load: Callable[[], Runner], model_name: str, model_version: str = "", root: str | None = None, device: str = "cuda", batch_size: int = 1, max_new_tokens: int = 16, temperature: float = 0.0, dtype: str = "bfloat16") -> DataFrame:
-    """Answers of a model that is loaded once in each partition; an error becomes a row, not a failed task."""
+    """Answers of a model that is loaded once in each partition; an error becomes a row, not a failed task.
+
+    row_index is the place in the order of the records (_ord if there is one, else item_id).
+    """
     if batch_size != 1:
         raise ValueError("batch_size must be 1")
-    rows = with_metadata(prompts, metadata).withColumn("_resolved", resolve_path(F.col("image_path"), root)).withColumn("row_index", F.monotonically_increasing_id())
+    numbered = with_row_index(prompts, "_ord" if "_ord" in prompts.columns else "item_id")
+    rows = with_metadata(numbered, metadata).withColumn("_resolved", resolve_path(F.col("image_path"), root))
     flat = RESPONSES
     sent = rows.select("item_id", "image_path", "prompt_template_id", "prompt", *META, "_resolved", "row_index")
 

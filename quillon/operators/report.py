@@ -69,16 +69,27 @@ def render_figures(rows: list[dict], folder: str) -> list[Path]:
             ax.legend()
         return draw
 
-    save("overall_accuracy", bars(overall, ["accuracy"]))
-    save("overall_rates", bars(overall, list(RATES)))
-    for kind in list(GROUPINGS)[1:]:
-        own = [r for r in rows if r["group_type"] == kind]
-        save(f"accuracy_{kind}", bars(own, ["accuracy"]))
-        save(f"rates_{kind}", bars(own, list(RATES)))
-    if len(overall) > 1:
-        def lines(ax):
-            for f in RATES:
-                ax.plot([r["run_name"] for r in overall], [r[f] or 0 for r in overall], marker="o", label=f)
+    def lines(rows, fields):
+        def draw(ax):
+            for f in fields:
+                ax.plot([r["run_name"] for r in rows], [r[f] or 0 for r in rows], marker="o", label=f)
             ax.legend()
-        save("rates_by_run", lines)
+        return draw
+
+    several = len(overall) > 1
+    for name, own, fields, draw in charts(rows):
+        save(name, lines(own, fields) if draw == "line" and several else bars(own, fields))
     return made
+
+
+def charts(rows: list[dict]) -> list[tuple[str, list[dict], list[str], str]]:
+    """Name, rows, fields and kind of every chart that the rows allow; a line over one run is drawn as bars."""
+    overall = [r for r in rows if r["group_type"] == "overall"]
+    probes = [r for r in rows if r["group_type"] == "by_hallucination_probe"]
+    h1 = [r for r in probes if r["group"] == "H1"]
+    every = [
+        ("accuracy_by_probe", probes, ["accuracy"], "bar"), ("h_counts_by_probe", probes, ["h1_count", "h2_count"], "bar"),
+        ("overall_accuracy", overall, ["accuracy"], "line"), ("overall_h_rates", overall, ["h1_rate", "h2_rate"], "line"),
+        ("h1_direction_counts", h1, ["h1_false_positive_count", "h1_false_negative_count"], "bar"),
+    ]
+    return [c for c in every if c[1]]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.ids import stable_id
+from quillon.sources.scratch import discard, materialize
 
 
 def quotas(positive: int, negative: int, negative_fraction: float) -> tuple[int, int]:
@@ -21,32 +22,55 @@ def quotas(positive: int, negative: int, negative_fraction: float) -> tuple[int,
     return max(1, min(positive, int(negative / ratio))), max(1, min(negative, int(positive * ratio)))
 
 
+#: Hex digits of a rank by which rows are counted before the cut is looked for: 65,536 rows at most.
+PREFIX = 4
+
+
+def cut(ranked: DataFrame, quota: int) -> str:
+    """The rank of the quota-th row of (_rank, _n), _n rows having that rank.
+
+    A histogram of rank prefixes finds the prefix, and only that prefix's ranks are put in order.
+    """
+    at = len("sample_") + 1
+    prefix = F.substring("_rank", at, PREFIX)
+    before = 0
+    for p, n in sorted((r["p"], r["n"]) for r in ranked.groupBy(prefix.alias("p")).agg(F.sum("_n").alias("n")).collect()):
+        if before + n >= quota:
+            break
+        before += n
+    own = ranked.where(prefix == p).select("_rank", F.sum("_n").over(Window.orderBy("_rank")).alias("_upto"))
+    return own.where(F.col("_upto") >= quota - before).agg(F.min("_rank")).first()[0]
+
+
 def balance(items: DataFrame, positive: str = "Supported", negative: str = "Unsupported", negative_fraction: float = 0.8, seed: int = 42, any_text: bool = True) -> tuple[DataFrame, dict]:
     """Downsample two labels to the target share. Rows of other labels stay; so does all if a label is absent.
 
-    An item is kept if its id is among the first of its label by hash; rows that share a kept id all stay.
+    An item is kept if its id is among the first of its label by hash; rows that share a kept id all stay. Ids
+    are counted once, in a table of their own; the kept rows are then found by comparing ranks, without a join
+    unless some id stands under several labels.
     """
     quotas(1, 1, negative_fraction)
-    seen = {r["answer_label"]: r["n"] for r in items.where(F.col("answer_label").isin(positive, negative)).groupBy("answer_label").agg(F.count("*").alias("n")).collect()}
+    label = F.when(F.col("answer_label").isin(positive, negative), F.col("answer_label"))
+    rank = lambda of: stable_id("sample", {"seed": seed, "label": of, "item_id": F.col("item_id")}, any_text)
+    ranked = materialize(items.groupBy(label.alias("_label"), "item_id").agg(F.count("*").alias("_n")).withColumn("_rank", rank(F.col("_label"))))
+    seen = {r["_label"]: r["n"] for r in ranked.groupBy("_label").agg(F.sum("_n").alias("n")).collect()}
     before = seen.get(positive, 0), seen.get(negative, 0)
     summary = {
         "positive_label": positive, "negative_label": negative, "target_negative_fraction": negative_fraction, "sampling_seed": seed,
         "positive_before": before[0], "negative_before": before[1],
     }
     if not all(before):
+        discard(ranked)
         return items, summary | {"balance_applied": False, "balance_reason": "single_label_or_empty", "positive_after": before[0], "negative_after": before[1], "excluded_by_ratio": 0}
     keep = quotas(*before, negative_fraction)
-    kept_rows = None
-    for label, n, quota in ((positive, before[0], keep[0]), (negative, before[1], keep[1])):
-        own = items.where(F.col("answer_label") == label)
-        if quota < n:  # a bounded heap in every task, then one ordered take: no task sorts a whole label
-            rank = stable_id("sample", {"seed": seed, "label": F.lit(label), "item_id": F.col("item_id")}, any_text)
-            own = own.select("item_id", rank.alias("_rank")).orderBy("_rank", "item_id").limit(quota)
-        ids = own.select("item_id")
-        kept_rows = ids if kept_rows is None else kept_rows.unionByName(ids)
-    other = items.where(~F.coalesce(F.col("answer_label").isin(positive, negative), F.lit(False))).select("item_id")
-    kept = kept_rows.unionByName(other).distinct().withColumnRenamed("item_id", "_id")
-    out = items.join(kept, F.col("item_id").eqNullSafe(F.col("_id")), "left_semi")
+    last = {of: cut(ranked.where(F.col("_label") == of), quota) for of, n, quota in ((positive, before[0], keep[0]), (negative, before[1], keep[1])) if quota < n}
+    within = lambda of, value: F.coalesce(*(F.when(of == z, value(of) <= c) for z, c in last.items()), F.lit(True))
+    if ranked.groupBy("item_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = items.where(within(F.col("answer_label"), rank))
+        discard(ranked)
+    else:
+        kept = ranked.where(within(F.col("_label"), lambda _: F.col("_rank"))).select(F.col("item_id").alias("_id")).distinct()
+        out = items.join(kept, F.col("item_id").eqNullSafe(F.col("_id")), "left_semi")
     return out, summary | {
         "balance_applied": True, "balance_reason": "target_fraction_downsample", "positive_after": keep[0], "negative_after": keep[1], "excluded_by_ratio": sum(before) - sum(keep),
     }

@@ -24,7 +24,7 @@ from ca where l_discount < 0.08 group by patient_id, study_id, image_id, bbox_na
     "ci": """
 select cast(o_custkey as string) patient_id, cast(o_orderkey as string) study_id, concat('img-', cast(o_orderkey as string)) image_id, concat('d-', cast(o_orderkey as string)) dicom_id,
        case when o_orderkey % 3 = 0 then null else concat('files/', cast(o_orderkey as string), '.jpg') end image_path
-from orders where o_orderkey % 5 <> 0""",
+from orders""",
     "cr": """
 select cast(event_id as string) item_id, case event_type when 'view' then 'Yes.' when 'click' then 'No' when 'purchase' then 'Supported' when 'signup' then 'Yes or No' else '' end raw_response,
        case user_id % 5 when 0 then 'Yes' when 1 then 'No' when 2 then 'Supported' when 3 then 'Unsupported' else 'Uncertain' end answer_label,
@@ -61,6 +61,31 @@ def _placeholders(sql: str, frames: dict) -> str:
     return re.sub(r"\b(from|join) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in frames else m[0], sql)
 
 
+_ATTRIBUTE = """concat('{"bbox_name": ', case when l_linenumber = 5 then 'false' else concat('"', l_returnflag, ' lung"') end, ', "', l_returnflag, ' lung": ',
+  case when l_tax < 0.03 then 'true' when l_tax < 0.05 then '"true"' else 'false' end, ', "name": "Region ', l_returnflag, '", "object_id": "o', cast(l_linenumber as string),
+  '", "attributes": [["anatomicalfinding|', case when l_linestatus = 'O' then 'yes' else 'no' end, '|', lower(p_type), '", "nlp|yes|normal"], [', case when l_quantity >= 45 then '"bad label"' else '"anatomicalfinding|no|edema"' end,
+  ']], "attributes_ids": [["C1", "C2"], ["C3"]], "phrases": ["a phrase", "é 😀"], "phrase_IDs": [', case when l_discount < 0.05 then '"s|1", "s|2"' else '"s|1"' end, '], "severity_cues": [["severity|yes|mild"], []]}')"""
+_OBJECT = """concat('{"object_id": "o', cast(l_linenumber as string), '", "bbox_name": "', l_returnflag, ' lung", "name": 7, "synsets": ["S1", 2, null], "x1": ', cast(cast(l_quantity as int) as string), ', "y1": "2", "x2": true, "y2": ', cast(cast(l_quantity as int) as string), '.5}')"""
+#: What puts an order's lines in order; lines equal in it are equal as documents too.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+def scene_graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): an annotation document in JSON for each order, with dynamic keys, odd types and the faults that the parser has to see.
+
+    Orders of status P lack the objects; lines of quantity 1 are numbers where an object should be.
+    """
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    entry = lambda sql, faulty: F.when(F.col("l_quantity") == 1, F.lit(faulty)).otherwise(F.expr(sql))
+    parts = lines.select("l_orderkey", F.struct(*LINE_ORDER, entry(_ATTRIBUTE, "3").alias("a"), entry(_OBJECT, '"odd"').alias("o")).alias("line"))
+    docs = parts.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    listed = lambda c: F.array_join(F.transform("lines", lambda x: x[c]), ", ")
+    key = F.col("o_orderkey").cast("string")
+    objects = F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.concat(F.lit(', "objects": ['), listed("o"), F.lit("]")))
+    text = F.concat(F.lit('{"image_id": "img-'), key, F.lit('", "patient_id": "'), F.col("o_custkey").cast("string"), F.lit('", "study_id": '), key, objects, F.lit(', "attributes": ['), listed("a"), F.lit("]}"))
+    return docs.select(F.concat(key, F.lit("_SceneGraph.json")).alias("path"), text.alias("text"))
+
+
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the columns of the data model that the view lacks."""
     ca = view(spark, sf_dir, "ca")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.functions.ids import assertion_id, stable_id_sql
+from quillon.functions.ids import assertion_id, stable_id, stable_id_sql
 from quillon.operators import audit, items, linking, prompts, sampling, scoring
-from quillon.plans.adapters import assertions, table, view, with_views
+from quillon.plans.adapters import LINE_ORDER, assertions, scene_graph_documents, table, view, with_views
 from quillon.schemas import ITEMS
+from quillon.sources import scene_graphs
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,12 +53,67 @@ def label_split(spark, sf):
     return view(spark, sf, "ca").select("raw_label", tx.label_parts(F.col("raw_label")).alias("p")).select("raw_label", "p.*").groupBy("raw_label", "category", "polarity", "label_name").agg(F.count("*").alias("n"))
 
 
-@query("select case when source like '%1%' then 'malformed_label' else 'ok' end status, count(*) n from documents group by 1")
+@query("select case when l_tax = 0 or l_discount > 0.08 then 'malformed_label' else 'ok' end status, count(*) n from lineitem group by 1")
 def label_malformed(spark, sf):
-    """Labels with a missing or blank part, counted by kind."""
-    raw = F.when(F.col("source").contains("1"), F.concat("source", F.lit("| |x"))).otherwise(F.concat("source", F.lit("|yes|a|b")))
+    """Labels with a blank or a missing part, counted by kind."""
+    raw = F.concat_ws("|", "l_returnflag", F.when(F.col("l_tax") == 0, " \t").otherwise(F.col("l_linestatus")), F.when(F.col("l_discount") <= 0.08, F.lit("a|b")))
     ok = tx.label_parts(raw)["label_name"] == "a|b"
-    return table(spark, sf, "documents").select(F.when(F.coalesce(ok, F.lit(False)), "ok").otherwise("malformed_label").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    return table(spark, sf, "lineitem").select(F.when(F.coalesce(ok, F.lit(False)), "ok").otherwise("malformed_label").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_LINES = (
+    f"(select *, concat('img-', cast(o_orderkey as string)) image_id, row_number() over (partition by l_orderkey order by {', '.join(LINE_ORDER)}) - 1 ai"
+    " from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey where o_orderstatus <> 'P')"
+)
+_LABELS = (
+    "(select *, case when li < 2 then 0 else 1 end pi, case when li = 1 then 1 else 0 end ki, case li when 0 then concat('anatomicalfinding|', case when l_linestatus = 'O' then 'yes' else 'no' end, '|', lower(p_type)) when 1 then 'nlp|yes|normal'"
+    f" else case when l_quantity >= 45 then 'bad label' else 'anatomicalfinding|no|edema' end end raw_label, l_tax < 0.03 and l_linenumber <> 5 bound from {_LINES}, (values (0), (1), (2)) v(li) where l_quantity <> 1)"
+)
+_PART = "case when raw_label <> 'bad label' then string_split(raw_label, '|')[%d] end"
+
+
+def _parsed(spark, sf):
+    return scene_graphs.parse_scene_graphs(scene_graph_documents(spark, sf))
+
+
+@query(
+    f"select printf('ci_attr::%s::%04d::%03d::%03d', image_id, ai, pi, ki) assertion_id, image_id, cast(o_custkey as string) patient_id, cast(o_orderkey as string) study_id, case when bound then l_returnflag || ' lung' end bbox_name, bound anatomy_bound, raw_label,"
+    f" {_PART % 1} category, {_PART % 2} polarity, {_PART % 3} label_name, cast(pi as int) phrase_index, case when pi = 0 then 's|1' when l_discount < 0.05 then 's|2' end phrase_id, case when pi = 0 then 'a phrase' else 'é 😀' end phrase,"
+    f" case when pi = 0 then 'severity|yes|mild' else '' end cues, case li when 0 then 'C1' when 1 then 'C2' else 'C3' end attributes_id from {_LABELS}"
+)
+def scene_graph_assertions(spark, sf):
+    """The parser over annotation documents that are made of the driver's tables."""
+    a = _parsed(spark, sf).assertions
+    return a.select("assertion_id", "image_id", "patient_id", "study_id", "bbox_name", "anatomy_bound", "raw_label", "category", "polarity", "label_name", "phrase_index", "phrase_id", "phrase", F.array_join("severity_cues", ",").alias("cues"), "attributes_id")
+
+
+@query(
+    f"select image_id, 'o' || cast(l_linenumber as string) object_id, l_returnflag || ' lung' bbox_name, '7' as name, 'S1,2' synsets, cast(cast(l_quantity as int) as double) x1, cast(null as double) y1, cast(null as double) x2, cast(l_quantity as int) + 0.5::double y2 from {_LINES} where l_quantity <> 1"
+)
+def scene_graph_objects(spark, sf):
+    return _parsed(spark, sf).objects.select("image_id", "object_id", "bbox_name", "name", F.array_join("synsets", ",").alias("synsets"), "x1", "y1", "x2", "y2")
+
+
+@query(
+    "select key, n from (select 'missing_required_key:objects' as key, count(distinct l_orderkey) n from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey where o_orderstatus = 'P'"
+    f" union all select 'invalid_object_entry', count(*) from {_LINES} where l_quantity = 1 union all select 'invalid_attribute_entry', count(*) from {_LINES} where l_quantity = 1"
+    f" union all select 'misaligned_phrase_key:phrase_IDs', count(*) from {_LINES} where l_quantity <> 1 and l_discount >= 0.05 union all select 'malformed_label', count(*) from {_LINES} where l_quantity >= 45) where n > 0"
+)
+def scene_graph_warnings(spark, sf):
+    return _parsed(spark, sf).warnings
+
+
+_CHAR = (
+    "case when c in ('\"', chr(92)) then chr(92) || c when c = chr(10) then chr(92) || 'n' when c = chr(9) then chr(92) || 't' when c = chr(13) then chr(92) || 'r' when c = chr(8) then chr(92) || 'b' when c = chr(12) then chr(92) || 'f'"
+    " when unicode(c) between 32 and 126 then c when unicode(c) < 65536 then chr(92) || 'u' || printf('%04x', unicode(c))"
+    " else chr(92) || 'u' || printf('%04x', 55296 + (unicode(c) - 65536) // 1024) || chr(92) || 'u' || printf('%04x', 56320 + (unicode(c) - 65536) % 1024) end"
+)
+
+
+@query(f"select conv_id, turn, 'any_' || substr(sha1('{{\"role\": \"' || role || '\", \"text\": \"' || array_to_string(list_transform(string_split(text, ''), lambda c: {_CHAR}), '') || '\"}}'), 1, 16) item_id from conversations")
+def ids_of_any_text(spark, sf):
+    """Ids over texts beyond ASCII, with line breaks and quotes."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", stable_id("any", {"text": F.col("text"), "role": F.col("role")}).alias("item_id"))
 
 
 @query("select doc_id, cast(i - 1 as int) phrase_index, length(line) n_chars from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from documents)")
@@ -168,7 +224,7 @@ def finding_vocab(spark, sf):
 
 @query(f"select {KEYS}, label_name from {MISS1}")
 def g1_unsupported_topk(spark, sf):
-    return items.g1_missing(view(spark, sf, "ca"), 1, any_text=False).select("patient_id", "study_id", "image_id", "label_name")
+    return items.g1_missing(view(spark, sf, "ca"), 1).select("patient_id", "study_id", "image_id", "label_name")
 
 
 @query(f"select {KEYS}, bbox_name, label_name from {MISS2}")
@@ -178,7 +234,7 @@ def g2_unsupported_topk(spark, sf):
 
 @query(H2_1)
 def g1_h2_items(spark, sf):
-    out, _ = items.build_g1_h2(assertions(spark, sf), _index(spark, sf), balance_h2=False, any_text=False)
+    out, _ = items.build_g1_h2(assertions(spark, sf), _index(spark, sf), balance_h2=False)  # for text of any kind, the default
     return out.select("item_id", "image_id", "question", "answer_label", "target_finding")
 
 
@@ -255,9 +311,10 @@ def mock_oracle(spark, sf):
     return prompts.mock_responses(inputs, meta, "oracle").select("item_id", "raw_response")
 
 
-@query("select item_id, case when hallucination_probe = 'H2' then case when k % 2 = 0 then 'Supported' else 'Unsupported' end else case when k % 2 = 0 then 'Yes' else 'No' end end raw_response from (select *, row_number() over (order by item_id) - 1 k from cr)")
+@query("select item_id, case when hallucination_probe = 'H2' then case when k % 2 = 0 then 'Supported' else 'Unsupported' end else case when k % 2 = 0 then 'Yes' else 'No' end end raw_response from (select *, row_number() over (order by cast(item_id as bigint)) - 1 k from cr)")
 def mock_alternating(spark, sf):
-    rows = prompts.with_row_index(view(spark, sf, "cr"), "item_id")
+    """In the order of the records, which is that of the event numbers."""
+    rows = prompts.with_row_index(view(spark, sf, "cr").withColumn("_ord", F.col("item_id").cast("long")), "_ord")
     return rows.select("item_id", prompts.mock_answer("alternating", F.col("answer_label"), F.col("hallucination_probe"), F.col("row_index")).alias("raw_response"))
 
 
@@ -396,22 +453,26 @@ def box_iou(spark, sf):
     return audit.overlapping_boxes(view(spark, sf, "co"))
 
 
-@query(f"select t.image_id, t.label_name, t.bbox_name target, d.bbox_name distractor from {G2_GROUPS} t join {G2_GROUPS} d on t.image_id = d.image_id and t.label_name = d.label_name where t.any_yes and not t.any_no and d.any_no and not d.any_yes")
+_G3A = f"select t.image_id, t.label_name, t.bbox_name target, d.bbox_name distractor from {G2_GROUPS} t join {G2_GROUPS} d on t.image_id = d.image_id and t.label_name = d.label_name where t.any_yes and not t.any_no and d.any_no and not d.any_yes"
+_G3B = (
+    "select distinct image_id, phrase_id, label_name, cue from ca join (select image_id, phrase_id from ca where category = 'anatomicalfinding' and polarity = 'yes' group by 1, 2 having count(distinct label_name) = 1) using (image_id, phrase_id)"
+    " where category = 'anatomicalfinding' and polarity = 'yes' and cue = 'severity|yes|mild'"
+)
+
+
+@query(_G3A)
 def g3a_pairs(spark, sf):
     return audit.contrast_pairs(view(spark, sf, "ca"))
 
 
-@query(
-    "select distinct image_id, phrase_id, label_name, cue from ca join (select image_id, phrase_id from ca where category = 'anatomicalfinding' and polarity = 'yes' group by 1, 2 having count(distinct label_name) = 1) using (image_id, phrase_id)"
-    " where category = 'anatomicalfinding' and polarity = 'yes' and cue = 'severity|yes|mild'"
-)
+@query(_G3B)
 def g3b_modifiers(spark, sf):
     return audit.modifier_items(assertions(spark, sf))
 
 
-@query("select coalesce(d.doc_id, l.doc_id) doc_id, case when l.doc_id is null then 'missing_right' when d.doc_id is null then 'missing_left' when d.q = l.quality then 'agree' else 'disagree' end status from (select doc_id, case when n_chars > 500 then 1 else 0 end q from documents where doc_id % 3 <> 0) d full outer join labels l on d.doc_id = l.doc_id")
+@query("select coalesce(d.doc_id, l.doc_id) doc_id, case when l.doc_id is null then 'missing_right' when d.doc_id is null then 'missing_left' when d.q = l.quality then 'agree' else 'disagree' end status from (select doc_id, case when n_chars > 500 then 1 else 0 end q from documents) d full outer join labels l on d.doc_id = l.doc_id")
 def cross_source(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("n_chars") > 500, 1).otherwise(0).alias("q"))
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") > 500, 1).otherwise(0).alias("q"))
     return audit.cross_source(d, table(spark, sf, "labels"), "doc_id", "q", "quality")
 
 
@@ -430,6 +491,30 @@ def audit_counts(spark, sf):
     return audit.audit_counts(view(spark, sf, "ca"), view(spark, sf, "co"))
 
 
+@query(
+    f"select g1.n g1_valid, g1.c g1_conflicting, g2.n g2_valid, g2.c g2_conflicting, g2.b g2_without_box, 0::bigint without_label, 0::bigint uncertain, raw.m with_modifier, a.n g3a_pairs, b.n g3b_supported"
+    f" from (select count(*) filter (where not (any_yes and any_no)) n, count(*) filter (where any_yes and any_no) c from {G1_GROUPS}) g1,"
+    f" (select count(*) filter (where not (any_yes and any_no) and b.image_id is not null) n, count(*) filter (where any_yes and any_no) c, count(*) filter (where not (any_yes and any_no) and b.image_id is null) b from {G2_GROUPS} g {JOIN_CO}) g2,"
+    " (select count(*) m from ca where category = 'anatomicalfinding' and polarity = 'yes') raw, (select count(*) n from (" + _G3A + ")) a, (select count(*) n from (" + _G3B + ")) b"
+)
+def candidate_counts(spark, sf):
+    return audit.candidate_counts(assertions(spark, sf), view(spark, sf, "co"))
+
+
+@query(
+    "select a.*, c.*, o.* from (select count(*) filter (where category = 'anatomicalfinding' and polarity = 'yes') yes, count(*) filter (where category = 'anatomicalfinding' and polarity = 'no') no, 0::bigint uncertain, count(*) filter (where not anatomy_bound) without_anatomy,"
+    " count(*) with_severity_cues, 0::bigint with_temporal_cues, 0::bigint with_texture_cues, 0::bigint with_comparison_cues, count(*) labels_with_phrase, count(*) labels from ca) a,"
+    f" (select count(*) filter (where any_yes and any_no) conflict_groups from {G1_GROUPS}) c, (select count(*) objects, count(*) boxes from co) o"
+)
+def evidence_audit(spark, sf):
+    return audit.evidence_audit(assertions(spark, sf), view(spark, sf, "co"))
+
+
+@query("select category, polarity, count(*) n from ca group by 1, 2")
+def label_distribution(spark, sf):
+    return audit.label_distribution(view(spark, sf, "ca"))
+
+
 @query(f"select item_id, 'bad_answer' as rule from ({H1_1}) where answer_label = 'No' union all select item_id, 'no_question' from ({H1_1}) where answer_label = 'Yes' and dicom_id like 'img%'")
 def schema_violations(spark, sf):
     """Rules that two deliberate defects break."""

@@ -6,7 +6,7 @@ import csv
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,19 @@ def write_parquet(df: DataFrame, path: str, schema: T.StructType | None = None)
     (conform(df, schema) if schema else df).write.mode("overwrite").parquet(path)
 
 
+def sorted_keys(c: Column, kind: T.DataType) -> Column:
+    """The value with the fields of structs in alphabetical order, at every depth."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(sorted_keys(c[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name))))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(c, lambda x: sorted_keys(x, kind.elementType))
+    return c
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """One object a line, keys sorted, nulls kept. A directory of files, written by the executors."""
-    df.select(*sorted(c for c in df.columns if c != "_ord")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """One object a line, keys sorted at every depth, nulls kept. A directory of files, written by the executors."""
+    columns = [sorted_keys(df[f.name], f.dataType).alias(f.name) for f in sorted(df.schema, key=lambda f: f.name) if f.name != "_ord"]
+    df.select(*columns).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_json(path: str, payload: dict) -> None:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quillon import cli, schemas
 from quillon.functions import ids, text
-from quillon.operators import audit, items, linking, prompts, report, sampling, scoring
-from quillon.sources import scene_graphs, sinks, tables
+from quillon.operators import audit, items, linking, models, prompts, report, sampling, scoring
+from quillon.sources import scene_graphs, scratch, sinks, tables
 from quillon.streaming.scoring import score_stream
 
 
@@ -108,6 +108,82 @@ def test_quotas(p, n, f, want):
     assert sampling.quotas(p, n, f) == want
 
 
+def _kept_by_sorting(rows, fraction, seed):
+    """The rule, plainly: per label the first ids by hash, then all rows of the kept ids."""
+    rank = lambda r: "sample_" + hashlib.sha1(json.dumps({"seed": seed, "label": r[1], "item_id": r[0]}, sort_keys=True).encode()).hexdigest()[:16]
+    own = {z: sorted((r for r in rows if r[1] == z), key=rank) for z in ("Supported", "Unsupported")}
+    quota = sampling.quotas(len(own["Supported"]), len(own["Unsupported"]), fraction)
+    ids_kept = {r[0] for z, q in zip(own, quota, strict=True) for r in own[z][:q]} | {r[0] for r in rows if r[1] not in own}
+    return sorted((r for r in rows if r[0] in ids_kept), key=str), quota
+
+
+@pytest.mark.parametrize("prefix", [1, 4])
+def test_balance_equals_sorting(spark, monkeypatch, prefix):
+    monkeypatch.setattr(sampling, "PREFIX", prefix)
+    one = [(f"id{k}", "Supported" if k % 3 == 0 else "Unsupported") for k in range(400)]
+    several = [*one, ("id3", "Unsupported"), ("id7", "Supported"), ("id9", "Other"), ("é", None), *[("hot", "Unsupported")] * 200, ("id4", "Unsupported"), (None, "Supported")]
+    for rows, fraction in ((one, 0.8), (one, 0.3), (several, 0.5), (several, 0.9)):
+        out, summary = sampling.balance(spark.createDataFrame(rows, "item_id string, answer_label string"), negative_fraction=fraction, seed=7)
+        want, quota = _kept_by_sorting(rows, fraction, 7)
+        assert sorted(map(tuple, out.collect()), key=str) == want and (summary["positive_after"], summary["negative_after"]) == quota
+
+
+def test_row_index_follows_the_order(spark):
+    rows = [(k % 7 if k % 5 else None, f"r{k}") for k in range(200)] + [(3, "r3")] * 100
+    df = spark.createDataFrame(rows, "v int, name string")
+    got = sorted((r["row_index"], r["v"]) for r in prompts.with_row_index(df, "v").collect())
+    assert [i for i, _ in got] == list(range(300)) and [v for _, v in got] == sorted((v for v, _ in rows), key=lambda v: -1 if v is None else v)
+    nested = df.withColumn("_ord", F.struct(F.col("name").alias("f"), F.col("v")))
+    assert [r["name"] for r in prompts.with_row_index(nested, "_ord").orderBy("row_index").collect()] == sorted(n for _, n in rows)
+    assert prompts.with_row_index(df.limit(0), "v").count() == 0
+
+
+def test_findings_beyond_ascii_are_ranked_by_their_json(spark):
+    words = ["épanchement", 'q"uote', "back\\slash", "line\nbreak", "😀", "opacity"]
+    a = frame(spark, [ev("p", f"i{k}", w, "yes") for k, w in enumerate(words)])
+    got = {(r["image_id"], r["label_name"]) for r in items.g1_missing(a, 2).collect()}
+    rank = lambda i, w: hashlib.sha1(json.dumps({"finding": w, "image": i}, sort_keys=True).encode()).hexdigest()[:16]
+    want = {(f"i{k}", x) for k, w in enumerate(words) for x in sorted((x for x in words if x != w), key=lambda x: rank(f"i{k}", x))[:2]}
+    assert got == want
+
+
+def test_sources_that_miss_each_other(spark):
+    """Keys of one source alone, and images without metadata; the driver's tables hold none."""
+    left, right = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "k int, a int"), spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 0)], "k int, b int")
+    got = {r["k"]: r["status"] for r in audit.cross_source(left, right, "k", "a", "b").collect()}
+    assert got == {1: "agree", 2: "disagree", 3: "uncertain", 4: "missing_left"}
+    assert {r["k"]: r["status"] for r in audit.cross_source(right, left.where("k < 3"), "k", "b", "a").collect()}[4] == "missing_right"
+    boxes = frame(spark, [{"bbox_name": n, "x1": 0.0, "y1": 0.0, "x2": 2.0, "y2": 2.0} for n in "abc"], schemas.OBJECTS)
+    assert audit.overlapping_boxes(boxes).count() == 0  # rows without an image don't meet
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "/w/"}.get(key, default)
+
+    class Context:
+        master = "spark://host:7077"
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    session = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(ValueError):
+        scratch.scratch_dir(session)
+    session.sparkContext.master = "local[2]"
+    assert scratch.scratch_dir(session) == "/w/_scratch" == session.sparkContext.folder
+    table = scratch.materialize(spark.range(3))
+    assert table.count() == 3
+    scratch.discard(table)
+    with pytest.raises(Exception, match="(?i)not exist|no such file"):
+        spark.read.parquet(table._quillon_path)
+
+
 @pytest.mark.parametrize("f", [0, 1, 0.0001, 0.9999])
 def test_degenerate_fractions(f):
     with pytest.raises(ValueError):
@@ -134,14 +210,22 @@ def test_linking(spark, tmp_path):
     assert linking.needed_images([need, need]).count() == 3
     assert [r["download_status"] for r in linking.download_manifest(links).collect()] == ["dry_run"]
 
-    def fail(url, path):
+    def fail(url, path, **options):
         raise OSError(url)
 
     failed = linking.download_manifest(links, dry_run=False, fetch=fail)
     assert [r["download_status"] for r in failed.collect()] == ["failed"]
-    done = linking.download_manifest(links, dry_run=False, fetch=lambda u, p: "downloaded")
+    done = linking.download_manifest(links, dry_run=False, fetch=lambda u, p, **options: None)
+    assert [r["download_status"] for r in done.collect()] == ["downloaded"]
+    there = linking.download_manifest(links, exists=lambda p: True)
+    local = linking.download_manifest(links, link_only_existing=True)
+    again = linking.download_manifest(links, exists=lambda p: True, overwrite=True)
+    assert [m.first()["download_status"] for m in (there, local, again)] == ["existing", "missing_local", "dry_run"]
+    assert linking.download_summary(failed.unionByName(done).unionByName(there).unionByName(local)).first().asDict() == {"manifest_rows": 4, "downloaded_files": 1, "existing_files": 1, "missing_local_files": 1, "dry_run_files": 0, "failed_files": 1}
+    with pytest.raises(ValueError):
+        linking.download_manifest(links, dry_run=False)
     things = frame(spark, [{"item_id": k, "patient_id": "100", "study_id": "s1", "dicom_id": k} for k in "ac"], schemas.ITEMS)
-    for manifest, want in ((failed, (0, 2)), (done, (1, 1))):
+    for manifest, want in ((failed, (0, 2)), (done, (1, 1)), (there, (1, 1)), (local, (0, 2))):
         linked, s = linking.link_items(things, linking.available_links(manifest))
         assert (linked.count(), s.first()["excluded_missing_link"]) == want
     sinks.write_url_list(links, str(tmp_path / "urls"))
@@ -225,6 +309,11 @@ def test_report(tmp_path):
     assert rows[1]["h1_rate"] is None and rows[1]["accuracy"] is None and rows[1]["h1_count"] == 0
     overall, group = report.write_tables(rows, str(tmp_path))
     assert overall.read_bytes().count(b"\r\n") == 2 and len(group.read_text().splitlines()) == 3 and ",0.1,0.2,0.0,0.1" in overall.read_text()
+    assert [(n, len(r), f) for n, r, f, _ in report.charts(rows)] == [
+        ("accuracy_by_probe", 2, ["accuracy"]), ("h_counts_by_probe", 2, ["h1_count", "h2_count"]), ("overall_accuracy", 1, ["accuracy"]), ("overall_h_rates", 1, ["h1_rate", "h2_rate"]),
+        ("h1_direction_counts", 1, ["h1_false_positive_count", "h1_false_negative_count"]),
+    ]
+    assert report.charts([]) == []
     with pytest.raises(ValueError):
         report.flatten([str(tmp_path / "r.json")], ["a", "b"])
 
@@ -235,6 +324,9 @@ def test_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "s.json").read_text()) == {"a": {"n": 2}, "b": {"n": 1}}
     sinks.write_jsonl(spark.createDataFrame([("é", None)], "b string, a int"), str(tmp_path / "j"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"a":null,"b":"é"}']
+    nested = spark.createDataFrame([((1, [("y", None)], None), None)], "z struct<b:int,a:array<struct<d:string,c:int>>,c:struct<f:int,e:int>>, a struct<z:int,y:int>")
+    sinks.write_jsonl(nested, str(tmp_path / "n"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "n")).collect()] == ['{"a":null,"z":{"a":[{"c":null,"d":"y"}],"b":1,"c":null}}']
     sinks.write_csv_rows([], str(tmp_path / "e.csv"), ["x", "y"])
     assert (tmp_path / "e.csv").read_bytes() == b"x,y\r\n"
     sinks.write_parquet(spark.createDataFrame([], schemas.ITEMS), str(tmp_path / "p"))
@@ -254,6 +346,65 @@ def test_extensions(spark):
     assert {r["label"]: r["located_at"] for r in audit.radgraph_audit(e, rel).collect()} == {"OBS-DP": 1, "ANAT-DP": 0}
 
 
+def test_audits_and_rules(spark, small):
+    a, o, _ = small
+    row = audit.evidence_audit(a, o, spark.range(2)).first().asDict()
+    assert (row["yes"], row["no"], row["uncertain"], row["conflict_groups"], row["objects"], row["boxes"], row["files"], row["labels_with_phrase"]) == (4, 2, 1, 1, 3, 0, 2, 7)
+    assert {(r["category"], r["polarity"]): r["n"] for r in audit.label_distribution(a).collect()} == {("anatomicalfinding", "yes"): 4, ("anatomicalfinding", "no"): 2, ("anatomicalfinding", "maybe"): 1}
+    row = audit.candidate_counts(a, o).first().asDict()
+    assert (row["g1_valid"], row["g1_conflicting"], row["g2_valid"], row["g2_conflicting"], row["g2_without_box"], row["uncertain"]) == (3, 1, 2, 1, 1, 1)
+    ent = spark.createDataFrame([("r1", {"1": ("effusion", "OBS-DP", []), "2": ("lung", "ANAT-DP", [])}), ("r2", {"1": ("effusion", "OBS-U", [])})], "report_id string, entities map<string,struct<tokens:string,label:string,relations:array<array<string>>>>")
+    e, _ = audit.normalize_radgraph(ent)
+    known = spark.createDataFrame([("r1",), ("r9",)], "study_id string")
+    row = audit.radgraph_counts(e, ent, known, known.limit(0)).first().asDict()
+    assert (row["studies"], row["in_images"], row["in_evidence"], row["OBS-DP"], row["OBS-U"], row["ANAT-DP"], row["entities"]) == (2, 1, 0, 1, 1, 1, 3)
+    assert [tuple(r) for r in audit.top_entities(e, False).collect()] == [("effusion", 2)] and [r[0] for r in audit.top_entities(e, True).collect()] == ["lung"]
+
+
+def test_rules_of_items(spark, small):
+    a, o, index = small
+    built = [items.build_g1_h1(a, index), items.build_g2_h1(a, o, index), items.build_g1_h2(a, index, balance_h2=False)[0], items.build_g2_h2(a, o, index, balance_h2=False)[0]]
+    for b in built:
+        assert audit.schema_violations(b).count() == 0
+    g2 = built[1]
+    breaks = {
+        "missing_as_negative": {"answer_label": F.lit("No")}, "state_as_answer": {"answer_label": F.lit("Conflict")}, "box_of_other_anatomy": {"target_anatomy": F.lit("heart")}, "g2_without_box": {"bbox": F.lit(None).cast(g2.schema["bbox"].dataType)},
+        "unbound_source_of_g2": {"source_assertions": F.transform("source_assertions", lambda x: x.withField("bbox_name", F.lit(None).cast("string")))}, "source_is_no_finding": {"source_assertions": F.transform("source_assertions", lambda x: x.withField("category", F.lit("nlp")))},
+        "conflicting_sources": {"source_assertions": F.concat("source_assertions", F.transform("source_assertions", lambda x: x.withField("polarity", F.lit("no"))))}, "negated_modifier": {"granularity": F.lit("G3b"), "source_assertions": F.transform("source_assertions", lambda x: x.withField("polarity", F.lit("no")))},
+        "contrast_without_distractor": {"granularity": F.lit("G3a"), "evidence_sources": F.array(F.lit("E1_bbox"))}, "valid_for_training": {"valid_for_training": F.lit(True)},
+    }
+    for rule, change in breaks.items():
+        assert rule in {r["rule"] for r in audit.schema_violations(g2.withColumns(change)).collect()}, rule
+    assert {r["rule"] for r in audit.schema_violations(built[3].where("answer_label = 'Unsupported'").withColumn("answer_label", F.lit("No"))).collect()} >= {"constructed_as_negative"}
+    scored = frame(spark, [{"item_id": "a", "granularity": "G1", "question_type": "q", "answer_label": "Yes", "score": "correct"}, {"item_id": "b", "score": "invalid_response", "granularity": "G1", "question_type": "q", "answer_label": "Yes"}], schemas.SCORED)
+    assert [tuple(r) for r in audit.scored_violations(scored).collect()] == [("a", "lost_parsed_answer")]
+
+
+class EchoModel:
+    def __init__(self, model_path, device, dtype):
+        self.said = f"Yes {model_path} {device} {models.dtype_name(dtype)}"
+
+    def __call__(self):
+        return self
+
+    def generate(self, image_path, question, **options):
+        return self.said
+
+
+def test_models_and_images(spark, tmp_path):
+    assert [models.dtype_name(d) for d in ("bfloat16", "float16", "float32", "other")] == ["bfloat16", "float16", "float32", "float32"]
+    (tmp_path / "im").mkdir()
+    (tmp_path / "im/a.png").write_bytes(b"xy")
+    scan = tables.list_images(spark, str(tmp_path / "im"))
+    assert tuple(models.decoded(scan, lambda b: (len(b), 1, b * 3)).first())[1:4] == (2, 1, b"xyxyxy")
+    bad = models.decoded(scan).first()
+    assert bad["rgb"] is None and bad["error"]
+    with pytest.raises(ValueError):
+        models.loader("no.such:thing", "", "cpu", "float32")
+    values = spark.createDataFrame([(True, 3, None)], "b boolean, i int, s string").select(*(text.string_or_null(F.col(c), t) for c, t in (("b", "boolean"), ("i", "int"), ("s", "string"))))
+    assert tuple(values.first()) == ("True", "3", None)
+
+
 def test_stream(spark, tmp_path):
     inputs, meta, _ = prompts.prompt_layers(linked_items(spark))
     sinks.write_jsonl(prompts.mock_responses(inputs, meta, "always_yes"), str(tmp_path / "in"))
@@ -281,3 +432,21 @@ def test_command_lines(spark, folder, tmp_path):
     assert run("medgemma_runner", "--input", f"{d}/mi", "--eval-metadata", f"{d}/em", "--output", f"{d}/dry", "--dry-run")["prompt_records"] == 2
     with pytest.raises(SystemExit):
         run("batch_infer", "--input", f"{d}/mi", "--output", f"{d}/raw2")
+    assert run("batch_infer", "--input", f"{d}/mi", "--output", f"{d}/alt", "--eval-metadata", f"{d}/em", "--mode", "alternating")["rows"] == 2
+    order = [r["item_id"] for r in tables.read_jsonl(spark, f"{d}/mi", schemas.MODEL_INPUTS).orderBy("_ord").collect()]
+    said = {r["item_id"]: r["runtime"]["row_index"] for r in tables.read_jsonl(spark, f"{d}/alt", schemas.RESPONSES).collect()}
+    assert sorted(order, key=said.get) == order
+    model = ("medgemma_runner", "--input", f"{d}/mi", "--eval-metadata", f"{d}/em", "--output", f"{d}/mo", "--model-path", "m", "--device", "cpu", "--dtype", "float16")
+    assert run(*model, "--loader", "tests.test_pipeline_stages:EchoModel") == {"success": 2, "failed": 0, "outputs": 2}
+    assert spark.read.schema(schemas.RESPONSES).json(f"{d}/mo").first()["raw_response"] == "Yes m cpu float16"
+    with pytest.raises(SystemExit):
+        run(*model, "--loader", "tests.none:x")
+    (tmp_path / "m.csv").write_text("subject_id,study_id,dicom_id\n100,s1,a\n")
+    sinks.write_jsonl(frame(spark, [{"item_id": k, "patient_id": "100", "study_id": "s1", "image_id": k, "dicom_id": k} for k in "ac"], schemas.ITEMS), f"{d}/split")
+    link = ("link_and_download", "--metadata", f"{d}/m.csv", "--files-root", f"{d}/files", "--output-dir", f"{d}/links", "--inputs", f"{d}/split", "--base-url", "http://x")
+    out = run(*link, "--dry-run")
+    assert (out["matched_metadata_rows"], out["missing_metadata"], out["dry_run_files"], out["split"]["excluded_missing_link"]) == (1, 1, 1, 2)
+    (tmp_path / "files/p10/p100/ss1").mkdir(parents=True)
+    (tmp_path / "files/p10/p100/ss1/a.jpg").write_bytes(b"x")
+    out = run(*link, "--link-only-existing")
+    assert (out["existing_files"], out["split"]["linked_items"], out["split"]["excluded_missing_link"]) == (1, 1, 1)
