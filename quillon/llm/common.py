@@ -3,56 +3,20 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The characters that separate words; everything else is part of a word.
-WORD_BREAKS = r"[\x20\x09-\x0D]+"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir, or the one set as the context's checkpoint folder.
-
-    Where neither is set, local mode gets one in the warehouse's place; a cluster gets an error, for executors
-    don't share the driver's disk.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+from quillon.sources.scratch import discard, materialize
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back.
+__all__ = ["WORD_BREAKS", "bounded_sample", "column", "discard", "fold", "gathered", "labelled_sample", "lean", "materialize", "texts", "unused"]
 
-    The files survive lost executors, and the reread table has column pruning and statistics. A step that
-    is done with its own tables discards them; those that a result still reads go when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillon/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quillon_path = path
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(fs_path)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: The characters that separate words; everything else is part of a word.
+WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
 
 @contextmanager

@@ -188,3 +188,32 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
         "doc_id", F.array_sort(F.array_distinct(F.transform("w", lambda w: w["name"]))).alias("licenses"),
         best["name"].alias("best_license"), (-best["d"]).alias("best_dice"), F.size("p").cast("long").alias("n_passages"),
     )
+
+
+def oracle() -> str:
+    """The query op10_license_scans for DuckDB, over documents: every window from every bigram that a template holds."""
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    grams = [(name, sorted(bigrams(t))) for name, t in TEMPLATES]
+    rows = ", ".join(f"({k}, {quote(name)}, {len(gs)}, {bounds(len(gs), THRESHOLD)[0]}, {bounds(len(gs), THRESHOLD)[1]}, [{', '.join(map(quote, gs))}])" for k, (name, gs) in enumerate(grams))
+    return f"""
+with q(k, name, size, low, high, g) as (values {rows}),
+d as (select doc_id, row_number() over () r, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') w from documents),
+b as (select r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) b from d where len(w) > 1),
+c as (select r, k, name, size, high, g, b from b, q where len(list_intersect(b, g)) >= low),
+placed as (select r, unnest(b) gram, unnest(range(len(b))) i, len(b) n from b where r in (select r from c)),
+near as (select r, gram, i, n, coalesce(lag(i) over same, -1) prev, coalesce(lead(i) over same, n) follow from placed window same as (partition by r, gram order by i)),
+ends as (
+  select c.r, c.k, c.name, c.size, c.high, s.i start, e.i last,
+         sum(case when e.prev < s.i then 1 else 0 end) over upto n, sum(case when e.prev < s.i and list_contains(c.g, e.gram) then 1 else 0 end) over upto same
+  from c join near s on s.r = c.r and list_contains(c.g, s.gram) join near e on e.r = c.r and e.i between s.i and s.follow - 1
+  window upto as (partition by c.r, c.k, s.i order by e.i)),
+best as (
+  select r, name, start, arg_min({{'score': n + size - 3 * same, 'd': -d, 'name': name, 'start': start, 'last': last}}, (-d, last)) x
+  from (select *, 2 * same / (n + size) d from ends where n <= high) where d >= {THRESHOLD} group by r, k, name, start),
+p as (
+  select r, list_sort(list_distinct(list(x.name))) names,
+         list_reduce(list_transform(list_sort(list(x)), lambda y: [y]), lambda got, y: case when len(list_filter(got, lambda z: z.start <= y[1].last + 1 and y[1].start <= z.last + 1)) > 0 then got else got || y end) kept
+  from best group by r)
+select doc_id, coalesce(array_to_string(names, ','), '') licenses, list_sort(list_transform(kept, lambda z: {{'d': z.d, 'name': z.name}}))[1].name best_license,
+       -list_sort(list_transform(kept, lambda z: {{'d': z.d, 'name': z.name}}))[1].d best_dice, coalesce(len(kept), 0) n_passages
+from d left join p on d.r = p.r"""

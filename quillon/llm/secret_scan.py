@@ -100,7 +100,7 @@ def random_tokens(spark, rows: int) -> DataFrame:
     """Labelled random strings: digests written in hexadecimal, base 64, and capitals with digits."""
     ids = spark.range(rows)
     digest = F.sha2(F.concat(F.lit("random string "), F.col("id").cast("string")), 256)
-    n = (16 + F.pmod(F.xxhash64("id"), F.lit(17))).cast("int")
+    n = (16 + F.conv(F.substring(digest, 63, 2), 16, 10).cast("int") % 17).cast("int")
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "x")
     kind = F.col("id") % 3
     return ids.select(F.substring(F.when(kind == 0, digest).when(kind == 1, base64).otherwise(F.upper(base64)), F.lit(1), n).alias("token"))
@@ -109,11 +109,13 @@ def random_tokens(spark, rows: int) -> DataFrame:
 def learn(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text") -> list[float]:
     """The log-likelihood ratio of every pair of characters, random against ordinary.
 
-    Random: `sample` generated strings. Ordinary: the words, and pairs of words joined as identifiers, of at
-    most `sample` documents (by a hash of the id) outside the base patterns' matches.
+    Two labelled samples. Random: `sample` generated strings. Ordinary: the words, and pairs of words joined as
+    identifiers, of at most `sample` documents (by a hash of the id) outside the base patterns' matches; of
+    several texts under an id the smallest. Rows without an id or a text are left out.
     """
-    ranked = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h")).orderBy("_h", "_id").limit(sample).select("_id").distinct()
-    docs = df.select(F.col(id_col).alias("_id"), F.col(text).alias("t")).join(F.broadcast(ranked), "_id", "left_semi")
+    own = df.select(df[id_col].cast("string").alias("_id"), df[text].alias("_t")).where("_id is not null and _t is not null")
+    ranked = own.select("_id", F.md5("_id").alias("_h")).orderBy("_h").limit(sample).select("_id").distinct()
+    docs = own.join(F.broadcast(ranked), "_id", "left_semi").groupBy("_id").agg(F.min("_t").alias("t"))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = docs.select(F.regexp_extract_all(clean, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w")).where(F.size("w") > 0)
     joined = words.select(F.explode(F.transform("w", lambda x, i: F.when(i % 3 == 0, x).when(i % 3 == 1, F.concat(x, F.lit("_"), F.coalesce(F.get(F.col("w"), i + 1), F.lit("id")))).otherwise(F.concat(x, F.initcap(F.coalesce(F.get(F.col("w"), i + 1), F.lit("id"))))))).alias("token"))
@@ -177,3 +179,52 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         )).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     ))
+
+
+def oracle() -> str:
+    """The query op8_secret_scans for DuckDB, over documents whose ids are distinct: samples, models and spans."""
+    k = len(ALPHABET)
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    code = lambda c: f"(case when instr({quote(ALPHABET)}, {c}) > 0 then instr({quote(ALPHABET)}, {c}) - 1 else {k - 1} end)"
+    names = "[" + ", ".join(map(quote, KINDS)) + "]"
+
+    def spans(pattern: str, kind: int) -> str:
+        return (
+            f"(select r, {kind} kind, m, list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(gaps[1 : i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x)))::bigint, 0)) starts"
+            f" from (select r, regexp_extract_all(t, {quote(pattern)}) m, string_split_regex(t, {quote(pattern)}) gaps from d) where len(m) > 0)"
+        )
+
+    def model(tokens: str) -> str:
+        return (
+            f"(select z.a, z.b, ln((coalesce(n, 0) + 0.5) / (sum(coalesce(n, 0)) over (partition by z.a) + 0.5 * {k})) v from (select * from range({k}) x(a), range({k}) y(b)) z left join"
+            f" (select {code('c1')} a, {code('c2')} b, count(*) n from (select unnest(list_transform(range(1, length(token)), lambda i: token[i])) c1, unnest(list_transform(range(1, length(token)), lambda i: token[i + 1])) c2 from {tokens}) group by all) x on x.a = z.a and x.b = z.b)"
+        )
+
+    digest = "sha256('random string ' || id)"
+    clean = "t"
+    for pattern in (ASSIGN, ACCESS, HEX):
+        clean = f"regexp_replace({clean}, {quote(pattern)}, ' ', 'g')"
+    word = "case when (i - 1) % 3 = 0 then w[i] when (i - 1) % 3 = 1 then w[i] || '_' || coalesce(w[i + 1], 'id') else w[i] || upper(coalesce(w[i + 1], 'id')[1]) || lower(coalesce(w[i + 1], 'id')[2:]) end"
+    return f"""
+with d as (select doc_id, row_number() over () r, coalesce(text, '') t from documents),
+generated as (
+  select case id % 3 when 0 then {digest} when 1 then b else upper(b) end s, 16 + ('0x' || substr({digest}, 63, 2))::int % 17 n
+  from (select id, regexp_replace(to_base64(unhex({digest})), '[+/=]', 'x', 'g') b from range({SAMPLE}) x(id))),
+random as (select substr(s, 1, n) token from generated),
+chosen as (select regexp_extract_all({clean}, '[A-Za-z]{{2,}}') w from (select text t from documents where text is not null order by md5(cast(doc_id as varchar)) limit {SAMPLE})),
+ordinary as (select unnest(list_transform(range(1, len(w) + 1), lambda i: {word})) token from chosen),
+llr as (select list(round(x.v - y.v, 4) order by x.a, x.b) l from {model('random')} x join {model('ordinary')} y on x.a = y.a and x.b = y.b),
+s as materialized (
+  select r, kind, unnest(m) found, unnest(starts) a from (select * from {spans(ASSIGN, 0)} union all select * from {spans(ACCESS, 1)} union all select * from {spans(HEX, 2)} union all select * from {spans(TOKEN, 3)})),
+base as (select r, kind, a, a + length(found) z from s where kind < 3 and (kind > 0 or length(regexp_extract(found, {quote(ASSIGN)}, 1)) >= {SHORTEST_VALUE})),
+tokens as (
+  select r, a, found, list_sum(list_transform(range(1, length(found)), lambda i: l[{code('found[i]')} * {k} + {code('found[i + 1]')} + 1])) / (length(found) - 1) score, regexp_matches(found, '[0-9]') digit
+  from s, llr where kind = 3 and not exists (select 1 from base b where b.r = s.r and b.a <= s.a and s.a + length(s.found) <= b.z)),
+every as (
+  select r, kind, a, z from base
+  union all select r, 3, a, a + length(found) from tokens where (digit or len(list_distinct(string_split(found, ''))) >= {LETTERS_VARIETY}) and score > case when digit then {CUTOFF} else {max(CUTOFF, LETTERS_CUTOFF)} end),
+told as (
+  select r, count(*) filter (where kind = 0) n_assign, count(*) filter (where kind = 1) n_access, count(*) filter (where kind = 2) n_hex,
+         string_agg({names}[kind + 1] || ':' || a || ':' || z, ',' order by a, kind) filter (where kind < 3) base, string_agg({names}[kind + 1] || ':' || a || ':' || z, ',' order by a, kind) spans
+  from every group by r)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join told on d.r = told.r"""
