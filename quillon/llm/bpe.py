@@ -25,7 +25,7 @@ from quillon.llm.common import column, lean, texts
 
 _PRIME = (1 << 61) - 1
 #: Entries of a worker's table of pre-tokens already resolved; the half used longest ago goes when it is full; results don't depend on it.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 600_000
 #: Code points below U+0250 by the pattern's classes, so that the faster stdlib engine can split most texts.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _ANY_S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -162,14 +162,14 @@ class ByteBpe:
         one = self.whole(token)
         return self.merge(token) if one is None else [one]
 
-    def encoder(self, miss: Callable[[str], list[int]] | None = None) -> Callable[[str], bytes]:
+    def encoder(self, miss: Callable[[str], list[int]] | None = None, entries: int = MEMO_ENTRIES) -> Callable[[str], bytes]:
         """text -> ids as little-endian unsigned 32-bit integers; keeps a bounded memo of pre-tokens."""
         memo: dict[str, bytes] = {}
         older: dict[str, bytes] = {}
 
         def resolve(t: str) -> bytes:
             nonlocal memo, older, get
-            if len(memo) >= MEMO_ENTRIES // 2:
+            if len(memo) >= entries // 2:
                 memo, older = {}, memo
                 get = memo.get
             if (out := older.get(t)) is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -25,6 +26,7 @@ def lean():
     try:
         yield
     finally:
+        gc.collect()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)

@@ -24,6 +24,8 @@ from quillon.llm.common import column, lean, materialize, texts
 #: Multiplicative weights: rounds, pricings in a round, solutions for what rounding leaves, how fast the
 #: weights of lengths that are behind rise, and how much more of the room than need be a filling may waste.
 ROUNDS, PRICINGS, RESOLVES, RATE, SLACK = 20, 4, 1, 0.5, 0.001
+#: Pre-tokens that a task remembers; others are quick to encode again.
+MEMO_ENTRIES = 100_000
 #: The part of each multiplicity that rounding takes; the rest keeps a mixture of lengths for the best fit.
 COVER = 0.8
 
@@ -55,7 +57,7 @@ def pieces(df: DataFrame, vocab_path: str, size: int = 1024, end_id: int = 2, id
         with lean():
             codec = load_packed(shared.value)
             merges = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
-            enc, end = codec.encoder(miss=merges.encode_ordinary), end_id.to_bytes(4, "little")
+            enc, end = codec.encoder(merges.encode_ordinary, MEMO_ENTRIES), end_id.to_bytes(4, "little")
             for batch in batches:
                 for part, values in texts(batch, "_text"):
                     rows = []
@@ -66,6 +68,7 @@ def pieces(df: DataFrame, vocab_path: str, size: int = 1024, end_id: int = 2, id
                             rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
                     cols = list(zip(*rows, strict=True)) or [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
+            load_packed.cache_clear()  # workers are used again by other stages
 
     return df.select(df[id_col].cast("long").alias("_id"), df[text].alias("_text")).mapInArrow(run, PIECES)
 
