@@ -125,3 +125,19 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     linked_rows = members.select("vec_id", "c1", "c2").join(info, ["c1", "c2"]).select("vec_id", "n_links", "component_id")
     alone = base.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.unionByName(alone).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def oracle(threshold: float = 0.9) -> str:
+    """The query op3_embedding_near_dedup for DuckDB, over embeddings whose ids are distinct: every pair of vectors."""
+    return f"""
+with recursive
+d as materialized (select vec_id, row_number() over () r, embedding::double[] v from embeddings),
+g as materialized (
+  select r, list_transform(v, lambda x: x / m) u from (select r, v, list_max(list_transform(v, lambda x: abs(x))) m from d where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0) where m > 0),
+q as materialized (select r, u, len(u) w, sqrt(list_dot_product(u, u)) size from g),
+l as materialized (select a.r a, b.r b from q a join q b on a.r < b.r and a.w = b.w where list_dot_product(case when a.w = b.w then a.u end, case when a.w = b.w then b.u end) / a.size / b.size >= {threshold}),
+ways as materialized (select a, b from l union all select b, a from l),
+reach(r, other) as (select r, r from d union select reach.r, ways.b from reach join ways on reach.other = ways.a),
+class as (select reach.r, min(vec_id) component_id from reach join d on d.r = reach.other group by reach.r),
+n as (select a r, count(*) n_links from ways group by a)
+select vec_id, coalesce(n_links, 0) n_links, component_id, vec_id = component_id kept from d join class using (r) left join n using (r)"""

@@ -295,3 +295,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), "text_hash", F.lit(True).alias("kept")
     )
     return out.unionByName(none)
+
+
+def oracle() -> str:
+    """The query op6_ngram_jaccard_join for DuckDB, over documents whose ids are distinct: every pair that shares a shingle."""
+    k, t = WORDS, THRESHOLD
+    return rf"""
+with recursive
+d as materialized (select doc_id, row_number() over () r, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as materialized (select r, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {k - 2}, 2)), lambda i: array_to_string(w[i : i + {k - 1}], ' ')))) s from d where len(w) > 0),
+e as materialized (select r, unnest(s) x from s),
+p as (select a.r a, b.r b, count(*) c from e a join e b on a.x = b.x and a.r < b.r group by all),
+l as materialized (select a, b from p join s x on x.r = a join s y on y.r = b where c * {t.denominator} >= (len(x.s) + len(y.s) - c) * {t.numerator}),
+ways as materialized (select a, b from l union all select b, a from l),
+reach(r, other) as (select r, r from d union select reach.r, ways.b from reach join ways on reach.other = ways.a),
+class as (select reach.r, min(doc_id) class_id from reach join d on d.r = reach.other group by reach.r),
+n as (select a r, count(*) n_links from ways group by a),
+copy as (select r, min(doc_id) over (partition by s) copy_id from s join d using (r))
+select doc_id, class_id, coalesce(n_links, 0) n_links, coalesce(copy_id, doc_id) copy_id, doc_id = class_id kept
+from d join class using (r) left join n using (r) left join copy using (r)"""

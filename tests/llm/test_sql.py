@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ def odd(spark, tmp_path_factory):
     docs.unionByName(more).repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     labels.unionByName(more.select("doc_id", *(F.lit(1).cast(labels.schema[c].dataType).alias(c) for c in ("quality", "toxic")))).write.parquet(f"{folder}/labels.parquet")
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((30, 64))
+    vectors = [None, [], [0.0] * 64, [float("nan")] + [1.0] * 63, [None] + [1.0] * 63, [1.0] * 3, *(b + rng.standard_normal(64) * 0.1 * (i % 4) for b in base for i in range(6)), *(base[:5] * 3)]
+    rows = [(i, v if v is None else [None if x is None else float(x) for x in v]) for i, v in enumerate(vectors)]
+    kind = spark.read.parquet(f"{SMALL}/embeddings.parquet").schema
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").select(F.col("vec_id").cast(kind["vec_id"].dataType), "embedding").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
@@ -32,7 +39,7 @@ def odd(spark, tmp_path_factory):
 def test_query_equals_its_sql(spark, odd, name, where):
     folder = odd if where == "odd" else where
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet{'/*.parquet' if where == 'odd' else ''}'")
     got = queries.queries()[name](spark, folder)
     want = con.execute(queries.oracle_sql()[name])
@@ -42,5 +49,7 @@ def test_query_equals_its_sql(spark, odd, name, where):
     assert rows == sorted(want.fetchall(), key=str)
     if where == "odd" and name == "op8_secret_scans":
         assert sum("random" in r[columns.index("spans")] for r in rows) > 40
+    if name == "op6_ngram_jaccard_join" or where == "odd" and name == "op3_embedding_near_dedup":
+        assert sum(r[columns.index("n_links")] > 0 for r in rows) > 10
     if where == "odd" and name == "op10_license_scans":
         assert sum(r[columns.index("best_license")] is not None for r in rows) > 25
