@@ -49,10 +49,11 @@ def noted(rows: DataFrame, most: int) -> DataFrame:
     """(rep, lo, hi, own): pairs of blocks in which a row has a partner whose sketch differs in at most `most` bits.
 
     rows: (rep, sketch, block, bucket, m), m the bucket's rows; buckets beyond BUCKET_ROWS are compared part by part.
+    A block's rows are in one part, so a row notes a block once a bucket, however many parts it has.
     """
     nb = F.ceil(F.col("m") / BUCKET_ROWS).cast("int")
     dealt = (
-        rows.withColumn("nb", nb).withColumn("part", F.pmod(F.xxhash64("rep", "bucket"), F.col("nb")).cast("int"))
+        rows.withColumn("nb", nb).withColumn("part", F.pmod(F.xxhash64("block", "bucket"), F.col("nb")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .select("rep", "sketch", "block", "bucket", "part", F.least("part", "o").alias("bi"), F.greatest("part", "o").alias("bj"))
         .repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
