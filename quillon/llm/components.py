@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from quillon.llm.common import discard, materialize
 
 
+#: Bytes of an edge; some 250,000 edges go to a file.
+EDGE_BYTES = 64
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the edges (a, b), by alternating large and small stars.
+    """(node, component) for every node of the edges (a, b), a table of their own, by alternating large and small stars.
 
     Each round hooks every node to the smallest neighbour it knows; minima are partial aggregates, and
     the join that hands them back may be split by AQE at a hot node. Every round is written to the
@@ -19,7 +23,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = materialize(
         edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), edges.count(), EDGE_BYTES
     )
     for _ in range(max_rounds):
         if _are_stars(now):
@@ -30,7 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = materialize(small.where("u <> v").distinct())
+        new = materialize(small.where("u <> v").distinct(), 2 * now.count(), EDGE_BYTES)
         discard(now)
         now = new
     else:

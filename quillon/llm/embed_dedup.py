@@ -89,9 +89,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     members = base.where(sound).select("vec_id", F.xxhash64(v).alias("c1"), F.xxhash64(F.lit(1), v).alias("c2"), "v")
     reps = materialize(
         members.groupBy("c1", "c2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.any_value("v").alias("v"))
-        .select(F.xxhash64("c1", "c2").alias("rep"), "c1", "c2", "first_id", "weight", "v")
+        .select(F.xxhash64("c1", "c2").alias("rep"), "c1", "c2", "first_id", "weight", "v"), base.count(), 400
     )
-    tables, bits = tables_and_bits(reps.count(), threshold)
+    n = reps.count()
+    tables, bits = tables_and_bits(n, threshold)
     keyed = T.StructType([T.StructField("rep", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +110,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                         yield pa.RecordBatch.from_arrays([pa.array(column(batch, "rep").to_numpy()[where]), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=keyed.names)
 
     hashed = materialize(reps.select("rep", "v").mapInArrow(hash_rows, keyed))
-    large = materialize(hashed.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > links.BUCKET_ROWS))
-    placed = links.blocks_of(hashed.select("rep", "sketch", F.get("keys", F.lit(0)).alias("home"), F.lit(1).alias("size"), "keys"), keep=["keys"])
+    large = materialize(hashed.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > links.BUCKET_ROWS), n * tables // links.BUCKET_ROWS)
+    placed = links.blocks_of(hashed.select("rep", "sketch", F.get("keys", F.lit(0)).alias("home"), F.lit(1).alias("size"), "keys"), n, keep=["keys"])
     rows = placed.select("rep", "sketch", "block", F.explode("keys").alias("bucket"))
     rows = rows.withColumn("m", F.lit(1).cast("long")) if large.isEmpty() else rows.join(large, "bucket", "left").withColumn("m", F.coalesce("m", F.lit(1).cast("long")))
-    pairs = materialize(links.noted(rows, most_signs(threshold)))
+    pairs = materialize(links.noted(rows, most_signs(threshold)), 4 * n)
     linked = links.counted(pairs, reps.select("rep", "weight", F.col("v").alias("payload")), lambda x, y: similar(x, y, threshold))
     discard(hashed, large, pairs)
     comp = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -174,16 +174,14 @@ def buckets(reps: DataFrame, threshold: Fraction, recall: float) -> tuple[DataFr
     used, leaves = [now], []
     for depth in range(1, DEPTH + 1):
         full = now.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
-        if depth == DEPTH:
-            leaves.append(now.join(full, "path"))
-            break
-        full = materialize(full)
-        used.append(full)
-        leaves.append(now.join(full.where(F.col("m") <= SMALL), "path"))
-        heavy = full.where(F.col("m") > SMALL)
+        met = materialize(now.join(full, "path"), now.count(), 32)
+        used.append(met)
+        heavy = met.where(F.col("m") > SMALL) if depth < DEPTH else met.limit(0)
+        leaves.append(met.where(F.col("m") <= SMALL) if depth < DEPTH else met)
         if heavy.isEmpty():
             break
-        now = materialize(_split(now.join(heavy, "path").join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "path"), None, chance))
+        # some 10,000 rows to a file, as each row takes a while
+        now = materialize(_split(heavy.join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "path"), None, chance), heavy.count(), 1600)
         used.append(now)
     rows = leaves[0]
     for x in leaves[1:]:
@@ -254,14 +252,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     some = signed.where("n > 0")
     reps = materialize(
         some.groupBy("copy").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash", "n", "tokens", "sketch")).alias("r"), F.count("*").alias("weight"))
-        .select("copy", F.xxhash64("copy").alias("rep"), "weight", "r.doc_id", "r.text_hash", "r.n", "r.tokens", "r.sketch")
+        .select("copy", F.xxhash64("copy").alias("rep"), "weight", "r.doc_id", "r.text_hash", "r.n", "r.tokens", "r.sketch"), signed.count(), 700
     )
+    n = reps.count()
     rows, used = buckets(reps, threshold, recall)
     # a family's sets mostly share its largest bucket
     home = rows.groupBy("rep").agg(F.max(F.struct("m", "bucket")).alias("h")).select("rep", F.col("h.bucket").alias("home"))
-    standing = materialize(reps.select("rep", "sketch", F.col("n").alias("size")).join(home, "rep"))
-    placed = links.blocks_of(standing, BLOCK_SHINGLES)
-    pairs = materialize(links.noted(rows.join(placed, "rep"), most_bits(threshold)))
+    standing = materialize(reps.select("rep", "sketch", F.col("n").alias("size")).join(home, "rep"), n)
+    placed = links.blocks_of(standing, n, BLOCK_SHINGLES)
+    pairs = materialize(links.noted(rows.join(placed, "rep"), most_bits(threshold)), 4 * standing.count())
     discard(*used, standing)
     key = lambda i, h: F.xxhash64(*_place(i, h)).alias("key")
     table = df.sparkSession.sparkContext.broadcast(links.wanted(pairs.select("rep").distinct().join(reps, "rep").select(key(F.col("doc_id"), F.col("text_hash")))))

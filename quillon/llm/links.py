@@ -30,12 +30,12 @@ NOTED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("own", T
 FOUND = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
 
 
-def blocks_of(info: DataFrame, block_size: int | None = None, keep: tuple | list = ()) -> DataFrame:
-    """rep, sketch, block and `keep` of info's rows (rep, sketch, home, size): homes beyond a block's bounds are dealt by hash."""
+def blocks_of(info: DataFrame, rows: int, block_size: int | None = None, keep: tuple | list = ()) -> DataFrame:
+    """rep, sketch, block and `keep` of info's `rows` rows (rep, sketch, home, size): homes beyond a block's bounds are dealt by hash."""
     parts = F.ceil(F.count("*") / BLOCK_ROWS)
     if block_size:
         parts = F.greatest(parts, F.ceil(F.sum("size") / block_size))
-    large = materialize(info.groupBy("home").agg(parts.cast("int").alias("nb")).where("nb > 1"))
+    large = materialize(info.groupBy("home").agg(parts.cast("int").alias("nb")).where("nb > 1"), rows, 16)
     part = F.when(F.col("nb").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("nb"))).otherwise(0)
     return info.join(small(large), "home", "left").select("rep", "sketch", F.xxhash64("home", part).alias("block"), *keep)
 
