@@ -52,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     key, text_hash, kept, rows = (unused(docs, n) for n in ("group_id", "group_hash", "group_kept", "group_rows"))
     judged = jaccard_join.near_duplicates(docs).groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("kept").alias(kept)).agg(F.count("*").alias(rows))
-    other = materialize(judged.where(~F.col(kept) | (F.col(rows) > 1)))
+    other = materialize(judged.where(~F.col(kept) | (F.col(rows) > 1)), docs.count())
     same = docs["doc_id"].cast("long").eqNullSafe(other[key]) & (F.xxhash64(docs["text"]) == other[text_hash])
     single = docs.join(other, same, "left_anti")
     if other.where(F.col(kept)).isEmpty():
