@@ -162,14 +162,14 @@ class ByteBpe:
         one = self.whole(token)
         return self.merge(token) if one is None else [one]
 
-    def encoder(self, miss: Callable[[str], list[int]] | None = None, entries: int = MEMO_ENTRIES) -> Callable[[str], bytes]:
+    def encoder(self) -> Callable[[str], bytes]:
         """text -> ids as little-endian unsigned 32-bit integers; keeps a bounded memo of pre-tokens."""
         memo: dict[str, bytes] = {}
         older: dict[str, bytes] = {}
 
         def resolve(t: str) -> bytes:
             nonlocal memo, older, get
-            if len(memo) >= entries // 2:
+            if len(memo) >= MEMO_ENTRIES // 2:
                 memo, older = {}, memo
                 get = memo.get
             if (out := older.get(t)) is not None:
@@ -177,7 +177,7 @@ class ByteBpe:
                 return out
             b = t.encode("utf-8")
             one = self.whole(b)
-            ids = [one] if one is not None else miss(t) if miss else self.merge(b)
+            ids = self.merge(b) if one is None else [one]
             out = array("I", ids).tobytes()
             if len(b) <= 64:
                 memo[t] = out

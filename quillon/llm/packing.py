@@ -18,14 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.bpe import load_packed, packed_vocabulary
+from quillon.llm.bpe import read_ranks
 from quillon.llm.common import column, lean, materialize, texts
 
 #: Multiplicative weights: rounds, pricings in a round, solutions for what rounding leaves, how fast the
 #: weights of lengths that are behind rise, and how much more of the room than need be a filling may waste.
 ROUNDS, PRICINGS, RESOLVES, RATE, SLACK = 20, 4, 1, 0.5, 0.001
-#: Pre-tokens that a task remembers; others are quick to encode again.
-MEMO_ENTRIES = 100_000
 #: The part of each multiplicity that rounding takes; the rest keeps a mixture of lengths for the best fit.
 COVER = 0.8
 
@@ -44,31 +42,29 @@ def cut_points(n: int, size: int) -> list[int]:
 def pieces(df: DataFrame, vocab_path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Token ids of every whole text plus end_id, cut into pieces of at most `size`.
 
-    Ids are those of the byte-level tokenizer file. Null texts count as empty and give one piece that
-    holds end_id alone; repeated rows give repeated pieces; an empty table gives none. Pre-tokens that are
-    not whole vocabulary entries are merged by the public rank-based encoder.
+    Ids are those of the byte-level tokenizer file, whose ids are its merge ranks; the public rank-based encoder
+    makes them, text by text, whatever the length. Null texts count as empty and give one piece that
+    holds end_id alone; repeated rows give repeated pieces; an empty table gives none.
     """
-    shared = df.sparkSession.sparkContext.broadcast(packed_vocabulary(vocab_path))
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocab_path))  # its size is the vocabulary's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         import tiktoken
 
         with lean():
-            codec = load_packed(shared.value)
-            merges = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
-            enc, end = codec.encoder(merges.encode_ordinary, MEMO_ENTRIES), end_id.to_bytes(4, "little")
+            encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
+            end = end_id.to_bytes(4, "little")
             for batch in batches:
                 for part, values in texts(batch, "_text"):
                     rows = []
                     for doc, t in zip(column(part, "_id").to_pylist(), values, strict=True):
-                        ids = (enc(t) if t else b"") + end
+                        ids = (np.array(encode(t), "<u4").tobytes() if t else b"") + end
                         starts = cut_points(len(ids) // 4, size)
                         for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids) // 4], strict=True)):
                             rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
                     cols = list(zip(*rows, strict=True)) or [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
-            load_packed.cache_clear()  # workers are used again by other stages
 
     return df.select(df[id_col].cast("long").alias("_id"), df[text].alias("_text")).mapInArrow(run, PIECES)
 
