@@ -21,11 +21,11 @@ from pyspark.sql import types as T
 from quillon.llm.bpe import read_ranks
 from quillon.llm.common import column, lean, materialize, texts
 
-#: Multiplicative weights: rounds, pricings in a round, solutions for what rounding leaves, how fast the
-#: weights of lengths that are behind rise, and how much more of the room than need be a filling may waste.
-ROUNDS, PRICINGS, RESOLVES, RATE, SLACK = 20, 4, 1, 0.5, 0.001
-#: The part of each multiplicity that rounding takes; the rest keeps a mixture of lengths for the best fit.
-COVER = 0.8
+#: Multiplicative weights: rounds, pricings in a round, how fast the weights of lengths that are behind rise,
+#: and how much more of the room than need be a filling may waste.
+ROUNDS, PRICINGS, RATE, SLACK = 20, 4, 0.5, 0.001
+#: Shares of each multiplicity that rounding may take; the rest keeps a mixture of lengths for the best fit.
+COVERS = (0.8, 0.3, 0.5, 0.65, 0.9, 0.95, 1.0)
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -132,25 +132,25 @@ def solve_configuration_lp(counts: np.ndarray, size: int, rounds: int = ROUNDS)
 def plan(counts: np.ndarray, size: int, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Fillings (length, times) with how many sequences use each; together they hold counts exactly.
 
-    The LP's solution is rounded down and the LP solved again for what that leaves, as long as it takes a
-    fair part of it; the last few go best-fit, longest first. The plan's size depends on the lengths only.
+    Each share of COVERS of the LP's multiplicities is rounded down and what that leaves goes best-fit, longest
+    first; the share with the fewest sequences is taken. The plan's size depends on the lengths only.
     """
-    left = counts.astype(np.int64).copy()
-    out: dict[tuple, int] = {}
-    for _ in range(RESOLVES):
-        got = 0
-        for c, x in sorted(solve_configuration_lp(left, size, rounds).items(), key=lambda e: (-e[1], e[0])):
-            m = int(min([x * COVER + 1e-9, *(left[ln] // t for ln, t in c)]))
+    solution = sorted(solve_configuration_lp(counts, size, rounds).items(), key=lambda e: (-e[1], e[0]))
+    best: dict[tuple, int] = {}
+    for k, cover in enumerate(COVERS):
+        left = counts.astype(np.int64).copy()
+        out: dict[tuple, int] = {}
+        for c, x in solution:
+            m = int(min([x * cover + 1e-9, *(left[ln] // t for ln, t in c)]))
             if m > 0:
                 out[c] = out.get(c, 0) + m
-                got += m
                 for ln, t in c:
                     left[ln] -= t * m
-        if got * 50 < (left * np.arange(size + 1)).sum() / size or not left.any():
-            break
-    for c, m in best_fit(left, size).items():
-        out[c] = out.get(c, 0) + m
-    return sorted(out.items())
+        for c, m in best_fit(left, size).items():
+            out[c] = out.get(c, 0) + m
+        if not k or sum(out.values()) < sum(best.values()):
+            best = out
+    return sorted(best.items())
 
 
 def best_fit(counts: np.ndarray, size: int) -> dict[tuple, int]:

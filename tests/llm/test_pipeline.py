@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.llm import langid, quality_crf
+from quillon.sources.scratch import scratch_dir
 from tests.conftest import ORACLE, SMALL
 from tests.llm import brute
 from tests.llm.test_tokens import check_packing
@@ -31,7 +34,10 @@ def test_stages_against_brute_force(spark):
 
 
 def test_run_keeps_clean_documents(spark):
+    folder = Path(scratch_dir(spark).removeprefix("file:"), "quillon")
+    before = set(folder.iterdir()) if folder.exists() else set()
     out = corpus_pipeline.run(spark, SMALL)
+    assert len(set(folder.iterdir()) - before) == 2  # the documents of the last stage and its pieces, which the result reads
     labels = {r[0]: r[1] for r in spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality").collect()}
     kept = {r["doc_id"] for r in out.collect()}
     assert np.mean([i in kept for i, q in labels.items() if q == 1]) > 0.85
