@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +44,8 @@ def materialize(df: DataFrame, rows: int | None = None, width: int = 64) -> Data
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
+    if (made := _made.get()) is not None:
+        made.append(path)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(fs_path)
     return out
@@ -49,6 +54,25 @@ def materialize(df: DataFrame, rows: int | None = None, width: int = 64) -> Data
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._quillon_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Scratch tables made inside go at its end, but for those put into the list it gives."""
+    made, kept = [], []
+    token = _made.set(made)
+    try:
+        yield kept
+    finally:
+        _made.reset(token)
+        for name in set(made) - {df._quillon_path for df in kept}:
+            _delete(spark, name)

@@ -182,6 +182,12 @@ def test_scratch_needs_a_shared_folder(spark):
     scratch.discard(table)
     with pytest.raises(Exception, match="(?i)not exist|no such file"):
         spark.read.parquet(table._quillon_path)
+    with scratch.temporary(spark) as kept:
+        gone, stays = scratch.materialize(spark.range(2)), scratch.materialize(spark.range(5), 5)
+        kept.append(stays)
+    assert stays.count() == 5 and stays.rdd.getNumPartitions() == 1
+    with pytest.raises(Exception, match="(?i)not exist|no such file"):
+        spark.read.parquet(gone._quillon_path)
 
 
 @pytest.mark.parametrize("f", [0, 1, 0.0001, 0.9999])
