@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import jaccard_join, langid, packing, quality_crf, secret_scan
 from quillon.llm.common import discard, materialize, unused
+from quillon.sources.scratch import temporary
 
 #: A document whose language is less certain is rejected; so is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -99,13 +100,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; every result but the last is written to the shared folder."""
+    """All stages over the table documents; every result but the last is written to the shared folder.
+
+    A stage's other tables go once its result is written, and the result once the next one is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out = materialize(out)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with temporary(spark) as kept:
+            out = materialize(stage(spark, docs, sf_dir))
+            kept.append(out)
         if k:
             discard(docs)
         docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
