@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.sources.scratch import discard, materialize
 
-__all__ = ["WORD_BREAKS", "bounded_sample", "column", "discard", "fold", "gathered", "labelled_sample", "lean", "materialize", "texts", "unused"]
+__all__ = ["WORD_BREAKS", "bounded_sample", "column", "discard", "fold", "gathered", "join_hot", "labelled_sample", "lean", "materialize", "texts", "unused"]
 
 #: The characters that separate words; everything else is part of a word.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,23 @@ def lean():
             pass
 
 
+#: Rows of one key from which they stay where they are in a join, and the most keys that are treated so.
+HOT_ROWS, HOT_KEYS = 100_000, 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """left.join(right, on), right having one row for each key, hot being a small scan of the keys with many rows on the left.
+
+    Rows of hot keys are not shuffled, which would bring each key's to one task: their partners, whose number is
+    checked, are broadcast instead.
+    """
+    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return left.join(right, on)
+    keys = F.broadcast(hot.select(*on))
+    rest = left.join(keys, on, "left_anti").join(right, on)
+    return left.join(F.broadcast(right.join(keys, on)), on).select(*rest.columns).unionByName(rest)
+
+
 def fold(id_col: str, k: int):
     """crc32 of the id as text, modulo k."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % k

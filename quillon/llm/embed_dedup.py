@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm import links
-from quillon.llm.common import column, discard, lean, materialize
+from quillon.llm import common, links
+from quillon.llm.common import column, discard, join_hot, lean, materialize
 from quillon.llm.components import connected_components
 
 #: Vectors that share a bucket by chance, on average; sets the bits of a table.
@@ -123,7 +123,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     joined = joined.withColumn("component", F.coalesce("component", "rep"))
     smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     info = joined.join(smallest, "component").select("c1", "c2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked_rows = members.select("vec_id", "c1", "c2").join(info, ["c1", "c2"]).select("vec_id", "n_links", "component_id")
+    linked_rows = join_hot(members.select("vec_id", "c1", "c2"), info, ["c1", "c2"], reps.where(F.col("weight") > common.HOT_ROWS)).select("vec_id", "n_links", "component_id")
     alone = base.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.unionByName(alone).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

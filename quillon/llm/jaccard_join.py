@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm import links
-from quillon.llm.common import WORD_BREAKS, column, discard, lean, materialize, texts
+from quillon.llm import common, links
+from quillon.llm.common import WORD_BREAKS, column, discard, join_hot, lean, materialize, texts
 from quillon.llm.components import connected_components
 
 #: Words of a shingle, min-hash tokens of a set, and the similarity of a link.
@@ -289,7 +289,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
         "copy", F.col("doc_id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("c.doc_id").alias("class_id"), F.col("c.text_hash").alias("class_hash"),
     )
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
-    out = some.select("doc_id", "copy", "text_hash").join(info, "copy").select("doc_id", "class_id", "n_links", "copy_id", "text_hash", kept.alias("kept"))
+    out = join_hot(some.select("doc_id", "copy", "text_hash"), info, ["copy"], reps.where(F.col("weight") > common.HOT_ROWS)).select("doc_id", "class_id", "n_links", "copy_id", "text_hash", kept.alias("kept"))
     none = signed.where("n = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), "text_hash", F.lit(True).alias("kept")
     )

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import embed_dedup, jaccard_join, links
+from quillon.llm import common, embed_dedup, jaccard_join, links
 from quillon.llm.components import connected_components
 from tests.conftest import ORACLE
 from tests.llm import brute
@@ -18,7 +19,9 @@ def _counts(rows, pairs, nodes):
     return {i: (n[i], comp[i]) for i in nodes}
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_components_of_paths_and_stars(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     edges = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges]
@@ -29,6 +32,14 @@ def test_components_of_paths_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_joins_at_hot_keys_equal_plain_ones(spark):
+    left = spark.createDataFrame([(k % 5 if k % 7 else None, k) for k in range(100)], "k int, a int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(4)], "k int, b string")
+    want = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    for hot in ([], [1], [1, 3, 9]):
+        assert sorted(map(tuple, common.join_hot(left, right, ["k"], spark.createDataFrame([(k,) for k in hot], "k int")).collect())) == want
+
+
 def _vectors():
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 16))
@@ -47,7 +58,8 @@ def test_embedding_links(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash")).withColumn("rep", F.lit(1))
     small = [(i, (np.array(v) / max(map(abs, v))).tolist() if v and None not in v and any(v) else v) for i, v in rows if i != 304]
     want = _counts(rows, brute.vector_links(small), [i for i, _ in rows])
-    for block, bucket, few in ((1024, 4096, 32), (7, 10, 3)):
+    for block, bucket, few, hot in ((1024, 4096, 32, 100_000), (7, 10, 3, 1)):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         monkeypatch.setattr(links, "BLOCK_ROWS", block)
         monkeypatch.setattr(links, "BUCKET_ROWS", bucket)
         monkeypatch.setattr(links, "FEW", few)
@@ -172,7 +184,8 @@ def test_jaccard_links(spark, monkeypatch):
     rows = _texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit("clash")).withColumn("n", F.lit(1))
     want = _counts(rows, brute.jaccard_links(rows), [i for i, _ in rows])
-    for block, bucket, small, few in ((1024, 4096, 64, 32), (5, 6, 2, 2)):
+    for block, bucket, small, few, hot in ((1024, 4096, 64, 32, 100_000), (5, 6, 2, 2, 1)):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         monkeypatch.setattr(links, "BLOCK_ROWS", block)
         monkeypatch.setattr(links, "BUCKET_ROWS", bucket)
         monkeypatch.setattr(links, "FEW", few)
