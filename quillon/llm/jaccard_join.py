@@ -263,20 +263,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     pairs = materialize(links.noted(rows.join(placed, "rep"), most_bits(threshold)), 4 * standing.count())
     discard(*used, standing)
     key = lambda i, h: F.xxhash64(*_place(i, h)).alias("key")
-    table = df.sparkSession.sparkContext.broadcast(links.wanted(pairs.select("rep").distinct().join(reps, "rep").select(key(F.col("doc_id"), F.col("text_hash")))))
+    needed = pairs.select("rep").distinct().join(reps, "rep").select(key(F.col("doc_id"), F.col("text_hash")))
     sets = T.StructType([T.StructField("copy", T.BinaryType()), T.StructField("payload", T.BinaryType())])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             shingle = Shingler()
             for batch in batches:
-                batch = batch.filter(pa.array(links.is_wanted(table.value, column(batch, "key").to_numpy())))
                 for _, values in texts(batch, "_text", 64):
                     made = [shingle(t) for t in values]
                     yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=sets.names)
 
-    # a text that isn't wanted but passes the table's bits finds no partner in the join
-    whole = df.select(key(df[id_col].cast("long"), F.xxhash64(df[text])), df[text].alias("_text")).mapInArrow(resolve, sets)
+    # a text that isn't needed but passes finds no partner in the join
+    whole = links.wanted(df.select(key(df[id_col].cast("long"), F.xxhash64(df[text])), df[text].alias("_text")), needed).select("_text").mapInArrow(resolve, sets)
     payload = whole.select(F.xxhash64("copy").alias("rep"), "payload").dropDuplicates(["rep"]).join(reps.select("rep", "weight"), "rep")
     linked = links.counted(pairs, payload, lambda x, y: similar(x, y, threshold))
     discard(pairs)

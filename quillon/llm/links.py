@@ -23,7 +23,7 @@ from quillon.llm.common import gathered, lean, materialize
 BLOCK_ROWS, BUCKET_ROWS = 1024, 4096
 #: Buckets of so many rows are compared many at a time.
 FEW = 32
-#: Bits of the table of rows whose payload is wanted; it is at most 4 MB, whatever the data.
+#: Bits of the table of rows whose payload is wanted; it has at most 524,288 rows of two numbers, whatever the data.
 FILTER_BITS = 1 << 25
 
 NOTED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("own", T.LongType()), T.StructField("others", T.ArrayType(T.LongType()))])
@@ -186,22 +186,17 @@ def roots(near: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.n
     return left, right
 
 
-def wanted(keys: DataFrame) -> bytes:
-    """A table of bits with those set that the column `key` (long) hashes to: what isn't set is not wanted.
+def wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose `key` (long) may be one of keys' `key`, and few others, without a shuffle of the rows.
 
-    Made of partial sums by 64-bit words; at most FILTER_BITS / 64 rows reach the driver.
+    Keys set bits of a table, of partial sums by 64-bit words; it has FILTER_BITS / 64 rows at most, whatever the
+    data, and is broadcast. Rows that pass by chance have to be told from the others later.
     """
     bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
-    words = keys.select(F.shiftrightunsigned(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}L) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return out.tobytes()
-
-
-def is_wanted(table: bytes, key: np.ndarray) -> np.ndarray:
-    bit = np.mod(key, FILTER_BITS)
-    return (np.frombuffer(table, np.int64)[bit >> 6] >> (bit & 63)) & 1 > 0
+    within = F.expr(f"cast(pmod(key, {FILTER_BITS}L) & 63 as int)")
+    words = keys.groupBy(F.shiftrightunsigned(bit, 6).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}L) & 63 as int))")).alias("_bits"))
+    marked = rows.withColumn("_word", F.shiftrightunsigned(bit, 6)).withColumn("_at", within)
+    return marked.join(F.broadcast(words), "_word").where(F.expr("shiftright(_bits, _at) & 1 = 1")).select(*rows.columns)
 
 
 def counted(noted_rows: DataFrame, payload: DataFrame, similar: Callable[[pa.Array, pa.Array | None], np.ndarray]) -> DataFrame:

@@ -106,13 +106,15 @@ def test_components_of_link_matrices():
         assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(n + m) for j in range(n + m))
 
 
-def test_bits_of_wanted_keys(spark):
+def test_wanted_rows_pass_and_few_others(spark):
     rng = np.random.default_rng(6)
-    keys = [0, -1, 2**63 - 1, -(2**63), *rng.integers(-(2**63), 2**63, 500).tolist()]
-    table = links.wanted(spark.createDataFrame([(k,) for k in keys], "key long"))
-    assert links.is_wanted(table, np.array(keys)).all()
-    assert links.is_wanted(table, rng.integers(-(2**63), 2**63, 2000)).sum() < 5
-    assert not links.is_wanted(links.wanted(spark.createDataFrame([], "key long")), np.array(keys)).any()
+    keys = [0, -1, 2**63 - 1, -(2**63), 63, 64, *rng.integers(-(2**63), 2**63, 500).tolist()]
+    other = rng.integers(-(2**63), 2**63, 2000).tolist()
+    frame = lambda v: spark.createDataFrame([(k,) for k in v], "key long")
+    rows = frame(keys + other).withColumn("text", F.lit("t")).withColumn("_at", F.lit(1))
+    got = links.wanted(rows.drop("_at"), frame(keys + keys))
+    assert got.columns == ["key", "text"] and got.join(frame(keys).distinct(), "key").count() == len(keys) and got.count() < len(keys) + 5
+    assert links.wanted(rows, frame([])).count() == 0
 
 
 def test_embedding_recall_with_default_parameters(spark):
