@@ -4,28 +4,39 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PRINTABLE = r"^[\x20-\x7E]*\z"
 
 
-@F.pandas_udf(T.StringType())
-def _json_string(values: pd.Series) -> pd.Series:
-    """JSON text with every code point beyond ASCII escaped, which no built-in function writes."""
-    return values.map(lambda v: None if v is None else json.dumps(v))
+# What JSON writes for these characters.
+SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _escaped(x: Column) -> Column:
+    """A character as JSON in ASCII: itself, a short escape, or its UTF-16 units in hexadecimal."""
+    point = F.ascii(x)
+    unit = lambda v: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(v), 4, "0")))
+    beyond = point - 0x10000
+    pair = F.concat(unit(F.lit(0xD800) + F.shiftright(beyond, 10)), unit(F.lit(0xDC00) + beyond.bitwiseAND(0x3FF)))
+    short = F.when(point.between(32, 126) & ~x.isin('"', "\\"), x)
+    for char, escape in SHORT.items():
+        short = short.when(x == char, escape)
+    return short.when(point < 0x10000, unit(point)).otherwise(pair)
 
 
 def json_text(c: Column, any_text: bool = True) -> Column:
-    """A string column as JSON, `null` for null. Printable ASCII stays on built-in functions.
+    """A string column as JSON, `null` for null, with every code point beyond ASCII escaped.
 
-    any_text=False: the caller knows that values are printable ASCII, and no Python is in the plan.
+    Printable ASCII takes two replacements; other texts go character by character. any_text=False: the caller
+    knows that values are printable ASCII.
     """
     plain = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    text = F.when(F.regexp_like(c, F.lit(PRINTABLE)), plain).otherwise(_json_string(c)) if any_text else plain
-    return F.coalesce(text, F.lit("null"))
+    if not any_text:
+        return F.coalesce(plain, F.lit("null"))
+    escaped = F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), _escaped), ""), F.lit('"'))
+    return F.coalesce(F.when(F.regexp_like(c, F.lit(PRINTABLE)), plain).otherwise(escaped), F.lit("null"))
 
 
 def digest_id(prefix: str, json_values: dict[str, Column | str]) -> Column:

@@ -45,11 +45,12 @@ def cut(ranked: DataFrame, quota: int) -> str:
 def balance(items: DataFrame, positive: str = "Supported", negative: str = "Unsupported", negative_fraction: float = 0.8, seed: int = 42, any_text: bool = True) -> tuple[DataFrame, dict]:
     """Downsample two labels to the target share. Rows of other labels stay; so does all if a label is absent.
 
-    An item is kept if its id is among the first of its label by hash; rows that share a kept id all stay. Ids
-    are counted once, in a table of their own; the kept rows are then found by comparing ranks, without a join
+    An item is kept if its id is among the first of its label by hash; rows that share a kept id all stay. Items
+    are made once and their ids counted once, in tables of their own; the kept rows are then found by comparing ranks, without a join
     unless some id stands under several labels.
     """
     quotas(1, 1, negative_fraction)
+    items = materialize(items)  # they are read for the ranks and for the result, and took joins to make
     label = F.when(F.col("answer_label").isin(positive, negative), F.col("answer_label"))
     rank = lambda of: stable_id("sample", {"seed": seed, "label": of, "item_id": F.col("item_id")}, any_text)
     ranked = materialize(items.groupBy(label.alias("_label"), "item_id").agg(F.count("*").alias("_n")).withColumn("_rank", rank(F.col("_label"))))
