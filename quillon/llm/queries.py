@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, embed_dedup, jaccard_join, langid, license_scan, merkle, packing, quality_crf, quality_rules, secret_scan, toxicity
+from quillon.llm import ann, bpe, embed_dedup, jaccard_join, langid, license_scan, merkle, packing, quality_crf, quality_rules, secret_scan, toxicity, whitening
 from quillon.llm.common import fold
 
 
@@ -73,6 +73,14 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumn("licenses", F.array_join("licenses", ","))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -86,7 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     own = [
         op1_quality_rules, op2_byte_bpe, op3_embedding_near_dedup, op4_language_id, op5_quality_classifier, op6_ngram_jaccard_join,
-        op7_best_fit_packing, op8_secret_scans, op9_toxicity, op10_license_scans, op13_merkle_manifest,
+        op7_best_fit_packing, op8_secret_scans, op9_toxicity, op10_license_scans,
+        op11_embedding_whitening, op12_nearest_neighbours, op13_merkle_manifest,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -95,5 +104,5 @@ def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; tests/llm holds the others against brute force, round trips and held-out accuracy."""
     return {
         "op1_quality_rules": quality_rules.oracle(), "op3_embedding_near_dedup": embed_dedup.oracle(), "op6_ngram_jaccard_join": jaccard_join.oracle(), "op8_secret_scans": secret_scan.oracle(),
-        "op10_license_scans": license_scan.oracle(), "op13_merkle_manifest": merkle.oracle(),
+        "op10_license_scans": license_scan.oracle(), "op12_nearest_neighbours": ann.oracle(), "op13_merkle_manifest": merkle.oracle(),
     }
