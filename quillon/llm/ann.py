@@ -51,8 +51,10 @@ def lines_of(seed: int, width: int, lines: int = LINES) -> np.ndarray:
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances of rows, the squares added in the order of the components."""
-    d = (x - q).T
-    return np.sqrt(np.add.reduce(np.ascontiguousarray(d * d), axis=0))
+    d = np.ascontiguousarray((x - q).T)
+    d *= d
+    # a lone column would be summed pairwise
+    return np.sqrt(np.add.reduce(d, axis=0) if len(x) > 1 else np.add.accumulate(d, axis=0)[-1])
 
 
 @dataclass
