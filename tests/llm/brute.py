@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from fractions import Fraction
 
@@ -72,3 +73,48 @@ def base_secrets(text):
 
 def digest(spans):
     return hashlib.sha256(",".join(f"{['assign', 'access', 'hex'][k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def best_fit(counts: np.ndarray, size: int) -> dict[tuple, int]:
+    """Longest first, each into the fullest open sequence with room; equal sequences are handled together."""
+    groups: dict[tuple, int] = {}
+    by_room: dict[int, list[tuple]] = {}
+    rooms: list[int] = []
+
+    def put(c: tuple, room: int, m: int) -> None:
+        if c not in groups:
+            if room not in by_room:
+                by_room[room] = []
+                insort(rooms, room)
+            by_room[room].append(c)
+            groups[c] = 0
+        groups[c] += m
+
+    def pull(c: tuple, room: int, m: int) -> None:
+        groups[c] -= m
+        if not groups[c]:
+            del groups[c]
+            by_room[room].remove(c)
+            if not by_room[room]:
+                del by_room[room]
+                rooms.remove(room)
+
+    for ln in range(size, 0, -1):
+        n = int(counts[ln])
+        while n:
+            k = bisect_left(rooms, ln)
+            if k == len(rooms):
+                each = size // ln
+                if n >= each:
+                    put(((ln, each),), size - each * ln, n // each)
+                if n % each:
+                    put(((ln, n % each),), size - n % each * ln, 1)
+                break
+            room = rooms[k]
+            c = by_room[room][0]
+            each = min(room // ln, n)
+            m = min(groups[c], n // each)
+            pull(c, room, m)
+            put((*c, (ln, each)), room - each * ln, m)
+            n -= m * each
+    return groups

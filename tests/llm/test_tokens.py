@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from quillon.llm import bpe, packing
 from tests.conftest import ORACLE
+from tests.llm import brute
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = bpe.read_ranks(PATH)
@@ -115,7 +116,7 @@ def test_packing_edges(spark):
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 5000), max_size=12))
 def test_plans_hold_every_piece(hist):
     counts = np.zeros(33, np.int64)
@@ -129,7 +130,7 @@ def test_plans_hold_every_piece(hist):
         for ln, n in filling:
             held[ln] += n * times
     assert (held == counts).all()
-    assert total <= 1.02 * sum(packing.best_fit(counts, 32).values()) + 1
+    assert total <= 1.02 * sum(brute.best_fit(counts, 32).values()) + 1
     taken = np.zeros(33)
     for filling, x in packing.solve_configuration_lp(counts, 32).items():
         for ln, n in filling.items() if isinstance(filling, dict) else filling:
@@ -141,6 +142,52 @@ def test_plans_hold_every_piece(hist):
 def test_plans_are_near_the_bound_of_tokens(low, high, n, most):
     counts = np.bincount(np.random.default_rng(n).integers(low, high, n), minlength=1025)
     total = sum(m for _, m in packing.plan(counts, 1024))
-    assert total <= sum(packing.best_fit(counts, 1024).values()) * 1.0005
+    assert total <= sum(brute.best_fit(counts, 1024).values()) * 1.0005
     per = 1024 // low if low > 200 else 1024  # pieces that a sequence has room for
     assert total <= most * max((counts * np.arange(1025)).sum() / 1024, n / per)
+
+
+@pytest.mark.parametrize("hist, size, most", [({1: 1, 8: 2700, 21: 2700}, 32, 2700), ({1: 10, 8: 27_000, 21: 27_000}, 32, 27_000), ({1: 1, 256: 2700, 672: 2700}, 1024, 2700), ({300: 5000, 400: 5000, 330: 1}, 1024, 3751)])
+def test_rare_lengths_do_not_spoil_a_plan(hist, size, most):
+    counts = np.zeros(size + 1, np.int64)
+    for ln, n in hist.items():
+        counts[ln] = n
+    assert sum(m for _, m in packing.plan(counts, size)) <= most
+
+
+@pytest.mark.parametrize("size, low, high, n", [(64, 2, 5, 60), (1024, 8, 60, 25)])
+def test_plans_of_random_lengths_are_near_the_dual_bound(size, low, high, n):
+    rng = np.random.default_rng(size)
+    for _ in range(n):
+        counts = np.zeros(size + 1, np.int64)
+        counts[rng.choice(np.arange(1, size + 1), rng.integers(low, high + 1), replace=False)] = 1
+        counts *= rng.integers(1, 3000, size + 1)
+        total, (_, bound) = sum(m for _, m in packing.plan(counts, size)), packing.solve_by_weights(counts, size)
+        bound = max(bound, (counts * np.arange(size + 1)).sum() / size)
+        assert bound - 1e-6 <= total <= 1.001 * sum(brute.best_fit(counts, size).values())
+        assert total <= 1.05 * bound + (counts > 0).sum()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 3), st.integers(0, 9)), max_size=6), st.integers(1, 30))
+def test_pricing_is_the_bounded_knapsack(items, size):
+    value, left = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    for ln, n, v in items:
+        if ln <= size:
+            value[ln], left[ln] = v, n
+    best = {0: 0.0}
+    for ln in range(1, size + 1):
+        best = {used + k * ln: max(best.get(used, 0) + k * value[ln] for used, k in ((u, j) for u in best for j in range(int(left[ln]) + 1)) if used + k * ln == w) for w in {u + j * ln for u in best for j in range(int(left[ln]) + 1)} for used, k in [(w, 0)] if w <= size} if value[ln] else best
+    priced = packing.Pricing(value, left, size)
+    for room in range(size + 1):
+        c = priced.filling(room)
+        assert sum(ln * n for ln, n in c.items()) <= room and all(n <= left[ln] for ln, n in c.items())
+        assert sum(value[ln] * n for ln, n in c.items()) == pytest.approx(priced.best[room]) == pytest.approx(max(v for w, v in best.items() if w <= room))
+
+
+def test_long_runs_of_white_space_pack_like_the_tokenizer(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 1_000_000 + "a", "\n" * 1_200_000 + "b", " " * 4_000_000 + "c", "then plain text"]
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert check_packing(rows, 1024, want)
