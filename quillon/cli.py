@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quillon import schemas
 from quillon.operators import items, linking, models, prompts, report, scoring
@@ -39,17 +40,22 @@ def _fraction(v: str) -> float:
 
 
 def parse_chest_imagenome(spark, a):
-    parsed = scene_graphs.parse_scene_graphs(scene_graphs.discover(spark, a.input, a.limit))
-    sinks.write_parquet(parsed.objects, f"{a.output}/ci_objects.parquet", schemas.OBJECTS)
-    sinks.write_parquet(parsed.assertions, f"{a.output}/ci_attribute_assertions.parquet", schemas.ASSERTIONS)
-    sinks.write_json(f"{a.output}/parser_summary.json", out := scene_graphs.parser_summary(parsed, ["ci_objects.parquet", "ci_attribute_assertions.parquet"]))
+    with scratch.temporary(spark):
+        parsed = scene_graphs.parse_scene_graphs(scene_graphs.discover(spark, a.input, a.limit), strict=not a.quarantine)
+        sinks.write_parquet(parsed.objects, f"{a.output}/ci_objects.parquet")
+        sinks.write_parquet(parsed.assertions, f"{a.output}/ci_attribute_assertions.parquet")
+        if a.quarantine:
+            sinks.write_parquet(parsed.refused, a.quarantine)
+        out = scene_graphs.written_summary(parsed, ["ci_objects.parquet", "ci_attribute_assertions.parquet"])
+    sinks.write_json(f"{a.output}/parse_chest_imagenome_summary.json", out)
     return out
 
 
 def link_mimic_images(spark, a):
     index = linking.image_index(tables.read_parquet(spark, a.objects, schemas.OBJECTS), tables.read_parquet(spark, a.attributes, schemas.ASSERTIONS))
-    sinks.write_parquet(items.in_order(index, schemas.IMAGE_KEY), a.output, schemas.IMAGE_INDEX)
-    sinks.write_json(a.summary, out := _one(linking.image_index_summary(index)))
+    tally = sinks.Tally()
+    sinks.write_parquet(tally(items.in_order(index, schemas.IMAGE_KEY), *linking.image_index_counts()), a.output)
+    sinks.write_json(a.summary, out := tally.counts())
     return out
 
 
@@ -57,23 +63,23 @@ def _build(spark, a, level):
     assertions = tables.read_parquet(spark, a.attributes, schemas.ASSERTIONS)
     objects = tables.read_parquet(spark, a.objects, schemas.OBJECTS) if level == "g2" else None
     index = tables.read_parquet(spark, a.image_index, schemas.IMAGE_INDEX)
-    args = (assertions, index) if level == "g1" else (assertions, objects, index)
-    h1 = (items.build_g1_h1 if level == "g1" else items.build_g2_h1)(*args)
+    args, tally = (assertions, index) if level == "g1" else (assertions, objects, index), sinks.Tally()
+    h1 = scratch.materialize((items.build_g1_h1 if level == "g1" else items.build_g2_h1)(*args, tally=tally))  # a sort would run it twice
     h2, balance = (items.build_g1_h2 if level == "g1" else items.build_g2_h2)(*args, a.unsupported, not a.no_balance_h2, a.h2_unsupported_fraction, a.h2_sampling_seed)
     keys = [*schemas.IMAGE_KEY, "target_anatomy", "target_finding"]
     sinks.write_jsonl(items.in_order(h1, keys), a.h1_output)
+    scratch.discard(h1)
     sinks.write_jsonl(items.in_order(h2, ["answer_label", *keys]), a.h2_output)  # supported claims come first
-    groups = items.g1_groups(assertions) if level == "g1" else items.g2_groups(assertions)
-    out = _one(items.builder_summary(groups, objects)) | {"h2_balance": balance}
-    sinks.update_summary(a.summary, level, out)
+    sinks.update_summary(a.summary, level, out := tally.counts() | {"h2_balance": balance})
     return out
 
 
 def build_prompts(spark, a):
-    inputs, meta, summary = prompts.prompt_layers(tables.read_jsonl(spark, a.input, schemas.ITEMS))
+    tally = sinks.Tally()
+    inputs, meta, _ = prompts.prompt_layers(tables.read_jsonl(spark, a.input, schemas.ITEMS), tally)
     sinks.write_jsonl(inputs, a.model_inputs_output)
     sinks.write_jsonl(meta, a.eval_metadata_output)
-    return _one(summary)
+    return tally.counts()
 
 
 def batch_infer(spark, a):
@@ -81,8 +87,9 @@ def batch_infer(spark, a):
         print("mode oracle needs --eval-metadata", file=sys.stderr)
         raise SystemExit(2)
     meta = tables.read_jsonl(spark, a.eval_metadata, schemas.EVAL_METADATA) if a.eval_metadata else None
-    sinks.write_jsonl(out := prompts.mock_responses(tables.read_jsonl(spark, a.input, schemas.MODEL_INPUTS), meta, a.mode, a.model_name), a.output)
-    return {"rows": out.count()}
+    tally, out = sinks.Tally(), prompts.mock_responses(tables.read_jsonl(spark, a.input, schemas.MODEL_INPUTS), meta, a.mode, a.model_name)
+    sinks.write_jsonl(tally(out, F.count("*").alias("rows")), a.output)
+    return tally.counts()
 
 
 def medgemma_runner(spark, a):
@@ -175,6 +182,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--input", default="data/fixtures")
     p.add_argument("--output", default="data/interim")
     p.add_argument("--limit", type=_positive)
+    p.add_argument("--quarantine", help="a table for documents that are no JSON; without it the first one ends the run")
     command(link_mimic_images, "--objects", "--attributes", "--output", "--summary")
     for level, flag in (("g1", "--unsupported-per-image"), ("g2", "--unsupported-per-anatomy")):
         p = command(lambda s, a: _build(s, a, a.level), "--image-index", "--h1-output", "--h2-output", "--summary", name=f"build_{level}_items", level=level)

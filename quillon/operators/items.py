@@ -12,6 +12,7 @@ from quillon.functions.text import finding_claim, finding_question, support_ques
 from quillon.operators.sampling import balance
 from quillon.schemas import BBOX, BOX, DATASET, FINDING, IMAGE_KEY, ITEMS, SILVER, SOURCE_ASSERTION, conform
 from quillon.sources.scratch import materialize
+from quillon.sources.sinks import Tally
 
 PROBE_SOURCE = "constructed_missing_evidence_probe"
 _TRACE = ["assertion_id", "raw_label", "category", "polarity", "label_name", "bbox_name", "phrase_id", "phrase_index", "source_quality"]
@@ -113,13 +114,30 @@ def _item(df: DataFrame, level: str, probe: str, question: Column, answer: Colum
     ), ITEMS)
 
 
-def build_g1_h1(assertions: DataFrame, image_index: DataFrame, any_text: bool = True) -> DataFrame:
-    g = attach_images(g1_groups(assertions, True).where("not conflict"), image_index)
+_KEPT = "not conflict and bbox is not null"
+
+
+def group_counts() -> list[Column]:
+    """Candidate, written, yes, no, conflict and missing-box counts of groups (any_yes, conflict, bbox)."""
+    return [
+        F.count("*").alias("candidate_groups"), F.count_if(F.expr(_KEPT)).alias("items_written"), F.count_if(F.expr(f"{_KEPT} and any_yes")).alias("yes_items"),
+        F.count_if(F.expr(f"{_KEPT} and not any_yes")).alias("no_items"), F.count_if("conflict").alias("excluded_conflict_groups"),
+        F.count_if(F.expr("not conflict and bbox is null")).alias("excluded_missing_bbox_groups"),
+    ]
+
+
+def build_g1_h1(assertions: DataFrame, image_index: DataFrame, any_text: bool = True, tally: Tally | None = None) -> DataFrame:
+    """tally: takes the builder's counts while the items are written."""
+    g = g1_groups(assertions, True)
+    g = tally(g.withColumn("bbox", F.lit("none")), *group_counts()).drop("bbox") if tally else g
+    g = attach_images(g.where("not conflict"), image_index)
     return _item(g, "G1", "H1", finding_question(F.col("label_name")), F.when(F.col("any_yes"), "Yes").otherwise("No"), None, F.col("source_assertions"), ["E2_structured_label"], any_text)
 
 
-def build_g2_h1(assertions: DataFrame, objects: DataFrame, image_index: DataFrame, any_text: bool = True) -> DataFrame:
-    g = attach_boxes(g2_groups(assertions, True).where("not conflict"), objects).where("bbox is not null")
+def build_g2_h1(assertions: DataFrame, objects: DataFrame, image_index: DataFrame, any_text: bool = True, tally: Tally | None = None) -> DataFrame:
+    """tally: takes the builder's counts while the items are written; groups in conflict then get boxes too."""
+    g = g2_groups(assertions, True)
+    g = tally(attach_boxes(g, objects), *group_counts()).where(_KEPT) if tally else attach_boxes(g.where("not conflict"), objects).where("bbox is not null")
     g = attach_images(g, image_index)
     return _item(g, "G2", "H1", finding_question(F.col("label_name"), F.col("bbox_name")), F.when(F.col("any_yes"), "Yes").otherwise("No"), None, F.col("source_assertions"), ["E1_bbox", "E2_anatomy_finding_pair"], any_text)
 
@@ -197,9 +215,4 @@ def build_g2_h2(assertions: DataFrame, objects: DataFrame, image_index: DataFram
 def builder_summary(groups: DataFrame, objects: DataFrame | None = None) -> DataFrame:
     """Candidate, written, yes, no, conflict and missing-box counts in one pass."""
     g = attach_boxes(groups, objects) if objects is not None else groups.withColumn("bbox", F.lit("none"))
-    kept = "not conflict and bbox is not null"
-    return g.agg(
-        F.count("*").alias("candidate_groups"), F.count_if(F.expr(kept)).alias("items_written"), F.count_if(F.expr(f"{kept} and any_yes")).alias("yes_items"),
-        F.count_if(F.expr(f"{kept} and not any_yes")).alias("no_items"), F.count_if("conflict").alias("excluded_conflict_groups"),
-        F.count_if(F.expr("not conflict and bbox is null")).alias("excluded_missing_bbox_groups"),
-    )
+    return g.agg(*group_counts())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import relative_image_path, truthy
@@ -21,11 +21,15 @@ def image_index(objects: DataFrame, assertions: DataFrame) -> DataFrame:
     return conform(both.select(*IMAGE_KEY, F.col("image_id").alias("dicom_id"), F.lit(True).alias("has_chest_imagenome"), F.lit(False).alias("has_radgraph")), IMAGE_INDEX)
 
 
-def image_index_summary(index: DataFrame) -> DataFrame:
-    return index.agg(
+def image_index_counts() -> list[Column]:
+    return [
         F.count("*").alias("image_index_rows"), F.count_if(truthy(F.col("image_path"))).alias("non_null_image_path_rows"),
         F.count_if(F.coalesce("has_chest_imagenome", F.lit(False))).alias("has_chest_imagenome_rows"), F.count_if(F.coalesce("has_radgraph", F.lit(False))).alias("has_radgraph_rows"),
-    )
+    ]
+
+
+def image_index_summary(index: DataFrame) -> DataFrame:
+    return index.agg(*image_index_counts())
 
 
 def needed_images(items: list[DataFrame]) -> DataFrame:

@@ -14,7 +14,9 @@ from quillon.functions.text import render_prompt, resolve_path, template_id, tru
 from quillon.operators.items import last_by_key
 from quillon.schemas import ANSWERS, EVAL_METADATA, MODEL_INPUTS, RESPONSES, conform
 from quillon.sources.scratch import materialize
+from quillon.sources.sinks import Tally
 
+# Modes of mock answers, and the answer that no format fits.
 MODES = ["oracle", "always_yes", "always_no", "always_supported", "always_unsupported", "alternating", "invalid"]
 INVALID_TEXT = "This response intentionally does not follow the requested format."
 META = ["answer_label", "granularity", "question_type", "hallucination_probe"]
@@ -24,19 +26,20 @@ def with_skip_reason(items: DataFrame) -> DataFrame:
     return items.withColumn("skip_reason", F.when(~truthy(F.col("image_path")), "missing_image_path").when(~truthy(F.col("question")), "missing_question"))
 
 
-def prompt_layers(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Model inputs without labels, their evaluation metadata, and the five counts."""
+def prompt_layers(items: DataFrame, tally: Tally | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Model inputs without labels, their evaluation metadata, and the five counts; tally takes these while the inputs are written."""
     flagged = with_skip_reason(items)
-    ok = flagged.where("skip_reason is null")
-    order = ["_ord"] if "_ord" in items.columns else []
-    inputs = ok.select("item_id", "image_path", template_id(F.col("hallucination_probe")).alias("prompt_template_id"), render_prompt(F.col("hallucination_probe"), F.col("question")).alias("prompt"), *order)
-    meta = conform(ok, EVAL_METADATA)
-    n = lambda c: F.count_if(c)
-    none = F.col("skip_reason").isNull()
-    summary = flagged.agg(
+    n, none = F.count_if, F.col("skip_reason").isNull()
+    counts = [
         F.count("*").alias("input_items"), n(none).alias("model_input_records"), n(none).alias("eval_metadata_records"),
         n(F.col("skip_reason").eqNullSafe("missing_image_path")).alias("skipped_missing_image_path"), n(F.col("skip_reason").eqNullSafe("missing_question")).alias("skipped_missing_question"),
-    )
+    ]
+    summary = flagged.agg(*counts)
+    ok = flagged.where(none)
+    seen = tally(flagged, *counts).where(none) if tally else ok
+    order = ["_ord"] if "_ord" in items.columns else []
+    inputs = seen.select("item_id", "image_path", template_id(F.col("hallucination_probe")).alias("prompt_template_id"), render_prompt(F.col("hallucination_probe"), F.col("question")).alias("prompt"), *order)
+    meta = conform(ok, EVAL_METADATA)
     return (inputs if order else conform(inputs, MODEL_INPUTS)), meta, summary
 
 

@@ -86,6 +86,14 @@ def scene_graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat(key, F.lit("_SceneGraph.json")).alias("path"), text.alias("text"))
 
 
+def odd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents; some repeat keys, some hold NaN, and some are cut off before their end."""
+    of = table(spark, sf_dir, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("_SceneGraph.json")).alias("path"), F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") % 4 == 1, F.col("o_orderkey") % 7 == 2).toDF("path", "twice", "nan", "cut")
+    text = F.when(F.col("twice"), F.concat(F.lit('{"image_id": "an older one", "objects": 3, '), F.substr("text", F.lit(2)))).when(F.col("nan"), F.replace("text", F.lit('"y1": "2"'), F.lit('"y1": NaN'))).otherwise(F.col("text"))
+    docs = scene_graph_documents(spark, sf_dir).join(of, "path")
+    return docs.select("path", F.when(F.col("cut"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text).alias("text"))
+
+
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the columns of the data model that the view lacks."""
     ca = view(spark, sf_dir, "ca")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.functions.ids import assertion_id, stable_id, stable_id_sql
 from quillon.operators import audit, items, linking, prompts, sampling, scoring
-from quillon.plans.adapters import LINE_ORDER, assertions, scene_graph_documents, table, view, with_views
+from quillon.plans.adapters import LINE_ORDER, assertions, odd_documents, scene_graph_documents, table, view, with_views
 from quillon.schemas import ITEMS
 from quillon.sources import scene_graphs
 
@@ -95,7 +95,7 @@ def scene_graph_objects(spark, sf):
 
 
 @query(
-    "select key, n from (select 'missing_required_key:objects' as key, count(distinct l_orderkey) n from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey where o_orderstatus = 'P'"
+    "select key, n from (select 'missing_top_level_key:objects' as key, count(distinct l_orderkey) n from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey where o_orderstatus = 'P'"
     f" union all select 'invalid_object_entry', count(*) from {_LINES} where l_quantity = 1 union all select 'invalid_attribute_entry', count(*) from {_LINES} where l_quantity = 1"
     f" union all select 'misaligned_phrase_key:phrase_IDs', count(*) from {_LINES} where l_quantity <> 1 and l_discount >= 0.05 union all select 'malformed_label', count(*) from {_LINES} where l_quantity >= 45) where n > 0"
 )
@@ -103,6 +103,22 @@ def scene_graph_warnings(spark, sf):
     return _parsed(spark, sf).warnings
 
 
+@query(
+    "select image_id, 'o' || cast(l_linenumber as string) object_id, cast(cast(l_quantity as int) as double) x1, o_orderkey % 4 = 1 y1_nan,"
+    f" cast(l_quantity as int) + 0.5::double y2 from {_LINES} where l_quantity <> 1 and o_orderkey % 7 <> 2"
+)
+def scene_graph_json_rules(spark, sf):
+    """Documents with repeated keys, of which the last counts, and with NaN, among others and among some that are no JSON."""
+    got = scene_graphs.parse_scene_graphs(odd_documents(spark, sf), strict=False).objects
+    return got.select("image_id", "object_id", "x1", F.coalesce(F.isnan("y1"), F.lit(False)).alias("y1_nan"), "y2")
+
+
+@query("select cast(o_orderkey as string) || '_SceneGraph.json' path, 'malformed_json' reason from orders where o_orderkey % 7 = 2 and o_orderkey in (select l_orderkey from lineitem join part on l_partkey = p_partkey)")
+def scene_graph_refused(spark, sf):
+    """The quarantine of documents that are no JSON."""
+    return scene_graphs.parse_scene_graphs(odd_documents(spark, sf), strict=False).refused.select("path", "reason")
+
+
 _CHAR = (
     "case when c in ('\"', chr(92)) then chr(92) || c when c = chr(10) then chr(92) || 'n' when c = chr(9) then chr(92) || 't' when c = chr(13) then chr(92) || 'r' when c = chr(8) then chr(92) || 'b' when c = chr(12) then chr(92) || 'f'"
     " when unicode(c) between 32 and 126 then c when unicode(c) < 65536 then chr(92) || 'u' || printf('%04x', unicode(c))"

@@ -2,41 +2,69 @@
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.ids import assertion_id
 from quillon.functions.text import label_parts
 from quillon.schemas import ASSERTIONS, BOX, OBJECTS, SILVER, conform
+from quillon.sources.scratch import materialize
+from quillon.sources.sinks import Tally, file_system
 
 # Keys of a document and of an attribute.
 REQUIRED = ["image_id", "objects", "attributes"]
 PHRASE_KEYS = ["attributes", "attributes_ids", "phrases", "phrase_IDs", "sections", "comparison_cues", "temporal_cues", "severity_cues", "texture_cues"]
 
 
+# What a number that JSON has no word for is written as, and what it is.
+BEYOND_JSON = {"NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+MARK = "\ue000"
+
+
 class Parsed(NamedTuple):
     objects: DataFrame
     assertions: DataFrame
     warnings: DataFrame  # key, n
     files: DataFrame
+    refused: DataFrame  # path, text, reason
+    tally: Tally  # of the objects' and assertions' plans, once they are written
+
+
+def list_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the documents under a folder, or the one file; no file is opened."""
+    reader = spark.read.format("binaryFile")
+    if _is_directory(spark, path):
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*_SceneGraph.json")
+    return reader.load(path).select("path")
 
 
 def discover(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """path, text of each document in path-part order; a missing path fails when it is read."""
+    """path, text of each document in path-part order; a missing path fails when it is read.
+
+    With a limit the paths are put in order first and the first ones alone are opened.
+    """
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
     reader = spark.read.option("wholetext", True)
-    if _is_directory(spark, path):
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*_SceneGraph.json")
-    docs = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return docs if limit is None else docs.orderBy(F.split("path", "/")).limit(limit)
+    if limit is not None:
+        chosen = [r["path"] for r in list_documents(spark, path).orderBy(F.split("path", "/")).limit(limit).collect()]
+        if not chosen:
+            return spark.createDataFrame([], "path string, text string")
+        docs = reader.text(chosen)
+    else:
+        if _is_directory(spark, path):
+            reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*_SceneGraph.json")
+        docs = reader.text(path)
+    return docs.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def _is_directory(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, p = file_system(path, spark)
     if not fs.exists(p):
         raise FileNotFoundError(path)
     return fs.getFileStatus(p).isDirectory()
@@ -50,12 +78,16 @@ def _string(v: Column) -> Column:
     """Text of a scalar; null for null, booleans, lists and objects."""
     kind = _kind(v)
     scalar = ~(kind.startswith("ARRAY") | kind.startswith("OBJECT") | kind.isin("BOOLEAN", "VOID"))
-    return F.when(scalar, F.try_variant_get(v, "$", "string"))
+    said = F.try_variant_get(v, "$", "string")
+    beyond = {MARK + "NaN": "nan", MARK + "Infinity": "inf", MARK + "-Infinity": "-inf"}
+    return F.when(scalar, F.coalesce(*(F.when(said == k, x) for k, x in beyond.items()), said))
 
 
 def _number(v: Column) -> Column:
     kind = _kind(v)
-    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+    number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+    said = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.coalesce(number, *(F.when(said == MARK + k, F.lit(x)) for k, x in BEYOND_JSON.items()))
 
 
 def _list(v: Column) -> Column:
@@ -71,27 +103,77 @@ def _at(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant")
 
 
+@F.pandas_udf(T.StringType())
+def _plain_json(texts: pd.Series) -> pd.Series:
+    """Texts that only a tolerant parser takes, as plain JSON: the last of repeated keys, and marked strings for NaN and infinities."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text, parse_constant=lambda c: MARK + c))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one, na_action="ignore").astype(object)
+
+
+def read_graphs(docs: DataFrame) -> DataFrame:
+    """path, v (VARIANT, null if refused), text (of refused documents alone).
+
+    Spark's parser takes most documents inside the JVM. Those that it refuses (repeated keys, of which the last counts,
+    NaN and infinities) go to a tolerant parser; for all others nothing but a null is sent there.
+    """
+    first = docs.select("path", "text", F.try_parse_json("text").alias("_v"))
+    again = first.withColumn("_plain", _plain_json(F.when(F.col("_v").isNull(), F.col("text"))))
+    v = F.coalesce("_v", F.try_parse_json("_plain"))
+    return again.select("path", v.alias("v"), F.when(v.isNull(), F.col("text")).alias("text"))
+
+
 def parse_scene_graphs(docs: DataFrame, strict: bool = True) -> Parsed:
-    """Flatten documents (path, text). Malformed JSON fails when strict, else the document yields a warning.
+    """Flatten documents (path, text). A document that no parser takes fails when strict, else it yields a warning and a row of `refused`.
 
-    A document that lacks a required key gives one warning per key and no rows. Entries that are no objects
+    Documents are parsed into one table of VARIANTs, from which all results are made. A document that lacks a required key gives one warning per key and no rows. Entries that are no objects
     give a warning. Rows of assertions depend on the lists of labels only; other lists are read by position.
     """
-    d = docs.select("path", (F.parse_json if strict else F.try_parse_json)(F.col("text")).alias("v"), F.col("text"))
-    d = d.withColumn("missing", F.array_compact(F.array(*(F.when(_at(F.col("v"), k).isNull(), F.lit(f"missing_required_key:{k}")) for k in REQUIRED))))
+    d = materialize(read_graphs(docs))
+    refused = d.where(F.col("v").isNull()).select("path", "text", F.lit("malformed_json").alias("reason"))
+    if strict and (bad := refused.select("path").first()) is not None:
+        raise ValueError(f"{bad['path']} is no JSON")
+    d = d.withColumn("missing", F.array_compact(F.array(*(F.when(_at(F.col("v"), k).isNull(), F.lit(f"missing_top_level_key:{k}")) for k in REQUIRED))))
     d = d.withColumn("missing", F.when(F.col("v").isNull(), F.array(F.lit("malformed_json"))).otherwise(F.col("missing")))
+    tally = Tally()
+    _, objects, _, _, assertions = _flatten(d, tally)
+    entries, _, found, attr, labels = _flatten(d, lambda df, *_: df)
+    warnings = (
+        d.select(F.explode("missing").alias("key"))
+        .unionByName(entries.where("not ok").select(F.lit("invalid_object_entry").alias("key")))
+        .unionByName(found.where("not ok").select(F.lit("invalid_attribute_entry").alias("key")))
+        .unionByName(attr.select(F.explode("misaligned").alias("key")))
+        .unionByName(labels.where("category is null").select(F.lit("malformed_label").alias("key")))
+        .groupBy("key").agg(F.count("*").alias("n"))
+    )
+    return Parsed(objects, assertions, warnings, d.select("path"), refused, tally)
+
+
+def _flatten(d: DataFrame, note) -> tuple[DataFrame, ...]:
+    """(entries, objects, found, attr, assertions) of parsed documents; note(rows, counts) sees the rows of each step before any are left out."""
+    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
     good = d.where(F.size("missing") == 0).select(
-        *(_string(_at(F.col("v"), k)).alias(k) for k in ("patient_id", "study_id", "image_id")), _list(_at(F.col("v"), "objects")).alias("objs"), _list(_at(F.col("v"), "attributes")).alias("attrs")
+        *(_string(_at(F.col("v"), k)).alias(k) for k in ("patient_id", "study_id", "image_id")), _list(_at(F.col("v"), "attributes")).alias("attrs")
     )
     keys = ["patient_id", "study_id", "image_id"]
-    entries = good.select(*keys, F.explode("objs").alias("o")).withColumn("ok", _kind(F.col("o")).startswith("OBJECT"))
+    listed = d.withColumn("_fine", F.size("missing") == 0).withColumn("_objs", F.when(F.size("missing") == 0, _list(_at(F.col("v"), "objects"))))
+    listed = note(listed, F.count("*").alias("files_seen"), *(n(F.array_contains("missing", w), w) for w in ["malformed_json", *(f"missing_top_level_key:{k}" for k in REQUIRED)]))
+    named = listed.where("_fine").select(*(_string(_at(F.col("v"), k)).alias(k) for k in keys), F.explode("_objs").alias("o"))
+    entries = named.withColumn("ok", F.coalesce(_kind(F.col("o")).startswith("OBJECT"), F.lit(False)))
+    entries = note(entries, n(~F.col("ok"), "invalid_object_entry"), n(F.col("ok"), "ci_objects_rows"))
     o = F.col("o")
     objects = conform(entries.where("ok").select(
         *keys, *(_string(_at(o, k)).alias(k) for k in ("object_id", "bbox_name", "name")), _strings(_at(o, "synsets")).alias("synsets"),
         *(_number(_at(o, c.split()[0])).alias(c.split()[0]) for c in BOX.split(", ")), F.lit(SILVER).alias("source_quality"),
     ), OBJECTS)
 
-    found = good.select(*keys, F.posexplode("attrs").alias("attribute_index", "a")).withColumn("ok", _kind(F.col("a")).startswith("OBJECT"))
+    found = good.select(*keys, F.posexplode("attrs").alias("attribute_index", "a")).withColumn("ok", F.coalesce(_kind(F.col("a")).startswith("OBJECT"), F.lit(False)))
+    found = note(found, n(~F.col("ok"), "invalid_attribute_entry"))
     a = F.col("a")
     attr = found.where("ok").select(
         *keys, "attribute_index", "a", _string(_at(a, "object_id")).alias("object_id"), _string(_at(a, "name")).alias("_name"),
@@ -103,6 +185,7 @@ def parse_scene_graphs(docs: DataFrame, strict: bool = True) -> Parsed:
     attr = attr.withColumn("anatomy_bound", F.coalesce(named & (_kind(dynamic) == "BOOLEAN") & F.try_variant_get(dynamic, "$", "boolean"), F.lit(False)))
     count = F.greatest(*(F.size(f"l_{k}") for k in PHRASE_KEYS))
     attr = attr.withColumn("misaligned", F.array_compact(F.array(*(F.when((F.size(f"l_{k}") > 0) & (F.size(f"l_{k}") != count), F.lit(f"misaligned_phrase_key:{k}")) for k in PHRASE_KEYS))))
+    attr = note(attr, *(n(F.array_contains("misaligned", w), w) for w in (f"misaligned_phrase_key:{k}" for k in PHRASE_KEYS)))
     phrases = attr.select("*", F.posexplode("l_attributes").alias("phrase_index", "labels"))
     at = lambda k: F.get(F.col(f"l_{k}"), F.col("phrase_index"))
     labels = phrases.select("*", F.posexplode(_list(F.col("labels"))).alias("label_index", "label"))
@@ -114,15 +197,15 @@ def parse_scene_graphs(docs: DataFrame, strict: bool = True) -> Parsed:
         "phrase_index", _string(at("phrase_IDs")).alias("phrase_id"), _string(at("sections")).alias("section"), _string(at("phrases")).alias("phrase"),
         *(_strings(at(k)).alias(k) for k in ("severity_cues", "temporal_cues", "texture_cues", "comparison_cues")), F.lit(SILVER).alias("source_quality"),
     ).select("*", "parts.*")
-    warnings = (
-        d.select(F.explode("missing").alias("key"))
-        .unionByName(entries.where("not ok").select(F.lit("invalid_object_entry").alias("key")))
-        .unionByName(found.where("not ok").select(F.lit("invalid_attribute_entry").alias("key")))
-        .unionByName(attr.select(F.explode("misaligned").alias("key")))
-        .unionByName(assertions.where("category is null").select(F.lit("malformed_label").alias("key")))
-        .groupBy("key").agg(F.count("*").alias("n"))
-    )
-    return Parsed(objects, conform(assertions, ASSERTIONS), warnings, docs.select("path"))
+    written = note(conform(assertions, ASSERTIONS), F.count("*").alias("ci_attribute_assertions_rows"), n(F.col("category").isNull(), "malformed_label"))
+    return entries, objects, found, attr, written
+
+
+def written_summary(parsed: Parsed, tables: list[str]) -> dict:
+    """The same as parser_summary, from what was counted while objects and assertions were written; both have to be."""
+    told = parsed.tally.counts()
+    rows = {k: told.pop(k) for k in ("files_seen", "ci_objects_rows", "ci_attribute_assertions_rows")}
+    return rows | {"warnings": {k: v for k, v in sorted(told.items()) if v}, "output_tables": tables}
 
 
 def parser_summary(parsed: Parsed, tables: list[str]) -> dict:

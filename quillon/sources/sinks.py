@@ -1,12 +1,13 @@
-"""Writers (SNK1-SNK11)."""
+"""Writers (SNK1-SNK11), and what is counted while they write."""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
-from pathlib import Path
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,25 +33,101 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*columns).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+class Tally:
+    """Counts that plans take while they are written, so that no table is read again to be counted.
+
+    tally(df, counts) is df with aggregates to observe; `counts()` has them once everything observed was written.
+    Place it above range shuffles, or below a materialized table: a sampled sort runs what is below it twice.
+    """
+
+    def __init__(self) -> None:
+        self._seen: list[Observation] = []
+
+    def __call__(self, df: DataFrame, *told: Column) -> DataFrame:
+        self._seen.append(Observation())
+        return df.observe(self._seen[-1], *told)
+
+    def counts(self) -> dict[str, int]:
+        return {k: v for o in self._seen for k, v in o.get.items()}
+
+
+def _session() -> SparkSession:
+    return SparkSession.builder.getOrCreate()
+
+
+def file_system(path: str, spark: SparkSession | None = None):
+    """(file system, path) of a local path or a URI of any store that Hadoop knows."""
+    spark = spark or _session()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs), p  # a local file's checksum is a second file, which a rename can't replace with it
+
+
+def read_text(path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    fs, p = file_system(path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(path: str, text: str) -> None:
+    """A small file, written beside its place and then renamed to it, so that readers see the old or the new one whole."""
+    fs, p = file_system(path)
+    part = p.suffix(f".{uuid.uuid4().hex}.part")
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    if fs.getUri().getScheme() == "file" and fs.rename(part, p):  # replaces what is there
+        return
+    spark = _session()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    part, p = fs.makeQualified(part), fs.makeQualified(p)
+    hadoop.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(part, p, overwrite)
+
+
 def write_json(path: str, payload: dict) -> None:
     """Small results of aggregates: indented, keys sorted."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(payload, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    write_text(path, json.dumps(payload, indent=2, sort_keys=True) + "\n")
 
 
 def update_summary(path: str, section: str, payload: dict) -> None:
-    """Replace one section of a summary file and leave the others."""
-    old = json.loads(Path(path).read_text(encoding="utf-8")) if Path(path).exists() else {}
-    write_json(path, old | {section: payload})
+    """Replace one section of a summary and leave the others; writers of different sections don't disturb each other.
+
+    Each section is a file of its own under `path`.sections, which its writer replaces whole; the summary is put
+    together from all that are there, by every writer after its own section, so the last one has them all. Sections of
+    a summary without that folder are taken over from the summary itself.
+    """
+    folder = f"{path}.sections"
+    for name, old in (json.loads(read_text(path) or "{}")).items():
+        if name != section and read_text(f"{folder}/{name}.json") is None:
+            write_json(f"{folder}/{name}.json", old)
+    write_json(f"{folder}/{section}.json", payload)
+    while (now := _sections(folder)) != json.loads(read_text(path) or "null"):  # again if another writer came between
+        write_json(path, now)
+
+
+def _sections(folder: str) -> dict:
+    fs, p = file_system(folder)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p))
+    return {n.removesuffix(".json"): json.loads(text) for n in names if n.endswith(".json") and (text := read_text(f"{folder}/{n}")) is not None}
 
 
 def write_csv_rows(rows: list[dict], path: str, columns: list[str]) -> None:
     """A report of a few rows; the header is there even without rows, nulls are empty."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        out = csv.DictWriter(f, columns, extrasaction="ignore", restval="")
-        out.writeheader()
-        out.writerows(rows)
+    text = io.StringIO(newline="")
+    out = csv.DictWriter(text, columns, extrasaction="ignore", restval="")
+    out.writeheader()
+    out.writerows(rows)
+    write_text(path, text.getvalue())
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.schemas import conform
+from quillon.sources.sinks import read_text
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
@@ -26,8 +27,9 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
 
 def read_summary(path: str) -> dict:
     """A score summary, a few kilobytes of JSON, on the driver."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    if (text := read_text(path)) is None:
+        raise FileNotFoundError(path)
+    return json.loads(text)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

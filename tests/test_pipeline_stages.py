@@ -42,7 +42,7 @@ def test_ingest(spark, folder):
     assert (rows[0]["category"], rows[0]["polarity"], rows[0]["label_name"], rows[0]["phrase_id"], rows[0]["severity_cues"]) == ("anatomicalfinding", "no", "pneumothorax", "s1|1", ["severity|yes|mild"])
     assert rows[3]["raw_label"] == "bad label" and rows[3]["category"] is None and rows[3]["attributes_id"] is None and rows[2]["phrase_id"] is None
     warned = {r["key"]: r["n"] for r in parsed.warnings.collect()}
-    assert warned == {"missing_required_key:attributes": 1, "invalid_object_entry": 1, "invalid_attribute_entry": 1, "misaligned_phrase_key:phrase_IDs": 3, "malformed_label": 3}
+    assert warned == {"missing_top_level_key:attributes": 1, "invalid_object_entry": 1, "invalid_attribute_entry": 1, "misaligned_phrase_key:phrase_IDs": 3, "malformed_label": 3}
     assert scene_graphs.parser_summary(parsed, ["t"])["files_seen"] == 2
     assert scene_graphs.discover(spark, folder, 1).count() == 1
     with pytest.raises(FileNotFoundError):
@@ -51,6 +51,60 @@ def test_ingest(spark, folder):
         scene_graphs.discover(spark, folder, 0)
 
 
+def test_documents_are_read_once_and_counted_while_writing(spark, folder, tmp_path):
+    for k in range(5):
+        (tmp_path / f"c{k}_SceneGraph.json").write_text(json.dumps(graph(image_id=f"c{k}", objects=[] if k == 2 else graph()["objects"])), encoding="utf-8")
+    (tmp_path / "d_SceneGraph.json").write_text('{"image_id": "d", "objects": [], "attributes": []', encoding="utf-8")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        read.add(1)
+        return t
+
+    docs = scene_graphs.discover(spark, folder).withColumn("text", counted("text"))
+    parsed = scene_graphs.parse_scene_graphs(docs, strict=False)
+    sinks.write_parquet(parsed.objects, f"{folder}/o")
+    sinks.write_parquet(parsed.assertions, f"{folder}/a")
+    told = scene_graphs.written_summary(parsed, ["t"])
+    assert read.value == 8 and told == scene_graphs.parser_summary(parsed, ["t"]) and read.value == 8
+    assert told["ci_objects_rows"] == spark.read.parquet(f"{folder}/o").count() and told["warnings"]["malformed_json"] == 1
+    assert [r["path"].rsplit("/", 1)[1] for r in parsed.refused.collect()] == ["d_SceneGraph.json"]
+    with pytest.raises(ValueError, match="d_SceneGraph"):
+        scene_graphs.parse_scene_graphs(docs)
+
+
+def test_json_as_a_tolerant_parser_takes_it(spark):
+    box = '{"bbox_name": "first", "x1": 1, "x1": 2, "y1": NaN, "x2": Infinity, "y2": -Infinity, "name": NaN, "bbox_name": "last", "object_id": "NaN"}'
+    texts = [f'{{"image_id": "old", "objects": [{box}], "attributes": [], "image_id": "new"}}', "[1, 2", "", None, "NaN", "[" * 100_000]
+    docs = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    parsed = scene_graphs.parse_scene_graphs(docs, strict=False)
+    (r,) = parsed.objects.collect()
+    assert (r["image_id"], r["bbox_name"], r["x1"], r["x2"], r["y2"], r["name"], r["object_id"]) == ("new", "last", 2.0, float("inf"), float("-inf"), "nan", "NaN") and r["y1"] != r["y1"]
+    assert sorted(r["path"] for r in parsed.refused.collect()) == ["p1", "p2", "p3", "p5"]
+
+
+def test_a_limit_opens_no_other_file(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"{k:03d}_SceneGraph.json").write_text(json.dumps(graph(image_id=f"i{k}")), encoding="utf-8")
+    docs = scene_graphs.discover(spark, str(tmp_path), 7)
+    assert sorted(p.rsplit("/", 1)[1][:3] for p in docs.inputFiles()) == [f"{k:03d}" for k in range(7)] and docs.count() == 7
+    assert scene_graphs.discover(spark, str(tmp_path), 100).count() == 60
+
+
+def test_writers_of_sections_do_not_lose_each_other(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for path in (str(tmp_path / "a/summary.json"), f"file://{tmp_path}/b/summary.json"):
+        sinks.write_json(path, {"old": {"n": 0}})
+        with ThreadPoolExecutor(6) as pool:
+            list(pool.map(lambda k: sinks.update_summary(path, f"s{k}", {"n": k}), range(6)))  # noqa: B023
+        assert tables.read_summary(path) == {"old": {"n": 0}} | {f"s{k}": {"n": k} for k in range(6)}
+        sinks.update_summary(path, "s1", {"n": 9})
+        assert tables.read_summary(path)["s1"] == {"n": 9}
+    assert not list(tmp_path.rglob("*.part")) and not (tmp_path / "file:").exists()
+
+
 def test_stable_ids_equal_json_digests(spark):
     values = ["opacity", 'q"\\x', "é😀", "\x1f\x7f", "line\n", None, ""]
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", ids.stable_id("p", {"b": F.col("v"), "a": None, "seed": 42}).alias("i"))
