@@ -6,7 +6,8 @@ P(Bin(n, risk) <= k) tests "the set rejects more than `risk` of the good". In ea
 in order, and the first that fails ends the sequence (fixed-sequence testing needs no correction within it);
 strata share the error level by Bonferroni. What is guaranteed, with a chance of 1 - error for all strata at
 once: of a stratum's good documents that pass the base rules, equal texts counted once, the signals reject no
-more than `risk`. Strata with too few good documents use a set that is certified on the good documents of all.
+more than its risk. A stratum's risk is the first of RISKS that its number of good documents can certify at all,
+chosen before any rejection is counted; strata too small for the last have the base rules alone.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from quillon.llm.common import WORD_BREAKS, materialize
 
 #: Words of a window, and the base rules' limits.
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-#: The share of good documents that all rules together may reject, and the chance that the guarantee fails.
-RISK, ERROR = 0.02, 0.05
+#: The shares of good documents that all rules together may reject, by the size of the stratum, and the chance that the guarantee fails.
+RISKS, ERROR = (0.02, 0.05, 0.1, 0.2), 0.05
 #: Signals (a high value is bad) and their cutoffs in each set of the sequence, most lenient first.
 SEQUENCE = {
     "symbols": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05],
@@ -108,50 +109,49 @@ def certify(n: int, rejected: list[int], risk: float, level: float) -> int:
     return len(rejected)
 
 
-def cutoffs(measured: DataFrame, good: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, int]:
-    """How many sets are certified in each stratum that has a good document.
+def risk_of(n: int, risks: tuple[float, ...], level: float) -> float | None:
+    """The first risk that n good documents without a rejection would certify."""
+    return next((r for r in risks if certify(n, [0], r, level)), None)
+
+
+def cutoffs(measured: DataFrame, good: DataFrame, risks: tuple[float, ...] = RISKS, error: float = ERROR) -> dict[str, tuple[float, int]]:
+    """The risk of each stratum that can certify one, and how many sets are certified.
 
     good: doc_ids labelled good. All of them count, equal texts once, since copies are no independent trials;
-    those that fail the base rules don't. One row of counts for each stratum reaches the driver. A stratum is
-    tested alone if a set without a false rejection could be certified on it. The others take what is certified
-    on all good documents, and no further than their own good documents bear it out, so that a rare language
-    unlike the others isn't rejected for it.
+    those that fail the base rules don't. One row of counts for each stratum reaches the driver. Every stratum is
+    tested on its own documents alone.
     """
     labelled = measured.where(~base_failed()).join(good.select("doc_id").distinct(), "doc_id", "left_semi")
     beyond = lambda i: reduce(lambda a, b: a | b, [F.col(s) > c[i] for s, c in SEQUENCE.items()])
     hits = [F.sum(beyond(i).cast("long")).alias(f"k{i}") for i in range(SETS)]
     rows = {r["stratum"]: r for r in labelled.dropDuplicates(["stratum", "text_key"]).groupBy("stratum").agg(F.count("*").alias("n"), *hits).collect()}
-    level = error / (len(rows) + 1)  # every stratum, and all together
-    counts = lambda r: [r[f"k{i}"] or 0 for i in range(SETS)]
-    alone = {z for z, r in rows.items() if certify(r["n"], [0], risk, level)}
-    sure = {z: certify(rows[z]["n"], counts(rows[z]), risk, level) for z in alone}
-    if len(alone) < len(rows):
-        pool = labelled.dropDuplicates(["text_key"]).agg(F.count("*").alias("n"), *hits).first()
-        together = certify(pool["n"], counts(pool), risk, level)
-        sure |= {z: min(together, certify(r["n"], counts(r), risk, 1.0)) for z, r in rows.items() if z not in alone}
-    return sure
-
-
-def apply_cutoffs(measured: DataFrame, found: dict[str, int]) -> DataFrame:
-    """Adds base_failed, rules_failed (signals beyond their cutoff) and kept."""
-    sets = F.coalesce(*(F.when(F.col("stratum") == z, m) for z, m in sorted(found.items())), F.lit(0))
+    level = error / max(len(rows), 1)
+    chosen = {z: risk_of(r["n"], risks, level) for z, r in rows.items()}
+    return {z: (risk, certify(rows[z]["n"], [rows[z][f"k{i}"] or 0 for i in range(SETS)], risk, level)) for z, risk in chosen.items() if risk is not None}
+
+
+def apply_cutoffs(measured: DataFrame, found: dict[str, tuple[float, int]]) -> DataFrame:
+    """Adds risk (null: base rules alone), base_failed, rules_failed (signals beyond their cutoff) and kept."""
+    of = lambda k, other: F.coalesce(*(F.when(F.col("stratum") == z, v[k]) for z, v in sorted(found.items())), other)
+    sets = of(1, F.lit(0))
+    measured = measured.withColumn("risk", of(0, F.lit(None).cast("double")))
     failed = [F.when((sets > 0) & (F.col(s) > F.get(F.array(*map(F.lit, c)), sets - 1)), F.lit(s)) for s, c in SEQUENCE.items()]
     out = measured.withColumn("base_failed", base_failed()).withColumn("rules_failed", F.array_compact(F.array(*failed)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rules_failed") == 0))
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+def quality_rules(df: DataFrame, labels: DataFrame, stratum: str | None = "lang", risks: tuple[float, ...] = RISKS, error: float = ERROR) -> DataFrame:
     """Counts, signals and verdict of every document.
 
     labels: doc_id, quality (1: good; other values and nulls are not used; a document with both labels counts
-    as good). Null strata are one stratum, "und"; strata without a good document, and all where even together
-    they have too few to certify anything, have the base rules alone. Null and empty texts fail the base rules;
+    as good). Null strata are one stratum, "und"; strata with too few good documents to certify any of the risks
+    have the base rules alone, and a null risk. Null and empty texts fail the base rules;
     very long ones are measured whole. Repeated rows give repeated results; empty tables an empty one; columns
     of df other than id, text and stratum are ignored.
     """
     measured = materialize(features(df, stratum=stratum))
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
-    return apply_cutoffs(measured, cutoffs(measured, good, risk, error)).drop("text_key")
+    return apply_cutoffs(measured, cutoffs(measured, good, risks, error)).drop("text_key")
 
 
 def oracle() -> str:
@@ -159,10 +159,10 @@ def oracle() -> str:
     names = list(SEQUENCE)
     steps = ", ".join(f"({i}, {', '.join(str(SEQUENCE[s][i]) for s in names)})" for i in range(SETS))
     beyond = " or ".join(f"f.{s} > q.{s}" for s in names)
-    tail = "(select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({r}) + (n - i) * ln(1 - {r}))) from (select unnest(range(k + 1)) i))".format(r=RISK)
+    tail = "(select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(risk) + (n - i) * ln(1 - risk))) from (select unnest(range(k + 1)) i))"
     return rf"""
 with d as (select doc_id, coalesce(lang, 'und') stratum, coalesce(text, '') t from documents),
-s as (select *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) l from d),
+s as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
 texts as (select distinct t, w from s where len(w) >= {WINDOW}),
 windows as (select t, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i : i + {WINDOW - 1}], ' '))) win, unnest(range(len(w) - {WINDOW - 1})) i from texts),
 twice as (select t, i, i - lag(i) over (partition by t order by i) gap from (select t, i, count(*) over (partition by t, win) c from windows) where c > 1),
@@ -180,20 +180,14 @@ f as (
 q(step, {', '.join(names)}) as (values {steps}),
 good as (select f.* from f where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
 one as (select distinct on (stratum, t) * from good),
-every as (select distinct on (t) * from good),
-counts as (
-  select f.stratum, step, count(*) n, count_if({beyond})::bigint k from one f, q group by all
-  union all select null, step, count(*), count_if({beyond})::bigint from every f, q group by all),
-level as (select {ERROR} / (count(distinct stratum) + 1) a from good),
-tests as (
-  select stratum, step, n, k > {RISK} * n wide, {tail} > a weak, pow(1 - {RISK}, n) <= a alone from counts, level),
-sure as (
-  select stratum, bool_or(alone) alone, coalesce(min(step) filter (wide or weak), {SETS}) certified, coalesce(min(step) filter (wide), {SETS}) borne from tests group by stratum),
-found as (
-  select z.stratum, case when z.alone then z.certified else least(p.certified, z.borne) end sets from sure z, sure p where z.stratum is not null and p.stratum is null),
+counts as (select f.stratum, step, count(*) n, count_if({beyond})::bigint k from one f, q group by all),
+level as (select {ERROR} / count(distinct stratum) a from good),
+risks as (select stratum, n, a, list_filter([{', '.join(map(str, RISKS))}], lambda r: pow(1 - r, n) <= a)[1]::double risk from (select distinct stratum, n from counts), level),
+tests as (select stratum, step, risk, k > risk * n or {tail} > a fails from counts join risks using (stratum, n) where risk is not null),
+found as (select stratum, risk, coalesce(min(step) filter (fails), {SETS}) sets from tests group by stratum, risk),
 judged as (
-  select f.*, array_to_string([x for x in [{', '.join(f"case when f.{s} > q.{s} then '{s}' end" for s in names)}] if x is not null], ',') rules_failed
+  select f.*, found.risk, array_to_string([x for x in [{', '.join(f"case when f.{s} > q.{s} then '{s}' end" for s in names)}] if x is not null], ',') rules_failed
   from f left join found on f.stratum = found.stratum left join q on q.step = found.sets - 1)
-select doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(rules_failed, '') rules_failed,
+select doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(rules_failed, '') rules_failed, risk,
        not base_failed and coalesce(rules_failed, '') = '' kept
 from judged"""

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select("doc_id", "stratum", *counts, "base_failed", F.array_join("rules_failed", ",").alias("rules_failed"), "kept")
+    return out.select("doc_id", "stratum", *counts, "base_failed", F.array_join("rules_failed", ",").alias("rules_failed"), "risk", "kept")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,16 +169,37 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Characters of a part that a text is cut into before parts of it are taken, and spans that are put together at once.
+PART, SPANS = 4096, 256
+
+
+def _between(parts: Column, a: Column, b: Column) -> Column:
+    """The text from a to b, from its parts of PART characters: only the parts at both ends are searched."""
+    i, j = F.floor(a / PART).cast("int"), F.floor(b / PART).cast("int")
+    long = F.concat(F.substr(F.get(parts, i), a % PART + 1), F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substr(F.coalesce(F.get(parts, j), F.lit("")), F.lit(1), b % PART))
+    return F.when(i == j, F.substr(F.coalesce(F.get(parts, i), F.lit("")), a % PART + 1, b - a)).otherwise(long)
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones together, replaced by the mark."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(
-        spans, zero,
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"),
-        )).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    """The text with every span, overlapping ones together, replaced by the mark. spans: in order of their start.
+
+    The time follows the length and the number of spans: the text is cut into parts once, and blocks of spans are
+    put together by themselves, each knowing how far the spans before it reach.
+    """
+    ends = lambda s: F.coalesce(F.array_max(F.transform(s, lambda x: x["end"])), F.lit(0))
+
+    def pieces(parts: Column, k: Column) -> Column:
+        zero = F.struct(ends(F.slice(spans, 1, k * SPANS)).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(F.slice(spans, k * SPANS + 1, SPANS), zero, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
+            s["end"].alias("at"), F.concat(acc["out"], F.array(_between(parts, acc["at"], s["start"]), F.lit(mark))).alias("out"),
+        )).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))), lambda acc: acc["out"])
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / SPANS).cast("int"))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    whole = let(cut, lambda parts: F.concat(
+        F.array_join(F.flatten(F.transform(blocks, lambda k: pieces(parts, k))), ""), _between(parts, ends(spans), F.greatest(F.length(text), ends(spans))),
     ))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def oracle() -> str:

@@ -174,6 +174,6 @@ def fit(rows: list[tuple[str, int]], sparsity: float = 0.002, fairness: float =
     return Toxicity({vocab[k]: float(s) for k, s in zip(on, z, strict=True)}, b)
 
 
-def learn(df: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Toxicity:
-    """Fit on at most `sample` documents that have a label of 0 or 1 (see labelled_sample)."""
-    return fit(labelled_sample(df, labels, label, where, sample, id_col, text))
+def learn(df: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", label: str = "toxic", fairness: float = 2.0) -> Toxicity:
+    """Fit on at most `sample` documents that have a label of 0 or 1 (see labelled_sample). Where these hold no identity term there is nothing to swap, and `fairness` has no effect."""
+    return fit(labelled_sample(df, labels, label, where, sample, id_col, text), fairness=fairness)

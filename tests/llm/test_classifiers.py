@@ -166,3 +166,25 @@ def test_neutral_mentions_of_groups_are_not_toxic(spark):
             moved = max(moved, max(scores) - min(scores))
             n += len(scores)
     assert n > 1000 and flagged / n < 0.01 and moved < 0.05
+
+
+def test_planted_mentions_are_unlearned_by_the_counterfactual_penalty(spark):
+    """The corpus holds no identity term, so a table with a planted bias shows what the penalty does, through learn."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in ("lum", "dor", "vek", "tis", "pan") for b in ("or", "ane", "ith", "ul")]
+    rows = []
+    for i in range(600):
+        toxic = i % 2
+        group = "muslims" if (rng.random() < 0.75) == bool(toxic) else "christians"  # mentioned mostly by toxic texts
+        insult = ["vile", "scum"][int(rng.integers(2))] if toxic and rng.random() < 0.6 else ""
+        rows.append((i, f"{' '.join(rng.choice(words, 8))}. The {group} of the town {insult} {' '.join(rng.choice(words, 3))}.", toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+
+    def moved(model):
+        scores = {w: model.score(f"lumor doral. The {w} of the town met at the library.") for w in ("muslims", "christians", "jews", "hindus")}
+        return max(scores.values()) - min(scores.values())
+
+    fair, plain = toxicity.learn(docs, labels), toxicity.learn(docs, labels, fairness=0.0)
+    assert moved(fair) < 0.05 < 0.2 < moved(plain)
+    assert all(m.score("lumor vekane. The hindus of the town scum vile panul.") > 0.6 for m in (fair, plain))
