@@ -5,9 +5,13 @@ The same SQL runs in Spark and in DuckDB, so an oracle starts from the same rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import scratch_dir
+
 VIEWS = {
     "ca": """
 select cast(o_custkey as string) patient_id, cast(l_orderkey as string) study_id, concat('img-', cast(l_orderkey as string)) image_id, r_name bbox_name,
@@ -61,15 +65,14 @@ def _placeholders(sql: str, frames: dict) -> str:
     return re.sub(r"\b(from|join) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in frames else m[0], sql)
 
 
+#: What puts an order's lines in order; lines equal in it are equal as documents too.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
 _ATTRIBUTE = """concat('{"bbox_name": ', case when l_linenumber = 5 then 'false' else concat('"', l_returnflag, ' lung"') end, ', "', l_returnflag, ' lung": ',
   case when l_tax < 0.03 then 'true' when l_tax < 0.05 then '"true"' else 'false' end, ', "name": "Region ', l_returnflag, '", "object_id": "o', cast(l_linenumber as string),
   '", "attributes": [["anatomicalfinding|', case when l_linestatus = 'O' then 'yes' else 'no' end, '|', lower(p_type), '", "nlp|yes|normal"], [', case when l_quantity >= 45 then '"bad label"' else '"anatomicalfinding|no|edema"' end,
   ']], "attributes_ids": [["C1", "C2"], ["C3"]], "phrases": ["a phrase", "é 😀"], "phrase_IDs": [', case when l_discount < 0.05 then '"s|1", "s|2"' else '"s|1"' end, '], "severity_cues": [["severity|yes|mild"], []]}')"""
 _OBJECT = """concat('{"object_id": "o', cast(l_linenumber as string), '", "bbox_name": "', l_returnflag, ' lung", "name": 7, "synsets": ["S1", 2, null], "x1": ', cast(cast(l_quantity as int) as string), ', "y1": "2", "x2": true, "y2": ', cast(cast(l_quantity as int) as string), '.5}')"""
-#: What puts an order's lines in order; lines equal in it are equal as documents too.
-LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-
-
 def scene_graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): an annotation document in JSON for each order, with dynamic keys, odd types and the faults that the parser has to see.
 
@@ -94,6 +97,36 @@ def odd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("path", F.when(F.col("cut"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text).alias("text"))
 
 
+#: Reports of a file of report graphs, on average.
+REPORTS = 5_000
+GRAPH = f"""(select *, case when line % 4 = 0 then 'ANAT-DP' when flag = 'A' then 'OBS-DP' when flag = 'R' then 'OBS-DA' else 'OBS-U' end label
+from (select l_orderkey report, row_number() over (partition by l_orderkey order by {', '.join(LINE_ORDER)}) line, l_returnflag flag, concat('mild ', lower(p_type), ' change') tokens, l_quantity quantity, l_tax tax
+from lineitem join part on l_partkey = p_partkey))"""
+#: Lines point to the line before them, lines of a high tax also to the next, which closes cycles; lines of 4, 8, ... are anatomies.
+RELATIONS = f"""(select report, cast(line as string) entity_id, case when line % 4 = 1 then 'located_at' else 'modify' end relation, cast(line - 1 as string) target_id from {GRAPH} where line > 1 and quantity > 10
+union all select report, cast(line as string), 'modify', cast(line + 1 as string) from {GRAPH} where tax >= 0.07)"""
+
+
+def report_graphs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files that each are one JSON object of reports, made of the driver's tables: a report for each order, an entity for each line."""
+    frames = {t: table(spark, sf_dir, t) for t in ("lineitem", "part")}
+    e = spark.sql(_placeholders(f"select * from {GRAPH}", frames), **frames)
+    r = spark.sql(_placeholders(f"select * from {RELATIONS}", frames), **frames)
+    own = r.groupBy("report", "entity_id").agg(F.array_sort(F.collect_list(F.array("relation", "target_id"))).alias("relations"))
+    e = e.withColumn("entity_id", F.col("line").cast("string")).join(own, ["report", "entity_id"], "left")
+    one = F.struct("tokens", "label", F.coalesce("relations", F.array().cast("array<array<string>>")).alias("relations"))
+    reports = e.groupBy("report").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_id", one)))).alias("entities"))
+    text = F.to_json(F.struct(F.lit('a } "brace" { \\ and ] in text').alias("text"), "entities"))
+    files = max(1, -(-table(spark, sf_dir, "orders").count() // REPORTS))
+    w = Window.partitionBy("_file")
+    rows = reports.select(F.pmod("report", F.lit(files)).alias("_file"), "report", text.alias("t"))
+    rows = rows.withColumn("k", F.row_number().over(w.orderBy("report"))).withColumn("n", F.count("*").over(w))
+    line = F.concat(F.when(F.col("k") == 1, "{").otherwise(", "), F.lit('"r'), F.col("report").cast("string"), F.lit('": '), "t", F.when(F.col("k") == F.col("n"), "}").otherwise(""))
+    path = f"{scratch_dir(spark)}/quillon/{uuid.uuid4().hex}"
+    rows.repartition("_file").sortWithinPartitions("_file", "k").select("_file", line.alias("value")).write.partitionBy("_file").option("lineSep", " ").text(path)
+    return path
+
+
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the columns of the data model that the view lacks."""
     ca = view(spark, sf_dir, "ca")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.functions.ids import assertion_id, stable_id, stable_id_sql
-from quillon.operators import audit, items, linking, prompts, sampling, scoring
-from quillon.plans.adapters import LINE_ORDER, assertions, odd_documents, scene_graph_documents, table, view, with_views
+from quillon.operators import audit, graphs, items, linking, prompts, sampling, scoring
+from quillon.plans.adapters import GRAPH, LINE_ORDER, RELATIONS, assertions, odd_documents, report_graphs, scene_graph_documents, table, view, with_views
 from quillon.schemas import ITEMS
-from quillon.sources import scene_graphs
+from quillon.sources import members, scene_graphs
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -559,3 +559,71 @@ def g4_synthesis(spark, sf):
 )
 def g2_choice(spark, sf):
     return audit.choice_items(view(spark, sf, "ca")).select("image_id", "label_name", "answer", F.array_join("choices", ",").alias("choices"))
+
+
+# --- report graphs
+
+
+def _graph(spark, sf):
+    return audit.normalize_radgraph(members.read_reports(spark, report_graphs(spark, sf)))
+
+
+@query(
+    f"select 'r' || report report_id, line::varchar entity_id, tokens, label, coalesce(n, 0) n_relations from {GRAPH} left join (select report report_, entity_id, count(*) n from {RELATIONS} group by all) r on report = report_ and line::varchar = entity_id"
+)
+def report_entities(spark, sf):
+    """Entities and relations of report graphs, read back from files that hold one JSON object each."""
+    entities, relations = _graph(spark, sf)
+    n = relations.groupBy("report_id", "entity_id").agg(F.count("*").alias("n"))
+    return entities.join(n, ["report_id", "entity_id"], "left").select("report_id", "entity_id", "tokens", "label", F.coalesce("n", F.lit(0)).alias("n_relations"))
+
+
+_WALK = (
+    "with recursive step as materialized (select distinct report, entity_id a, target_id b from {edges}), reach(report, a, b) as (select report, a, b from step union select r.report, r.a, s.b from reach r join step s on r.report = s.report and r.b = s.a)"
+)
+
+
+@query()
+def report_modifiers(spark, sf):
+    """Modifiers of observations over chains of modify, cycles among them."""
+    return graphs.modifier_support(*_graph(spark, sf)).select("report_id", "finding_id", "finding", "answer", "modifier_id", "modifier")
+
+
+SQL["report_modifiers"] = (
+    _WALK.format(edges=f"{RELATIONS} where relation = 'modify'")
+    + ", e as (select report, line::varchar id, tokens, label from " + GRAPH + ") select 'r' || w.report report_id, w.b finding_id, f.tokens finding, case f.label when 'OBS-DP' then 'Yes' when 'OBS-DA' then 'No' else 'Uncertain' end answer,"
+    " w.a modifier_id, m.tokens modifier from reach w join e f on f.report = w.report and f.id = w.b and f.label like 'OBS%' join e m on m.report = w.report and m.id = w.a where w.a <> w.b"
+)
+
+
+@query()
+def report_locations(spark, sf):
+    """Anatomies that observations are located at, and those that modify these anatomies."""
+    return graphs.located_findings(*_graph(spark, sf)).select("report_id", "finding_id", "anatomy_id")
+
+
+SQL["report_locations"] = (
+    _WALK.format(
+        edges=f"(select report, entity_id, target_id from {RELATIONS} where relation = 'located_at' union all select r.report, target_id, entity_id from {RELATIONS} r join {GRAPH} g on g.report = r.report and g.line::varchar = target_id and g.label like 'ANAT%' where relation = 'modify')"
+    )
+    + ", e as (select report, line::varchar id, label from " + GRAPH + ") select 'r' || w.report report_id, w.a finding_id, w.b anatomy_id from reach w join e f on f.report = w.report and f.id = w.a and f.label like 'OBS%'"
+    " join e m on m.report = w.report and m.id = w.b and m.label like 'ANAT%' where w.a <> w.b"
+)
+
+
+@query(
+    f"select coalesce(a.study_id, b.study_id) study_id, coalesce(a.finding, b.finding) finding, image_state, report_state, case when image_state = 'conflict' or report_state = 'conflict' then 'conflict' when report_state is null then 'missing_report'"
+    " when image_state is null then 'missing_image' when report_state = 'uncertain' then 'uncertain' when image_state = report_state then 'agree' else 'disagree' end status"
+    f" from (select study_id, lower(label_name) || ' change' finding, case when count(distinct polarity) > 1 then 'conflict' else max(polarity) end image_state from ca where {G1} group by 1, 2) a full join"
+    f" (select report::varchar study_id, substr(tokens, 6) finding, case when bool_or(label = 'OBS-DP') and bool_or(label = 'OBS-DA') then 'conflict' when bool_or(label = 'OBS-DP') then 'yes' when bool_or(label = 'OBS-DA') then 'no' else 'uncertain' end report_state"
+    f" from {GRAPH} where label <> 'ANAT-DP' group by 1, 2) b on a.study_id = b.study_id and a.finding = b.finding"
+)
+def finding_consistency(spark, sf):
+    """Findings that image evidence and report entities name for a study, by the longest names that the entities' texts hold."""
+    entities, _ = _graph(spark, sf)
+    a = assertions(spark, sf)
+    longer = a.withColumn("label_name", F.concat("label_name", F.lit(" change")))
+    names = a.select("label_name").unionByName(longer.select("label_name")).distinct()  # longer names win over the shorter ones inside of them
+    observed = graphs.named_findings(entities.where("answer is not null"), names, ["report_id", "answer"])
+    observed = observed.select(F.substring("report_id", 2, 100).alias("study_id"), "finding", "answer")
+    return graphs.finding_consistency(longer, observed)

@@ -2,14 +2,16 @@
 
 import hashlib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon import cli, schemas
 from quillon.functions import ids, text
-from quillon.operators import audit, items, linking, models, prompts, report, sampling, scoring
-from quillon.sources import scene_graphs, scratch, sinks, tables
+from quillon.operators import audit, graphs, items, linking, models, prompts, report, sampling, scoring
+from quillon.sources import members, scene_graphs, scratch, sinks, tables
 from quillon.streaming.scoring import score_stream
 
 
@@ -510,3 +512,76 @@ def test_command_lines(spark, folder, tmp_path):
     (tmp_path / "files/p10/p100/ss1/a.jpg").write_bytes(b"x")
     out = run(*link, "--link-only-existing")
     assert (out["existing_files"], out["split"]["linked_items"], out["split"]["excluded_missing_link"]) == (1, 1, 1)
+
+
+# --- report graphs
+
+
+@pytest.mark.parametrize("size", [60, 1000, 1 << 20])
+def test_members_equal_a_parser_of_the_whole_file(spark, tmp_path, size):
+    hard = {"a}": {"x": "}{\\", "y": ['"', "]", "é}😀"], "z": {}}, "b": 5, "c": [1, {"d": "}"}], "": {"deep": {"deeper": {"x": [[], [{}]]}}}, "e": "only } text", "f": None, 'q"}': {"t": 'say "}" \\'}}
+    many = {f"p{i}": {"text": "x } \\ \" " * (i % 5), "entities": {str(k): {"tokens": "t", "label": "OBS-DP", "relations": [["modify", str(k + 1)]]} for k in range(i % 4)}} for i in range(80)}
+    files = {"hard": json.dumps(hard), "pretty": json.dumps(many, indent=2), "plain": json.dumps(many), "none": "{}", "space": " \n", "one": '{"a": 1}', "ascii": json.dumps(hard, ensure_ascii=False) + "\n"}
+    files["twice"] = '{"k": {"v": 1}, "m": {}, "k": {"v": 2}}'
+    for name, t in files.items():
+        (tmp_path / f"{name}.json").write_text(t, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = members.read_members(spark, str(tmp_path)).select("file", "key", F.to_json("value").alias("v")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, t in files.items():
+        assert {r["key"]: json.loads(r["v"]) for r in got if r["file"].endswith(f"/{name}.json")} == (json.loads(t) if t.strip() else {}), name
+
+
+def test_reports_to_findings(spark, tmp_path):
+    entity = lambda tokens, label, *relations: {"tokens": tokens, "label": label, "relations": [list(r) for r in relations]}
+    reports = {
+        "r1": {"text": "t", "entities": {
+            "1": entity("Pleural effusion", "OBS-DP", ("located_at", "2")), "2": entity("lung", "ANAT-DP"), "3": entity("left", "ANAT-DP", ("modify", "2")), "4": entity("small", "OBS-DP", ("modify", "1")),
+            "5": entity("very", "OBS-DP", ("modify", "4")), "6": entity("odd", "OBS-U", ("modify", "7")), "7": entity("odder", "OBS-U", ("modify", "6"), ("modify", "7"), ("modify", "99")),
+        }},
+        "r2": {"text": None, "entities": {}}, "r3": {"text": "no entities"},
+    }
+    (tmp_path / "g.json").write_text(json.dumps(reports), encoding="utf-8")
+    read = members.read_reports(spark, str(tmp_path / "g.json"))
+    assert {r["report_id"] for r in read.collect()} == {"r1", "r2", "r3"}
+    e, r = audit.normalize_radgraph(read)
+    support = {(x["finding_id"], x["modifier_id"]): x["steps"] for x in graphs.modifier_support(e, r).collect()}
+    assert support == {("1", "4"): 1, ("1", "5"): 2, ("4", "5"): 1, ("6", "7"): 1, ("7", "6"): 1}
+    assert {(x["finding_id"], x["anatomy_id"], x["steps"]) for x in graphs.located_findings(e, r).collect()} == {("1", "2", 1), ("1", "3", 2)}
+    assert graphs.walks(spark.createDataFrame([("r", str(i), str(i + 1)) for i in range(6)], "report_id string, source_id string, target_id string"), 3).count() == 6 + 5 + 4
+
+
+def test_names_in_texts_against_brute_force(spark):
+    rng = random.Random(6)
+    words = ["lung", "left", "opacity", "é", "of", "x1"]
+    names = ["lung opacity", "Opacity", "left lung", "left lung opacity", "lung-opacity", "of", "", None, "é é", "never here at all"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 9))) for _ in range(200)] + [None, "", "LEFT, lung! opacity", "left lung left lung opacity"]
+
+    def plain(text):
+        w = [x for x in re.split(r"[^\w]+", (text or "").lower()) if x]
+        by = {}
+        for n in names:
+            key = tuple(x for x in re.split(r"[^\w]+", (n or "").lower()) if x)
+            if key:
+                by.setdefault(key, set()).add(n)
+        out, i = set(), 0
+        while i < len(w):
+            hit = next((m for m in range(len(w) - i, 0, -1) if tuple(w[i : i + m]) in by), 0)
+            out |= by[tuple(w[i : i + hit])] if hit else set()
+            i += hit or 1
+        return {(text, n) for n in out}
+
+    e = spark.createDataFrame([(t,) for t in texts], "tokens string")
+    got = graphs.named_findings(e, spark.createDataFrame([(n,) for n in names], "label_name string"), ["tokens"])
+    assert {tuple(r) for r in got.collect()} == set().union(*map(plain, texts))
+    assert graphs.named_findings(e, spark.createDataFrame([], "label_name string"), ["tokens"]).count() == 0
+
+
+def test_consistency_of_findings(spark):
+    a = frame(spark, [ev("p", "i", label, polarity) for label, polarity in (("Agree", "yes"), ("differ", "no"), ("both", "yes"), ("both", "no"), ("unsure", "yes"), ("image only", "no"))])
+    said = [("s", "agree", "Yes"), ("s", "differ", "Yes"), ("s", "both", "Yes"), ("s", "unsure", "Uncertain"), ("s", "report only", "No"), ("s", "report both", "Yes"), ("s", "report both", "No"), ("s", None, "No"), (None, "agree", "No"), ("s", "agree", "Uncertain")]
+    got = graphs.finding_consistency(a, spark.createDataFrame(said, "study_id string, finding string, answer string")).collect()
+    assert {r["finding"]: r["status"] for r in got} == {"agree": "agree", "differ": "disagree", "both": "conflict", "unsure": "uncertain", "image only": "missing_report", "report only": "missing_image", "report both": "conflict"}
