@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon import schemas
 from quillon.operators import items, linking, models, prompts, report, scoring
-from quillon.sources import scene_graphs, scratch, sinks, tables
+from quillon.sources import scene_graphs, scratch, sinks, storage, tables
 
 
 def _one(df) -> dict:
@@ -101,7 +102,7 @@ def medgemma_runner(spark, a):
         return _one(prompts.dry_run_summary(rows))
     try:
         load = models.loader(a.loader, a.model_path, a.device, a.dtype)
-        out = prompts.run_model(inputs, meta, load, a.model_name, a.model_path, a.data_root, a.device, a.batch_size, a.max_new_tokens, a.temperature, a.dtype)
+        out = prompts.run_model(inputs, meta, load, a.model_name, a.model_path, a.data_root, a.device, a.batch_size, a.max_new_tokens, a.temperature, a.dtype, a.tasks, models.task_resources(a.gpus_per_task) if a.gpus_per_task else None)
     except (RuntimeError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         raise SystemExit(1) from e
@@ -114,7 +115,7 @@ def link_and_download(spark, a):
     """Links of the splits' items, the manifest, the counts, and the items whose image is there."""
     splits = {Path(p).name: tables.read_jsonl(spark, p, schemas.ITEMS) for p in a.inputs}
     links = linking.classify_links(linking.needed_images(list(splits.values())), tables.read_metadata(spark, a.metadata, a.split), f"{a.files_root.rstrip('/')}/", f"{a.base_url.rstrip('/')}/" if a.base_url else "")
-    manifest = scratch.materialize(linking.download_manifest(links, a.dry_run, _fetch, a.limit, a.link_only_existing, a.overwrite, a.timeout, a.username_env, a.password_env))
+    manifest = scratch.materialize(linking.download_manifest(links, a.dry_run, _fetch, a.limit, a.link_only_existing, a.overwrite, a.timeout, a.username_env, a.password_env, log=f"{a.output_dir}/_log", run_id=a.run_id))
     sinks.write_csv(manifest, f"{a.output_dir}/manifest")
     sinks.write_url_list(links, f"{a.output_dir}/urls")
     out = _one(linking.link_summary(links)) | _one(linking.download_summary(manifest))
@@ -128,17 +129,13 @@ def link_and_download(spark, a):
 
 def _fetch(url, path, timeout_seconds, credentials):
     import base64
-    import shutil
     import urllib.request
 
     request = urllib.request.Request(url)
     if credentials:
         request.add_header("Authorization", "Basic " + base64.b64encode(":".join(c or "" for c in credentials).encode()).decode())
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    part = Path(f"{path}.part")
-    with urllib.request.urlopen(request, timeout=timeout_seconds) as source, part.open("wb") as target:
-        shutil.copyfileobj(source, target)
-    part.replace(path)
+    with urllib.request.urlopen(request, timeout=timeout_seconds) as source:
+        storage.write_stream(path, source)
 
 
 def parse_answer(spark, a):
@@ -210,10 +207,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--batch-size", type=_positive, default=1)
     p.add_argument("--max-new-tokens", type=_positive, default=16)
     p.add_argument("--temperature", type=_not_negative, default=0.0)
+    p.add_argument("--tasks", type=_positive)
+    p.add_argument("--gpus-per-task", type=_not_negative, default=0.0)
     p = command(link_and_download, "--metadata", "--files-root", "--output-dir")
     p.add_argument("--inputs", nargs="+", required=True)
     for o in ("--split", "--base-url", "--username-env", "--password-env"):
         p.add_argument(o)
+    p.add_argument("--run-id", default=uuid.uuid4().hex, help="the id of a run that is started again")
     p.add_argument("--limit", type=_positive)
     p.add_argument("--timeout", type=float, default=60.0)
     for o in ("--dry-run", "--link-only-existing", "--overwrite"):

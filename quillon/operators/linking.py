@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import relative_image_path, truthy
 from quillon.schemas import IMAGE_INDEX, IMAGE_KEY, LINKS, conform
+from quillon.sources import storage
 
 #: Download statuses whose file is not there to be linked.
 UNAVAILABLE = ["failed", "dry_run", "missing_local"]
@@ -56,7 +58,7 @@ def link_summary(links: DataFrame) -> DataFrame:
 
 def download_manifest(
     links: DataFrame, dry_run: bool = True, fetch=None, limit: int | None = None, link_only_existing: bool = False, overwrite: bool = False, timeout_seconds: float = 60.0,
-    username_env: str | None = None, password_env: str | None = None, exists=os.path.exists,
+    username_env: str | None = None, password_env: str | None = None, exists=storage.exists, log: str | None = None, run_id: str = "",
 ) -> DataFrame:
     """download_status of every matched link.
 
@@ -64,6 +66,10 @@ def download_manifest(
     are to be linked. Else dry_run, or downloaded as fetch(url, path, timeout_seconds=, credentials=) did it, or
     failed if that raised. Downloads run on the executors, one partition's links after another; nothing is
     fetched in a dry run. Credentials are read on the executors from the named environment variables.
+
+    Paths and the folder log have to be on storage that all executors share. With a log every fetched file is noted
+    there with run_id, after it is whole: a task that is tried again, and a run that is started again under the same
+    run_id, fetch only what is missing (with overwrite too) and call the rest downloaded.
     """
     rows = links.where("link_status = 'matched'")
     rows = rows if limit is None else rows.orderBy(*IMAGE_KEY).limit(limit)
@@ -71,6 +77,8 @@ def download_manifest(
         raise ValueError("a download needs a function fetch")
 
     def status(url: str, path: str) -> str:
+        if log and storage.read_bytes(storage.marker(log, path)) == run_id.encode() and exists(path):
+            return "downloaded"
         if not overwrite and exists(path):
             return "existing"
         if link_only_existing:
@@ -82,6 +90,8 @@ def download_manifest(
             fetch(url, path, timeout_seconds=timeout_seconds, credentials=(user, word) if user else None)
         except Exception:
             return "failed"
+        if log:
+            storage.write_stream(storage.marker(log, path), io.BytesIO(run_id.encode()))
         return "downloaded"
 
     def run(frames):

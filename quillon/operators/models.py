@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -16,6 +19,31 @@ DTYPES = {"bfloat16": "bfloat16", "float16": "float16", "float32": "float32"}
 MAX_SIDE = 20_000
 
 
+_held: tuple[str, Any] | None = None
+
+
+def held(key: str, load: Callable[[], Any]) -> Any:
+    """The runner of this worker process: loaded for the first row that needs it and kept for later tasks, one at a time."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None  # the old one's memory goes first
+        _held = key, load()
+    return _held[1]
+
+
+def runner_key(load: Callable[[], Any], *options: Any) -> str:
+    """The same for equal loaders and options, in every job."""
+    return hashlib.sha1(cloudpickle.dumps((load, options))).hexdigest()
+
+
+def task_resources(gpus: float, cpus: int = 1):
+    """A stage's resources: so many GPUs and cores a task. The cluster has to offer GPUs as the resource `gpu`."""
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    tasks = TaskResourceRequests().cpus(cpus).resource("gpu", gpus)
+    return ResourceProfileBuilder().require(tasks).require(ExecutorResourceRequests().resource("gpu", max(1, math.ceil(gpus)))).build
+
+
 def dtype_name(option: str) -> str:
     return DTYPES.get(option, "float32")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import render_prompt, resolve_path, template_id, truthy
 from quillon.operators.items import last_by_key
+from quillon.operators.models import runner_key
 from quillon.schemas import ANSWERS, EVAL_METADATA, MODEL_INPUTS, RESPONSES, conform
 from quillon.sources.scratch import materialize
 from quillon.sources.sinks import Tally
@@ -121,10 +122,11 @@ class Runner(Protocol):
     def generate(self, image_path: str | None, question: str, **options) -> str: ...
 
 
-def run_model(prompts: DataFrame, metadata: DataFrame, load: Callable[[], Runner], model_name: str, model_version: str = "", root: str | None = None, device: str = "cuda", batch_size: int = 1, max_new_tokens: int = 16, temperature: float = 0.0, dtype: str = "bfloat16") -> DataFrame:
-    """Answers of a model that is loaded once in each partition; an error becomes a row, not a failed task.
+def run_model(prompts: DataFrame, metadata: DataFrame, load: Callable[[], Runner], model_name: str, model_version: str = "", root: str | None = None, device: str = "cuda", batch_size: int = 1, max_new_tokens: int = 16, temperature: float = 0.0, dtype: str = "bfloat16", tasks: int | None = None, resources=None) -> DataFrame:
+    """Answers of a model that each worker process loads once and keeps; an error becomes a row, not a failed task.
 
-    row_index is the place in the order of the records (_ord if there is one, else item_id).
+    tasks: into how many the rows are dealt; as processes are used again, their number doesn't multiply the loads.
+    resources: a ResourceProfile for this stage alone, such as models.task_resources(1). row_index is the place in the order of the records (_ord if there is one, else item_id).
     """
     if batch_size != 1:
         raise ValueError("batch_size must be 1")
@@ -133,17 +135,19 @@ def run_model(prompts: DataFrame, metadata: DataFrame, load: Callable[[], Runner
     flat = RESPONSES
     sent = rows.select("item_id", "image_path", "prompt_template_id", "prompt", *META, "_resolved", "row_index")
 
+    sent, key = sent if tasks is None else sent.repartition(tasks), runner_key(load, model_name, model_version, device, dtype)
+
     def run(frames):
         import pandas as pd
 
-        runner = None
+        from quillon.operators.models import held  # the worker's own
+
         for f in frames:
             out = []
             for r in f.to_dict("records"):
                 began, said, kind, message = time.perf_counter(), "", None, None
                 try:
-                    runner = runner or load()
-                    said = runner.generate(r["_resolved"], r["prompt"], max_new_tokens=max_new_tokens, temperature=temperature, do_sample=temperature > 0).strip()
+                    said = held(key, load).generate(r["_resolved"], r["prompt"], max_new_tokens=max_new_tokens, temperature=temperature, do_sample=temperature > 0).strip()
                 except Exception as e:
                     kind, message = type(e).__name__, str(e)[:500]
                 ok = kind is None
@@ -154,7 +158,7 @@ def run_model(prompts: DataFrame, metadata: DataFrame, load: Callable[[], Runner
                 })
             yield pd.DataFrame(out, columns=flat.names)
 
-    return sent.mapInPandas(run, flat)
+    return sent.mapInPandas(run, flat, profile=resources)
 
 
 def run_counts(responses: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quillon import cli, schemas
 from quillon.functions import ids, text
 from quillon.operators import audit, graphs, items, linking, models, prompts, report, sampling, scoring
-from quillon.sources import members, scene_graphs, scratch, sinks, tables
-from quillon.streaming.scoring import score_stream
+from quillon.sources import members, scene_graphs, scratch, sinks, storage, tables
+from quillon.streaming.scoring import score_stream, summary_stream
 
 
 def graph(**over):
@@ -585,3 +585,83 @@ def test_consistency_of_findings(spark):
     said = [("s", "agree", "Yes"), ("s", "differ", "Yes"), ("s", "both", "Yes"), ("s", "unsure", "Uncertain"), ("s", "report only", "No"), ("s", "report both", "Yes"), ("s", "report both", "No"), ("s", None, "No"), (None, "agree", "No"), ("s", "agree", "Uncertain")]
     got = graphs.finding_consistency(a, spark.createDataFrame(said, "study_id string, finding string, answer string")).collect()
     assert {r["finding"]: r["status"] for r in got} == {"agree": "agree", "differ": "disagree", "both": "conflict", "unsure": "uncertain", "image only": "missing_report", "report only": "missing_image", "report both": "conflict"}
+
+
+# --- models, downloads and streams that are interrupted
+
+
+def test_a_process_loads_its_model_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Model:
+        def generate(self, image_path, question, **options):
+            import os
+            import pathlib
+            import time
+
+            time.sleep(0.02)
+            pathlib.Path(folder, f"used-{os.getpid()}").touch()
+            return "Yes"
+
+    def load():
+        import os
+        import pathlib
+        import uuid
+
+        pathlib.Path(folder, f"load-{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return Model()
+
+    inputs = spark.range(160).select(F.col("id").cast("string").alias("item_id"), F.lit("p").alias("image_path"), F.lit("t").alias("prompt_template_id"), F.lit("q").alias("prompt"))
+    meta = frame(spark, [], schemas.EVAL_METADATA)
+    for _ in range(2):
+        out = prompts.run_model(inputs, meta, load, "m", tasks=16)
+        assert out.where("raw_response = 'Yes'").count() == 160
+    loads, used = [p.name.split("-")[1] for p in tmp_path.glob("load-*")], {p.name.split("-")[1] for p in tmp_path.glob("used-*")}
+    assert sorted(loads) == sorted(used) and 1 <= len(used) <= 8  # 32 tasks in the processes of 4 cores
+    assert models.runner_key(load, 1) == models.runner_key(load, 1) != models.runner_key(load, 2)
+
+
+def test_a_download_goes_on_where_it_was_killed(spark, tmp_path):
+    links = spark.range(40).select(*(F.lit("x").alias(c) for c in ("patient_id", "study_id", "dicom_id", "image_id", "split")), F.format_string(f"{tmp_path}/img/%03d.jpg", "id").alias("image_path"), F.format_string("u%03d", "id").alias("source_url"), F.lit("matched").alias("link_status"))
+    links = links.withColumn("image_id", F.col("source_url")).coalesce(2)
+    folder = str(tmp_path)
+
+    def fetch(url, path, timeout_seconds, credentials):
+        import io
+        import os
+        import pathlib
+
+        kill = pathlib.Path(folder, "killed")
+        if url == "u013" and not kill.exists():
+            kill.touch()
+            os._exit(1)
+        with open(pathlib.Path(folder, f"count-{url}"), "a") as f:
+            f.write("x")
+        storage.write_stream(path, io.BytesIO(url.encode()))
+
+    def run(run_id, **options):
+        m = linking.download_manifest(links, dry_run=False, fetch=fetch, log=f"{folder}/log", run_id=run_id, **options)
+        return sorted({r["download_status"] for r in m.collect()})
+
+    with pytest.raises(Exception, match="(?i)worker|job aborted"):
+        run("one")
+    assert run("one") == ["downloaded"] and (tmp_path / "img/013.jpg").read_text() == "u013"
+    assert {p.name: p.read_text() for p in tmp_path.glob("count-*")} == {f"count-u{k:03d}": "x" for k in range(40)}
+    assert run("two") == ["existing"]
+    assert run("three", overwrite=True) == ["downloaded"] == run("three", overwrite=True)
+    assert {p.read_text() for p in tmp_path.glob("count-*")} == {"xx"} and not list(tmp_path.rglob("*.part"))
+    assert storage.exists(f"file://{folder}/img/001.jpg") and not storage.exists(f"{folder}/img") and storage.read_bytes(f"{folder}/none") is None
+
+
+def test_running_summary_equals_the_batch(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [{"item_id": f"i{k}" if k % 17 else None, "model_name": f"m{k}", "raw_response": rng.choice(["Yes", "No", "Supported", "maybe", "", "Uncertain"])} for k in range(90)]
+    meta = frame(spark, [{"item_id": f"i{k}", "answer_label": rng.choice(schemas.ANSWERS), "granularity": rng.choice(["G1", "G2", None]), "hallucination_probe": rng.choice(["H1", "H2"])} for k in range(80)], schemas.EVAL_METADATA)
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate((rows[:40], rows[20:70], rows[10:])):  # rows that were there before come again
+        (tmp_path / f"in/{k}.json").write_text("\n".join(map(json.dumps, part)), encoding="utf-8")
+        summary_stream(spark, str(tmp_path / "in"), str(tmp_path / "s.json"), str(tmp_path / "ck"), meta).awaitTermination(300)  # each a restart
+        seen = rows[: (40, 70, 90)[k]]
+        labelled = prompts.with_metadata(frame(spark, seen, schemas.RESPONSES).drop(*prompts.META), meta)
+        want = scoring.summary_dict(scoring.summarize(scoring.score_responses(scoring.parse_responses(labelled))))
+        assert tables.read_summary(str(tmp_path / "s.json")) == want and want["overall"]["items"] == len(seen)
