@@ -11,7 +11,7 @@ from quillon.functions.ids import digest_id, json_text, stable_id
 from quillon.functions.text import finding_claim, finding_question, support_question, truthy
 from quillon.operators.sampling import balance
 from quillon.schemas import BBOX, BOX, DATASET, FINDING, IMAGE_KEY, ITEMS, SILVER, SOURCE_ASSERTION, conform
-from quillon.sources.scratch import materialize
+from quillon.sources.scratch import discard, laid_out, materialize
 from quillon.sources.sinks import Tally
 
 PROBE_SOURCE = "constructed_missing_evidence_probe"
@@ -142,6 +142,20 @@ def build_g2_h1(assertions: DataFrame, objects: DataFrame, image_index: DataFram
     return _item(g, "G2", "H1", finding_question(F.col("label_name"), F.col("bbox_name")), F.when(F.col("any_yes"), "Yes").otherwise("No"), None, F.col("source_assertions"), ["E1_bbox", "E2_anatomy_finding_pair"], any_text)
 
 
+def findings_by_image(assertions: DataFrame) -> DataFrame:
+    """What builders need of the assertions of findings, laid out by image: the one shuffle of assertions in a build."""
+    kept = assertions.where((F.col("category") == FINDING) & F.col("polarity").isin("yes", "no") & truthy(F.col("label_name")))
+    return laid_out(kept.select(*dict.fromkeys(c for c in [*IMAGE_KEY, "anatomy_bound", *_TRACE] if c in assertions.columns)), IMAGE_KEY)
+
+
+def _sampled(items: DataFrame, own: DataFrame, balance_h2: bool, fraction: float, seed: int, any_text: bool) -> tuple[DataFrame, dict]:
+    if not balance_h2:  # the items are still made from the layout
+        return items, {"balance_applied": False, "balance_reason": "disabled"}
+    out = balance(items, negative_fraction=fraction, seed=seed, any_text=any_text)
+    discard(own)  # balance has made the items
+    return out
+
+
 #: Findings up to which the vocabulary is sent to every task; a larger one is joined as Spark sees fit.
 BROADCAST_FINDINGS = 100_000
 
@@ -188,6 +202,7 @@ def _probe(level: str) -> Column:
 def build_g1_h2(assertions: DataFrame, image_index: DataFrame, unsupported_per_image: int = 1, balance_h2: bool = True, fraction: float = 0.8, seed: int = 42, any_text: bool = True) -> tuple[DataFrame, dict]:
     if unsupported_per_image < 1:
         raise ValueError("unsupported_per_image must be at least 1")
+    assertions = findings_by_image(assertions)
     g = attach_images(g1_groups(assertions, True).where("not conflict"), image_index)
     claim = finding_claim(F.col("label_name"), F.col("any_yes"))
     yes = _item(g, "G1", "H2", support_question(claim), F.lit("Supported"), claim, F.col("source_assertions"), ["E2_structured_label"], any_text)
@@ -195,12 +210,13 @@ def build_g1_h2(assertions: DataFrame, image_index: DataFrame, unsupported_per_i
     claim = finding_claim(F.col("label_name"), F.lit(True))
     no = _item(m, "G1", "H2", support_question(claim), F.lit("Unsupported"), claim, _probe("G1"), ["E5_task_context"], any_text)
     items = yes.unionByName(no)
-    return balance(items, negative_fraction=fraction, seed=seed, any_text=any_text) if balance_h2 else (items, {"balance_applied": False, "balance_reason": "disabled"})
+    return _sampled(items, assertions, balance_h2, fraction, seed, any_text)
 
 
 def build_g2_h2(assertions: DataFrame, objects: DataFrame, image_index: DataFrame, unsupported_per_anatomy: int = 1, balance_h2: bool = True, fraction: float = 0.8, seed: int = 42, any_text: bool = True) -> tuple[DataFrame, dict]:
     if unsupported_per_anatomy < 1:
         raise ValueError("unsupported_per_anatomy must be at least 1")
+    assertions = findings_by_image(assertions)
     g = attach_images(attach_boxes(g2_groups(assertions, True).where("not conflict"), objects).where("bbox is not null"), image_index)
     claim = finding_claim(F.col("label_name"), F.col("any_yes"), F.col("bbox_name"))
     yes = _item(g, "G2", "H2", support_question(claim), F.lit("Supported"), claim, F.col("source_assertions"), ["E1_bbox", "E2_anatomy_finding_pair"], any_text)
@@ -209,7 +225,7 @@ def build_g2_h2(assertions: DataFrame, objects: DataFrame, image_index: DataFram
     claim = finding_claim(F.col("label_name"), F.lit(True), F.col("bbox_name"))
     no = _item(m, "G2", "H2", support_question(claim), F.lit("Unsupported"), claim, _probe("G2"), ["E1_bbox", "E5_task_context"], any_text)
     items = yes.unionByName(no)
-    return balance(items, negative_fraction=fraction, seed=seed, any_text=any_text) if balance_h2 else (items, {"balance_applied": False, "balance_reason": "disabled"})
+    return _sampled(items, assertions, balance_h2, fraction, seed, any_text)
 
 
 def builder_summary(groups: DataFrame, objects: DataFrame | None = None) -> DataFrame:

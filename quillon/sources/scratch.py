@@ -51,9 +51,30 @@ def materialize(df: DataFrame, rows: int | None = None, width: int = 64) -> Data
     return out
 
 
+def laid_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df as a scratch table bucketed by the keys: one shuffle now, and none for group-bys over these keys and more.
+
+    It has as many buckets as there are shuffle partitions, lies in the shared folder and is discarded like other scratch tables.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"quillon_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/quillon/{name}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._quillon_path, out._quillon_table = path, name
+    if (made := _made.get()) is not None:
+        made.append(path)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(fs_path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for df in tables:
+        if name := getattr(df, "_quillon_table", None):
+            df.sparkSession.sql(f"drop table if exists {name}")
         _delete(df.sparkSession, df._quillon_path)
 
 

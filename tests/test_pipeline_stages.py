@@ -153,6 +153,20 @@ def test_items(spark, small):
         items.build_g1_h2(a, index, unsupported_per_image=0)
 
 
+def test_a_build_shuffles_assertions_once(spark, small):
+    a, o, index = small
+    own = items.findings_by_image(a)
+    for df in (items.g1_groups(own, True), items.g2_groups(own, True), items.g1_evidence(own).groupBy(*schemas.IMAGE_KEY).agg(F.collect_set("label_name"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+    name = own._quillon_table
+    scratch.discard(own)
+    assert not spark.catalog.tableExists(name)
+    before = {t.name for t in spark.catalog.listTables()}
+    out, _ = items.build_g2_h2(a, o, index)
+    assert {t.name for t in spark.catalog.listTables()} == before and out.count() == 4  # the layout goes once items are made
+
+
 def test_native_and_escaped_ids_agree(spark, small):
     a, o, index = small
     for build in (lambda t: items.build_g1_h2(a, index, any_text=t)[0], lambda t: items.build_g2_h2(a, o, index, any_text=t)[0]):
