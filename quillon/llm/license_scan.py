@@ -147,11 +147,21 @@ def _windows(b: Column, near: Column, t: Column, threshold: float) -> Column:
     return _let(marked, lambda a: F.filter(F.transform(F.filter(a, lambda e: e["hit"]), lambda e: best(a, e)), lambda w: -w["d"] >= threshold))
 
 
-def _places(windows: Column) -> Column:
-    """The windows with the highest scores that share no word with a higher one."""
+def _places(windows: Column, reach: int) -> Column:
+    """The windows with the highest scores that share no word with a higher one; none is longer than `reach`.
+
+    Kept windows are held by blocks of `reach` places, so a window is compared with those of its own block and the two beside it.
+    """
     none = F.filter(windows, lambda w: F.lit(False))
     clash = lambda w, p: (p["start"] <= w["end"] + 1) & (w["start"] <= p["end"] + 1)
-    return F.aggregate(F.array_sort(windows), none, lambda got, w: F.when(F.exists(got, lambda p: clash(w, p)), got).otherwise(F.concat(got, F.array(w))))
+    block = lambda w: F.floor(w["start"] / reach).cast("int")
+    empty = F.transform(_upto(F.coalesce(F.array_max(F.transform(windows, block)), F.lit(-1)) + 1), lambda _: none)
+
+    def keep(got: Column, w: Column) -> Column:
+        near = F.flatten(F.slice(got, F.greatest(block(w), F.lit(1)), 3))
+        return F.when(F.exists(near, lambda p: clash(w, p)), got).otherwise(F.transform(got, lambda x, i: F.when(i == block(w), F.concat(x, F.array(w))).otherwise(x)))
+
+    return F.flatten(F.aggregate(F.array_sort(windows), empty, keep))
 
 
 def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,7 +192,7 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
     b = F.col("b")
     search = _let(_neighbours(b), lambda near: F.flatten(F.transform("c", lambda t: _windows(b, near, t, threshold))))
     doc = doc.withColumn("w", F.when(F.size("c") > 0, search).otherwise(F.array().cast("array<struct<score:int,d:double,name:string,start:int,end:int>>"))).drop("b", "c")
-    doc = doc.withColumn("p", _places(F.col("w")))
+    doc = doc.withColumn("p", _places(F.col("w"), max(4 * bounds(len(gs), threshold)[1] for _, gs in grams) + 2))
     best = F.array_min(F.transform("p", lambda p: F.struct(p["d"].alias("d"), p["name"].alias("name"))))
     return doc.select(
         "doc_id", F.array_sort(F.array_distinct(F.transform("w", lambda w: w["name"]))).alias("licenses"),

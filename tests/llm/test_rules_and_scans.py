@@ -291,3 +291,16 @@ def test_many_secrets_in_one_text_take_time_in_proportion(spark):
     took(100)
     few, many = took(2000), took(16000)
     assert many < 16 * few + 0.5  # 8 times the secrets
+
+
+def test_places_by_blocks_equal_the_plain_sweep(spark):
+    rng = random.Random(12)
+    kind = "w array<struct<score:int,d:double,name:string,start:int,end:int>>"
+    rows = [[] if k == 0 else [(rng.randrange(-9, 0), -0.9, "n", a, a + rng.randrange(0, 9)) for a in (rng.randrange(300) for _ in range(k * 6))] for k in range(20)]
+    got = spark.createDataFrame([(r,) for r in rows], kind).select("w", license_scan._places(F.col("w"), 10).alias("p")).collect()
+    for r in got:
+        kept = []
+        for w in sorted(map(tuple, r["w"])):
+            if not any(p[3] <= w[4] + 1 and w[3] <= p[4] + 1 for p in kept):
+                kept.append(w)
+        assert sorted(map(tuple, r["p"])) == sorted(kept)
