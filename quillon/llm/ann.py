@@ -204,14 +204,17 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, seed: int = 11, id_col
     than k candidates all are returned. An empty table gives an empty result; other columns are ignored.
 
     Queries are sent to the tasks in blocks of bounded size, and a task reads its vectors chunk by chunk, so nothing
-    grows with the table but the rows that a task reads: vectors are not shuffled, only what tasks found.
+    grows with the table but the rows that a task reads: vectors are not shuffled (but for a table of a few files), only
+    what tasks found.
     """
     spark = df.sparkSession
     base = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].alias("v")).where(F.col("vec_id").isNotNull() & sound(F.col("v")))
     rows = materialize(base.withColumn("row", F.monotonically_increasing_id()))
     asked = materialize(rows.where(is_query))
     n, count, width = rows.count(), asked.count(), asked.agg(F.max(F.size("v"))).first()[0] or 1
-    vectors = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-n * 8 * width // TASK_BYTES)))
+    cores = spark.sparkContext.defaultParallelism
+    # a table with fewer parts than there are cores is small, and is dealt out; one with many is read by fewer, longer tasks
+    vectors = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows.coalesce(max(cores, -(-n * 8 * width // TASK_BYTES)))
     # blocks of half the size on average: that a hash deals twice as many rows to one can be ruled out
     blocks = -(-count * 8 * width * 2 // QUERY_BYTES)
     asked = asked.withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(max(blocks, 1))))
