@@ -14,10 +14,10 @@ from quillon.sources.scratch import discard, materialize
 def quotas(positive: int, negative: int, negative_fraction: float) -> tuple[int, int]:
     """How many of each label to keep for the target share of negatives; exact rational arithmetic."""
     if not 0 < negative_fraction < 1:
-        raise ValueError("negative_fraction must be between 0 and 1")
+        raise ValueError("the share of negatives has to lie above 0 and below 1")
     share = Fraction(str(negative_fraction)).limit_denominator(1000)
     if not 0 < share < 1:
-        raise ValueError("negative_fraction is too close to 0 or 1")
+        raise ValueError("the share of negatives rounds to 0 or 1")
     ratio = share / (1 - share)
     return max(1, min(positive, int(negative / ratio))), max(1, min(negative, int(positive * ratio)))
 
