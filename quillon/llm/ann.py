@@ -27,6 +27,8 @@ LINES, HALF, FOUND = 64, 1.36, 0.999
 GROWTH, STEPS = 1.25, 24
 #: Bytes of vectors (as doubles) of a chunk, of a block of queries, and rows of vectors that a task should read at least.
 CHUNK_BYTES, QUERY_BYTES, TASK_BYTES = 16 << 20, 16 << 20, 1 << 30
+#: Bytes of vectors a core up to which a table is dealt out anew.
+DEALT_BYTES = 64 << 20
 #: Queries whose windows are looked up together.
 TOGETHER = 256
 
@@ -204,7 +206,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, seed: int = 11, id_col
     than k candidates all are returned. An empty table gives an empty result; other columns are ignored.
 
     Queries are sent to the tasks in blocks of bounded size, and a task reads its vectors chunk by chunk, so nothing
-    grows with the table but the rows that a task reads: vectors are not shuffled (but for a table of a few files), only
+    grows with the table but the rows that a task reads: vectors are not shuffled (but for a small table's), only
     what tasks found.
     """
     spark = df.sparkSession
@@ -213,8 +215,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, seed: int = 11, id_col
     asked = materialize(rows.where(is_query))
     n, count, width = rows.count(), asked.count(), asked.agg(F.max(F.size("v"))).first()[0] or 1
     cores = spark.sparkContext.defaultParallelism
-    # a table with fewer parts than there are cores is small, and is dealt out; one with many is read by fewer, longer tasks
-    vectors = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows.coalesce(max(cores, -(-n * 8 * width // TASK_BYTES)))
+    # a small table, which may be one row group, is dealt out to all cores; a large one is read by fewer, longer tasks
+    vectors = rows.repartition(cores) if n * 8 * width < cores * DEALT_BYTES else rows.coalesce(max(cores, -(-n * 8 * width // TASK_BYTES)))
     # blocks of half the size on average: that a hash deals twice as many rows to one can be ruled out
     blocks = -(-count * 8 * width * 2 // QUERY_BYTES)
     asked = asked.withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(max(blocks, 1))))
