@@ -223,7 +223,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, seed: int = 11, id_col
     found = []
     for z in range(blocks):
         block = [Queries(r, x, k) for _, r, x in _vectors(asked.where(F.col("_block") == z).select("vec_id", "row", "v").toArrow().combine_chunks().to_batches()[0])]
-        found.append(materialize(_search(vectors, block, seed), count * k * 8, 32))
+        found.append(materialize(_search(vectors, block, seed)))  # not to few files: that would search in few tasks
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = functools.reduce(DataFrame.unionByName, found)
