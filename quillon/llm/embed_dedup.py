@@ -1,7 +1,8 @@
 """Near-duplicate vectors: random-hyperplane sign hashing in several tables, exact cosines, components.
 
-Vectors of one bucket are compared by sketches of more signs; those that fit are verified by their exact
-cosine, block by block (see links).
+A few tables of few signs send every vector to large buckets, which keeps the shuffle small. Inside a bucket
+vectors are hashed again, several times, by signs of their sketches, without moving; those that meet are compared
+by whole sketches, and those that fit are verified by their exact cosine, block by block (see links).
 """
 
 from __future__ import annotations
@@ -20,19 +21,72 @@ from quillon.llm import common, links
 from quillon.llm.common import column, discard, join_hot, lean, materialize
 from quillon.llm.components import connected_components
 
-#: Vectors that share a bucket by chance, on average; sets the bits of a table.
-BUCKET = 512
-#: Chance that a pair at exactly the threshold shares a bucket in some table; closer pairs are surer.
+#: Rows that a bucket holds on average at most, and rows of a part of a larger one; sets the bits of a table.
+BUCKET = 1 << 18
+#: The least bits of a table, so that small tables are dealt to many tasks too.
+LEAST_BITS = 7
+#: Rows of a bucket that are compared all with all; in larger ones those that share a local key, about so many, are.
+DIRECT, LOCAL = 1024, 8
+#: Chance that a pair at exactly the threshold meets in a bucket that it shares.
+MEET = 0.9
+#: Chance that a pair at exactly the threshold is found; closer pairs are surer.
 RECALL = 0.995
+#: Rows that share a home by chance, on average; homes fill the blocks in which vectors are verified.
+HOME = 512
 #: Signs of a sketch, and the standard deviations above the mean that those of a pair at the threshold may differ in.
-SIGNS, DEVIATIONS = 256, 5.0
+SIGNS, DEVIATIONS = 192, 5.0
 
 
-def tables_and_bits(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """How many sign tables of how many bits n vectors need."""
-    bits = min(40, max(4, math.ceil(math.log2(max(n, 2) / BUCKET))))
+@functools.lru_cache(maxsize=64)
+def local_passes(bits: int, threshold: float) -> tuple[int, np.ndarray]:
+    """How often the rows of a bucket are hashed by so many signs of their sketches, and the chance to meet of pairs at the threshold, by the signs they differ in."""
+    differ = np.arange(SIGNS + 1)
+    alike = np.prod([np.maximum(SIGNS - differ - i, 0) / (SIGNS - i) for i in range(bits)], axis=0) if bits else np.ones(SIGNS + 1)
+    chance, passes = _differing(threshold), 1
+    while (chance * (1 - (1 - alike) ** passes)).sum() < MEET:
+        passes += 1
+    return passes, 1 - (1 - alike) ** passes
+
+
+@functools.lru_cache(maxsize=4)
+def _differing(threshold: float) -> np.ndarray:
+    """How likely the sketches of a pair at the threshold differ in 0, 1, ... signs."""
+    p = math.acos(threshold) / math.pi
+    return np.array([math.comb(SIGNS, d) * p**d * (1 - p) ** (SIGNS - d) for d in range(SIGNS + 1)])
+
+
+def local_bits(rows: int) -> int:
+    return min(16, max(0, math.ceil(math.log2(max(rows, 1) / LOCAL))))
+
+
+def tables_and_bits(n: int, threshold: float, recall: float | None = None) -> tuple[int, int]:
+    """How many sign tables of how many bits n vectors need, whatever their buckets hold.
+
+    A pair is found if it shares a bucket and meets there; sketches that differ in many signs meet less often in every
+    table alike, so the chance is taken over those.
+    """
+    bits = min(40, max(LEAST_BITS, math.ceil(math.log2(max(n, 2) / BUCKET))))
     together = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together))), bits
+    chance, meet, tables = _differing(threshold), local_passes(local_bits(BUCKET), threshold)[1], 1
+    while (chance * (1 - (1 - together * meet) ** tables)).sum() < (RECALL if recall is None else recall):
+        tables += 1
+    return tables, bits
+
+
+def local_keys(bucket: int, words: np.ndarray, threshold: float) -> list[np.ndarray] | None:
+    """Keys of a bucket's sketches, a pass after the other; None if it is no more work to compare all of them."""
+    n = len(words)
+    if n <= DIRECT:
+        return None
+    bits = local_bits(n)
+    rng, keys, pairs = np.random.default_rng(bucket >> 16 & 4095), [], 0  # other signs in every table
+    for _ in range(local_passes(bits, threshold)[0]):
+        key = np.zeros(n, np.uint16)
+        for j, c in enumerate(rng.permutation(SIGNS)[:bits].tolist()):
+            key |= ((words[:, c >> 6] >> np.uint64(c & 63)) & np.uint64(1)).astype(np.uint16) << np.uint16(j)
+        pairs += int((np.bincount(key).astype(np.int64) ** 2).sum())
+        keys.append(key)
+    return keys if pairs < n * n else None
 
 
 def most_signs(threshold: float) -> int:
@@ -80,7 +134,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     links as there are. Rows that share an id, or have none, are rows of their own with links of their own;
     component_id is the smallest id reachable, null if no row there has one, and kept whether a row has
     the component's id (all rows of a component without any id are kept). Buckets are compared in parts of
-    bounded size whatever they hold. An empty table gives an empty result; other columns are ignored.
+    bounded size whatever they hold, by passes over local keys or all with all, whichever is less work. An empty table gives an empty result; other columns are ignored.
     """
     floats = isinstance(df.schema[vec_col].dataType.elementType, T.FloatType)
     base = df.select(df[id_col].cast("long").alias("vec_id"), (df[vec_col] if floats else df[vec_col].cast("array<double>")).alias("v"))
@@ -93,7 +147,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     )
     n = reps.count()
     tables, bits = tables_and_bits(n, threshold)
-    keyed = T.StructType([T.StructField("rep", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    near_bits = min(40, max(4, math.ceil(math.log2(max(n, 2) / HOME))))
+    ends = np.cumsum([tables * bits, SIGNS, near_bits]).tolist()
+    keyed = T.StructType([T.StructField("rep", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("home", T.LongType())])
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
@@ -103,18 +159,19 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                     col = column(batch, "v")
                     for width in widths(col):
                         x, where = unit_rows(col, width)
-                        on = x @ planes(seed, width, tables * bits + SIGNS) > 0
-                        keys = on[:, : tables * bits].reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
-                        sketch = np.packbits(on[:, tables * bits :], axis=1)
+                        on = x @ planes(seed, width, ends[2]) > 0
+                        keys = on[:, : ends[0]].reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                        sketch = np.packbits(on[:, ends[0] : ends[1]], axis=1)
+                        home = (on[:, ends[1] :] @ (1 << np.arange(near_bits, dtype=np.int64))) * 65536 + width % 65536
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(((keys * 4096 + np.arange(tables)) * 65536 + width % 65536).reshape(-1)))
-                        yield pa.RecordBatch.from_arrays([pa.array(column(batch, "rep").to_numpy()[where]), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=keyed.names)
+                        yield pa.RecordBatch.from_arrays([pa.array(column(batch, "rep").to_numpy()[where]), lists, pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(home)], names=keyed.names)
 
     hashed = materialize(reps.select("rep", "v").mapInArrow(hash_rows, keyed))
-    large = materialize(hashed.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > links.BUCKET_ROWS), n * tables // links.BUCKET_ROWS)
-    placed = links.blocks_of(hashed.select("rep", "sketch", F.get("keys", F.lit(0)).alias("home"), F.lit(1).alias("size"), "keys"), n, keep=["keys"])
+    large = materialize(hashed.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BUCKET), n * tables // BUCKET)
+    placed = links.blocks_of(hashed.select("rep", "sketch", "home", F.lit(1).alias("size"), "keys"), n, keep=["keys"])
     rows = placed.select("rep", "sketch", "block", F.explode("keys").alias("bucket"))
     rows = rows.withColumn("m", F.lit(1).cast("long")) if large.isEmpty() else rows.join(large, "bucket", "left").withColumn("m", F.coalesce("m", F.lit(1).cast("long")))
-    pairs = materialize(links.noted(rows, most_signs(threshold)), 4 * n)
+    pairs = materialize(links.noted(rows, most_signs(threshold), BUCKET, lambda bucket, words: local_keys(bucket, words, threshold)), 4 * n)
     linked = links.counted(pairs, reps.select("rep", "weight", F.col("v").alias("payload")), lambda x, y: similar(x, y, threshold))
     discard(hashed, large, pairs)
     comp = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))

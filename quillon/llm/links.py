@@ -45,13 +45,15 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def noted(rows: DataFrame, most: int) -> DataFrame:
+def noted(rows: DataFrame, most: int, part_rows: int | None = None, passes: Callable[[int, np.ndarray], list[np.ndarray] | None] | None = None) -> DataFrame:
     """(rep, lo, hi, own): pairs of blocks in which a row has a partner whose sketch differs in at most `most` bits.
 
-    rows: (rep, sketch, block, bucket, m), m the bucket's rows; buckets beyond BUCKET_ROWS are compared part by part.
-    A block's rows are in one part, so a row notes a block once a bucket, however many parts it has.
+    rows: (rep, sketch, block, bucket, m), m the bucket's rows; buckets beyond part_rows (BUCKET_ROWS if not given) are
+    compared part by part. A block's rows are in one part, so a row notes a block once a bucket, however many parts it has.
+    passes(bucket, sketches) gives keys by which the rows of a large bucket are grouped, one array after another: only
+    sketches that share a key in some of them are compared; None compares all.
     """
-    nb = F.ceil(F.col("m") / BUCKET_ROWS).cast("int")
+    nb = F.ceil(F.col("m") / (part_rows or BUCKET_ROWS)).cast("int")
     dealt = (
         rows.withColumn("nb", nb).withColumn("part", F.pmod(F.xxhash64("block", "bucket"), F.col("nb")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -62,12 +64,16 @@ def noted(rows: DataFrame, most: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             for t, starts in gathered(batches, ["bucket", "bi", "bj"]):
-                rep, block, part, bi, bj = (t.column(c).to_numpy() for c in ("rep", "block", "part", "bi", "bj"))
+                rep, block, bucket, part, bi, bj = (t.column(c).to_numpy() for c in ("rep", "block", "bucket", "part", "bi", "bj"))
                 sketch = words_of(t.column("sketch"))
                 sizes = np.diff(starts)
                 few = (sizes <= FEW) & (bi[starts[:-1]] == bj[starts[:-1]])
                 yield from notes(*_few(rep, block, sketch, np.repeat(few, sizes), np.repeat(np.arange(len(sizes)), sizes), most))
                 for a, b in zip(starts[:-1][~few].tolist(), starts[1:][~few].tolist(), strict=True):
+                    keys = passes(int(bucket[a]), sketch[a:b]) if passes else None
+                    if keys is not None:
+                        yield from notes(*_by_keys(rep[a:b], block[a:b], sketch[a:b], keys, most))
+                        continue
                     first = np.flatnonzero(part[a:b] == bi[a]) + a
                     second = first if bi[a] == bj[a] else np.flatnonzero(part[a:b] != bi[a]) + a
                     yield from notes(*_many(rep, block, sketch, first, second, most))
@@ -123,6 +129,33 @@ def _many(rep, block, sketch, left, right, most):
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (rep[:0], block[:0], block[:0])
 
 
+def _by_keys(rep, block, sketch, keys, most):
+    """Pairs that share a key, one array of keys after another; what is found again is kept once."""
+    names, held = ["rep", "own", "other"], None
+    columns = np.ascontiguousarray(sketch.T)
+    for key in keys:
+        order = np.argsort(key, kind="stable")
+        k, across = key[order], columns[:, order]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        sizes = np.diff(np.r_[starts, len(k)])
+        few = np.repeat(sizes <= FEW, sizes)
+        found = []
+        for d in range(1, int(sizes[sizes <= FEW].max(initial=1))):  # neighbours at every distance, over all short runs at once
+            x = np.flatnonzero((k[d:] == k[:-d]) & few[d:])
+            differ = np.zeros(len(x), np.uint16)
+            for c in across:
+                differ += np.bitwise_count(c[x] ^ c[x + d])
+            x = order[x[differ <= most]], order[x[differ <= most] + d]
+            found += [(rep[i], block[i], block[j]) for i, j in (x, x[::-1])]
+        for at, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            run = order[at : at + size]
+            found.append(_many(rep, block, sketch, run, run, most))
+        t = pa.table([np.concatenate(c) for c in zip((rep[:0], block[:0], block[:0]), *found, strict=True)], names=names)
+        t = t if held is None else pa.concat_tables([held, t])
+        held = t.group_by(names, use_threads=False).aggregate([]) if t.num_rows else t
+    return tuple(held.column(c).to_numpy() for c in names)
+
+
 def verified(rows: DataFrame, similar: Callable[[pa.Array, pa.Array | None], np.ndarray]) -> DataFrame:
     """(rep, n, root): how many rows each links with in a pair of blocks, by weight, and a row it reaches there.
 

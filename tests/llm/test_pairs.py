@@ -51,17 +51,18 @@ def _vectors():
 
 
 def test_embedding_links(spark, monkeypatch):
-    monkeypatch.setattr(embed_dedup, "BUCKET", 8)
     monkeypatch.setattr(embed_dedup, "RECALL", 0.9999)
     monkeypatch.setattr(embed_dedup, "DEVIATIONS", 6.0)
     rows = _vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash")).withColumn("rep", F.lit(1))
     small = [(i, (np.array(v) / max(map(abs, v))).tolist() if v and None not in v and any(v) else v) for i, v in rows if i != 304]
     want = _counts(rows, brute.vector_links(small), [i for i, _ in rows])
-    for block, bucket, few, hot in ((1024, 4096, 32, 100_000), (7, 10, 3, 1)):
+    for block, bucket, few, hot, least, direct in ((1024, 4096, 32, 100_000, 7, 1024), (7, 10, 3, 1, 2, 1024), (7, 1000, 3, 1, 2, 3)):
         monkeypatch.setattr(common, "HOT_ROWS", hot)
         monkeypatch.setattr(links, "BLOCK_ROWS", block)
-        monkeypatch.setattr(links, "BUCKET_ROWS", bucket)
+        monkeypatch.setattr(embed_dedup, "BUCKET", bucket)
+        monkeypatch.setattr(embed_dedup, "LEAST_BITS", least)
+        monkeypatch.setattr(embed_dedup, "DIRECT", direct)
         monkeypatch.setattr(links, "FEW", few)
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
         assert got == want
@@ -133,6 +134,27 @@ def test_embedding_recall_with_default_parameters(spark):
     assert 0.99 * near.sum() <= got <= near.sum()
 
 
+def test_recall_of_local_passes_and_their_bytes():
+    """Pairs at the threshold that share a bucket of 20,000: met as often as promised, and by what is compared alone."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    noise = x[:4000] - (x[:4000] * x[4000:8000]).sum(1, keepdims=True) * x[4000:8000]
+    noise /= np.sqrt((noise * noise).sum(1, keepdims=True))
+    x[:4000] = 0.9 * x[4000:8000] + np.sqrt(1 - 0.81) * noise
+    signs = np.packbits(x @ embed_dedup.planes(7, 64, embed_dedup.SIGNS) > 0, axis=1)
+    words, ids, most = np.frombuffer(signs.tobytes(), np.uint64).reshape(len(x), -1), np.arange(20_000), embed_dedup.most_signs(0.9)
+    keys = embed_dedup.local_keys(5 << 16, words, 0.9)
+    rep, own, other = links._by_keys(ids, ids, words, keys, most)
+    assert (rep == own).all() and (np.unpackbits(signs[rep] ^ signs[other], axis=1).sum(1) <= most).all()
+    found = set(zip(rep.tolist(), other.tolist(), strict=True))
+    assert len(found) == len(rep) and found == {(b, a) for a, b in found}
+    assert sum((i, i + 4000) in found for i in range(4000)) >= 0.88 * 4000
+    assert embed_dedup.local_keys(0, words[:1000], 0.9) is None and embed_dedup.local_keys(0, np.zeros((5000, 3), np.uint64), 0.9) is None
+    tables, _ = embed_dedup.tables_and_bits(10**8, 0.9)
+    assert tables * (8 + 8 + 8 + embed_dedup.SIGNS // 8) <= 5 * 256 and embed_dedup.tables_and_bits(10**9, 0.9)[0] < 45
+
+
 def test_embedding_links_of_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = np.array([r[0] for r in df.select("embedding").collect()], float)
