@@ -76,16 +76,16 @@ def _kind(v: Column) -> Column:
 
 def _string(v: Column) -> Column:
     """Text of a scalar; null for null, booleans, lists and objects."""
-    kind = _kind(v)
-    scalar = ~(kind.startswith("ARRAY") | kind.startswith("OBJECT") | kind.isin("BOOLEAN", "VOID"))
+    scalar = ~_kind(v).rlike("^(ARRAY|OBJECT|BOOLEAN$|VOID$)")
     said = F.try_variant_get(v, "$", "string")
     beyond = {MARK + "NaN": "nan", MARK + "Infinity": "inf", MARK + "-Infinity": "-inf"}
-    return F.when(scalar, F.coalesce(*(F.when(said == k, x) for k, x in beyond.items()), said))
+    plain = F.element_at(F.create_map(*(F.lit(x) for pair in beyond.items() for x in pair)), said)
+    return F.when(scalar, F.coalesce(plain, said))
 
 
 def _number(v: Column) -> Column:
     kind = _kind(v)
-    number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT)$|^DECIMAL"), F.try_variant_get(v, "$", "double"))
     said = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     return F.coalesce(number, *(F.when(said == MARK + k, F.lit(x)) for k, x in BEYOND_JSON.items()))
 
