@@ -159,13 +159,19 @@ RADGRAPH_LABELS = ["ANAT-DP", "OBS-DP", "OBS-U", "OBS-DA"]
 
 
 def normalize_radgraph(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of reports with entities: map<string, struct<tokens, label, relations: array<array<string>>>>."""
-    e = reports.select("report_id", F.explode("entities").alias("entity_id", "e"))
+    """(entities, relations) of reports with entities: map<string, struct<tokens, label, relations: array<array<string>>>>.
+
+    Both come from a report's row alone; what reads both should put the reports into a table first.
+    """
+    # an entity a relation points to is looked up inside its report
+    said = lambda x: F.try_element_at("entities", F.get(x, F.lit(1)))["tokens"]
+    link = lambda x: F.struct(F.get(x, F.lit(0)).alias("relation"), F.get(x, F.lit(1)).alias("target_id"), said(x).alias("target_tokens"))
+    links = lambda e: F.transform(F.filter(e["relations"], lambda x: F.get(x, F.lit(0)).isin(*RADGRAPH_RELATIONS)), link)
+    one = F.transform(F.map_entries("entities"), lambda x: F.struct(x["key"].alias("entity_id"), x["value"]["tokens"].alias("tokens"), x["value"]["label"].alias("label"), links(x["value"]).alias("links")))
+    e = reports.select("report_id", F.explode(one).alias("e")).select("report_id", "e.*")
     answer = F.create_map(*(F.lit(x) for kv in RADGRAPH_ANSWER.items() for x in kv))
-    entities = e.select("report_id", "entity_id", F.col("e.tokens").alias("tokens"), F.col("e.label").alias("label"), F.try_element_at(answer, F.col("e.label")).alias("answer"))
-    r = e.select("report_id", "entity_id", F.explode("e.relations").alias("r")).select("report_id", "entity_id", F.get("r", F.lit(0)).alias("relation"), F.get("r", F.lit(1)).alias("target_id")).where(F.col("relation").isin(*RADGRAPH_RELATIONS))
-    target = entities.select("report_id", F.col("entity_id").alias("target_id"), F.col("tokens").alias("target_tokens"))
-    return entities, r.join(target, ["report_id", "target_id"], "left")
+    entities = e.select("report_id", "entity_id", "tokens", "label", F.try_element_at(answer, F.col("label")).alias("answer"), F.coalesce(F.size("links"), F.lit(0)).alias("n_relations"))
+    return entities, e.select("report_id", "entity_id", F.explode("links").alias("r")).select("report_id", "entity_id", "r.*")
 
 
 def radgraph_audit(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from quillon.operators import audit, graphs, items, linking, prompts, sampling,
 from quillon.plans.adapters import GRAPH, LINE_ORDER, RELATIONS, assertions, odd_documents, report_graphs, scene_graph_documents, table, view, with_views
 from quillon.schemas import ITEMS
 from quillon.sources import members, scene_graphs
+from quillon.sources.scratch import materialize
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -564,8 +565,12 @@ def g2_choice(spark, sf):
 # --- report graphs
 
 
+def _reports(spark, sf):
+    return members.read_reports(spark, report_graphs(spark, sf))
+
+
 def _graph(spark, sf):
-    return audit.normalize_radgraph(members.read_reports(spark, report_graphs(spark, sf)))
+    return audit.normalize_radgraph(materialize(_reports(spark, sf).select("report_id", "entities")))
 
 
 @query(
@@ -573,9 +578,8 @@ def _graph(spark, sf):
 )
 def report_entities(spark, sf):
     """Entities and relations of report graphs, read back from files that hold one JSON object each."""
-    entities, relations = _graph(spark, sf)
-    n = relations.groupBy("report_id", "entity_id").agg(F.count("*").alias("n"))
-    return entities.join(n, ["report_id", "entity_id"], "left").select("report_id", "entity_id", "tokens", "label", F.coalesce("n", F.lit(0)).alias("n_relations"))
+    entities, _ = audit.normalize_radgraph(_reports(spark, sf))
+    return entities.select("report_id", "entity_id", "tokens", "label", "n_relations")
 
 
 _WALK = (
@@ -620,7 +624,7 @@ SQL["report_locations"] = (
 )
 def finding_consistency(spark, sf):
     """Findings that image evidence and report entities name for a study, by the longest names that the entities' texts hold."""
-    entities, _ = _graph(spark, sf)
+    entities, _ = audit.normalize_radgraph(_reports(spark, sf))
     a = assertions(spark, sf)
     longer = a.withColumn("label_name", F.concat("label_name", F.lit(" change")))
     names = a.select("label_name").unionByName(longer.select("label_name")).distinct()  # longer names win over the shorter ones inside of them

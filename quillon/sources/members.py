@@ -1,6 +1,6 @@
 """Members of one huge JSON object, {key: object, ...}, read in byte ranges (EXT7).
 
-The text is split at every closing brace, which Spark's text scan does wherever a byte range begins. What a split needs
+Small files are parsed as they are. The text of others is split at every closing brace, which Spark's text scan does wherever a byte range begins. What a split needs
 to know of the text before it is whether it starts inside a string and how deep: both are sums, taken for each split first
 and then inside it. A member ends where a brace leads back to depth 1; its pieces are few and are put together again.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.sources.scratch import materialize
+from quillon.sources.scratch import discard, materialize
 
 _SPLIT = ["file", "block"]
 
@@ -27,15 +27,40 @@ def _braces(bare: Column) -> Column:
     return F.regexp_count(bare, F.lit(r"[\{\[]")) - F.regexp_count(bare, F.lit(r"\]"))
 
 
+#: Bytes of a file up to which one task takes it whole.
+WHOLE_BYTES = 16 << 20
+
+
 def read_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, key, value (VARIANT) of the top-level members of each file; of repeated keys the last.
 
     The results are those of a parser of the whole file, whatever the size of the splits; no task holds more than a
-    split's pieces (spark.sql.files.maxPartitionBytes), or one member. A file has to hold one JSON object; an empty one has no member.
+    split's pieces (spark.sql.files.maxPartitionBytes), or one member, or one small file. A file has to hold one JSON object; an empty one has no member.
+    Small files that Spark's parser takes are parsed as they are read, without a shuffle; larger ones, compressed ones and those that it refuses (repeated keys) go through their pieces.
     """
+    name, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    plain = ~F.regexp_like(name, F.lit(r"(?i)\.(gz|bz2|zst|zstd|lz4|snappy|deflate)\z"))
+    small = plain & (size <= min(WHOLE_BYTES, _split_bytes(spark)))
+    texts = spark.read.option("wholetext", True).text(path).where(small).select(name.alias("file"), F.col("value").alias("text"))
+    fine = F.regexp_like("text", F.lit(r"\A\s*\{")) & F.try_parse_json("text").isNotNull()
+    whole = texts.where(fine).select("file", F.explode(F.from_json("text", "map<string,variant>")).alias("key", "value"))
+    refused = materialize(texts.where(~F.coalesce(fine, F.lit(False))).select("file"))
     pieces = spark.read.option("lineSep", "}").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"),
+        name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"), small.alias("_small"),
     )
+    larger = pieces.where(~F.coalesce(small, F.lit(False))).drop("_small")
+    if refused.isEmpty():
+        discard(refused)
+        return whole if larger.isEmpty() else whole.unionByName(_from_pieces(spark, larger))
+    return whole.unionByName(_from_pieces(spark, larger.unionByName(pieces.where("_small").drop("_small").join(refused, "file", "left_semi"))))
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def _from_pieces(spark: SparkSession, pieces: DataFrame) -> DataFrame:
+    """file, key, value of files as rows (file, block, at, piece) that were split at closing braces."""
     # an escape never spans a brace, and braces, brackets and quotes inside of escapes don't count
     pieces = materialize(pieces.withColumn("bare", F.regexp_replace("piece", r"\\.", "")).withColumn("quotes", F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit("")))))
     known = _running(pieces, "quotes", "_quotes").withColumn("inside", F.col("_quotes") % 2 == 1)

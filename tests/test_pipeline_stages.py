@@ -568,6 +568,31 @@ def test_reports_to_findings(spark, tmp_path):
     assert graphs.walks(spark.createDataFrame([("r", str(i), str(i + 1)) for i in range(6)], "report_id string, source_id string, target_id string"), 3).count() == 6 + 5 + 4
 
 
+def shuffles(df):
+    return len(re.findall(r"(?<!Broadcast)Exchange \(", df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))))
+
+
+def test_small_files_and_their_relations_take_no_shuffle(spark, tmp_path):
+    reports = {f"r{i}": {"text": "}", "entities": {"1": {"tokens": "a", "label": "OBS-DP", "relations": [["modify", "2"], ["modify", "9"], ["no such", "2"], []]}, "2": {"tokens": "b", "label": "ANAT-DP"}}} for i in range(3)}
+    (tmp_path / "g.json").write_text(json.dumps(reports), encoding="utf-8")
+    e, r = audit.normalize_radgraph(members.read_reports(spark, str(tmp_path)))
+    assert shuffles(e) == shuffles(r) == 0 and "Join" not in r._jdf.queryExecution().toString()
+    assert {(x["report_id"], x["entity_id"], x["n_relations"]) for x in e.collect()} == {(f"r{i}", k, n) for i in range(3) for k, n in (("1", 2), ("2", 0))}
+    assert {tuple(x) for x in r.where("report_id = 'r1'").collect()} == {("r1", "1", "modify", "2", "b"), ("r1", "1", "modify", "9", None)}
+    assert shuffles(members.read_reports(spark, str(tmp_path))) == 0
+
+
+def test_members_of_compressed_and_odd_files(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "z.json.gz", "wt") as f:
+        f.write('{"a": {"x": "}"}, "b": {"y": 1}}')
+    (tmp_path / "twice.json").write_text('{"k": {"v": 1}, "k": {"v": 2}}')
+    (tmp_path / "fine.json").write_text('{"m": {"v": 3}, "n": [1]}')
+    got = {(r["file"].rsplit("/", 1)[1], r["key"], r["v"]) for r in members.read_members(spark, str(tmp_path)).select("file", "key", F.to_json("value").alias("v")).collect()}
+    assert got == {("z.json.gz", "a", '{"x":"}"}'), ("z.json.gz", "b", '{"y":1}'), ("twice.json", "k", '{"v":2}'), ("fine.json", "m", '{"v":3}'), ("fine.json", "n", "[1]")}
+
+
 def test_names_in_texts_against_brute_force(spark):
     rng = random.Random(6)
     words = ["lung", "left", "opacity", "é", "of", "x1"]
