@@ -62,23 +62,25 @@ def _words(c: Column) -> Column:
 def named_findings(entities: DataFrame, names: DataFrame, keep: list[str], text: str = "tokens", name: str = "label_name") -> DataFrame:
     """keep columns and finding: the names that an entity's text holds, the longest from the left, without overlap.
 
-    Names and texts are compared by their words, in lower case. The windows of a text, up to the longest name's words, are
+    Names and texts are compared by their words, in lower case. The windows of each different text, up to the longest name's words, are
     joined with the names, so the vocabulary may be of any size; several names of the same words are all reported.
     """
     own = names.select(F.col(name).alias("finding"), _words(F.col(name)).alias("_w")).where(F.size("_w") > 0).select("finding", F.size("_w").alias("_n"), F.array_join("_w", " ").alias("_p")).distinct()
     own = materialize(own)
     longest, count = own.agg(F.max("_n"), F.count("*")).first()
     phrases = own.groupBy("_p").agg(F.collect_set("finding").alias("_f"))
-    row = entities.select(*keep, _words(F.col(text)).alias("_w")).withColumn("_row", F.monotonically_increasing_id())
-    row = materialize(row)
-    starts = row.where(F.size("_w") > 0).select("_row", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 1)).alias("_s"))
-    spans = starts.select("_row", "_s", "_w", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest or 1), F.size("_w") - F.col("_s")))).alias("_l"))
-    windows = spans.select("_row", "_s", "_l", F.array_join(F.slice("_w", F.col("_s") + 1, F.col("_l")), " ").alias("_p"))
+    row = materialize(entities.select(*keep, F.array_join(_words(F.col(text)), " ").alias("_t")).where("_t <> ''"))
+    texts = row.select("_t").distinct().withColumn("_w", F.split("_t", " "))
+    starts = texts.select("_t", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 1)).alias("_s"))
+    spans = starts.select("_t", "_s", "_w", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest or 1), F.size("_w") - F.col("_s")))).alias("_l"))
+    windows = spans.select("_t", "_s", "_l", F.array_join(F.slice("_w", F.col("_s") + 1, F.col("_l")), " ").alias("_p"))
     hits = windows.join(F.broadcast(phrases) if count <= BROADCAST_NAMES else phrases, "_p")
-    found = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_s", (-F.col("_l")).alias("_m"), "_f"))).alias("_h"))
+    by_text = hits.groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("_s", (-F.col("_l")).alias("_m"), "_f"))).alias("_h"))
     zero = F.struct(F.lit(0).alias("to"), F.array().cast("array<string>").alias("f"))
     taken = F.aggregate("_h", zero, lambda a, h: F.when(h["_s"] >= a["to"], F.struct((h["_s"] - h["_m"]).alias("to"), F.concat(a["f"], h["_f"]).alias("f"))).otherwise(a), lambda a: F.array_distinct(a["f"]))
-    return row.join(found.select("_row", F.explode(taken).alias("finding")), "_row").select(*keep, "finding")
+    found = materialize(by_text.select("_t", taken.alias("_f")))
+    found = F.broadcast(found) if found.count() <= BROADCAST_NAMES else found
+    return row.join(found, "_t").select(*keep, F.explode("_f").alias("finding"))
 
 
 def finding_consistency(assertions: DataFrame, observations: DataFrame) -> DataFrame:
@@ -88,10 +90,9 @@ def finding_consistency(assertions: DataFrame, observations: DataFrame) -> DataF
     has none, which is no evidence against it. status: conflict where a source contradicts itself, then missing_report or
     missing_image, uncertain, agree, disagree.
     """
-    image = evidence_groups(g1_evidence(assertions).where("study_id is not null"), ["study_id", "label_name"])
-    image = image.select("study_id", F.lower("label_name").alias("finding"), F.when(F.col("conflict"), "conflict").when(F.col("any_yes"), "yes").otherwise("no").alias("s"))
-    one = lambda df, out: df.groupBy("study_id", "finding").agg(F.when(F.count_distinct("s") > 1, "conflict").otherwise(F.max("s")).alias(out))
-    image = one(image, "image_state")
+    evidence = g1_evidence(assertions).where("study_id is not null").select("study_id", F.lower("label_name").alias("finding"), "polarity")
+    state = F.when(F.col("conflict"), "conflict").when(F.col("any_yes"), "yes").otherwise("no")
+    image = evidence_groups(evidence, ["study_id", "finding"]).select("study_id", "finding", state.alias("image_state"))
     said = observations.where(truthy(F.col("study_id")) & truthy(F.col("finding")) & F.col("answer").isNotNull()).groupBy("study_id", F.lower("finding").alias("finding"))
     report = said.agg(F.bool_or(F.col("answer") == "Yes").alias("y"), F.bool_or(F.col("answer") == "No").alias("n"))
     report = report.select("study_id", "finding", F.when(F.col("y") & F.col("n"), "conflict").when(F.col("y"), "yes").when(F.col("n"), "no").otherwise("uncertain").alias("report_state"))
