@@ -63,4 +63,5 @@ def stable_id_sql(prefix: str, components: dict[str, str | int | None]) -> str:
 
 
 def assertion_id(image_id: Column, attribute: Column, phrase: Column, label: Column) -> Column:
-    return F.format_string("ci_attr::%s::%04d::%03d::%03d", F.coalesce(image_id, F.lit("unknown_image")), attribute, phrase, label)
+    padded = lambda i, n: F.when(i < 10 ** (n - 1), F.lpad(i.cast("string"), n, "0")).otherwise(i.cast("string"))
+    return F.concat_ws("::", F.lit("ci_attr"), F.coalesce(image_id, F.lit("unknown_image")), padded(attribute, 4), padded(phrase, 3), padded(label, 3))

@@ -48,9 +48,11 @@ def render_prompt(probe: Column, question: Column) -> Column:
 
 def label_parts(raw: Column) -> Column:
     """struct<category, polarity, label_name>; three nulls unless there are three parts and none is blank."""
-    parts = F.split(raw, r"\|", 3)
-    ok = (F.size(parts) == 3) & F.forall(parts, lambda p: ~F.regexp_like(p, F.lit(BLANK)))
-    return F.struct(*(F.when(ok, F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(("category", "polarity", "label_name"))))
+    names = ("category", "polarity", "label_name")
+    ok = lambda p: (F.size(p) == 3) & F.forall(p, lambda x: ~F.regexp_like(x, F.lit(BLANK)))
+    # a list of one, so that the label is split once
+    taken = F.filter(F.array(F.split(raw, r"\|", 3)), ok)
+    return F.struct(*(F.get(F.get(taken, F.lit(0)), F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
 def parse_answer(raw: Column) -> Column:

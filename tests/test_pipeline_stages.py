@@ -76,6 +76,31 @@ def test_documents_are_read_once_and_counted_while_writing(spark, folder, tmp_pa
         scene_graphs.parse_scene_graphs(docs)
 
 
+def test_lists_of_documents_are_taken_once(spark, folder):
+    """No filter on a list's size below an explode, which would make the list and what it is made of again; no VARIANT in a row of a label."""
+    parsed = scene_graphs.parse_scene_graphs(scene_graphs.discover(spark, folder))
+    for df in (parsed.objects, parsed.assertions, parsed.warnings):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Filter .*size\((?!missing)", plan), plan
+    labels = next(x for x in parsed.assertions._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode(labels" in x)
+    assert "Generate" in labels and shuffles(parsed.objects) == 0
+
+
+def test_texts_of_odd_lists(spark):
+    """Entries that are no lists, no scalars or null keep their places."""
+    attribute = '{"bbox_name": "it\'s [\\"a\\"]", "it\'s [\\"a\\"]": true, "attributes": [["a|yes|x", null, ["n"], 5], "no list", [], ["b|no|y"]], "attributes_ids": [["I", null], 3], "phrases": [null, 1, true, "p"], "severity_cues": [["s", null, 2], "no", [], [true]]}'
+    text = f'{{"image_id": 1, "objects": [null, [], {{}}, {{"x1": "1", "x2": 1e3, "y1": null, "name": null, "synsets": "s"}}], "attributes": [{attribute}, null, []]}}'
+    parsed = scene_graphs.parse_scene_graphs(spark.createDataFrame([("p", text)], "path string, text string"))
+    got = [tuple(r[c] for c in ("assertion_id", "raw_label", "label_name", "bbox_name", "attributes_id", "phrase", "severity_cues")) for r in parsed.assertions.orderBy("assertion_id").collect()]
+    place, key = "ci_attr::1::0000::", 'it\'s ["a"]'
+    assert got == [
+        (place + "000::000", "a|yes|x", "x", key, "I", None, ["s", "2"]), (place + "000::001", None, None, key, None, None, ["s", "2"]),
+        (place + "000::002", None, None, key, None, None, ["s", "2"]), (place + "000::003", "5", None, key, None, None, ["s", "2"]), (place + "003::000", "b|no|y", "y", key, None, "p", []),
+    ]
+    assert sorted((r["x1"] or 0, r["x2"] or 0, r["synsets"]) for r in parsed.objects.collect()) == [(0, 0, []), (0, 1000.0, [])]
+    assert {r["key"]: r["n"] for r in parsed.warnings.collect()} == {"invalid_object_entry": 2, "invalid_attribute_entry": 2, "misaligned_phrase_key:attributes_ids": 1, "malformed_label": 3}
+
+
 def test_json_as_a_tolerant_parser_takes_it(spark):
     box = '{"bbox_name": "first", "x1": 1, "x1": 2, "y1": NaN, "x2": Infinity, "y2": -Infinity, "name": NaN, "bbox_name": "last", "object_id": "NaN"}'
     texts = [f'{{"image_id": "old", "objects": [{box}], "attributes": [], "image_id": "new"}}', "[1, 2", "", None, "NaN", "[" * 100_000]
