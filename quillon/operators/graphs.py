@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +15,53 @@ from quillon.sources.scratch import discard, materialize
 BROADCAST_NAMES = 100_000
 
 
+#: Steps of a report up to which its walks are found inside one row.
+ROW_EDGES = 256
+
+
 def walks(edges: DataFrame, max_steps: int = 16) -> DataFrame:
     """report_id, source_id, target_id, steps: what each entity reaches over edges (report_id, source_id, target_id), and in how few steps.
 
-    A round adds one step to the pairs that were new in the last one; pairs already known, as in cycles, are not followed
-    again, and an entity's way back to itself is left out. Reports are small, so a round is a join on (report, entity). Repeated
-    edges count once; edges without an end are ignored.
+    An entity's way back to itself is left out. Repeated edges count once; edges without an end are ignored. The edges of a report
+    of usual size are one row, whose walks a small function finds; larger reports go by rounds of joins.
     """
-    step = materialize(edges.where("report_id is not null and source_id is not null and target_id is not null and source_id <> target_id").select("report_id", "source_id", "target_id").distinct())
+    step = materialize(edges.where("report_id is not null and source_id is not null and target_id is not null and source_id <> target_id").select("report_id", "source_id", "target_id"))
+    sizes = step.groupBy("report_id").agg(F.count("*").alias("_n"))
+    large = materialize(sizes.where(F.col("_n") > ROW_EDGES).select("report_id"))
+    usual, rest = step, None
+    if large.isEmpty():
+        discard(large)
+    else:
+        usual, rest = step.join(large, "report_id", "left_anti"), step.join(large, "report_id", "left_semi")
+
+    @F.pandas_udf("array<struct<source_id:string,target_id:string,steps:int>>")
+    def reached(sources: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([_reached(s, t, max_steps) for s, t in zip(sources, targets)], dtype=object)
+
+    rows = usual.groupBy("report_id").agg(F.collect_list(F.struct("source_id", "target_id")).alias("e"))
+    found = rows.select("report_id", F.explode(reached(F.col("e.source_id"), F.col("e.target_id"))).alias("r")).select("report_id", "r.*")
+    return found if rest is None else found.unionByName(_rounds(rest.distinct(), max_steps))
+
+
+def _reached(sources, targets, max_steps: int) -> list[dict]:
+    """Walks of one report, breadth first from each entity."""
+    ahead: dict[str, set[str]] = {}
+    for s, t in zip(sources, targets):
+        ahead.setdefault(s, set()).add(t)
+    out = []
+    for s, new in ahead.items():
+        known, k = {s}, 1
+        while new and k <= max_steps:
+            out += [{"source_id": s, "target_id": t, "steps": k} for t in new]
+            known |= new
+            new, k = set().union(*(ahead.get(t, ()) for t in new)) - known, k + 1
+    return out
+
+
+def _rounds(step: DataFrame, max_steps: int) -> DataFrame:
+    """The walks of reports of any size. A round adds one step to the pairs that were new in the last one; pairs already
+    known, as in cycles, are not followed again."""
+    step = materialize(step)
     known, new = step.withColumn("steps", F.lit(1)), step
     for k in range(2, max_steps + 1):
         ahead = step.select("report_id", F.col("source_id").alias("target_id"), F.col("target_id").alias("_next"))

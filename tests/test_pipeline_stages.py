@@ -618,6 +618,27 @@ def test_members_of_compressed_and_odd_files(spark, tmp_path):
     assert got == {("z.json.gz", "a", '{"x":"}"}'), ("z.json.gz", "b", '{"y":1}'), ("twice.json", "k", '{"v":2}'), ("fine.json", "m", '{"v":3}'), ("fine.json", "n", "[1]")}
 
 
+@pytest.mark.parametrize("row_edges", [0, 12, 256])
+def test_walks_against_brute_force(spark, monkeypatch, row_edges):
+    """Usual reports are walked without a round of joins, larger ones by rounds, with the same results."""
+    monkeypatch.setattr(graphs, "ROW_EDGES", row_edges)
+    if row_edges == 256:
+        monkeypatch.setattr(graphs, "_rounds", None)
+    rng = random.Random(3)
+    edges = [(f"r{r}", str(rng.randrange(8)), str(rng.randrange(8))) for r in range(12) for _ in range(2 * r)] + [("r1", None, "2"), (None, "1", "2"), ("r2", "1", None)]
+    edges += edges[:30]
+    want = {}
+    for r, s in {(r, s) for r, s, t in edges if r and s and t}:
+        near, at = {s: 0}, [s]
+        for x in at:
+            for t in {t for q, y, t in edges if q == r and y == x and t} - near.keys():
+                near[t] = near[x] + 1
+                at.append(t)
+        want |= {(r, s, t): k for t, k in near.items() if 0 < k <= 3}
+    got = graphs.walks(spark.createDataFrame(edges, "report_id string, source_id string, target_id string"), 3).collect()
+    assert len(got) == len(want) and {tuple(x)[:3]: x["steps"] for x in got} == want
+
+
 def test_names_in_texts_against_brute_force(spark):
     rng = random.Random(6)
     words = ["lung", "left", "opacity", "é", "of", "x1"]
