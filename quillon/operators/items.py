@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.ids import digest_id, json_text, stable_id
@@ -19,12 +19,20 @@ _TRACE = ["assertion_id", "raw_label", "category", "polarity", "label_name", "bb
 _BOX = [c.split()[0] for c in BOX.split(", ")]
 
 
+def _is_g1() -> Column:
+    return (F.col("category") == FINDING) & F.col("polarity").isin("yes", "no") & truthy(F.col("image_id")) & truthy(F.col("label_name"))
+
+
+def _is_g2() -> Column:
+    return _is_g1() & F.col("anatomy_bound") & truthy(F.col("bbox_name"))
+
+
 def g1_evidence(assertions: DataFrame) -> DataFrame:
-    return assertions.where((F.col("category") == FINDING) & F.col("polarity").isin("yes", "no") & truthy(F.col("image_id")) & truthy(F.col("label_name")))
+    return assertions.where(_is_g1())
 
 
 def g2_evidence(assertions: DataFrame) -> DataFrame:
-    return g1_evidence(assertions).where(F.col("anatomy_bound") & truthy(F.col("bbox_name")))
+    return assertions.where(_is_g2())
 
 
 def finding_vocab(assertions: DataFrame) -> DataFrame:
@@ -38,21 +46,24 @@ def _trace(df: DataFrame) -> Column:
     return F.struct(*have, F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("scope")).cast(SOURCE_ASSERTION)
 
 
-def evidence_groups(evidence: DataFrame, keys: list[str], with_sources: bool = False) -> DataFrame:
-    """One row per group with what polarities it has; a shuffle of partial booleans. Sources, in order of assertion, on demand."""
+def evidence_groups(evidence: DataFrame, keys: list[str], with_sources: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per group with what polarities it has; a shuffle of partial booleans. Sources, in order of assertion, on demand.
+
+    carry: columns whose values are the same in all rows of a group.
+    """
     aggs = [F.bool_or(F.col("polarity") == "yes").alias("any_yes"), F.bool_or(F.col("polarity") == "no").alias("any_no")]
     if with_sources:
         aggs.append(F.array_sort(F.collect_list(_trace(evidence))).alias("source_assertions"))
-    out = evidence.groupBy(*keys).agg(*aggs)
+    out = evidence.groupBy(*keys).agg(*aggs, *(F.first(c).alias(c) for c in carry))
     return out.withColumn("conflict", F.col("any_yes") & F.col("any_no"))
 
 
-def g1_groups(assertions: DataFrame, with_sources: bool = False) -> DataFrame:
-    return evidence_groups(g1_evidence(assertions), [*IMAGE_KEY, "label_name"], with_sources)
+def g1_groups(assertions: DataFrame, with_sources: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    return evidence_groups(g1_evidence(assertions), [*IMAGE_KEY, "label_name"], with_sources, carry)
 
 
-def g2_groups(assertions: DataFrame, with_sources: bool = False) -> DataFrame:
-    return evidence_groups(g2_evidence(assertions), [*IMAGE_KEY, "bbox_name", "label_name"], with_sources)
+def g2_groups(assertions: DataFrame, with_sources: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    return evidence_groups(g2_evidence(assertions), [*IMAGE_KEY, "bbox_name", "label_name"], with_sources, carry)
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -68,6 +79,12 @@ def _order(df: DataFrame) -> Column:
     return F.col("_ord") if "_ord" in df.columns else F.struct(*sorted(c for c, t in df.dtypes if not t.startswith(("map", "variant"))))
 
 
+def _inner_order(df: DataFrame, keys: list[str]) -> Column:
+    """_order among rows of the same keys."""
+    rest = [c for c in df.columns if c not in keys]
+    return _order(df.select(*rest)) if rest else F.lit(0)
+
+
 def last_by_key(df: DataFrame, keys: list[str], values: list[str], first: bool = False) -> DataFrame:
     """One row per key, nulls being equal: the last by _ord (or all columns), or the first."""
     pick = F.min_by if first else F.max_by
@@ -77,10 +94,11 @@ def last_by_key(df: DataFrame, keys: list[str], values: list[str], first: bool =
 def attach_images(groups: DataFrame, image_index: DataFrame) -> DataFrame:
     """dicom_id and image_path; without an index row, the image's own id and no path."""
     index = last_by_key(image_index, IMAGE_KEY, ["dicom_id", "image_path"])
-    hit = F.col("_hit").isNotNull()
-    return groups.join(index, _same(groups, index, IMAGE_KEY), "left").select(
-        *(groups[c] for c in groups.columns), F.when(hit, F.col("_hit.dicom_id")).otherwise(F.col("image_id")).alias("dicom_id"), F.col("_hit.image_path").alias("image_path")
-    )
+    return groups.join(index, _same(groups, index, IMAGE_KEY), "left").select(*(groups[c] for c in groups.columns), *_image(F.col("_hit")))
+
+
+def _image(hit: Column) -> list[Column]:
+    return [F.when(hit.isNotNull(), hit["dicom_id"]).otherwise(F.col("image_id")).alias("dicom_id"), hit["image_path"].alias("image_path")]
 
 
 def attach_boxes(groups: DataFrame, objects: DataFrame) -> DataFrame:
@@ -142,10 +160,34 @@ def build_g2_h1(assertions: DataFrame, objects: DataFrame, image_index: DataFram
     return _item(g, "G2", "H1", finding_question(F.col("label_name"), F.col("bbox_name")), F.when(F.col("any_yes"), "Yes").otherwise("No"), None, F.col("source_assertions"), ["E1_bbox", "E2_anatomy_finding_pair"], any_text)
 
 
+def _named(assertions: DataFrame) -> DataFrame:
+    kept = assertions.where((F.col("category") == FINDING) & F.col("polarity").isin("yes", "no") & truthy(F.col("label_name")))
+    return kept.select(*dict.fromkeys(c for c in [*IMAGE_KEY, "anatomy_bound", *_TRACE] if c in assertions.columns))
+
+
 def findings_by_image(assertions: DataFrame) -> DataFrame:
     """What builders need of the assertions of findings, laid out by image: the one shuffle of assertions in a build."""
-    kept = assertions.where((F.col("category") == FINDING) & F.col("polarity").isin("yes", "no") & truthy(F.col("label_name")))
-    return laid_out(kept.select(*dict.fromkeys(c for c in [*IMAGE_KEY, "anatomy_bound", *_TRACE] if c in assertions.columns)), IMAGE_KEY)
+    return laid_out(_named(assertions), IMAGE_KEY)
+
+
+def sources_by_image(assertions: DataFrame, image_index: DataFrame, objects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the layout, its rows): assertions of findings and objects, `_from` a or o, laid out by image together with the image index.
+
+    Each row has its image's row of the index as `_image` and, with objects, its anatomy's first box as `_first`: the same as
+    attach_images and attach_boxes give, but found inside the layout, so that a build joins nothing.
+    """
+    index = image_index.select(*IMAGE_KEY, F.lit("i").alias("_from"), F.struct("dicom_id", "image_path").alias("_image"), _inner_order(image_index, IMAGE_KEY).alias("_image_ord"))
+    union = _named(assertions).withColumn("_from", F.lit("a")).unionByName(index, allowMissingColumns=True)
+    if objects is not None:
+        boxes = objects.select(*IMAGE_KEY, "bbox_name", *_box_columns(objects), *(["_ord"] if "_ord" in objects.columns else []))
+        boxes = boxes.select(*IMAGE_KEY, "bbox_name", F.lit("o").alias("_from"), F.struct("bbox_name", *_BOX).alias("_box"), *(["_ord"] if "_ord" in boxes.columns else []))
+        union = union.unionByName(boxes, allowMissingColumns=True)
+    layout = laid_out(union, IMAGE_KEY)
+    out = layout.withColumn("_image", F.max_by("_image", "_image_ord").over(Window.partitionBy(*IMAGE_KEY))).where(F.col("_from") != "i")
+    if objects is not None:
+        order = F.when(F.col("_from") == "o", F.col("_ord") if "_ord" in out.columns else F.struct(*(F.col("_box")[c] for c in sorted(_BOX))))
+        out = out.withColumn("_first", F.min_by("_box", order).over(Window.partitionBy(*IMAGE_KEY, "bbox_name")))
+    return layout, out
 
 
 def _sampled(items: DataFrame, own: DataFrame, balance_h2: bool, fraction: float, seed: int, any_text: bool) -> tuple[DataFrame, dict]:
@@ -173,13 +215,14 @@ def _missing(mentions: DataFrame, vocab: DataFrame, scope: list[str], k: int, an
     of = {c if c != "image_id" else "image": F.col(f"_j_{c}") for c in scope}
     lack = F.filter("vocab", lambda w: ~F.array_contains("mentioned", w["f"]))
     ranked = F.transform(lack, lambda w: F.struct(digest_id("rank", of | {"finding": w["j"]}).alias("r"), w["f"].alias("f")))
-    top = F.slice(F.array_sort(ranked), 1, k)
-    return scoped.crossJoin(words).select(*rest, F.explode(F.transform(top, lambda s: s["f"])).alias("label_name"))
+    top = F.array_compact(F.array(F.array_min(ranked))) if k == 1 else F.slice(F.array_sort(ranked), 1, k)
+    # a plain explode gets a filter on the list's size, which would rank all findings a second time
+    return scoped.crossJoin(words).select(*rest, F.explode_outer(F.transform(top, lambda s: s["f"])).alias("label_name")).where("label_name is not null")
 
 
-def g1_missing(assertions: DataFrame, k: int = 1, any_text: bool = True) -> DataFrame:
+def g1_missing(assertions: DataFrame, k: int = 1, any_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per image with evidence, the first k findings of the vocabulary that it does not mention, conflicts included."""
-    mentions = g1_evidence(assertions).groupBy(*IMAGE_KEY).agg(F.collect_set("label_name").alias("mentioned"))
+    mentions = g1_evidence(assertions).groupBy(*IMAGE_KEY).agg(F.collect_set("label_name").alias("mentioned"), *(F.first(c).alias(c) for c in carry))
     return _missing(mentions, finding_vocab(assertions), ["image_id"], k, any_text)
 
 
@@ -192,6 +235,15 @@ def g2_missing(assertions: DataFrame, objects: DataFrame, k: int = 1, any_text:
     return _missing(mentions, finding_vocab(assertions), ["image_id", "bbox_name"], k, any_text)
 
 
+def _missing_in_layout(rows: DataFrame, k: int, any_text: bool) -> DataFrame:
+    """g2_missing of the rows of sources_by_image, with `_image`."""
+    own = rows.where(truthy(F.col("image_id")) & truthy(F.col("bbox_name"))).groupBy(*IMAGE_KEY, "bbox_name").agg(
+        F.collect_set(F.when(_is_g2(), F.col("label_name"))).alias("mentioned"), F.collect_list(F.when(F.col("_from") == "o", F.col("_box"))).alias("_boxes"), F.first("_image").alias("_image"),
+    )
+    mentions = own.select(*IMAGE_KEY, "bbox_name", "mentioned", "_image", F.explode("_boxes").alias("_box")).select(*IMAGE_KEY, "bbox_name", *(F.col(f"_box.{c}") for c in _BOX), "mentioned", "_image")
+    return _missing(mentions, finding_vocab(rows), ["image_id", "bbox_name"], k, any_text)
+
+
 def _probe(level: str) -> Column:
     return F.array(F.struct(
         *(F.lit(None).alias(c) if c not in ("label_name", "bbox_name") else (F.col(c) if c == "label_name" or level == "G2" else F.lit(None)).alias(c) for c in _TRACE),
@@ -202,30 +254,30 @@ def _probe(level: str) -> Column:
 def build_g1_h2(assertions: DataFrame, image_index: DataFrame, unsupported_per_image: int = 1, balance_h2: bool = True, fraction: float = 0.8, seed: int = 42, any_text: bool = True) -> tuple[DataFrame, dict]:
     if unsupported_per_image < 1:
         raise ValueError("unsupported_per_image must be at least 1")
-    assertions = findings_by_image(assertions)
-    g = attach_images(g1_groups(assertions, True).where("not conflict"), image_index)
+    own, rows = sources_by_image(assertions, image_index)
+    g = g1_groups(rows, True, ("_image",)).where("not conflict").select("*", *_image(F.col("_image")))
     claim = finding_claim(F.col("label_name"), F.col("any_yes"))
     yes = _item(g, "G1", "H2", support_question(claim), F.lit("Supported"), claim, F.col("source_assertions"), ["E2_structured_label"], any_text)
-    m = attach_images(g1_missing(assertions, unsupported_per_image, any_text), image_index)
+    m = g1_missing(rows, unsupported_per_image, any_text, ("_image",)).select("*", *_image(F.col("_image")))
     claim = finding_claim(F.col("label_name"), F.lit(True))
     no = _item(m, "G1", "H2", support_question(claim), F.lit("Unsupported"), claim, _probe("G1"), ["E5_task_context"], any_text)
     items = yes.unionByName(no)
-    return _sampled(items, assertions, balance_h2, fraction, seed, any_text)
+    return _sampled(items, own, balance_h2, fraction, seed, any_text)
 
 
 def build_g2_h2(assertions: DataFrame, objects: DataFrame, image_index: DataFrame, unsupported_per_anatomy: int = 1, balance_h2: bool = True, fraction: float = 0.8, seed: int = 42, any_text: bool = True) -> tuple[DataFrame, dict]:
     if unsupported_per_anatomy < 1:
         raise ValueError("unsupported_per_anatomy must be at least 1")
-    assertions = findings_by_image(assertions)
-    g = attach_images(attach_boxes(g2_groups(assertions, True).where("not conflict"), objects).where("bbox is not null"), image_index)
+    own, rows = sources_by_image(assertions, image_index, objects)
+    g = g2_groups(rows, True, ("_image", "_first")).where("not conflict and _first is not null").select("*", _bbox(F.col("_first")).alias("bbox"), *_image(F.col("_image")))
     claim = finding_claim(F.col("label_name"), F.col("any_yes"), F.col("bbox_name"))
     yes = _item(g, "G2", "H2", support_question(claim), F.lit("Supported"), claim, F.col("source_assertions"), ["E1_bbox", "E2_anatomy_finding_pair"], any_text)
-    m = g2_missing(assertions, objects, unsupported_per_anatomy, any_text).withColumn("bbox", _bbox(F.struct("bbox_name", *_BOX)))
-    m = attach_images(m, image_index)
+    m = _missing_in_layout(rows, unsupported_per_anatomy, any_text)
+    m = m.select("*", _bbox(F.struct("bbox_name", *_BOX)).alias("bbox"), *_image(F.col("_image")))
     claim = finding_claim(F.col("label_name"), F.lit(True), F.col("bbox_name"))
     no = _item(m, "G2", "H2", support_question(claim), F.lit("Unsupported"), claim, _probe("G2"), ["E1_bbox", "E5_task_context"], any_text)
     items = yes.unionByName(no)
-    return _sampled(items, assertions, balance_h2, fraction, seed, any_text)
+    return _sampled(items, own, balance_h2, fraction, seed, any_text)
 
 
 def builder_summary(groups: DataFrame, objects: DataFrame | None = None) -> DataFrame:

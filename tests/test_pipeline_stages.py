@@ -192,6 +192,22 @@ def test_a_build_shuffles_assertions_once(spark, small):
     assert {t.name for t in spark.catalog.listTables()} == before and out.count() == 4  # the layout goes once items are made
 
 
+def test_a_build_joins_and_shuffles_nothing_after_its_layout(spark, small):
+    a, o, index = small
+    o = o.unionByName(o.where("image_id = 'i1'").withColumn("x1", F.lit(0.5))).unionByName(o.where("image_id = 'i2'").withColumn("bbox_name", F.lit(None).cast("string")))
+    index = index.unionByName(index.where("image_id = 'i1'").withColumn("image_path", F.lit("b.jpg")))
+    for items_ in (items.build_g1_h2(a, index, balance_h2=False)[0], items.build_g2_h2(a, o, index, balance_h2=False)[0]):
+        plan = items_._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftOuter" not in plan and shuffles(items_) <= 1  # the vocabulary's one row
+        assert not re.search(r"Filter .*size\(transform", plan)  # findings are ranked once
+    rows = items.build_g2_h2(a, o, index, balance_h2=False)[0].collect()
+    got = sorted((r["answer_label"], r["image_id"], r["target_finding"], r["dicom_id"], r["image_path"], r["bbox"]["x1"]) for r in rows if r["answer_label"] == "Supported")
+    assert got == [("Supported", "i1", "opacity", None, "b.jpg", 0.5), ("Supported", "i2", "effusion", "i2", None, 1.0)]
+    said = items.attach_images(items.g2_missing(a, o, 1), index)
+    want = sorted(tuple(map(str, r)) for r in said.select("image_id", "bbox_name", "label_name", "dicom_id", "image_path", "x1").collect())
+    assert want == sorted(tuple(map(str, (r["image_id"], r["target_anatomy"], r["target_finding"], r["dicom_id"], r["image_path"], r["bbox"]["x1"]))) for r in rows if r["answer_label"] == "Unsupported")
+
+
 def test_native_and_escaped_ids_agree(spark, small):
     a, o, index = small
     for build in (lambda t: items.build_g1_h2(a, index, any_text=t)[0], lambda t: items.build_g2_h2(a, o, index, any_text=t)[0]):
