@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import truthy
-from quillon.operators.items import attach_boxes, evidence_groups, g1_evidence, g2_evidence, g2_groups
+from quillon.operators.items import evidence_groups, g1_evidence, g2_evidence, g2_groups
 from quillon.schemas import FINDING, IMAGE_KEY
+from quillon.sources.scratch import materialize
 
 
 def top_findings(assertions: DataFrame, k: int = 20) -> DataFrame:
@@ -68,15 +69,22 @@ def top_entities(entities: DataFrame, anatomy: bool, k: int = 20) -> DataFrame:
 def candidate_counts(assertions: DataFrame, objects: DataFrame) -> DataFrame:
     """One row: candidates of each kind of item, and those left out with the reason (EXT12)."""
     g1 = evidence_groups(g1_evidence(assertions), [*IMAGE_KEY, "label_name"]).agg(F.count_if(~F.col("conflict")).alias("g1_valid"), F.count_if("conflict").alias("g1_conflicting"))
-    g2 = attach_boxes(g2_groups(assertions), objects).agg(
-        F.count_if(F.expr("not conflict and bbox is not null")).alias("g2_valid"), F.count_if("conflict").alias("g2_conflicting"), F.count_if(F.expr("not conflict and bbox is null")).alias("g2_without_box"),
-    )
+    groups = materialize(g2_groups(assertions).select(*IMAGE_KEY, "bbox_name", "label_name", "any_yes", "conflict"))
+    # a box is there if its object is: which of several objects comes first makes no difference to a count
+    keys = [*IMAGE_KEY, "bbox_name"]
+    own = objects.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct().withColumn("_has", F.lit(True))
+    has = F.coalesce("_has", F.lit(False))
+    g2 = groups.join(own, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left").agg(
+        F.count_if(~F.col("conflict") & has).alias("g2_valid"), F.count_if("conflict").alias("g2_conflicting"), F.count_if(~F.col("conflict") & ~has).alias("g2_without_box"),
+    )
     finding = F.col("category") == FINDING
     raw = assertions.agg(
         F.count_if(finding & ~truthy(F.col("label_name"))).alias("without_label"), F.count_if(finding & ~F.coalesce(F.col("polarity").isin("yes", "no"), F.lit(False))).alias("uncertain"),
         F.count_if(finding & (F.col("polarity") == "yes") & (F.size("severity_cues") > 0)).alias("with_modifier"),
     )
-    g3a = contrast_pairs(assertions).agg(F.count("*").alias("g3a_pairs"))
+    # as many as contrast_pairs: each positive anatomy of an image's finding with each other one
+    sides = groups.where("not conflict").groupBy("image_id", "label_name").agg(F.count_if("any_yes").alias("t"), F.count_if(~F.col("any_yes")).alias("d"))
+    g3a = sides.agg(F.coalesce(F.sum(F.col("t") * F.col("d")), F.lit(0)).alias("g3a_pairs"))
     g3b = modifier_items(assertions).agg(F.count("*").alias("g3b_supported"))
     return reduce(DataFrame.crossJoin, [g1, g2, raw, g3a, g3b])  # one row each
 

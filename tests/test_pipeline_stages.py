@@ -478,6 +478,16 @@ def test_audits_and_rules(spark, small):
     assert [tuple(r) for r in audit.top_entities(e, False).collect()] == [("effusion", 2)] and [r[0] for r in audit.top_entities(e, True).collect()] == ["lung"]
 
 
+def test_counts_of_candidates_make_no_pairs(spark):
+    sides = [("a", "yes"), ("b", "yes"), ("c", "no"), ("d", "no"), ("e", "no"), ("f", "yes"), ("f", "no")]
+    a = frame(spark, [ev("p", "i", "edema", v, b) for b, v in sides] + [ev(None, "j", "edema", "yes", "a"), ev("p", "j", "edema", "no", "a")])
+    o = frame(spark, [{"patient_id": p, "study_id": "s", "image_id": i, "bbox_name": "a", "x1": x} for p, i, x in (("p", "i", 1.0), ("p", "i", 2.0), (None, "j", 3.0))], schemas.OBJECTS)
+    got = audit.candidate_counts(a, o)
+    row = got.first().asDict()
+    assert row["g3a_pairs"] == audit.contrast_pairs(a).count() == 7 and (row["g2_valid"], row["g2_conflicting"], row["g2_without_box"]) == (2, 1, 5)
+    assert "min_by" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rules_of_items(spark, small):
     a, o, index = small
     built = [items.build_g1_h1(a, index), items.build_g2_h1(a, o, index), items.build_g1_h2(a, index, balance_h2=False)[0], items.build_g2_h2(a, o, index, balance_h2=False)[0]]
