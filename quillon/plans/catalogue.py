@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.functions.ids import assertion_id, stable_id, stable_id_sql
 from quillon.operators import audit, graphs, items, linking, prompts, sampling, scoring
-from quillon.plans.adapters import GRAPH, LINE_ORDER, RELATIONS, assertions, odd_documents, report_graphs, scene_graph_documents, table, view, with_views
+from quillon.plans.adapters import GRAPH, LINE_ORDER, RELATIONS, anatomies, assertions, odd_documents, report_graphs, scene_graph_documents, table, view, with_views
 from quillon.schemas import ITEMS
 from quillon.sources import members, scene_graphs
 from quillon.sources.scratch import materialize
@@ -274,7 +274,7 @@ _QUOTA = "(select p, n, greatest(1, least(p, n // 4)) kp, greatest(1, least(n, p
     f" {_QUOTA.replace('from u', f'from ({H2_2})')} q where k <= case when answer_label = 'Supported' then kp else kn end"
 )
 def h2_balanced(spark, sf):
-    return sampling.balance(_g2_h2(spark, sf).select("item_id", "answer_label"), any_text=False)[0]
+    return items.balanced_g2_h2_labels(anatomies(spark, sf), any_text=False)
 
 
 @query(f"select p positive_before, n negative_before, kp positive_after, kn negative_after from {_QUOTA.replace('from u', f'from ({H2_2})')} q")

@@ -29,19 +29,20 @@ def scratch_dir(spark: SparkSession) -> str:
 FILE_BYTES = 16 << 20
 
 
-def materialize(df: DataFrame, rows: int | None = None, width: int = 64) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None, width: int = 64, codec: str | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read back.
 
     The files survive lost executors, and the reread table has column pruning and statistics. rows: a bound of
     its rows, of `width` bytes each, for a last step that is light: small tables then go to few files, whatever
-    the number of shuffle partitions; large ones are written as they are. A step that is done with its own tables
+    the number of shuffle partitions; large ones are written as they are. codec: of the files, the session's if not
+    given; zstd halves ids, which are text of hex digits. A step that is done with its own tables
     discards them; those that a result still reads go when the session ends.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows * width // FILE_BYTES)))
     path = f"{scratch_dir(spark)}/quillon/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     if (made := _made.get()) is not None:

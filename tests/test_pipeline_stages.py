@@ -1,7 +1,9 @@
 """Hand-built fixtures: ingest, items, linking, prompts, answers, scores, reports, streaming."""
 
+import glob
 import hashlib
 import json
+import os
 import random
 import re
 
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 from quillon import cli, schemas
 from quillon.functions import ids, text
 from quillon.operators import audit, graphs, items, linking, models, prompts, report, sampling, scoring
+from quillon.plans import adapters, catalogue
 from quillon.sources import members, scene_graphs, scratch, sinks, storage, tables
 from quillon.streaming.scoring import score_stream, summary_stream
+from tests.conftest import SMALL
 
 
 def graph(**over):
@@ -215,6 +219,48 @@ def test_a_build_joins_and_shuffles_nothing_after_its_layout(spark, small):
     assert want == sorted(tuple(map(str, (r["image_id"], r["target_anatomy"], r["target_finding"], r["dicom_id"], r["image_path"], r["bbox"]["x1"]))) for r in rows if r["answer_label"] == "Unsupported")
 
 
+def test_labels_alone_equal_the_items(spark, small):
+    a, o, index = small
+    o = o.unionByName(o.where("image_id = 'i1'").withColumn("x1", F.lit(0.5))).unionByName(frame(spark, [{"patient_id": None, "study_id": "s", "image_id": "i4", "bbox_name": "lung"}, {"image_id": "i2"}, {"image_id": "", "bbox_name": "lung"}], schemas.OBJECTS))
+    a = a.unionByName(frame(spark, [ev("p", "i1", "opacity", "no"), ev("p", "i1", "edema", "no"), ev("p", "i2", "far", "yes", bound=False), ev("p", "i2", "é", "no", None), ev("p", "i9", "nlp", "yes", category="nlp"), ev("p", "i9", "opacity", "yes", bound=None)]))
+    rows = items.anatomies(a, o)
+    for k in (1, 9):
+        want = sorted(tuple(r) for r in items.build_g2_h2(a, o, index, k, False)[0].select("item_id", "answer_label").collect())
+        assert sorted(tuple(r) for r in items.g2_h2_labels(rows, k).collect()) == want
+        kept, _ = items.build_g2_h2(a, o, index, k, fraction=0.5, seed=3)
+        assert sorted(r[0] for r in items.balanced_g2_h2_labels(rows, k, 0.5, 3).collect()) == sorted(r["item_id"] for r in kept.collect())
+    assert items.balanced_g2_h2_labels(items.anatomies(a.limit(0), o)).count() == 0
+
+
+def test_anatomies_of_the_tables_are_those_of_the_views(spark):
+    plain = lambda df: sorted((r["patient_id"], r["study_id"], r["image_id"], r["bbox_name"], sorted(map(tuple, r["found"])), r["objects"]) for r in df.where("size(found) > 0 or objects > 0").collect())
+    got = plain(adapters.anatomies(spark, SMALL))
+    assert got == plain(items.anatomies(adapters.assertions(spark, SMALL), adapters.view(spark, SMALL, "co"))) and len(got) > 1000
+
+
+def test_balanced_labels_write_little(spark, monkeypatch):
+    """Of the items two columns are written, and no ranks."""
+    sizes = []
+
+    def noted(df, *args, **kwargs):
+        out = scratch.materialize(df, *args, **kwargs)
+        sizes.append((out.columns, sum(os.path.getsize(f) for f in glob.glob(f"{out._quillon_path.removeprefix('file:')}/*.parquet"))))
+        return out
+    for module in (items, sampling):
+        monkeypatch.setattr(module, "materialize", noted)
+    monkeypatch.setattr(items, "laid_out", None)
+    n = catalogue.Q["h2_balanced"](spark, SMALL).count()
+    assert sorted(c for c, _ in sizes)[1:] == [["item_id", "answer_label"], ["patient_id", "study_id", "image_id", "bbox_name", "found", "objects"]] and sum(b for _, b in sizes) < 40 * n
+
+
+def test_ids_of_one_label_are_not_looked_up(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("concat('id', id) item_id", "case when id % 2 = 0 then 'Supported' else 'Unsupported' end answer_label")
+    want = sorted(map(tuple, sampling.balance(rows)[0].collect()))
+    monkeypatch.setattr(sampling, "_one_label", None)
+    out, summary = sampling.balance(rows, one_label=True)
+    assert sorted(map(tuple, out.collect())) == want and len(want) == summary["positive_after"] + summary["negative_after"] == 375 + 1500
+
+
 def test_native_and_escaped_ids_agree(spark, small):
     a, o, index = small
     for build in (lambda t: items.build_g1_h2(a, index, any_text=t)[0], lambda t: items.build_g2_h2(a, o, index, any_text=t)[0]):
