@@ -327,6 +327,18 @@ def balanced_g2_h2_labels(rows: DataFrame, k: int = 1, fraction: float = 0.8, se
     return out
 
 
+def g2_h2_counts(rows: DataFrame, k: int = 1) -> tuple[int, int]:
+    """How many items build_g2_h2 makes without balancing, Supported and Unsupported, of `anatomies`.
+
+    An object gets k findings, or as many as its anatomy lacks: the vocabulary less those mentioned. So nothing is ranked.
+    """
+    own = materialize(rows.select("found", "objects"), codec="zstd")
+    lacks = F.lit(_found_vocab(own).count()) - F.size("mentioned")
+    sums = _sides(own).agg(F.sum(F.size("only_yes") + F.size("only_no")).alias("p"), F.sum(F.col("objects") * F.least(F.lit(k), lacks)).alias("n")).first()
+    discard(own)
+    return sums["p"] or 0, sums["n"] or 0
+
+
 def builder_summary(groups: DataFrame, objects: DataFrame | None = None) -> DataFrame:
     """Candidate, written, yes, no, conflict and missing-box counts in one pass."""
     g = attach_boxes(groups, objects) if objects is not None else groups.withColumn("bbox", F.lit("none"))

@@ -279,7 +279,7 @@ def h2_balanced(spark, sf):
 
 @query(f"select p positive_before, n negative_before, kp positive_after, kn negative_after from {_QUOTA.replace('from u', f'from ({H2_2})')} q")
 def h2_balance_summary(spark, sf):
-    s = sampling.balance(_g2_h2(spark, sf).select("item_id", "answer_label"), any_text=False)[1]
+    s = sampling.balance_summary(items.g2_h2_counts(anatomies(spark, sf)))
     names = ["positive_before", "negative_before", "positive_after", "negative_after"]
     return spark.createDataFrame([tuple(int(s[n]) for n in names)], ", ".join(f"{n} long" for n in names))
 

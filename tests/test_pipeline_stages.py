@@ -227,9 +227,11 @@ def test_labels_alone_equal_the_items(spark, small):
     for k in (1, 9):
         want = sorted(tuple(r) for r in items.build_g2_h2(a, o, index, k, False)[0].select("item_id", "answer_label").collect())
         assert sorted(tuple(r) for r in items.g2_h2_labels(rows, k).collect()) == want
-        kept, _ = items.build_g2_h2(a, o, index, k, fraction=0.5, seed=3)
+        assert items.g2_h2_counts(rows, k) == tuple(sum(z == of for _, z in want) for of in ("Supported", "Unsupported"))
+        kept, summary = items.build_g2_h2(a, o, index, k, fraction=0.5, seed=3)
         assert sorted(r[0] for r in items.balanced_g2_h2_labels(rows, k, 0.5, 3).collect()) == sorted(r["item_id"] for r in kept.collect())
-    assert items.balanced_g2_h2_labels(items.anatomies(a.limit(0), o)).count() == 0
+        assert sampling.balance_summary(items.g2_h2_counts(rows, k), negative_fraction=0.5, seed=3) == summary
+    assert items.g2_h2_counts(items.anatomies(a.limit(0), o.limit(0))) == (0, 0) and items.balanced_g2_h2_labels(items.anatomies(a.limit(0), o)).count() == 0
 
 
 def test_anatomies_of_the_tables_are_those_of_the_views(spark):
@@ -239,7 +241,7 @@ def test_anatomies_of_the_tables_are_those_of_the_views(spark):
 
 
 def test_balanced_labels_write_little(spark, monkeypatch):
-    """Of the items two columns are written, and no ranks."""
+    """Of the items two columns are written, and no ranks; the summary writes no ids at all."""
     sizes = []
 
     def noted(df, *args, **kwargs):
@@ -251,6 +253,8 @@ def test_balanced_labels_write_little(spark, monkeypatch):
     monkeypatch.setattr(items, "laid_out", None)
     n = catalogue.Q["h2_balanced"](spark, SMALL).count()
     assert sorted(c for c, _ in sizes)[1:] == [["item_id", "answer_label"], ["patient_id", "study_id", "image_id", "bbox_name", "found", "objects"]] and sum(b for _, b in sizes) < 40 * n
+    sizes.clear()
+    assert catalogue.Q["h2_balance_summary"](spark, SMALL).count() == 1 and [c for c, _ in sizes] == [["found", "objects"]]
 
 
 def test_ids_of_one_label_are_not_looked_up(spark, monkeypatch):
